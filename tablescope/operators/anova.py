@@ -22,9 +22,18 @@ PAIR = ["num", "cat"]
 LEVEL_SCHEMA = "num string, cat string, level string, n bigint, mean double, var_pop double"
 
 
-def level_stats(df: DataFrame, config: RelationConfig, cats: Sequence[str] | None = None, nums: Sequence[str] | None = None) -> DataFrame:
-    """``(num, cat, level, n, mean, var_pop)`` over rows where both sides are present, small levels removed."""
-    cats = usable_categories(df, config, cats, min_levels=2)
+def level_stats(
+    df: DataFrame,
+    config: RelationConfig,
+    cats: Sequence[str] | None = None,
+    nums: Sequence[str] | None = None,
+    gated: bool = False,
+) -> DataFrame:
+    """``(num, cat, level, n, mean, var_pop)`` over rows where both sides are present, small levels removed.
+
+    ``gated`` says that ``cats`` are known to have between 2 and ``max_cardinality`` levels.
+    """
+    cats = list(cats or []) if gated else usable_categories(df, config, cats, min_levels=2)
     nums = list(nums) if nums else numeric_columns(df)
     if not cats or not nums:
         return df.sparkSession.createDataFrame([], LEVEL_SCHEMA)
@@ -143,10 +152,14 @@ def kruskal(
 
 
 def mixed_relations(
-    df: DataFrame, config: RelationConfig = RelationConfig(), cats: Sequence[str] | None = None, nums: Sequence[str] | None = None
+    df: DataFrame,
+    config: RelationConfig = RelationConfig(),
+    cats: Sequence[str] | None = None,
+    nums: Sequence[str] | None = None,
+    gated: bool = False,
 ) -> DataFrame:
     """ANOVA and, with ``advanced_stats``, Kruskal-Wallis, by eta squared, cut at top_k."""
-    levels = level_stats(df, config, cats, nums)
+    levels = level_stats(df, config, cats, nums, gated).persist()  # one row per pair and level
     out = anova(df, config, levels=levels)
     if config.advanced_stats:
         ranks = kruskal(df, config, levels=levels).select(*PAIR, "h_stat", "kruskal_p")

@@ -67,9 +67,15 @@ def with_margins(table: DataFrame) -> DataFrame:
     )
 
 
-def contingency(df: DataFrame, config: RelationConfig = RelationConfig(), cols: Sequence[str] | None = None) -> DataFrame:
-    """Contingency tables of all pairs of usable categorical columns, long form, with margins."""
-    return with_margins(cells(df, list(combinations(usable_categories(df, config, cols), 2))))
+def contingency(
+    df: DataFrame, config: RelationConfig = RelationConfig(), cols: Sequence[str] | None = None, gated: bool = False
+) -> DataFrame:
+    """Contingency tables of all pairs of usable categorical columns, long form, with margins.
+
+    ``gated`` says that ``cols`` are known to have at most ``max_cardinality`` levels.
+    """
+    names = list(cols or []) if gated else usable_categories(df, config, cols)
+    return with_margins(cells(df, list(combinations(names, 2))))
 
 
 def chi_square(

@@ -89,22 +89,19 @@ def per_column(df: DataFrame, columns: Iterable[str], metrics: dict[str, object]
     return reduce(DataFrame.unionByName, parts)
 
 
-def approximate_levels(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(c) for c in columns]).first()
-    return row.asDict() if row else {}
-
-
 def gated_categories(df: DataFrame, columns: list[str], max_levels: int, min_levels: int = 1) -> dict[str, int]:
     """Columns with ``min_levels`` … ``max_levels`` distinct values, and their counts.
 
-    A sketch first rules out columns far above the limit, so that only columns with few values are
-    counted exactly and the shuffle stays small.
+    A sketch first rules out columns far above the limit; the values of the others are few, so their sets
+    are built in one aggregate that moves nothing else.
     """
     if not columns:
         return {}
-    rough = approximate_levels(df, columns)
-    near = [c for c in columns if rough[c] <= 2 * max_levels + 10]
+    rough = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    near = [c for i, c in enumerate(columns) if rough[f"_{i}"] <= 2 * max_levels + 10]
     if not near:
         return {}
-    exact = {r["column"]: r["n_unique"] for r in distinct_counts(df, near).collect()}
-    return {c: exact[c] for c in near if min_levels <= exact[c] <= max_levels}
+    exact = df.agg(
+        *[F.size(F.collect_set(missing_to_null(c, field_type(df, c)))).alias(f"_{i}") for i, c in enumerate(near)]
+    ).first()
+    return {c: exact[f"_{i}"] for i, c in enumerate(near) if min_levels <= exact[f"_{i}"] <= max_levels}

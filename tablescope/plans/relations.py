@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.kinds import numeric_columns, string_columns
 from tablescope.operators import anova, assoc, corr
+from tablescope.operators.freq import gated_categories
 from tablescope.operators.select import sample_rows, select_columns
 from tablescope.plans.config import RelationConfig
 
@@ -32,7 +33,8 @@ def analyze_relations(
         df = sample_rows(df, config.sample_cap, 42)
     out: dict[str, DataFrame] = {}
     numbers = numeric_columns(df)
-    texts = assoc.usable_categories(df, config)
+    levels = gated_categories(df, string_columns(df), config.max_cardinality)
+    texts, split = list(levels), [c for c, n in levels.items() if n >= 2]
 
     out["metadata"] = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows",
@@ -50,17 +52,17 @@ def analyze_relations(
     if len(texts) < 2:
         out["categorical"] = _message(df, "fewer than two usable categorical columns")
     else:
-        table = assoc.contingency(df, config, texts).persist()
+        table = assoc.contingency(df, config, texts, gated=True).persist()
         tested = assoc.chi_square(df, config, table=table).persist()
         out["categorical"] = assoc.strong_associations(df, config, tested=tested)
         out["categorical_summary"] = assoc.association_summary(df, config, tested=tested)
         out["rules"] = assoc.association_rules(df, config, table=table)
         if config.advanced_stats:
             out["theils_u"] = assoc.theils_u(df, config, table=table)
-    if not numbers or not texts:
+    if not numbers or not split:
         out["mixed"] = _message(df, "needs a numeric and a usable categorical column")
     else:
-        mixed = anova.mixed_relations(df, config, texts, numbers).persist()
+        mixed = anova.mixed_relations(df, config, split, numbers, gated=True).persist()
         out["mixed"] = mixed
         out["mixed_summary"] = anova.mixed_summary(df, config, tested=mixed)
     return out
@@ -87,12 +89,15 @@ def recommend_charts(df: DataFrame, config: RelationConfig = RelationConfig(), p
             F.lit(kind).alias("type"), F.col(a).alias("col1"), F.col(b).alias("col2"), F.lit(reason).alias("reason"), F.col(score).alias("score")
         )
 
-    usable = assoc.usable_categories(df, config)
+    levels = gated_categories(df, texts, config.max_cardinality)
+    usable, split = list(levels), [c for c, n in levels.items() if n >= 2]
     if len(usable) >= 2:
-        out = out.unionByName(suggestion(assoc.chi_square(df, config, usable), "heatmap", "col1", "col2", "cramers_v", "cramers_v"))
+        table = assoc.contingency(df, config, usable, gated=True)
+        out = out.unionByName(suggestion(assoc.chi_square(df, config, table=table), "heatmap", "col1", "col2", "cramers_v", "cramers_v"))
     if len(numbers) >= 2:
         pairs = corr.corr_matrix(df, "pearson", numbers).withColumn("strength", F.abs("r"))
         out = out.unionByName(suggestion(pairs, "scatter", "col1", "col2", "strength", "correlation"))
-    if usable and numbers:
-        out = out.unionByName(suggestion(anova.anova(df, config, usable, numbers), "box", "cat", "num", "eta2", "eta_squared"))
+    if split and numbers:
+        stats = anova.level_stats(df, config, split, numbers, gated=True)
+        out = out.unionByName(suggestion(anova.anova(df, config, levels=stats), "box", "cat", "num", "eta2", "eta_squared"))
     return out

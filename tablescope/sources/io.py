@@ -84,8 +84,12 @@ def _as_struct(spark: SparkSession, schema: str | T.StructType) -> T.StructType:
 
 
 def preview_quality(preview: DataFrame) -> DataFrame:
-    """Rows shown and rows that did not fit the schema."""
-    return preview.agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("corrupt_rows"))
+    """Rows shown and rows that did not fit the schema.
+
+    Whether a row fits depends on all its columns, so the preview (a bounded number of rows) is parsed
+    whole and kept before the corrupt ones are counted.
+    """
+    return preview.persist().agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("corrupt_rows"))
 
 
 def write_table(
