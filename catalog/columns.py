@@ -36,23 +36,26 @@ def lineitem(s, d):
 # --- profiles -------------------------------------------------------------------------------------
 
 def _profile_sql(columns, source):
+    def r7(e):
+        return r(e, 7)
+
     def one(c, t):
         if t in ("bigint", "int", "double"):
             x = f"{c}::DOUBLE"
-            stats = f"""{r(f'avg({x})')} AS mean, {r(f'stddev_samp({x})')} AS std, min({x}) AS min, {r(f'quantile_cont({x}, 0.25)')} AS q25,
- {r(f'quantile_cont({x}, 0.5)')} AS q50, {r(f'quantile_cont({x}, 0.75)')} AS q75, max({x}) AS max,
- {r(f'quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)')} AS iqr, {r(f'skewness({x})')} AS skew, {r(f'kurtosis({x})')} AS kurtosis"""
+            stats = f"""{r7(f'avg({x})')} AS mean, {r7(f'stddev_samp({x})')} AS std, min({x}) AS min, {r7(f'quantile_cont({x}, 0.25)')} AS q25,
+ {r7(f'quantile_cont({x}, 0.5)')} AS q50, {r7(f'quantile_cont({x}, 0.75)')} AS q75, max({x}) AS max,
+ {r7(f'quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)')} AS iqr, {r7(f'skewness({x})')} AS skew, {r7(f'kurtosis({x})')} AS kurtosis"""
         else:
             stats = ", ".join(f"NULL::DOUBLE AS {k}" for k in ("mean", "std", "min", "q25", "q50", "q75", "max", "iqr", "skew", "kurtosis"))
         return f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) AS n_rows, count({c}) AS count, count(*) - count({c}) AS nulls,
- count(DISTINCT {c}) AS "unique", {r(f'100.0 * (count(*) - count({c})) / count(*)')} AS missing_pct, {stats} FROM {source}"""
+ count(DISTINCT {c}) AS "unique", {r7(f'100.0 * (count(*) - count({c})) / count(*)')} AS missing_pct, {stats} FROM {source}"""
 
     return "\nUNION ALL\n".join(one(c, t) for c, t in columns.items())
 
 
-register("column_profile", lambda s, d: rounded(profile.column_profile(lineitem(s, d))), _profile_sql(LINEITEM, "lineitem"))
-register("column_profile_missing", lambda s, d: rounded(profile.column_profile(rated(s, d))), _profile_sql(RATED, RATED_SQL + " t"))
-register("column_profile_gaps", lambda s, d: rounded(profile.column_profile(with_gaps(s, d))), _profile_sql(GAPS, GAPS_SQL + " t"))
+register("column_profile", lambda s, d: rounded(profile.column_profile(lineitem(s, d)), 7), _profile_sql(LINEITEM, "lineitem"))
+register("column_profile_missing", lambda s, d: rounded(profile.column_profile(rated(s, d)), 7), _profile_sql(RATED, RATED_SQL + " t"))
+register("column_profile_gaps", lambda s, d: rounded(profile.column_profile(with_gaps(s, d)), 7), _profile_sql(GAPS, GAPS_SQL + " t"))
 
 _BASIC = """'{t}' AS dtype, count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END AS unique_incl_missing,
  count(*) - count({c}) AS nulls, count({c}) AS count, """
