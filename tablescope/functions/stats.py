@@ -11,28 +11,14 @@ def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def sample_skewness(c: Column) -> Column:
-    """Bias-corrected skewness (G1); NULL under three values, 0 for a constant column."""
-    n = F.count(c).cast("double")
-    flat = F.stddev_pop(c) == 0
-    g1 = F.skewness(F.when(c.isNotNull(), c))
-    return (
-        F.when(n < 3, F.lit(None).cast("double"))
-        .when(flat, F.lit(0.0))
-        .otherwise(g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-    )
-
-
-def sample_kurtosis(c: Column) -> Column:
-    """Bias-corrected excess kurtosis (G2); NULL under four values, 0 for a constant column."""
-    n = F.count(c).cast("double")
-    flat = F.stddev_pop(c) == 0
-    scale = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return (
-        F.when(n < 4, F.lit(None).cast("double"))
-        .when(flat, F.lit(0.0))
-        .otherwise(scale * ((n + 1) * F.kurtosis(c) + 6))
-    )
+def corrected_skewness(g1: Column, n: Column) -> Column:
+    """Bias-corrected skewness G1 from the population skewness of ``n`` values."""
+    return g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+
+
+def corrected_kurtosis(g2: Column, n: Column) -> Column:
+    """Bias-corrected excess kurtosis G2 from the population excess kurtosis of ``n`` values."""
+    return (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g2 + 6)
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -41,7 +27,3 @@ def guarded_corr(x: Column, y: Column) -> Column:
     ys = F.when(x.isNotNull(), y)
     spread = F.stddev_pop(xs) * F.stddev_pop(ys)
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-
-def pair_count(x: Column, y: Column) -> Column:
-    return F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1)))

@@ -15,7 +15,7 @@ from tablescope.functions.special import chi2_sf, f_sf
 from tablescope.functions.stats import ratio
 from tablescope.kinds import doubles_of, numeric_columns, quoted
 from tablescope.operators.assoc import usable_categories
-from tablescope.operators.order import average_ranks
+from tablescope.operators.order import running_totals
 from tablescope.plans.config import RelationConfig
 
 PAIR = ["num", "cat"]
@@ -109,45 +109,71 @@ def kruskal(
 ) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected) and p of every (num, cat) pair, over the kept levels.
 
-    Values are counted per (pair, value) with their split over the levels, at most as many as the gate
-    allows, and ranked once in global order; no rank is joined back to the rows.
+    Values are counted per (pair, value, level) and ranked once in global order. Each count carries the
+    number of equal values, and how many of those come before it, so no rank is joined back.
     """
     levels = levels if levels is not None else level_stats(df, config, cats, nums)
-    kept = levels.select(*PAIR, "level")
-    pairs = sorted({(r["num"], r["cat"]) for r in kept.select(*PAIR).distinct().collect()})
-    if not pairs:
+    kept = [(r["num"], r["cat"], r["level"]) for r in levels.select(*PAIR, "level").collect()]
+    if not kept:
         return df.sparkSession.createDataFrame([], "num string, cat string, n bigint, h_stat double, kruskal_p double")
-    name = {f"p{i}": p for i, p in enumerate(pairs)}
+    pairs = {p: i for i, p in enumerate(sorted({(num, cat) for num, cat, _ in kept}))}
+    used = sorted({cat for _, cat in pairs})
+    code = {(cat, level): i for cat in used for i, level in enumerate(sorted({v for _, c, v in kept if c == cat}))}
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, num, cat) for (num, cat), i in pairs.items()], "pair int, num string, cat string")
+    allowed = spark.createDataFrame([(pairs[num, cat], code[cat, level]) for num, cat, level in kept], "pair int, level int")
+
+    numbers = sorted({num for num, _ in pairs})
+    coded = df.select(
+        *[quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(used)], *[doubles_of(df, c).alias(f"v{j}") for j, c in enumerate(numbers)]
+    )
+    for i, c in enumerate(used):
+        codes = spark.createDataFrame([(level, n) for (cat, level), n in code.items() if cat == c], f"k{i} string, c{i} int")
+        coded = coded.join(F.broadcast(codes), f"k{i}", "left")
     cells = [
-        F.struct(F.lit(label).alias("pair"), quoted(cat).cast("string").alias("level"), doubles_of(df, num).alias("value"))
-        for label, (num, cat) in name.items()
+        F.struct(F.lit(n).alias("pair"), F.col(f"v{numbers.index(num)}").alias("value"), F.col(f"c{used.index(cat)}").alias("level"))
+        for (num, cat), n in pairs.items()
     ]
-    labels = df.sparkSession.createDataFrame([(k, *v) for k, v in name.items()], "pair string, num string, cat string")
-    allowed = F.broadcast(kept.join(F.broadcast(labels), PAIR).select("pair", "level"))
     counted = (
-        df.select(F.inline(F.array(*cells)))
+        coded.select(F.inline(F.array(*cells)))
         .filter(F.col("level").isNotNull() & F.col("value").isNotNull())
         .groupBy("pair", "value", "level")
         .agg(F.count(F.lit(1)).alias("c"))
-        .join(allowed, ["pair", "level"], "left_semi")
+        .join(F.broadcast(allowed), ["pair", "level"], "left_semi")
+    )
+    equal = Window.partitionBy("pair", "value")
+    sized = counted.select(
+        "pair",
+        "value",
+        "level",
+        "c",
+        F.sum("c").over(equal).alias("t"),
+        F.coalesce(F.sum("c").over(equal.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior"),
     )
-    ranked = average_ranks(
-        counted.groupBy("pair", "value").agg(F.sum("c").alias("n"), F.collect_list(F.struct("level", "c")).alias("split")), "pair"
+    ranked = running_totals(sized, ["value", "level"], ["c"], "pair").withColumn(
+        "rank", F.col("c_before") - F.col("prior") + (F.col("t") + 1) / 2
     )
-    t = F.col("n").cast("double")
-    ties = ranked.groupBy("pair").agg(F.sum("n").alias("total"), F.sum(t * t * t - t).alias("ties"))
-    rank_sums = (
-        ranked.select("pair", "rank", F.inline("split"))
-        .groupBy("pair", "level")
-        .agg(F.sum(F.col("c") * F.col("rank")).alias("rank_sum"), F.sum("c").alias("size"))
+    t = F.col("t").cast("double")
+    sums = (
+        ranked.groupBy("pair", "level")
+        .agg(
+            F.sum(F.col("c") * F.col("rank")).alias("rank_sum"),
+            F.sum("c").alias("size"),
+            F.sum(F.col("c") * (t * t - 1)).alias("ties"),  # adds t^3 - t over the levels that share a value
+        )
         .groupBy("pair")
-        .agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("size")).alias("spread"), F.count(F.lit(1)).alias("k"))
+        .agg(
+            F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("size")).alias("spread"),
+            F.count(F.lit(1)).alias("k"),
+            F.sum("size").alias("total"),
+            F.sum("ties").alias("ties"),
+        )
     )
     n = F.col("total").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("spread") - 3 * (n + 1)
     correction = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
     h = raw / F.nullif(correction, F.lit(0.0))
-    out = rank_sums.join(F.broadcast(ties), "pair").join(F.broadcast(labels), "pair").withColumn("h_stat", h)
+    out = sums.join(F.broadcast(names), "pair").withColumn("h_stat", h)
     return out.select(*PAIR, F.col("total").alias("n"), "h_stat", chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("kruskal_p"))
 
 

@@ -9,7 +9,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.stats import guarded_corr, pair_count
 from tablescope.kinds import doubles, numeric_columns, quoted
 from tablescope.operators.kendall import kendall
 from tablescope.operators.order import average_ranks
@@ -53,13 +52,34 @@ def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], r, n) -> DataFrame:
 
 
 def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
+    """Sums of products around the column means, shared between pairs.
+
+    A column without missing values contributes the same sums to all its pairs; only partners with missing
+    values need sums of their own, so the number of aggregates stays close to one per pair.
+    """
     values = doubles(df, names)
-    return _pair_rows(
-        values,
-        list(combinations(names, 2)),
-        lambda a, b: guarded_corr(quoted(a), quoted(b)),
-        lambda a, b: pair_count(quoted(a), quoted(b)),
-    )
+    facts = values.agg(
+        *[F.struct(F.count_if(quoted(c).isNull()).alias("missing"), F.avg(quoted(c)).alias("mean")).alias(f"_{i}") for i, c in enumerate(names)]
+    ).first()
+    mean = {c: facts[f"_{i}"]["mean"] for i, c in enumerate(names)}
+    partial = {c for i, c in enumerate(names) if facts[f"_{i}"]["missing"]}
+
+    def centred(a: str, b: str) -> Column:
+        column, mask = _context(a, b, partial)
+        gap = quoted(column) - F.lit(mean[column])
+        return F.when(quoted(mask).isNotNull(), gap) if mask else gap
+
+    def r(a: str, b: str) -> Column:
+        x, y = centred(a, b), centred(b, a)
+        n = F.count(x * y).cast("double")
+        n = F.nullif(n, F.lit(0.0))
+        xx = F.sum(x * x) - F.sum(x) * F.sum(x) / n
+        yy = F.sum(y * y) - F.sum(y) * F.sum(y) / n
+        xy = F.sum(x * y) - F.sum(x) * F.sum(y) / n
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(varies, xy / F.nullif(F.sqrt(xx) * F.sqrt(yy), F.lit(0.0)))
+
+    return _pair_rows(values, list(combinations(names, 2)), r, lambda a, b: F.count(centred(a, b) * centred(b, a)))
 
 
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
