@@ -85,14 +85,13 @@ def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
     """Pearson on average ranks.
 
-    Ranks are computed on the distinct values of each column and joined back to the distinct rows. A
+    Ranks are computed on the distinct values of each column and joined back to the rows. A
     column with missing values changes the rows its partners are ranked over, so ranks are kept per
     (column, partner with missing values); columns without missing values share one ranking.
     """
     values = doubles(df, names)
     missing = values.agg(*[F.count_if(quoted(c).isNull()).alias(c) for c in names]).first().asDict()
     partial = {c for c in names if missing[c]}
-    rows = values.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("_w"))
 
     pairs = list(combinations(names, 2))
     contexts: dict[tuple[str, str | None], str] = {}
@@ -100,20 +99,25 @@ def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
         for key in (_context(a, b, partial), _context(b, a, partial)):
             contexts.setdefault(key, f"r{len(contexts)}")
     cells = [
-        F.struct(F.lit(label).alias("context"), _masked(column, mask).alias("value"), F.col("_w").alias("w"))
+        F.struct(F.lit(label).alias("context"), _masked(column, mask).alias("value"))
         for (column, mask), label in contexts.items()
     ]
     frequencies = (
-        rows.select(F.inline(F.array(*cells)))
+        values.select(F.inline(F.array(*cells)))
         .filter(F.col("value").isNotNull())
         .groupBy("context", "value")
-        .agg(F.sum("w").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     ranks = average_ranks(frequencies, "context")
     sizes = {
         r["context"]: (r["values"], r["rows"])
         for r in ranks.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()
     }
+    if any(n_values > BROADCAST_VALUES for n_values, _ in sizes.values()):
+        # Rows will be shuffled by value: collapse copies first, so that distinct rows spread evenly.
+        rows = values.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("_w"))
+    else:
+        rows = values.withColumn("_w", F.lit(1))
     for (column, _), label in contexts.items():
         rows = _attach_ranks(rows, names, column, ranks.filter(F.col("context") == label), label, *sizes.get(label, (0, 0)))
 

@@ -58,7 +58,6 @@ def exact_quantiles(
     ]
     rows = (values.groupBy("_by").agg(*summary) if by is not None else values.agg(*summary)).collect()
 
-    extremes: dict[tuple[object, str], tuple[float, float]] = {}
     sizes: dict[tuple[object, str], int] = {}
     targets: set[_Target] = set()
     for row in rows:
@@ -67,25 +66,19 @@ def exact_quantiles(
             s = row[f"_s{i}"]
             if not s["n"]:
                 continue
-            extremes[group, c] = (s["min"], s["max"])
             sizes[group, c] = s["n"]
             at = dict(zip(marks, s["marks"]))
             for p in probs:
-                lo = at[max(0.0, p - 2 / ACCURACY)]
-                hi = at[min(1.0, p + 2 / ACCURACY)]
+                lo, hi = at[max(0.0, p - 2 / ACCURACY)], at[min(1.0, p + 2 / ACCURACY)]
                 for rank in _neighbours(s["n"], p):
-                    if rank == 0:
-                        lo = s["min"]
-                    if rank == s["n"] - 1:
-                        hi = s["max"]
-                    targets.add(_Target(group, c, rank, lo, hi))
+                    targets.add(_Target(group, c, rank, s["min"] if rank == 0 else lo, s["max"] if rank == s["n"] - 1 else hi))
 
     found: dict[tuple[object, str, int], float] = {}
     pending = list(targets)
     for _ in range(60):
         if not pending:
             break
-        pending = _advance(values, by is not None, pending, extremes, found)
+        pending = _advance(values, by is not None, pending, found)
     if pending:
         raise RuntimeError("quantile brackets did not converge")
 
@@ -103,61 +96,56 @@ def _neighbours(n: int, p: float) -> tuple[int, int]:
     return low, min(n - 1, low + 1)
 
 
-def _advance(values, grouped, pending, extremes, found):
-    """Count around every bracket, settle what can be settled, return the narrowed rest."""
+def _advance(values, grouped, pending, found):
+    """Count between and at all bracket edges, settle what can be settled, return the narrowed rest."""
     edges: dict[tuple[object, str], list[float]] = {}
     for t in pending:
         edges.setdefault((t.group, t.column), []).extend((t.lo, t.hi))
     edges = {k: sorted(set(v)) for k, v in edges.items()}
-    below, at = _count_regions(values, grouped, edges)
+    counts = _count_regions(values, grouped, edges)
 
-    ranked: list[tuple[_Target, int]] = []  # target, rank inside its bracket
+    ranked: list[tuple[_Target, int]] = []  # target narrowed to one open interval, rank inside it
     crowded: list[tuple[_Target, int, int]] = []
-    again: list[_Target] = []
     for t in pending:
-        place = (t.group, t.column)
-        key = (t.group, t.column, t.rank)
-        start = below[*place, t.lo]
-        first_inside = start + at[*place, t.lo]
-        end_inside = below[*place, t.hi]
-        if t.rank < start:
-            again.append(replace(t, lo=extremes[place][0], hi=t.lo))
-        elif t.rank < first_inside:
-            found[key] = t.lo
-        elif t.rank < end_inside:
-            inside = end_inside - first_inside
-            if inside <= INSIDE_LIMIT:
-                ranked.append((t, t.rank - first_inside))
-            else:
-                crowded.append((t, t.rank - first_inside, inside))
-        elif t.rank < end_inside + at[*place, t.hi]:
-            found[key] = t.hi
+        es = edges[t.group, t.column]
+        seen = 0
+        for code in range(2 * len(es) + 1):
+            here = counts.get((t.group, t.column, code), 0)
+            if t.rank < seen + here:
+                break
+            seen += here
+        if code % 2:
+            found[t.group, t.column, t.rank] = es[code // 2]
+            continue
+        i = code // 2
+        narrowed = replace(t, lo=es[i - 1] if i else -math.inf, hi=es[i] if i < len(es) else math.inf)
+        if here <= INSIDE_LIMIT:
+            ranked.append((narrowed, t.rank - seen))
         else:
-            again.append(replace(t, lo=t.hi, hi=extremes[place][1]))
+            crowded.append((narrowed, t.rank - seen, here))
     if ranked:
         _rank_inside(values, grouped, ranked, found)
-    if crowded:
-        marks = [
-            F.percentile_approx(
-                F.when(_inside(t, grouped), quoted(t.column)),
-                [max(0.0, (r + 0.5) / m - 2 / ACCURACY), min(1.0, (r + 0.5) / m + 2 / ACCURACY)],
-                ACCURACY,
-            ).alias(f"m{j}")
-            for j, (t, r, m) in enumerate(crowded)
-        ]
-        row = values.agg(*marks).first()
-        again += [replace(t, lo=row[f"m{j}"][0], hi=row[f"m{j}"][1]) for j, (t, _, _) in enumerate(crowded)]
-    return again
+    if not crowded:
+        return []
+    marks = [
+        F.percentile_approx(
+            F.when(_inside(t, grouped), quoted(t.column)),
+            [max(0.0, (r + 0.5) / m - 2 / ACCURACY), min(1.0, (r + 0.5) / m + 2 / ACCURACY)],
+            ACCURACY,
+        ).alias(f"m{j}")
+        for j, (t, r, m) in enumerate(crowded)
+    ]
+    row = values.agg(*marks).first()
+    return [replace(t, lo=row[f"m{j}"][0], hi=row[f"m{j}"][1]) for j, (t, _, _) in enumerate(crowded)]
 
 
 def _count_regions(values, grouped, edges):
-    """Rows below and at every edge: ``({(group, column, edge): below}, {...: at})``.
+    """``{(group, column, code): rows}`` with code 2i below edge i (and above i - 1), 2i + 1 at edge i.
 
-    Each cell is mapped to 2i (between edges) or 2i+1 (at edge i); only those codes are shuffled.
+    Only those codes are shuffled.
     """
     cells = []
-    columns = list(dict.fromkeys(c for _, c in edges))
-    for c in columns:
+    for c in dict.fromkeys(c for _, c in edges):
         v = quoted(c)
         code = F.lit(None).cast("int")
         for (group, column), es in edges.items():
@@ -176,16 +164,7 @@ def _count_regions(values, grouped, edges):
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    counts = {(r["_by"] if grouped else None, r["column"], r["code"]): r["n"] for r in rows}
-    below, at = {}, {}
-    for (group, column), es in edges.items():
-        seen = 0
-        for i, e in enumerate(es):
-            seen += counts.get((group, column, 2 * i), 0)
-            below[group, column, e] = seen
-            at[group, column, e] = counts.get((group, column, 2 * i + 1), 0)
-            seen += at[group, column, e]
-    return below, at
+    return {(r["_by"] if grouped else None, r["column"], r["code"]): r["n"] for r in rows}
 
 
 def _member(group, grouped: bool) -> Column:
@@ -198,22 +177,26 @@ def _inside(t: _Target, grouped: bool) -> Column:
 
 
 def _rank_inside(values, grouped, ranked, found):
-    """Settle targets whose open bracket holds few enough rows to be ranked together."""
+    """Settle targets whose open interval holds few enough rows to be ranked together.
+
+    The intervals of a column do not overlap, so each cell falls into at most one.
+    """
     slots: dict[tuple, int] = {}
-    hits, slot_of = [], {}
-    wanted = anywhere = F.lit(False)
+    slot_of_cell: dict[str, Column] = {}
+    wanted = F.lit(False)
     for t, r in ranked:
-        bracket = (t.group, t.column, t.lo, t.hi)
-        if bracket not in slots:
-            slots[bracket] = len(slots)
-            hit = F.struct(F.lit(slots[bracket]).alias("slot"), quoted(t.column).alias("value"))
-            hits.append(F.when(_inside(t, grouped), hit))
-            anywhere = anywhere | _inside(t, grouped)
-        slot_of[t] = slots[bracket]
-        wanted = wanted | ((F.col("slot") == slot_of[t]) & (F.col("until") > r) & (F.col("until") - F.col("n") <= r))
+        interval = (t.group, t.column, t.lo, t.hi)
+        if interval not in slots:
+            slots[interval] = len(slots)
+            chain = slot_of_cell.get(t.column, F.lit(None).cast("int"))
+            slot_of_cell[t.column] = F.when(_inside(t, grouped), F.lit(slots[interval])).otherwise(chain)
+        i = slots[interval]
+        wanted = wanted | ((F.col("slot") == i) & (F.col("until") > r) & (F.col("until") - F.col("n") <= r))
+    anywhere = F.coalesce(*slot_of_cell.values()).isNotNull()
+    cells = [F.struct(slot.alias("slot"), quoted(c).alias("value")) for c, slot in slot_of_cell.items()]
     counted = (
         values.filter(anywhere)
-        .select(F.inline(F.array(*hits)))
+        .select(F.inline(F.array(*cells)))
         .filter(F.col("slot").isNotNull())
         .groupBy("slot", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -222,5 +205,5 @@ def _rank_inside(values, grouped, ranked, found):
     chosen = counted.withColumn("until", F.sum("n").over(upto)).filter(wanted).collect()
     for t, r in ranked:
         for row in chosen:
-            if row["slot"] == slot_of[t] and row["until"] - row["n"] <= r < row["until"]:
+            if row["slot"] == slots[t.group, t.column, t.lo, t.hi] and row["until"] - row["n"] <= r < row["until"]:
                 found[t.group, t.column, t.rank] = row["value"]
