@@ -85,8 +85,8 @@ register(
  c AS (SELECT *, value - (SELECT avg(value) FROM events) AS g FROM o),
  p AS (SELECT *, sum(g) OVER (ORDER BY idx) AS s1, sum(g * g) OVER (ORDER BY idx) AS s2 FROM c),
  j AS (SELECT a.idx, a.ts, a.value, a.w, a.s1 - coalesce(b.s1, 0) AS s1, a.s2 - coalesce(b.s2, 0) AS s2 FROM p a LEFT JOIN p b ON b.idx = a.idx - a.w)
-SELECT idx, ts, value, CASE WHEN idx >= w - 1 THEN {r('s1 / w + (SELECT avg(value) FROM events)', 4)} END AS rolling_mean,
- CASE WHEN idx >= w - 1 THEN {r('sqrt(greatest((s2 - s1 * s1 / w) / (w - 1), 0))', 4)} END AS rolling_std FROM j""",
+SELECT idx, ts, value, CASE WHEN idx >= w - 1 THEN {r('s1 / w + (SELECT avg(value) FROM events)')} END AS rolling_mean,
+ CASE WHEN idx >= w - 1 THEN {r('sqrt(greatest((s2 - s1 * s1 / w) / (w - 1), 0))')} END AS rolling_std FROM j""",
 )
 _R5 = r("avg(value) OVER (ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 register(

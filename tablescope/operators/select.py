@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.kinds import (
+    INTEGRAL,
     column_kind,
     columns_of_kind,
     field_type,
@@ -72,18 +74,26 @@ def _number(value: object) -> float | int | None:
 
 
 def filter_greater(df: DataFrame, column: str, value: object) -> DataFrame:
-    return df.filter(_comparable(df, column) > F.lit(float(str(value))))
+    return df.filter(_compared(df, column, float(str(value)), greater=True))
 
 
 def filter_less(df: DataFrame, column: str, value: object) -> DataFrame:
-    return df.filter(_comparable(df, column) < F.lit(float(str(value))))
+    return df.filter(_compared(df, column, float(str(value)), greater=False))
 
 
-def _comparable(df: DataFrame, column: str) -> Column:
-    dtype = field_type(df, column)
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
-        return quoted(column)  # left bare, so that the comparison reaches the scan
-    return to_numeric(df, column)
+def _compared(df: DataFrame, column: str, value: float, greater: bool) -> Column:
+    """A comparison that reaches the scan: bare column, bound of the column's own kind.
+
+    Whole-number columns compare with the next whole number. NaN counts as missing, and sorts above every
+    number, so only ``greater`` has to exclude it.
+    """
+    dtype, c = field_type(df, column), quoted(column)
+    if isinstance(dtype, INTEGRAL) and abs(value) < 2**62:
+        return c > F.lit(math.floor(value)) if greater else c < F.lit(math.ceil(value))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (c > F.lit(value)) & ~F.isnan(c) if greater else c < F.lit(value)
+    number = to_numeric(df, column)
+    return number > F.lit(value) if greater else number < F.lit(value)
 
 
 def filter_contains(df: DataFrame, column: str, value: str, literal: bool = False) -> DataFrame:
