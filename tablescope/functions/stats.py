@@ -27,3 +27,17 @@ def guarded_corr(x: Column, y: Column) -> Column:
     ys = F.when(x.isNotNull(), y)
     spread = F.stddev_pop(xs) * F.stddev_pop(ys)
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
+def pearson_sql(x: str, y: str) -> str:
+    """SQL text for Pearson r of two expressions already centred near their means.
+
+    Plain sums: shared sums of several pairs are computed once. NULL when a side is constant.
+    """
+    n = f"nullif(count({x} * {y}), 0)"
+
+    def moment(a: str, b: str) -> str:
+        return f"(sum({a} * {b}) - sum({a}) * sum({b}) / {n})"
+
+    varies = f"min({x}) < max({x}) AND min({y}) < max({y})"
+    return f"CASE WHEN {varies} THEN {moment(x, y)} / nullif(sqrt({moment(x, x)}) * sqrt({moment(y, y)}), 0D) END"

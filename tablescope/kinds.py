@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# Long lists of aggregates are written as SQL text: every Column operation in Python is a call into the JVM,
+# while a whole expression in text is one.
+
+
+def name_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_sql(value: float) -> str:
+    if math.isinf(value):
+        return "double('Infinity')" if value > 0 else "double('-Infinity')"
+    return f"({float(value)!r}D)"
+
+
 def missing_to_null(name: str, dtype: T.DataType) -> Column:
     """NaN and NULL are one concept here: missing."""
     c = quoted(name)

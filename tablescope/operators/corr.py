@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.kinds import doubles, numeric_columns, quoted
+from tablescope.functions.stats import pearson_sql
+from tablescope.kinds import double_sql, doubles, name_sql, numeric_columns, quoted, text_sql
 from tablescope.operators.kendall import kendall
 from tablescope.operators.order import average_ranks
 from tablescope.plans.config import RelationConfig
@@ -39,15 +40,16 @@ def corr_matrix(df: DataFrame, method: str = "pearson", cols: Sequence[str] | No
 
 
 def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], r, n) -> DataFrame:
-    """One aggregate per chunk of pairs, returned as one row per pair."""
+    """One aggregate per chunk of pairs, returned as one row per pair; ``r`` and ``n`` give SQL text."""
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         some = pairs[start : start + PAIRS_PER_AGGREGATE]
         cells = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r(a, b).alias("r"), n(a, b).alias("n")).alias(f"_{i}")
+            F.expr(f"named_struct('col1', {text_sql(a)}, 'col2', {text_sql(b)}, 'r', {r(a, b)}, 'n', {n(a, b)}) AS _{i}")
             for i, (a, b) in enumerate(some)
         ]
-        parts.append(df.agg(*cells).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cells))]))))
+        inline = ", ".join(f"_{i}" for i in range(len(cells)))
+        parts.append(df.agg(*cells).select(F.expr(f"inline(array({inline}))")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -64,22 +66,15 @@ def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
     mean = {c: facts[f"_{i}"]["mean"] for i, c in enumerate(names)}
     partial = {c for i, c in enumerate(names) if facts[f"_{i}"]["missing"]}
 
-    def centred(a: str, b: str) -> Column:
+    def centred(a: str, b: str) -> str:
         column, mask = _context(a, b, partial)
-        gap = quoted(column) - F.lit(mean[column])
-        return F.when(quoted(mask).isNotNull(), gap) if mask else gap
+        gap = f"({name_sql(column)} - {double_sql(mean[column] or 0.0)})"
+        return f"(CASE WHEN {name_sql(mask)} IS NOT NULL THEN {gap} END)" if mask else gap
 
-    def r(a: str, b: str) -> Column:
-        x, y = centred(a, b), centred(b, a)
-        n = F.count(x * y).cast("double")
-        n = F.nullif(n, F.lit(0.0))
-        xx = F.sum(x * x) - F.sum(x) * F.sum(x) / n
-        yy = F.sum(y * y) - F.sum(y) * F.sum(y) / n
-        xy = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        return F.when(varies, xy / F.nullif(F.sqrt(xx) * F.sqrt(yy), F.lit(0.0)))
+    def r(a: str, b: str) -> str:
+        return pearson_sql(centred(a, b), centred(b, a))
 
-    return _pair_rows(values, list(combinations(names, 2)), r, lambda a, b: F.count(centred(a, b) * centred(b, a)))
+    return _pair_rows(values, list(combinations(names, 2)), r, lambda a, b: f"count({centred(a, b)} * {centred(b, a)})")
 
 
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
@@ -117,23 +112,22 @@ def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
         # Rows will be shuffled by value: collapse copies first, so that distinct rows spread evenly.
         rows = values.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("_w"))
     else:
-        rows = values.withColumn("_w", F.lit(1))
+        rows = values.withColumn("_w", F.lit(1).cast("bigint"))
     for (column, _), label in contexts.items():
         rows = _attach_ranks(rows, names, column, ranks.filter(F.col("context") == label), label, *sizes.get(label, (0, 0)))
 
-    def centred(a: str, b: str) -> Column:
+    def centred(a: str, b: str) -> str:
         label = contexts[_context(a, b, partial)]
         middle = (sizes.get(label, (0, 0))[1] + 1) / 2
-        return F.when(quoted(b).isNotNull(), F.col(label) - middle)
+        return f"(CASE WHEN {name_sql(b)} IS NOT NULL THEN {label} - {double_sql(middle)} END)"
 
-    def r(a: str, b: str) -> Column:
-        x, y, w = centred(a, b), centred(b, a), F.col("_w")
-        spread = F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))
-        return F.sum(w * x * y) / F.nullif(spread, F.lit(0.0))
+    def r(a: str, b: str) -> str:
+        x, y = centred(a, b), centred(b, a)
+        spread = f"sqrt(sum(_w * {x} * {x})) * sqrt(sum(_w * {y} * {y}))"
+        return f"sum(_w * {x} * {y}) / nullif({spread}, 0D)"
 
-    def n(a: str, b: str) -> Column:
-        both = quoted(a).isNotNull() & quoted(b).isNotNull()
-        return F.coalesce(F.sum(F.when(both, F.col("_w"))), F.lit(0))
+    def n(a: str, b: str) -> str:
+        return f"coalesce(sum(CASE WHEN {name_sql(a)} IS NOT NULL AND {name_sql(b)} IS NOT NULL THEN _w END), 0L)"
 
     return _pair_rows(rows, pairs, r, n)
 

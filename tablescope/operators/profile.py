@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.stats import corrected_kurtosis, corrected_skewness, ratio
-from tablescope.kinds import column_kind, missing_to_null, field_type, numeric_columns, plain_columns, quoted
+from tablescope.kinds import (
+    column_kind,
+    double_sql,
+    doubles,
+    field_type,
+    missing_to_null,
+    name_sql,
+    numeric_columns,
+    plain_columns,
+    quoted,
+    text_sql,
+)
 from tablescope.operators.freq import distinct_counts, per_column, type_families, value_counts
 from tablescope.operators.quantiles import exact_quantiles
 
@@ -42,23 +53,14 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = list(columns)
     basics = {r["column"]: r for r in per_column(df, columns, BASICS).collect()}
 
-    def power(k: int):
-        def total(c: Column, mean: float | None) -> Column:
-            gap = c.cast("double") - F.lit(mean)
-            product = gap
-            for _ in range(k - 1):
-                product = product * gap
-            return F.sum(product)
-
-        return total
-
     cells = []
     for i, c in enumerate(columns):
-        v, mean = missing_to_null(c, field_type(df, c)), basics[c]["mean"]
-        sums = [power(k)(v, mean).alias(f"s{k}") for k in (1, 2, 3, 4)]
-        facts = [F.lit(basics[c][k]).cast("double").alias(k) for k in ("mean", "min", "max")]
-        cells.append(F.struct(F.lit(c).alias("column"), F.count(v).cast("double").alias("n"), *facts, *sums).alias(f"_{i}"))
-    long = df.agg(*cells).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cells))])))
+        facts = basics[c]
+        gap = f"({name_sql(c)} - {double_sql(facts['mean'] or 0.0)})"
+        known = ", ".join(f"'{k}', {'double(NULL)' if facts[k] is None else double_sql(facts[k])}" for k in ("mean", "min", "max"))
+        sums = ", ".join(f"'s{k}', sum({' * '.join([gap] * k)})" for k in (1, 2, 3, 4))
+        cells.append(F.expr(f"named_struct('column', {text_sql(c)}, 'n', double(count({name_sql(c)})), {known}, {sums}) AS _{i}"))
+    long = doubles(df, columns).agg(*cells).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cells))])))
     return long.select("column", "mean", *(e.alias(k) for k, e in _shape(F.col("n"), F.col("max") > F.col("min")).items()), "min", "max")
 
 

@@ -12,10 +12,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.kinds import doubles, doubles_of, quoted
+from tablescope.kinds import double_sql, doubles, doubles_of, name_sql, quoted, text_sql
 
 ACCURACY = 1_000
 INSIDE_LIMIT = 1_000_000  # rows inside one bracket that may be ranked in one task
@@ -129,7 +129,7 @@ def _advance(values, grouped, pending, found):
         return []
     marks = [
         F.percentile_approx(
-            F.when(_inside(t, grouped), quoted(t.column)),
+            F.expr(f"CASE WHEN {_inside(t, grouped)} THEN {name_sql(t.column)} END"),
             [max(0.0, (r + 0.5) / m - 2 / ACCURACY), min(1.0, (r + 0.5) / m + 2 / ACCURACY)],
             ACCURACY,
         ).alias(f"m{j}")
@@ -146,19 +146,20 @@ def _count_regions(values, grouped, edges):
     """
     cells = []
     for c in dict.fromkeys(c for _, c in edges):
-        v = quoted(c)
-        code = F.lit(None).cast("int")
-        for (group, column), es in edges.items():
-            if column == c:
-                steps = [(v >= e).cast("int") + (v > e).cast("int") for e in map(F.lit, es)]
-                total = steps[0]
-                for step in steps[1:]:
-                    total = total + step
-                code = F.when(_member(group, grouped), total).otherwise(code) if grouped else total
-        cells.append(F.struct(F.lit(c).alias("column"), code.alias("code")))
+        v = name_sql(c)
+        codes = {
+            group: " + ".join(f"int({v} >= {double_sql(e)}) + int({v} > {double_sql(e)})" for e in es)
+            for (group, column), es in edges.items()
+            if column == c
+        }
+        if grouped:
+            branches = " ".join(f"WHEN _by = {_group_sql(g)} THEN {code}" for g, code in codes.items())
+            cells.append(f"named_struct('column', {text_sql(c)}, 'code', CASE {branches} END)")
+        else:
+            cells.append(f"named_struct('column', {text_sql(c)}, 'code', {codes[None]})")
     by = [F.col("_by")] if grouped else []
     rows = (
-        values.select(*by, F.inline(F.array(*cells)))
+        values.select(*by, F.expr(f"inline(array({', '.join(cells)}))"))
         .filter(F.col("code").isNotNull())
         .groupBy(*by, "column", "code")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -167,13 +168,14 @@ def _count_regions(values, grouped, edges):
     return {(r["_by"] if grouped else None, r["column"], r["code"]): r["n"] for r in rows}
 
 
-def _member(group, grouped: bool) -> Column:
-    return F.col("_by") == F.lit(group) if grouped else F.lit(True)
+def _group_sql(group) -> str:
+    return text_sql(group) if isinstance(group, str) else str(group)
 
 
-def _inside(t: _Target, grouped: bool) -> Column:
-    c = quoted(t.column)
-    return _member(t.group, grouped) & (c > t.lo) & (c < t.hi)
+def _inside(t: _Target, grouped: bool) -> str:
+    c = name_sql(t.column)
+    member = f"_by = {_group_sql(t.group)} AND " if grouped else ""
+    return f"({member}{c} > {double_sql(t.lo)} AND {c} < {double_sql(t.hi)})"
 
 
 def _rank_inside(values, grouped, ranked, found):
@@ -182,27 +184,26 @@ def _rank_inside(values, grouped, ranked, found):
     The intervals of a column do not overlap, so each cell falls into at most one.
     """
     slots: dict[tuple, int] = {}
-    slot_of_cell: dict[str, Column] = {}
-    wanted = F.lit(False)
+    branches: dict[str, list[str]] = {}
+    wanted: dict[int, list[int]] = {}
     for t, r in ranked:
         interval = (t.group, t.column, t.lo, t.hi)
         if interval not in slots:
             slots[interval] = len(slots)
-            chain = slot_of_cell.get(t.column, F.lit(None).cast("int"))
-            slot_of_cell[t.column] = F.when(_inside(t, grouped), F.lit(slots[interval])).otherwise(chain)
-        i = slots[interval]
-        wanted = wanted | ((F.col("slot") == i) & (F.col("until") > r) & (F.col("until") - F.col("n") <= r))
-    anywhere = F.coalesce(*slot_of_cell.values()).isNotNull()
-    cells = [F.struct(slot.alias("slot"), quoted(c).alias("value")) for c, slot in slot_of_cell.items()]
+            branches.setdefault(t.column, []).append(f"WHEN {_inside(t, grouped)} THEN {slots[interval]}")
+        wanted.setdefault(slots[interval], []).append(r)
+    slot_of_cell = {c: f"CASE {' '.join(some)} END" for c, some in branches.items()}
+    cells = ", ".join(f"named_struct('slot', {slot}, 'value', {name_sql(c)})" for c, slot in slot_of_cell.items())
     counted = (
-        values.filter(anywhere)
-        .select(F.inline(F.array(*cells)))
+        values.filter(f"coalesce({', '.join(slot_of_cell.values())}) IS NOT NULL")
+        .select(F.expr(f"inline(array({cells}))"))
         .filter(F.col("slot").isNotNull())
         .groupBy("slot", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    hit = " OR ".join(f"(slot = {i} AND until > {r} AND until - n <= {r})" for i, ranks in wanted.items() for r in set(ranks))
     upto = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = counted.withColumn("until", F.sum("n").over(upto)).filter(wanted).collect()
+    chosen = counted.withColumn("until", F.sum("n").over(upto)).filter(hit).collect()
     for t, r in ranked:
         for row in chosen:
             if row["slot"] == slots[t.group, t.column, t.lo, t.hi] and row["until"] - row["n"] <= r < row["until"]:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.stats import guarded_corr
+from tablescope.functions.stats import pearson_sql
 from tablescope.kinds import datetime_columns, numeric_columns, string_columns, quoted
 from tablescope.operators.order import running_totals, with_row_index
 from tablescope.operators.select import to_datetime, to_numeric
 
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000
 SHORT_WINDOW = 200
 
 
@@ -109,20 +109,19 @@ def group_trend_3d(df: DataFrame, order_by: str, value: str, window: int = 5) ->
 def autocorrelation(df: DataFrame, ts: str, value: str, max_lag: int = 20, order_by=None) -> DataFrame:
     """``(lag, r, n)`` for lags 1 … min(max_lag, n//2 - 1)."""
     rows = ordered_values(df, ts, value, order_by)
-    n = rows.count()
-    lags = range(1, min(max_lag + 1, n // 2))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).first()
+    lags = range(1, min(max_lag + 1, facts["n"] // 2))
     if not lags:
         return df.sparkSession.createDataFrame([], "lag int, r double, n bigint")
-    over = Window.partitionBy("block").orderBy("idx")
-    shifted = _blocks(with_row_index(rows, "ts", "idx"), len(lags)).select(
-        "halo", "value", *[F.lag("value", k).over(over).alias(f"lag{k}") for k in lags]
-    )
-    own = shifted.filter(~F.col("halo"))
-    cells = [
-        F.struct(F.lit(k).alias("lag"), guarded_corr(F.col("value"), F.col(f"lag{k}")).alias("r"), F.count(f"lag{k}").alias("n")).alias(f"_{k}")
-        for k in lags
-    ]
-    return own.agg(*cells).select(F.inline(F.array(*[F.col(f"_{k}") for k in lags])))
+    blocks = _blocks(with_row_index(rows, "ts", "idx"), len(lags)).withColumn("lag0", F.col("value") - F.lit(facts["mean"]))
+    lagged = [f"lag(lag0, {k}) OVER (PARTITION BY block ORDER BY idx) AS lag{k}" for k in lags]
+    own = blocks.selectExpr("halo", "lag0", *lagged).filter(~F.col("halo"))
+
+    def present(k: int) -> str:
+        return f"(CASE WHEN lag{k} IS NOT NULL THEN lag0 END)"  # both sides over the same rows
+
+    cells = [f"named_struct('lag', {k}, 'r', {pearson_sql(present(k), f'lag{k}')}, 'n', count(lag{k})) AS _{k}" for k in lags]
+    return own.agg(*[F.expr(c) for c in cells]).select(F.expr(f"inline(array({', '.join(f'_{k}' for k in lags)}))"))
 
 
 def detect_time_column(df: DataFrame) -> str | None:
