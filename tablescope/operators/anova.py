@@ -109,59 +109,79 @@ def kruskal(
 ) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected) and p of every (num, cat) pair, over the kept levels.
 
-    Values are counted per (pair, value, level) and ranked once in global order. Each count carries the
-    number of equal values, and how many of those come before it, so no rank is joined back.
+    Values are counted with the levels they occur in and ranked once in global order. Each count carries
+    the number of equal values, and how many of those come before it, so no rank is joined back. Categories
+    that cover every row of a number share one ranking; others rank the rows they cover.
     """
     levels = levels if levels is not None else level_stats(df, config, cats, nums)
-    kept = [(r["num"], r["cat"], r["level"]) for r in levels.select(*PAIR, "level").collect()]
+    kept = levels.select(*PAIR, "level", "n").collect()
     if not kept:
         return df.sparkSession.createDataFrame([], "num string, cat string, n bigint, h_stat double, kruskal_p double")
-    pairs = {p: i for i, p in enumerate(sorted({(num, cat) for num, cat, _ in kept}))}
-    used = sorted({cat for _, cat in pairs})
-    code = {(cat, level): i for cat in used for i, level in enumerate(sorted({v for _, c, v in kept if c == cat}))}
     spark = df.sparkSession
-    names = spark.createDataFrame([(i, num, cat) for (num, cat), i in pairs.items()], "pair int, num string, cat string")
-    allowed = spark.createDataFrame([(pairs[num, cat], code[cat, level]) for num, cat, level in kept], "pair int, level int")
+    used = sorted({r["cat"] for r in kept})
+    numbers = sorted({r["num"] for r in kept})
+    code = {(cat, level): i for cat in used for i, level in enumerate(sorted({r["level"] for r in kept if r["cat"] == cat}))}
+    allowed: dict[tuple[str, str], set[int]] = {}
+    covered: dict[tuple[str, str], int] = {}
+    for r in kept:
+        pair = (r["num"], r["cat"])
+        allowed.setdefault(pair, set()).add(code[r["cat"], r["level"]])
+        covered[pair] = covered.get(pair, 0) + r["n"]
 
-    numbers = sorted({num for num, _ in pairs})
     coded = df.select(
-        *[quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(used)], *[doubles_of(df, c).alias(f"v{j}") for j, c in enumerate(numbers)]
+        *[quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(used)],
+        *[doubles_of(df, c).alias(f"v{j}") for j, c in enumerate(numbers)],
     )
     for i, c in enumerate(used):
         codes = spark.createDataFrame([(level, n) for (cat, level), n in code.items() if cat == c], f"k{i} string, c{i} int")
         coded = coded.join(F.broadcast(codes), f"k{i}", "left")
-    cells = [
-        F.struct(F.lit(n).alias("pair"), F.col(f"v{numbers.index(num)}").alias("value"), F.col(f"c{used.index(cat)}").alias("level"))
-        for (num, cat), n in pairs.items()
-    ]
+    present = coded.agg(*[F.count(f"v{j}").alias(f"v{j}") for j in range(len(numbers))]).first()
+
+    # A ranking is a number with the categories it serves; categories with gaps have one of their own.
+    rankings: list[tuple[int, list[int]]] = []
+    for j, num in enumerate(numbers):
+        whole = [i for i, cat in enumerate(used) if covered.get((num, cat)) == present[f"v{j}"]]
+        rankings += [(j, whole)] if whole else []
+        rankings += [(j, [i]) for i, cat in enumerate(used) if (num, cat) in allowed and i not in whole]
+    level_names = [f"c{i}" for i in range(len(used))]
+    cells, pair_rows = [], []
+    for g, (j, served) in enumerate(rankings):
+        value = f"v{j}"
+        for i in served:
+            pair_rows.append((g, i, numbers[j], used[i]))
+            among = ", ".join(str(v) for v in sorted(allowed[numbers[j], used[i]]))
+            value = f"CASE WHEN c{i} IN ({among}) THEN {value} END"
+        own = ", ".join(f"'c{i}', " + (f"coalesce(c{i}, -1)" if i in served else "-1") for i in range(len(used)))
+        cells.append(f"named_struct('ranking', {g}, 'value', {value}, {own})")
     counted = (
-        coded.select(F.inline(F.array(*cells)))
-        .filter(F.col("level").isNotNull() & F.col("value").isNotNull())
-        .groupBy("pair", "value", "level")
+        coded.select(F.expr(f"inline(array({', '.join(cells)}))"))
+        .filter(F.col("value").isNotNull())
+        .groupBy("ranking", "value", *level_names)
         .agg(F.count(F.lit(1)).alias("c"))
-        .join(F.broadcast(allowed), ["pair", "level"], "left_semi")
     )
-    equal = Window.partitionBy("pair", "value")
+    equal = Window.partitionBy("ranking", "value")
     sized = counted.select(
-        "pair",
+        "ranking",
         "value",
-        "level",
+        *level_names,
         "c",
         F.sum("c").over(equal).alias("t"),
-        F.coalesce(F.sum("c").over(equal.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior"),
+        F.coalesce(F.sum("c").over(equal.orderBy(*level_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior"),
     )
-    ranked = running_totals(sized, ["value", "level"], ["c"], "pair").withColumn(
+    ranked = running_totals(sized, ["value", *level_names], ["c"], "ranking").withColumn(
         "rank", F.col("c_before") - F.col("prior") + (F.col("t") + 1) / 2
     )
+    spread_levels = ", ".join(f"named_struct('cat_index', {i}, 'level', c{i})" for i in range(len(used)))
     t = F.col("t").cast("double")
+    # Counts that share a value add up to its t^3 - t.
     sums = (
-        ranked.groupBy("pair", "level")
-        .agg(
-            F.sum(F.col("c") * F.col("rank")).alias("rank_sum"),
-            F.sum("c").alias("size"),
-            F.sum(F.col("c") * (t * t - 1)).alias("ties"),  # adds t^3 - t over the levels that share a value
-        )
-        .groupBy("pair")
+        ranked.groupBy("ranking", *level_names)
+        .agg(F.sum(F.col("c") * F.col("rank")).alias("rank_sum"), F.sum("c").alias("size"), F.sum(F.col("c") * (t * t - 1)).alias("ties"))
+        .select("ranking", "rank_sum", "size", "ties", F.expr(f"inline(array({spread_levels}))"))
+        .filter(F.col("level") >= 0)
+        .groupBy("ranking", "cat_index", "level")
+        .agg(F.sum("rank_sum").alias("rank_sum"), F.sum("size").alias("size"), F.sum("ties").alias("ties"))
+        .groupBy("ranking", "cat_index")
         .agg(
             F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("size")).alias("spread"),
             F.count(F.lit(1)).alias("k"),
@@ -173,7 +193,8 @@ def kruskal(
     raw = 12 / (n * (n + 1)) * F.col("spread") - 3 * (n + 1)
     correction = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
     h = raw / F.nullif(correction, F.lit(0.0))
-    out = sums.join(F.broadcast(names), "pair").withColumn("h_stat", h)
+    names = spark.createDataFrame(pair_rows, "ranking int, cat_index int, num string, cat string")
+    out = sums.join(F.broadcast(names), ["ranking", "cat_index"]).withColumn("h_stat", h)
     return out.select(*PAIR, F.col("total").alias("n"), "h_stat", chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("kruskal_p"))
 
 

@@ -11,7 +11,7 @@ import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,30 +97,24 @@ def running_totals(df: DataFrame, order_by, amounts: Sequence[str], group: str |
     The order key should be unique within a group. Groups may be of any size; there must be few of
     them (columns or column pairs), because their starting totals are broadcast.
     """
+    amounts = list(amounts)
     keys = ([quoted(group)] if group else []) + order_columns(order_by)
     local = [f"_{a}_local" for a in amounts]
-    schema = T.StructType(
-        [*df.schema.fields]
-        + [T.StructField(n, df.schema[a].dataType) for n, a in zip(local, amounts)]
-        + [T.StructField("_part", T.IntegerType())]
-    )
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, *[T.StructField(n, df.schema[a].dataType) for n, a in zip(local, amounts)]])
 
-    def add_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = {a: 0 for a in amounts}
         for batch in batches:
-            for a, n in zip(amounts, local):
-                through = np.cumsum(batch[a].to_numpy()) + carry[a]
-                batch[n] = through - batch[a].to_numpy()
+            columns = list(batch.columns)
+            for a in amounts:
+                values = batch.column(a).to_numpy(zero_copy_only=False)
+                through = np.cumsum(values) + carry[a]
+                columns.append(pa.array(through - values))
                 carry[a] = through[-1] if len(through) else carry[a]
-            yield batch
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *local])
 
-    ranged = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    layout = [*df.columns, *local, "_part"]
-    placed = materialize(ranged.mapInPandas(lambda it: (b[layout] for b in add_local(it)), schema))
+    placed = materialize(ranged.mapInArrow(add_local, schema))
 
     totals = placed.groupBy("_part").agg(*[F.sum(a).alias(f"_{a}_total") for a in amounts])
     offsets = totals.select(
