@@ -79,12 +79,17 @@ register("write_table_index", _indexed_round_trip, 'SELECT row_number() OVER (OR
 
 
 def _report(spark, d):
+    """The bundle of one table written as JSON, its first section read back."""
     results = relations.analyze_relations(table(spark, d, "orders").drop("o_orderkey", "o_orderdate"))
     written = io.write_report(results, scratch(spark, "report"))
-    return spark.read.json(written["numerical"]) if "numerical" in written else spark.createDataFrame(sorted(written.items()), "section string, path string")
+    return spark.read.schema("n_rows bigint, n_columns bigint, numeric_columns bigint, text_columns bigint, usable_categories bigint").json(written["metadata"])
 
 
-register("write_report", _report)
+register(
+    "write_report",
+    _report,
+    "SELECT count(*) AS n_rows, 4::BIGINT AS n_columns, 2::BIGINT AS numeric_columns, 2::BIGINT AS text_columns, 2::BIGINT AS usable_categories FROM orders",
+)
 
 _TARGET = """CASE WHEN '{t}' NOT IN ('bigint', 'int') THEN '{t}'
   WHEN min(TRY_CAST({c} AS BIGINT)) >= 0 THEN CASE WHEN max(TRY_CAST({c} AS BIGINT)) < 256 THEN 'smallint' WHEN max(TRY_CAST({c} AS BIGINT)) < 65536 THEN 'int' ELSE '{t}' END
