@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.kinds import quoted
+from tablescope.kinds import INTEGRAL, quoted
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition id above, row position below
 
@@ -95,20 +95,22 @@ def running_totals(df: DataFrame, order_by, amounts: Sequence[str], group: str |
     """Add ``<amount>_before``: the sum of ``amount`` over all earlier rows (of the same ``group``).
 
     The order key should be unique within a group. Groups may be of any size; there must be few of
-    them (columns or column pairs), because their starting totals are broadcast.
+    them (columns or column pairs), because their starting totals are broadcast. Amounts must not be
+    missing; whole numbers add up as bigint, others as double.
     """
     amounts = list(amounts)
+    whole = {a: isinstance(df.schema[a].dataType, INTEGRAL) for a in amounts}
     keys = ([quoted(group)] if group else []) + order_columns(order_by)
     local = [f"_{a}_local" for a in amounts]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    schema = T.StructType([*ranged.schema.fields, *[T.StructField(n, df.schema[a].dataType) for n, a in zip(local, amounts)]])
+    schema = T.StructType([*ranged.schema.fields, *[T.StructField(n, T.LongType() if whole[a] else T.DoubleType()) for n, a in zip(local, amounts)]])
 
     def add_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = {a: 0 for a in amounts}
         for batch in batches:
             columns = list(batch.columns)
             for a in amounts:
-                values = batch.column(a).to_numpy(zero_copy_only=False)
+                values = batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64 if whole[a] else np.float64)
                 through = np.cumsum(values) + carry[a]
                 columns.append(pa.array(through - values))
                 carry[a] = through[-1] if len(through) else carry[a]
