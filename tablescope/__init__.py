@@ -1,5 +1,12 @@
 """Exploratory analysis of large tables on Spark: every operator takes and returns DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the functions of this package with the task, so it need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from tablescope.operators.anova import anova, kruskal, level_stats, mixed_relations, mixed_summary
 from tablescope.operators.assoc import association_rules, association_summary, chi_square, contingency, cramers_v, theils_u
 from tablescope.operators.corr import corr_matrix, corr_subset, correlation_summary, strong_correlations, top_correlated_pairs
