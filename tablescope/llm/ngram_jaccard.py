@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tablescope.llm.arrays import gram_hashes, sorted_sets, words
 from tablescope.llm.components import components
 from tablescope.llm.setjoin import Join, links
+from tablescope.llm.sides import counted
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -49,4 +50,4 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The documents of which no document with a smaller id is in the same component; of rows with one id, all or none stay."""
     groups = jaccard_components(docs, id_column, text_column)
     gone = groups.where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(counted(gone), F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import line_dedup, ngram_jaccard
+from tablescope.llm import decontamination, line_dedup, ngram_jaccard, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, folder, "documents"))
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_line_dedup, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_line_dedup, op9_toxicity, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import mixed, pieces, ranges, row_sums
+from tablescope.llm.sides import counted
 from tablescope.operators.order import materialize
 
 SKETCH_SLICE_BITS = 16
@@ -348,9 +349,7 @@ def _members(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join)
     """(id, members) of the sets that pairs name, from the texts they are first found in."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     places = surveyed.where("kind = 0").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    places = materialize(places.select(F.coalesce("doc_id", F.lit(-1)).alias("_doc")).distinct())
-    if places.count() <= BROADCAST_IDS:
-        places = F.broadcast(places)
+    places = counted(places.select(F.coalesce("doc_id", F.lit(-1)).alias("_doc")).distinct())
     found = docs.join(places, F.coalesce(F.col(docs.columns[0]).cast("long"), F.lit(-1)) == F.col("_doc"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
