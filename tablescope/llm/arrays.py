@@ -82,11 +82,17 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
-    """One 64-bit hash per span of bytes; ``folded`` takes A-Z as a-z."""
+def hash_sums(data: np.ndarray, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and factors from which the hash of any span follows."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if folded else _BYTE)[data] * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+    """One 64-bit hash per span of bytes; ``folded`` takes A-Z as a-z."""
+    sums, down = hash_sums(data, folded)
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

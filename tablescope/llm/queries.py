@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import decontamination, line_dedup, ngram_jaccard, toxicity
+from tablescope.llm import decontamination, html_text, line_dedup, ngram_jaccard, piece_sampling, secrets_crf, toxicity, wavelet
+from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the public tokenizer files are.
+TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_crf.secrets(_table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -24,6 +35,22 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return piece_sampling.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op6_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+        wavelet.write_ids(_table(spark, folder, "documents"), path, file.read())
+    return wavelet.read_documents(spark, path)
+
+
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -32,5 +59,15 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_line_dedup, op9_toxicity, op10_ngram_jaccard)}
+_ALL = (
+    op1_secrets,
+    op2_decontamination,
+    op3_line_dedup,
+    op5_piece_sampling,
+    op6_wavelet,
+    op7_html_text,
+    op9_toxicity,
+    op10_ngram_jaccard,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}

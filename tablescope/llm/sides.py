@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pickle
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.operators.order import materialize
@@ -10,6 +13,15 @@ from tablescope.operators.order import materialize
 BROADCAST_ROWS = 1 << 20
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a value of this package's classes, which workers need not have installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def counted(side: DataFrame) -> DataFrame:
     """``side``, written once; marked for broadcast if it has few rows, else joined by a shuffle. For narrow rows only."""
     side = materialize(side)
