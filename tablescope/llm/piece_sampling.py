@@ -232,7 +232,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     added = ("piece_ids", "n_pieces", "lossless")
     fields = [f for f in docs.schema.fields if f.name not in (*added, text_column)]
     names = [f.name for f in fields]
-    schema = T.StructType(fields).add("piece_ids", "array<int>").add("n_pieces", "long").add("lossless", "boolean")
+    schema = T.StructType(fields).add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("lossless", "boolean")
     keyed = docs.select(*[F.col(f"`{n}`") for n in names], F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed)).alias("_key"), F.col(f"`{text_column}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import decontamination, html_text, line_dedup, ngram_jaccard, piece_sampling, secrets_crf, toxicity, wavelet
+from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, toxicity, wavelet
 from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages"))
 
 
+def op8_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.edited_fingerprints(_table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -66,6 +70,7 @@ _ALL = (
     op5_piece_sampling,
     op6_wavelet,
     op7_html_text,
+    op8_multiset_hash,
     op9_toxicity,
     op10_ngram_jaccard,
 )
