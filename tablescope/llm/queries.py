@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, toxicity, wavelet
-from tablescope.operators.order import shared_folder
+from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, token_counts, toxicity, wavelet
+from tablescope.operators.order import shared_folder, with_row_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,17 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat token files of all documents, scanned; a document's number in the files is its rank by id."""
+    path = f"{shared_folder(spark).rstrip('/')}/flat-{uuid.uuid4().hex}"
+    docs = _table(spark, folder, "documents")
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+        token_counts.write_flat(docs, path, file.read())
+    counts = token_counts.token_counts(spark, path)
+    ranks = with_row_index(docs.select("doc_id"), "doc_id", "doc_no")
+    return counts.join(ranks, "doc_no", "left").select("doc_id", "doc_no", "start", "n_tokens")
+
+
 def op5_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return piece_sampling.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -67,6 +78,7 @@ _ALL = (
     op1_secrets,
     op2_decontamination,
     op3_line_dedup,
+    op4_token_counts,
     op5_piece_sampling,
     op6_wavelet,
     op7_html_text,
