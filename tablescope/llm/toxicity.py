@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import SPACE, pieces, ranges, span_hashes, spans
+from tablescope.llm.sides import received, shared
 
-MOST_LABELLED = 2500
+MOST_LABELLED = 1500
 LANDMARKS = 256
 DECAY = 0.6
 ROUNDS = 4
@@ -93,11 +94,17 @@ def word_values(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: n
         return np.zeros(0)
     hashes = span_hashes(data, starts, ends, folded=True)
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    features, weights, owners, norm = triples(data, starts[at], ends[at])
-    total = np.zeros(len(at))
-    for feature, weight, owner in zip(features, weights, owners):
-        total += weight * np.bincount(owner, table[feature], minlength=len(at))
-    return (total / norm)[which]
+    return distinct_values(table, data, starts[at], ends[at])[which]
+
+
+def distinct_values(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts))
+    for k in range(0, len(starts), 50_000):
+        features, weights, owners, norm = triples(data, starts[k : k + 50_000], ends[k : k + 50_000])
+        for feature, weight, owner in zip(features, weights, owners):
+            out[k : k + 50_000] += weight * np.bincount(owner, table[feature], minlength=len(norm))
+        out[k : k + 50_000] /= norm
+    return out
 
 
 def top_three(values: np.ndarray, firsts: np.ndarray, floor: float) -> np.ndarray:
@@ -183,13 +190,19 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     flat = np.zeros(_SYMBOLS**3)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(flat, 0.0, np.array([0, 0, 0, 40.0 if len(toxic) and toxic[0] else -40.0]))
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)
-    sizes = np.array([len(t.encode("utf-8", "replace")) + 1 for t in texts])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    offsets[-1] = len(data)
-    starts, ends = word_runs(data, offsets)
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    hashes = span_hashes(data, starts, ends, folded=True)
+    data, starts, ends, hashes, sizes = [], [], [], [], []
+    done = 0
+    for _, _, part, offsets in pieces(pa.array(texts, pa.large_string())):
+        s, e = word_runs(part, offsets)
+        data.append(part)
+        starts.append(s + done)
+        ends.append(e + done)
+        hashes.append(span_hashes(part, s, e, folded=True))
+        sizes.append(np.diff(np.searchsorted(s, offsets)))
+        done += len(part)
+    data, starts, ends, hashes, sizes = (np.concatenate(x) for x in (data, starts, ends, hashes, sizes))
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    doc = np.repeat(np.arange(len(toxic)), sizes)
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     pairs = np.unique(doc.astype(np.int64) * len(at) + which)
     pair_doc, pair_word = pairs // len(at), pairs % len(at)
@@ -240,9 +253,9 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         mark_weight = root @ v[:-1]
         table = np.zeros(_SYMBOLS**3)
         table[used] = dense.astype(np.float64) @ mark_weight
-        word_score = word_values(table, data, word_start, word_end) + v[-1]
+        word_score = distinct_values(table, data, word_start, word_end) + v[-1]
         floor = float(word_score.min() - v[-1])
-    best = top_three(word_values(table, data, starts, ends), np.searchsorted(starts, offsets), floor)
+    best = top_three(distinct_values(table, data, word_start, word_end)[which], firsts, floor)
     test = ~learn if (~learn & (toxic == 1)).sum() >= 5 and (~learn & (toxic == 0)).sum() >= 5 else np.ones(len(toxic), bool)
     sampled = toxic[test].mean()
     weight = np.where(toxic[test] == 1, share / sampled, (1 - share) / (1 - sampled))
@@ -286,14 +299,14 @@ def train(
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a toxicity ``score`` from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     fields = [f for f in docs.schema.fields if f.name != name]
     names = [f.name for f in fields]
     keep = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_column}`").cast("string").alias("_scored"))
     schema = type(docs.schema)(fields).add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = received(sent)
         for batch in batches:
             got = [model.score(data, offsets) for _, _, data, offsets in pieces(batch.column(batch.num_columns - 1), _PIECE)]
             columns = [*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *got]))]
