@@ -43,7 +43,7 @@ def pack(ids: np.ndarray, planes: int) -> bytes:
         packed = np.zeros(blocks * _BLOCK // 8, np.uint8)
         raw = np.packbits(one)
         packed[: len(raw)] = raw
-        ones = np.bitwise_count(packed.view(np.uint64)).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+        ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.uint32)
         counts.append(np.cumsum(ones, dtype=np.uint32) - ones)
         bits.append(packed)
         zeros.append(n - int(ones.sum()))
