@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.base import GAPS, GAPS_SQL, LINEITEM, numbers, r, register, rounded, table, with_gaps
+from catalog.base import GAPS, GAPS_SQL, LINEITEM, SQL, numbers, r, register, rounded, table, with_gaps
 from tablescope.operators import anova, assoc, corr
 from tablescope.plans import recipes, relations
 from tablescope.plans.config import RelationConfig
@@ -55,7 +55,11 @@ register("corr_matrix_spearman", lambda s, d: rounded(corr.corr_matrix(table(s,
 register("corr_matrix_spearman_missing", lambda s, d: rounded(corr.corr_matrix(with_gaps(s, d), "spearman")), spearman_sql(GAP_NUMBERS, _gaps))
 KENDALL = ["l_quantity", "l_discount", "l_tax"]
 register("corr_matrix_kendall", lambda s, d: rounded(corr.corr_matrix(with_gaps(s, d), "kendall", KENDALL)), kendall_sql(KENDALL, _gaps))
-register("corr_matrix_kendall_wide", lambda s, d: rounded(corr.corr_matrix(table(s, d, "orders"), "kendall", ["o_custkey", "o_totalprice"])))
+register(
+    "corr_matrix_kendall_wide",
+    lambda s, d: rounded(corr.corr_matrix(table(s, d, "orders"), "kendall", ["o_custkey", "o_totalprice"])),
+    kendall_sql(["o_custkey", "o_totalprice"], "orders"),
+)
 
 # Prices that depend on each other, so that there is something strong to find.
 PRICED = ["l_quantity", "l_extendedprice", "revenue", "charge", "l_tax"]
@@ -245,16 +249,87 @@ register(
 
 # --- bundles --------------------------------------------------------------------------------------
 
-def _sections(bundle):
-    """How many rows each section of a bundle has."""
-    out = None
-    for name, frame in bundle.items():
-        one = frame.agg(F.count(F.lit(1)).alias("n")).withColumn("section", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+# Eight numbers by three classes of three levels: more mixed pairs than the bundle ranks, p-values in closed form.
+# order_class has too many levels for the gate.
+WIDE_CATS = ["l_returnflag", "part_class", "supp_class"]
+WIDE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+WIDE_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
+  'p' || (l_partkey % 3)::VARCHAR AS part_class, 's' || ((l_suppkey + l_linenumber) % 3)::VARCHAR AS supp_class, 'o' || (l_orderkey % 400)::VARCHAR AS order_class FROM lineitem) t"""
+WIDE_PAIRS = [(n, c) for n in WIDE_NUMBERS for c in WIDE_CATS]
+
+
+def wide(s, d):
+    return table(s, d, "lineitem").select(
+        *WIDE_NUMBERS,
+        "l_returnflag",
+        F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")).alias("part_class"),
+        F.concat(F.lit("s"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 3).cast("string")).alias("supp_class"),
+        F.concat(F.lit("o"), (F.col("l_orderkey") % 400).cast("string")).alias("order_class"),
+    )
+
+
+def section(name, frame=wide):
+    return lambda s, d: relations.analyze_relations(frame(s, d), sections=[name])[name]
+
+
+def _spearman_exact(columns, source):
+    return spearman_sql(columns, source).replace("(round(corr(ra, rb), 6) + 0.0)", "corr(ra, rb)")
+
+
+register(
+    "analyze_relations_metadata",
+    section("metadata"),
+    "SELECT count(*) AS n_rows, 12::BIGINT AS n_columns, 8::BIGINT AS numeric_columns, 4::BIGINT AS text_columns, 3::BIGINT AS usable_categories FROM lineitem",
+)
+register(
+    "analyze_relations_excluded",
+    lambda s, d: section("excluded_columns")(s, d).select("column", F.col("n_levels").between(360, 440).alias("near")),
+    f"SELECT 'order_class' AS \"column\", count(DISTINCT order_class) BETWEEN 360 AND 440 AS near FROM {WIDE_SQL}",
+)
+register(
+    "analyze_relations_matrix",
+    lambda s, d: rounded(section("correlation_matrix", priced)(s, d)),
+    f"""WITH p AS ({pearson_sql(PRICED, PRICED_SQL, 12)}), s AS ({_spearman_exact(PRICED, PRICED_SQL)})
+SELECT col1, col2, {r('p.r')} AS pearson, p.n, {r('s.r')} AS spearman, {r('greatest(abs(p.r), abs(s.r))')} AS max_abs FROM p JOIN s USING (col1, col2)""",
+)
+register("analyze_relations_numerical", lambda s, d: rounded(section("numerical", priced)(s, d)), SQL["strong_correlations"])
+register(
+    "analyze_relations_numerical_summary",
+    lambda s, d: rounded(section("numerical_summary", priced)(s, d)),
+    f"""WITH p AS ({pearson_sql(PRICED, PRICED_SQL, 12)}), s AS ({_spearman_exact(PRICED, PRICED_SQL)}), b AS (SELECT p.r, greatest(abs(p.r), abs(s.r)) AS m FROM p JOIN s USING (col1, col2))
+SELECT count(*) AS total_pairs, count(*) FILTER (m >= 0.3) AS strong_pairs, count(*) FILTER (m >= 0.7) AS very_strong_pairs, {r('max(abs(r))')} AS max_abs_offdiag,
+  {r('avg(abs(r))')} AS mean_abs_offdiag, 1.0::DOUBLE AS max_abs_incl_diag, {r('(2 * sum(abs(r)) + 5) / (2 * count(r) + 5)')} AS mean_abs_incl_diag FROM b""",
+)
+for _name, _key, _frame in (("categorical_summary", "association_summary", classes), ("theils_u", "theils_u", classes)):
+    register(f"analyze_relations_{_name}", (lambda n, f: lambda s, d: rounded(section(n, f)(s, d)))(_name, _frame), SQL[_key])
+register(
+    "analyze_relations_categorical",
+    lambda s, d: rounded(section("categorical", classes)(s, d)),
+    f"SELECT {_CHI_OUT} FROM ({chi_sql(CLASSES, CLASSES_SQL)}) t ORDER BY v DESC LIMIT 20",
+)
+register(
+    "analyze_relations_rules",
+    lambda s, d: rounded(section("rules", classes)(s, d)),
+    SQL["association_rules"].replace("lift >= 1.2", "lift >= 1.5"),
+)
+register(
+    "analyze_relations_level_stats",
+    lambda s, d: rounded(section("level_stats")(s, d), 4),
+    f"SELECT num, cat, level, n, {r('mean', 4)} AS mean, {r('var_pop', 4)} AS var_pop FROM ({levels_sql(WIDE_PAIRS, WIDE_SQL)}) q",
+)
+register(
+    "analyze_relations_mixed",
+    lambda s, d: (lambda m: anova_rounded(m).join(rounded(m).select("num", "cat", "h_stat", "kruskal_p"), ["num", "cat"]))(section("mixed")(s, d)),
+    f"""SELECT a.*, k.h_stat, k.kruskal_p FROM (SELECT {_ANOVA_OUT} FROM ({anova_sql(WIDE_PAIRS, WIDE_SQL)}) t ORDER BY t.eta2 DESC, num, cat LIMIT 20) a
+JOIN (SELECT num, cat, {r('h')} AS h_stat, {r('exp(-h / 2)')} AS kruskal_p FROM ({kruskal_sql(WIDE_PAIRS, WIDE_SQL)}) q) k USING (num, cat)""",
+)
+register(
+    "analyze_relations_mixed_summary",
+    lambda s, d: rounded(section("mixed_summary")(s, d), 8),
+    f"SELECT count(*) AS total_pairs, count(*) FILTER (p < 0.05) AS significant_pairs, {r('max(eta2)', 8)} AS max_eta2, {r('avg(eta2)', 8)} AS mean_eta2, count(*) FILTER (eta2 >= 0.14) AS large_pairs FROM ({anova_sql(WIDE_PAIRS, WIDE_SQL)}) t",
+)
 
 
-register("analyze_relations", lambda s, d: _sections(relations.analyze_relations(with_gaps(s, d))))
 register(
     "analyze_relations_tokens",
     lambda s, d: rounded(relations.analyze_relations(table(s, d, "part"), tokens=["brand", "type"])["metadata"]),

@@ -15,7 +15,7 @@ from tablescope.functions.special import chi2_sf, f_sf
 from tablescope.functions.stats import ratio
 from tablescope.kinds import doubles_of, numeric_columns, quoted
 from tablescope.operators.assoc import usable_categories
-from tablescope.operators.order import running_totals
+from tablescope.operators.order import materialize, running_totals
 from tablescope.plans.config import RelationConfig
 
 PAIR = ["num", "cat"]
@@ -173,10 +173,13 @@ def kruskal(
     )
     spread_levels = ", ".join(f"named_struct('cat_index', {i}, 'level', c{i})" for i in range(len(used)))
     t = F.col("t").cast("double")
+    # Ranks are taken from the middle rank, so that large sums do not cancel.
+    sizes = [present[f"v{j}"] if len(served) > 1 else covered[numbers[j], used[served[0]]] for j, served in rankings]
+    middle = F.element_at(F.array(*[F.lit((s + 1) / 2) for s in sizes]), F.col("ranking") + 1)
     # Counts that share a value add up to its t^3 - t.
     sums = (
         ranked.groupBy("ranking", *level_names)
-        .agg(F.sum(F.col("c") * F.col("rank")).alias("rank_sum"), F.sum("c").alias("size"), F.sum(F.col("c") * (t * t - 1)).alias("ties"))
+        .agg(F.sum(F.col("c") * (F.col("rank") - middle)).alias("rank_sum"), F.sum("c").alias("size"), F.sum(F.col("c") * (t * t - 1)).alias("ties"))
         .select("ranking", "rank_sum", "size", "ties", F.expr(f"inline(array({spread_levels}))"))
         .filter(F.col("level") >= 0)
         .groupBy("ranking", "cat_index", "level")
@@ -190,7 +193,7 @@ def kruskal(
         )
     )
     n = F.col("total").cast("double")
-    raw = 12 / (n * (n + 1)) * F.col("spread") - 3 * (n + 1)
+    raw = 12 / (n * (n + 1)) * F.col("spread")
     correction = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
     h = raw / F.nullif(correction, F.lit(0.0))
     names = spark.createDataFrame(pair_rows, "ranking int, cat_index int, num string, cat string")
@@ -206,12 +209,20 @@ def mixed_relations(
     gated: bool = False,
 ) -> DataFrame:
     """ANOVA and, with ``advanced_stats``, Kruskal-Wallis, by eta squared, cut at top_k."""
-    levels = level_stats(df, config, cats, nums, gated).persist()  # one row per pair and level
+    return leading_pairs(mixed_pairs(df, config, materialize(level_stats(df, config, cats, nums, gated))), config)
+
+
+def mixed_pairs(df: DataFrame, config: RelationConfig, levels: DataFrame) -> DataFrame:
+    """ANOVA and, with ``advanced_stats``, Kruskal-Wallis of every pair in ``levels``."""
     out = anova(df, config, levels=levels)
     if config.advanced_stats:
         ranks = kruskal(df, config, levels=levels).select(*PAIR, "h_stat", "kruskal_p")
         out = out.join(F.broadcast(ranks), PAIR, "left")
-    return out.orderBy(F.desc("eta2"), *PAIR).limit(config.top_k)
+    return out
+
+
+def leading_pairs(pairs: DataFrame, config: RelationConfig) -> DataFrame:
+    return pairs.orderBy(F.desc("eta2"), *PAIR).limit(config.top_k)
 
 
 def mixed_summary(

@@ -206,16 +206,20 @@ def strong_correlations(
 def correlation_summary(
     df: DataFrame, config: RelationConfig = RelationConfig(), cols: Sequence[str] | None = None, matrix: DataFrame | None = None
 ) -> DataFrame:
-    """Pair counts and sizes of the Pearson matrix, with and without its diagonal of ones."""
+    """Pair counts and sizes of the Pearson matrix, with and without its diagonal of ones.
+
+    A ``matrix`` with ``max_abs``, the larger of two coefficients, counts strong pairs by that.
+    """
     names = list(cols) if cols else numeric_columns(df)
     k = len(names)
     matrix = matrix if matrix is not None else corr_matrix(df, "pearson", names)
     size = F.abs("r")
+    strength = F.col("max_abs") if "max_abs" in matrix.columns else size
     known = F.count("r").cast("double")
     return matrix.agg(
         F.count(F.lit(1)).alias("total_pairs"),
-        F.count_if(size >= config.correlation_threshold).alias("strong_pairs"),
-        F.count_if(size >= 0.7).alias("very_strong_pairs"),
+        F.count_if(strength >= config.correlation_threshold).alias("strong_pairs"),
+        F.count_if(strength >= 0.7).alias("very_strong_pairs"),
         F.max(size).alias("max_abs_offdiag"),
         F.avg(size).alias("mean_abs_offdiag"),
         F.greatest(F.lit(1.0), F.max(size)).alias("max_abs_incl_diag"),

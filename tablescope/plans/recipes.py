@@ -80,7 +80,7 @@ RECIPES: dict[str, Recipe] = {
     "C10": Recipe("bytes per column", lambda df, **kw: io.storage_footprint(df)),
     "C11": Recipe("missing percentages", lambda df, **kw: quality.missing_pct(df)),
     "C12": Recipe("correlation heat map", lambda df, **kw: reshape.stacked_correlations(df)),
-    "C13": Recipe("values of the first column", lambda df, **kw: select.top_values(df, k=kw.get("k", 50))),
+    "C13": Recipe("values of the first column", lambda df, **kw: select.top_values(df, k=kw.get("k"))),
     "C14": Recipe("summary of all columns", lambda df, **kw: profile.describe_all(df)),
     "C15": Recipe("table shape", lambda df, **kw: profile.shape(df)),
     "C16": Recipe("duplicate row count", lambda df, **kw: quality.duplicate_rows_count(df)),
@@ -146,20 +146,6 @@ TEMPLATES: dict[str, list[str]] = {
     "text_mining": ["C54"],
 }
 
-# Tokens by category.
-CATEGORIES: dict[str, list[str]] = {
-    "basic information": ["C1", "C2", "C4", "C9", "C15"],
-    "preview": ["C6", "C7", "C17", "C19"],
-    "missing values": ["C3", "C11", "C21", "C33", "C48"],
-    "statistics": ["C1", "C14", "C29", "C30", "C41", "C42", "C43", "C58", "C59"],
-    "correlation": ["C8", "C12", "C25", "C56", "C57"],
-    "charts": ["C12", "C23", "C35", "C47", "C54", "C60", "C61"],
-    "manipulation": ["C36", "C37", "C26", "C46"],
-    "advanced": ["C50", "C51", "C52", "C53", "C55"],
-    "output": ["C27", "C28", "SAVE", "EXPORT", "PROFILE"],
-}
-
-
 def template(name: str = "basic") -> list[str]:
     """The tokens of a template; an unknown name gives the basic one."""
     return list(TEMPLATES.get(name, TEMPLATES["basic"]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tablescope.kinds import numeric_columns, string_columns
 from tablescope.operators import anova, assoc, corr
-from tablescope.operators.freq import gated_categories
+from tablescope.operators.freq import excluded_categories, gated_categories
+from tablescope.operators.order import materialize
 from tablescope.operators.select import sample_rows, select_columns
 from tablescope.plans.config import RelationConfig
 
@@ -18,15 +19,23 @@ def _message(df: DataFrame, text: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(text,)], "error string")
 
 
+SECTIONS = (
+    "metadata", "excluded_columns", "numerical", "numerical_summary", "correlation_matrix",
+    "categorical", "categorical_summary", "rules", "theils_u", "mixed", "mixed_summary", "level_stats",
+)
+
+
 def analyze_relations(
-    df: DataFrame, config: RelationConfig = RelationConfig(), tokens: Sequence[str] | None = None
+    df: DataFrame, config: RelationConfig = RelationConfig(), tokens: Sequence[str] | None = None, sections: Sequence[str] | None = None
 ) -> dict[str, DataFrame]:
     """``{section: table}`` for numeric, categorical and mixed column pairs.
 
-    Pair tables are shared between sections, and their number of jobs does not depend on the number of
-    columns. A section without enough columns holds one ``error`` row. ``tokens`` keeps the columns whose
-    name contains one of them; ``sample_cap`` limits the rows, and is off by default.
+    Pair tables are worked out once, written (one row per pair or level) and shared between sections; summaries
+    cover all pairs, the ranked sections the leading ``top_k``. A section without enough columns holds one ``error`` row.
+    ``tokens`` keeps the columns whose name contains one of them; ``sections`` limits the work to some
+    sections; ``sample_cap`` limits the rows, and is off by default.
     """
+    wanted = set(sections or SECTIONS)
     if tokens:
         df = select_columns(df, tokens=tokens)
     if config.sample_cap:
@@ -43,17 +52,19 @@ def analyze_relations(
         F.lit(len(string_columns(df))).cast("bigint").alias("text_columns"),
         F.lit(len(texts)).cast("bigint").alias("usable_categories"),
     )
+    out["excluded_columns"] = excluded_categories(df, string_columns(df), texts)
     if len(numbers) < 2:
         out["numerical"] = _message(df, "fewer than two numeric columns")
-    else:
-        pairs = corr.correlation_pairs(df, config, numbers).persist()
+    elif wanted & {"numerical", "numerical_summary", "correlation_matrix"}:
+        pairs = materialize(corr.correlation_pairs(df, config, numbers))
         out["numerical"] = corr.strong_correlations(df, config, pairs=pairs)
         out["numerical_summary"] = corr.correlation_summary(df, config, numbers, pairs.withColumnRenamed("pearson", "r"))
+        out["correlation_matrix"] = pairs
     if len(texts) < 2:
         out["categorical"] = _message(df, "fewer than two usable categorical columns")
-    else:
-        table = assoc.contingency(df, config, texts, gated=True).persist()
-        tested = assoc.chi_square(df, config, table=table).persist()
+    elif wanted & {"categorical", "categorical_summary", "rules", "theils_u"}:
+        table = materialize(assoc.contingency(df, config, texts, gated=True))
+        tested = materialize(assoc.chi_square(df, config, table=table))
         out["categorical"] = assoc.strong_associations(df, config, tested=tested)
         out["categorical_summary"] = assoc.association_summary(df, config, tested=tested)
         out["rules"] = assoc.association_rules(df, config, table=table)
@@ -61,11 +72,16 @@ def analyze_relations(
             out["theils_u"] = assoc.theils_u(df, config, table=table)
     if not numbers or not split:
         out["mixed"] = _message(df, "needs a numeric and a usable categorical column")
-    else:
-        mixed = anova.mixed_relations(df, config, split, numbers, gated=True).persist()
-        out["mixed"] = mixed
-        out["mixed_summary"] = anova.mixed_summary(df, config, tested=mixed)
-    return out
+    elif wanted & {"mixed", "mixed_summary", "level_stats"}:
+        stats = materialize(anova.level_stats(df, config, split, numbers, gated=True))
+        out["level_stats"] = stats
+        if "mixed" in wanted:
+            pairs = materialize(anova.mixed_pairs(df, config, stats))
+            out["mixed"] = anova.leading_pairs(pairs, config)
+        else:
+            pairs = anova.anova(df, config, levels=stats)
+        out["mixed_summary"] = anova.mixed_summary(df, config, tested=pairs)
+    return {name: frame for name, frame in out.items() if name in wanted}
 
 
 def recommend_charts(df: DataFrame, config: RelationConfig = RelationConfig(), per_kind: int = 3) -> DataFrame:

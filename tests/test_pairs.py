@@ -170,4 +170,3 @@ def test_recipes(mix12, tmp_path):
     assert set(failed) == {"C51"}, failed  # no time column in this table
     assert recipes.run_recipe(mix12, ["C99"])[0].error == "unknown token"
     assert recipes.template("nonsense") == recipes.template("basic")
-    assert all(t in recipes.RECIPES for names in recipes.CATEGORIES.values() for t in names)
