@@ -25,6 +25,7 @@ from catalog.base import (
 )
 from tablescope.operators import profile, quality
 from tablescope.plans import recipes
+from tablescope.sources import io
 
 EVENTS = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
 
@@ -116,7 +117,13 @@ register(
     "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS is_unique FROM lineitem",
 )
 register("nunique", lambda s, d: profile.nunique(rated(s, d)), per_column_sql(RATED, "count(DISTINCT {c}) AS n_unique", RATED_SQL + " t"))
-register("nunique_approx", lambda s, d: profile.nunique(lineitem(s, d), approx=True))
+register(
+    "nunique_approx",
+    lambda s, d: profile.nunique(lineitem(s, d), approx=True)
+    .join(profile.nunique(lineitem(s, d)).withColumnRenamed("n_unique", "exact"), "column")
+    .select("column", (F.abs(F.col("n_unique") - F.col("exact")) <= F.greatest(0.15 * F.col("exact"), F.lit(1))).alias("close")),
+    per_column_sql(LINEITEM, "count(DISTINCT {c}) > 0 AS close", "lineitem"),
+)
 register("unique_ratio", lambda s, d: profile.unique_ratio(lineitem(s, d)), per_column_sql(LINEITEM, r("100.0 * count(DISTINCT {c}) / count(*)", 2) + " AS unique_pct", "lineitem"))
 
 _GAP_NUMBERS = numbers(GAPS)
@@ -162,9 +169,40 @@ register(
     lambda s, d: profile.group_stats(table(s, d, "events"), "event_type", "value"),
     f"SELECT event_type AS level, {r('avg(value)', 3)} AS mean, {r('stddev_samp(value)', 3)} AS std, count(value) AS n FROM events GROUP BY 1",
 )
+SUPPLIER = {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}
+
+
+def _profile_section(name, digits=7):
+    return lambda s, d: rounded(recipes.full_profile(lineitem(s, d))[name], digits)
+
+
+register("full_profile", lambda s, d: rounded(recipes.full_profile(table(s, d, "supplier"))["columns"], 7), _profile_sql(SUPPLIER, "supplier"))
+register("full_profile_overview", _profile_section("overview"), "SELECT count(*) AS n_rows, 11::BIGINT AS n_columns FROM lineitem")
+register("full_profile_missing", _profile_section("missing"), per_column_sql(LINEITEM, r("100.0 * (count(*) - count({c})) / count(*)", 7) + " AS missing_pct", "lineitem"))
+register("full_profile_duplicates", _profile_section("duplicates"), "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates FROM lineitem")
+
+
+# --- nested columns: arrays count by their content ------------------------------------------------
+
+EMBEDDINGS = {"vec_id": "bigint", "embedding": "array<float>", "label": "int"}
+# Rows come twice, and again with the array turned around: only the first kind are duplicates.
+_MIRRORED_SQL = "(SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, list_reverse(embedding), label FROM embeddings WHERE label >= 5) t"
+
+
+def mirrored(s, d):
+    rows = table(s, d, "embeddings")
+    turned = rows.where("label >= 5").withColumn("embedding", F.reverse("embedding"))
+    return rows.union(rows.where("label < 3")).union(turned)
+
+
+register("column_profile_nested", lambda s, d: rounded(profile.column_profile(mirrored(s, d)), 7), _profile_sql(EMBEDDINGS, _MIRRORED_SQL))
+register("nunique_nested", lambda s, d: profile.nunique(mirrored(s, d)), per_column_sql(EMBEDDINGS, "count(DISTINCT {c}) AS n_unique", _MIRRORED_SQL))
+register("duplicate_rows_count_nested", lambda s, d: quality.duplicate_rows_count(mirrored(s, d)), "SELECT count(*) AS duplicates FROM embeddings WHERE label < 3")
+register("duplicate_rows_nested", lambda s, d: quality.duplicate_rows(mirrored(s, d)).select("vec_id", "label", F.size("embedding").alias("width")), "SELECT vec_id, label, len(embedding)::INTEGER AS width FROM embeddings WHERE label < 3")
 register(
-    "full_profile",
-    lambda s, d: recipes.full_profile(table(s, d, "supplier"))["columns"],
+    "storage_footprint_nested",
+    lambda s, d: io.storage_footprint(table(s, d, "embeddings")).select("column", "bytes"),
+    """SELECT 'vec_id' AS "column", 8 * count(*) AS bytes FROM embeddings UNION ALL SELECT 'embedding', 4 * sum(len(embedding))::BIGINT FROM embeddings UNION ALL SELECT 'label', 4 * count(*) FROM embeddings""",
 )
 
 

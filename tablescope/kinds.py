@@ -60,6 +60,33 @@ def plain_columns(df: DataFrame, among: Iterable[str] | None = None) -> list[str
     ]
 
 
+def groupable_columns(df: DataFrame, among: Iterable[str] | None = None) -> list[str]:
+    """Columns whose values can be told apart: all but variants. Arrays, structs and maps count by their content."""
+    wanted = set(among) if among is not None else None
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.VariantType) and (wanted is None or f.name in wanted)]
+
+
+def _with_sorted_maps(value: Column, dtype: T.DataType) -> Column:
+    """The value with every map in it as entries in key order, so that equal maps look equal."""
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _with_sorted_maps(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_with_sorted_maps(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(_with_sorted_maps(e["key"], dtype.keyType).alias("key"), _with_sorted_maps(e["value"], dtype.valueType).alias("value")),
+        )
+        return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return value
+
+
+def nested_text(value: Column, dtype: T.DataType) -> Column:
+    """A nested value as text, the same for equal values only."""
+    return F.to_json(F.struct(_with_sorted_maps(value, dtype).alias("v")), {"ignoreNullFields": "false"})
+
+
 def field_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.kinds import field_type, missing_to_null, plain_columns, quoted
+from tablescope.kinds import NESTED, field_type, groupable_columns, missing_to_null, nested_text, quoted
 
 
 def column_struct(name: str, value: Column) -> Column:
@@ -22,13 +22,25 @@ def value_counts(df: DataFrame, columns: Iterable[str], as_type: str, keep_missi
     Counting happens before the shuffle as well, so a value that fills a third of a column is one row
     per task by the time it moves.
     """
-    cells = [column_struct(c, missing_to_null(c, field_type(df, c)).cast(as_type)) for c in columns]
+    cells = [column_struct(c, _value_as(df, c, as_type)) for c in columns]
     long = df.select(F.inline(F.array(*cells)))
     if not keep_missing:
         long = long.filter(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _value_as(df: DataFrame, name: str, as_type: str) -> Column:
+    dtype = field_type(df, name)
+    if isinstance(dtype, NESTED):
+        return F.when(quoted(name).isNotNull(), nested_text(quoted(name), dtype))
+    return missing_to_null(name, dtype).cast(as_type)
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    dtype = field_type(df, name)
+    return _value_as(df, name, "string") if isinstance(dtype, NESTED) else missing_to_null(name, dtype)
+
+
 def type_families(df: DataFrame, columns: Iterable[str]) -> dict[str, list[str]]:
     """Columns grouped by the narrowest common type that keeps their values apart."""
     families: dict[str, list[str]] = {}
@@ -46,11 +58,11 @@ def type_families(df: DataFrame, columns: Iterable[str]) -> dict[str, list[str]]
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, approx: bool = False) -> DataFrame:
     """``(column, n_unique)``: distinct non-missing values, exact unless ``approx``."""
-    names = list(columns) if columns is not None else plain_columns(df)
+    names = list(columns) if columns is not None else groupable_columns(df)
     if approx:
         wide = df.agg(
             *[
-                F.struct(F.lit(c).alias("column"), F.approx_count_distinct(missing_to_null(c, field_type(df, c))).alias("n_unique")).alias(f"_{i}")
+                F.struct(F.lit(c).alias("column"), F.approx_count_distinct(_comparable(df, c)).alias("n_unique")).alias(f"_{i}")
                 for i, c in enumerate(names)
             ]
         )
@@ -89,6 +101,17 @@ def per_column(df: DataFrame, columns: Iterable[str], metrics: dict[str, object]
     return reduce(DataFrame.unionByName, parts)
 
 
+def excluded_categories(df: DataFrame, columns: list[str], kept: Iterable[str]) -> DataFrame:
+    """``(column, n_levels)`` of the text columns that the cardinality gate leaves out; the number is a sketch's estimate."""
+    out = [c for c in columns if c not in set(kept)]
+    schema = "column string, n_levels bigint"
+    if not out:
+        return df.sparkSession.createDataFrame([], schema)
+    rough = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"_{i}") for i, c in enumerate(out)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_levels")) for i, c in enumerate(out)])
+    return rough.select(F.inline(rows))
+
+
 def gated_categories(df: DataFrame, columns: list[str], max_levels: int, min_levels: int = 1) -> dict[str, int]:
     """Columns with ``min_levels`` … ``max_levels`` distinct values, and their counts.
 

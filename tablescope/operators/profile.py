@@ -17,7 +17,7 @@ from tablescope.kinds import (
     missing_to_null,
     name_sql,
     numeric_columns,
-    plain_columns,
+    groupable_columns,
     quoted,
     text_sql,
 )
@@ -101,7 +101,7 @@ def _without_moments(counts: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """dtype, missing, distinct, moments, exact quartiles, IQR and bias-corrected shape per column."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     numbers = numeric_columns(df, names)
     counts = per_column(df, names, COUNTS)
     base = counts.join(F.broadcast(moments(df, numbers)), "column", "left") if numbers else _without_moments(counts)
@@ -135,7 +135,7 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
 
 def column_profile_basic(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Type, distinct values with missing as a value, missing, present, and min/max/mean of numbers."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     base = per_column(df, names, COUNTS | BASICS)
     out = type_table(df, names).join(F.broadcast(base), "column").join(F.broadcast(distinct_counts(df, names)), "column")
     return out.select(
@@ -170,7 +170,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, distinct, most frequent value and its frequency of the text columns."""
-    names = [c for c in (cols or plain_columns(df)) if column_kind(field_type(df, c)) == "categorical"]
+    names = [c for c in (cols or groupable_columns(df)) if column_kind(field_type(df, c)) == "categorical"]
     counted = value_counts(df, names, "string")
     first = F.min(F.struct((-F.col("n")).alias("neg"), "value"))
     return counted.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), first.alias("_first")).select(
@@ -267,7 +267,7 @@ def kurtosis(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def min_max(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Smallest and largest value of every column, as text."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     return per_column(
         df, names, {"min": lambda c, _: F.min(c).cast("string"), "max": lambda c, _: F.max(c).cast("string")}
     )
@@ -290,7 +290,7 @@ def _modes(counted: DataFrame) -> DataFrame:
 
 def mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """The most frequent value of every column as text; on ties the smallest value of its own type."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     parts = [
         _modes(value_counts(df, some, family)).withColumn("mode", F.col("mode").cast("string"))
         for family, some in type_families(df, names).items()
@@ -307,7 +307,7 @@ def numeric_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def all_modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Every value that reaches the highest frequency of its column."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     counted = value_counts(df, names, "string")
     highest = counted.groupBy("column").agg(F.max("n").alias("n"))
     return counted.join(F.broadcast(highest), ["column", "n"]).select("column", "value", "n")

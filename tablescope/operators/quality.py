@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.stats import ratio
-from tablescope.kinds import column_kind, field_type, missing_to_null, normalize_missing, numeric_columns, plain_columns, quoted
+from tablescope.kinds import column_kind, field_type, missing_to_null, normalize_missing, groupable_columns, numeric_columns, plain_columns, quoted
 from tablescope.operators.freq import distinct_counts, per_column
 from tablescope.operators.quantiles import exact_quantiles
 
@@ -46,7 +46,7 @@ def columns_with_missing(df: DataFrame) -> DataFrame:
 
 def _row_groups(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
     """Distinct rows with their number of copies; copies collapse before the shuffle."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     return normalize_missing(df, names).groupBy(*[quoted(n) for n in names]).agg(F.count(F.lit(1)).alias("_copies"))
 
 
@@ -67,19 +67,19 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     Equal rows are interchangeable, so groups are counted and the copies written out again, in steps
     that spread a large group over many tasks.
     """
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     extra = _row_groups(df, names).filter(F.col("_copies") > 1).withColumn("_extra", F.col("_copies") - 1)
     steps = extra.withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_extra") - 1, F.lit(COPIES_PER_STEP).cast("bigint")))
     )
-    spread = steps.repartition(*[quoted(n) for n in names], "_from")
+    spread = steps.repartition(*[quoted(n) for n in plain_columns(df, names)], "_from")
     until = F.least(F.col("_extra"), F.col("_from") + COPIES_PER_STEP)
     return spread.select(*[quoted(n) for n in names], F.explode(F.sequence(F.col("_from"), until - 1)).alias("_i")).drop("_i")
 
 
 def column_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column: rows beyond the first of each value, missing counted as a value."""
-    names = list(cols) if cols else plain_columns(df)
+    names = list(cols) if cols else groupable_columns(df)
     counts = per_column(df, names, {"n_rows": lambda c, _: F.count(F.lit(1)), "nulls": lambda c, _: F.count_if(c.isNull())})
     return counts.join(F.broadcast(distinct_counts(df, names)), "column").select(
         "column", (F.col("n_rows") - F.col("n_unique") - (F.col("nulls") > 0).cast("bigint")).alias("duplicates")

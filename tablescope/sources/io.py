@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.stats import ratio
-from tablescope.kinds import NESTED, column_kind, field_type, plain_columns, quoted
+from tablescope.kinds import NESTED, column_kind, field_type, groupable_columns, nested_text, quoted
 from tablescope.operators.freq import distinct_counts, per_column
-from tablescope.operators.order import with_row_index
+from tablescope.operators.order import materialize, with_row_index
 
 FORMATS = ("csv", "json", "parquet")
 PREVIEW_ROWS = 50_000
 CORRUPT = "_corrupt_record"
+CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 def _format_of(path: str, fmt: str | None) -> str:
@@ -36,20 +37,30 @@ def read_table(
     dtype_map: Mapping[str, str] | None = None,
     nrows: int | None = None,
     max_rows: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV (with header), JSON lines or Parquet.
 
-    Without ``schema`` CSV and JSON types are inferred; ``dtype_map`` overrides single columns by casting
-    what parses and leaving the rest NULL. ``nrows`` or ``max_rows`` cut the result.
+    Without ``schema`` CSV and JSON types are inferred from every row, as a value further down may need a wider type.
+    ``dtype_map`` sets the types of single columns while they are read (``"string"`` keeps leading zeros); what does
+    not parse is NULL. Quotes within quoted CSV text are doubled. ``multi_line`` allows line breaks
+    within quotes; such files are not split between tasks. ``nrows`` or ``max_rows`` cut the result.
     """
     kind = _format_of(path, fmt)
     reader = spark.read
+    if kind == "csv":
+        reader = reader.options(**CSV, multiLine=multi_line)
     if schema is not None:
         reader = reader.schema(schema)
-    if kind == "csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
+    elif kind == "csv":
+        reader = reader.option("inferSchema", True)
     df = reader.format(kind).load(path)
-    for name, dtype in (dtype_map or {}).items():
+    mapped = {n: t for n, t in (dtype_map or {}).items() if n in df.columns}
+    if mapped and kind != "parquet":
+        # read the mapped columns as written, not as inferred
+        fields = [T.StructField(f.name, T.StringType()) if f.name in mapped else f for f in df.schema.fields]
+        df = reader.schema(T.StructType(fields)).format(kind).load(path)
+    for name, dtype in mapped.items():
         df = df.withColumn(name, quoted(name).try_cast(dtype))
     limits = [n for n in (nrows, max_rows) if n is not None]
     return df.limit(min(limits)) if limits else df
@@ -65,13 +76,16 @@ def union_tables(first: DataFrame, *others: DataFrame) -> DataFrame:
 def read_preview(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None, n: int = PREVIEW_ROWS
 ) -> DataFrame:
-    """The first ``n`` rows of a CSV; rows that do not fit the schema keep their text in ``_corrupt_record``."""
+    """The first ``n`` rows of a CSV; rows that do not fit the schema keep their text in ``_corrupt_record``.
+
+    Without ``schema`` types are inferred from these rows alone.
+    """
     if schema is None:
-        schema = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+        schema = _narrowest(spark.read.options(**CSV).csv(path).limit(n))
     full = T.StructType([*_as_struct(spark, schema).fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.schema(full)
-        .option("header", True)
+        .options(**CSV)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
@@ -79,6 +93,15 @@ def read_preview(
     )
 
 
+def _narrowest(texts: DataFrame) -> T.StructType:
+    """The first type that every value of a text column parses as, for each column."""
+    types = ("int", "bigint", "double", "boolean", "timestamp")
+    fits = [F.count_if(quoted(c).isNotNull() & quoted(c).try_cast(t).isNull()).alias(f"{i}_{t}") for i, c in enumerate(texts.columns) for t in types]
+    found = texts.agg(*fits, *[F.count(quoted(c)).alias(f"{i}") for i, c in enumerate(texts.columns)]).first()
+    chosen = [next((t for t in types if found[f"{i}"] and not found[f"{i}_{t}"]), "string") for i in range(len(texts.columns))]
+    return T.StructType([T.StructField(c, T._parse_datatype_string(t)) for c, t in zip(texts.columns, chosen)])
+
+
 def _as_struct(spark: SparkSession, schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
 
@@ -89,7 +112,7 @@ def preview_quality(preview: DataFrame) -> DataFrame:
     Whether a row fits depends on all its columns, so the preview (a bounded number of rows) is parsed
     whole and kept before the corrupt ones are counted.
     """
-    return preview.persist().agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("corrupt_rows"))
+    return materialize(preview.select(*preview.columns)).agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("corrupt_rows"))
 
 
 def write_table(
@@ -104,7 +127,7 @@ def write_table(
         df = with_row_index(df, order_by, "index").select("index", *[quoted(c) for c in names])
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV, escapeQuotes=True)
     writer.format(kind).save(path)
     return path
 
@@ -137,7 +160,7 @@ INTEGER_WIDTHS = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
 
 def narrow_plan(df: DataFrame, narrow_floats: bool = False) -> DataFrame:
     """``(column, dtype, target, dictionary_candidate)`` from each column's range and distinct share."""
-    names = plain_columns(df)
+    names = groupable_columns(df)
     facts = per_column(
         df,
         names,
@@ -198,16 +221,21 @@ def _fixed_width(dtype: T.DataType) -> int | None:
 def storage_footprint(df: DataFrame) -> DataFrame:
     """``(column, dtype, bytes, narrowed_bytes)``: data size now and after narrowing.
 
-    Fixed-width values count their width, text its bytes; a dictionary-encoded text column is not counted
+    Fixed-width values count their width, arrays of them the width of their elements, text its bytes, other nested
+    values the bytes of their JSON text; a dictionary-encoded text column is not counted
     as narrower, because the files encode dictionaries by themselves.
     """
-    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+    names = groupable_columns(df)
 
     def size(c: Column, dtype: T.DataType) -> Column:
         width = _fixed_width(dtype)
         if width is not None:
             return F.count(c) * F.lit(width).cast("bigint")
-        return F.coalesce(F.sum(F.octet_length(c.cast("string")).cast("bigint")), F.lit(0).cast("bigint"))
+        if isinstance(dtype, T.ArrayType) and _fixed_width(dtype.elementType) is not None:
+            filled = F.size(F.filter(c, lambda x: x.isNotNull())).cast("bigint") * _fixed_width(dtype.elementType)
+            return F.coalesce(F.sum(F.when(c.isNotNull(), filled)), F.lit(0).cast("bigint"))
+        text = nested_text(c, dtype) if isinstance(dtype, NESTED) else c.cast("string")
+        return F.coalesce(F.sum(F.when(c.isNotNull(), F.octet_length(text).cast("bigint"))), F.lit(0).cast("bigint"))
 
     sizes = per_column(df, names, {"bytes": size, "_values": lambda c, _: F.count(c)})
     width = F.create_map(*[F.lit(x) for item in INTEGER_WIDTHS.items() for x in item])
