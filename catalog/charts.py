@@ -44,7 +44,7 @@ def _heatmap_sql(a, b, source, levels, metric):
 SELECT v1, v2, n, {r(value + '::DOUBLE')} AS value FROM m"""
 
 
-register("crosstab_heatmap", lambda s, d: rounded(reshape.crosstab_heatmap(table(s, d, "part"), "p_name", "p_brand")), _heatmap_sql("p_name", "p_brand", "part", 30, "lift"))
+register("crosstab_heatmap", lambda s, d: rounded(reshape.crosstab_heatmap(table(s, d, "part"), "p_name", "p_brand", max_levels=30)), _heatmap_sql("p_name", "p_brand", "part", 30, "lift"))
 register("crosstab_heatmap_count", lambda s, d: rounded(reshape.crosstab_heatmap(table(s, d, "documents"), "lang", "source", "count", 5)), _heatmap_sql("lang", "source", "documents", 5, "count"))
 register(
     "transpose",
@@ -169,7 +169,7 @@ register("box_stats_events", lambda s, d: rounded(chartdata.box_stats(events(s,
 register("box_stats_by", lambda s, d: rounded(chartdata.box_stats_by(events(s, d), "event_type", "value")), box_by_sql("event_type", "value", "events"))
 register(
     "box_stats_by_many",
-    lambda s, d: rounded(chartdata.box_stats_by(table(s, d, "part"), "p_name", "p_retailprice")),
+    lambda s, d: rounded(chartdata.box_stats_by(table(s, d, "part"), "p_name", "p_retailprice", top=15)),
     box_by_sql("p_name", "p_retailprice", "part", "SELECT p_name FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15"),
 )
 
@@ -247,7 +247,16 @@ register(
     lambda s, d: chartdata.index_scatter(table(s, d, "orders"), "o_totalprice", "o_orderkey", cap=None),
     "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS value FROM orders",
 )
-register("index_scatter_sampled", lambda s, d: chartdata.index_scatter(lineitem(s, d), "l_quantity", ["l_orderkey", "l_linenumber"], cap=10_000))
+
+
+def _sampled_points(s, d):
+    """A sampled scatter: its size, and how many of its points are not points of the whole."""
+    whole = chartdata.index_scatter(lineitem(s, d), "l_extendedprice", ["l_extendedprice", "l_orderkey", "l_linenumber"])
+    some = chartdata.index_scatter(lineitem(s, d), "l_extendedprice", ["l_extendedprice", "l_orderkey", "l_linenumber"], cap=2_000)
+    return some.agg(F.count(F.lit(1)).alias("n")).join(some.join(whole, ["idx", "value"], "left_anti").agg(F.count(F.lit(1)).alias("foreign_points")))
+
+
+register("index_scatter_sampled", _sampled_points, "SELECT least(count(*), 2000) AS n, 0::BIGINT AS foreign_points FROM lineitem")
 register("line_points", lambda s, d: chartdata.line_points(table(s, d, "orders"), "o_totalprice", "o_orderkey"), "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS value FROM orders ORDER BY o_orderkey LIMIT 100")
 
 
@@ -267,7 +276,7 @@ register("hexbin", lambda s, d: rounded(chartdata.hexbin(lineitem(s, d), "l_quan
 register("hexbin_square", lambda s, d: rounded(chartdata.hexbin(table(s, d, "part"), "p_size", "p_retailprice", 20, square=True), 4), hexbin_sql("p_size", "p_retailprice", "part", 20, square=True))
 register(
     "scatter_or_hexbin",
-    lambda s, d: rounded(chartdata.scatter_or_hexbin(lineitem(s, d), "l_quantity", "l_extendedprice", limit=5_000)[1], 4),
+    lambda s, d: rounded(chartdata.scatter_or_hexbin(lineitem(s, d), "l_quantity", "l_extendedprice", kind="hexbin"), 4),
     hexbin_sql("l_quantity", "l_extendedprice", "lineitem", 40),
 )
 register(
@@ -275,7 +284,22 @@ register(
     lambda s, d: rounded(chartdata.regression(lineitem(s, d), "l_quantity", "l_extendedprice")),
     f"SELECT count(*) AS n, {r('regr_slope(l_extendedprice, l_quantity)')} AS slope, {r('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, {r('corr(l_extendedprice, l_quantity)')} AS r FROM lineitem",
 )
-register("regression_band", lambda s, d: rounded(chartdata.regression_band(lineitem(s, d), "l_quantity", "l_extendedprice")))
+# The t quantile by its expansion around the normal one, exact to 1e-9 at these degrees of freedom.
+_Z = 1.959963984540054
+register(
+    "regression_band",
+    lambda s, d: rounded(chartdata.regression_band(lineitem(s, d), "l_quantity", "l_extendedprice"), 4),
+    f"""WITH f AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) AS vx, var_pop(l_extendedprice) AS vy, covar_pop(l_extendedprice, l_quantity) AS c,
+  min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+ g AS (SELECT *, lo + i * (hi - lo) / 99 AS x, {_Z} + ({_Z} ** 3 + {_Z}) / (4 * (n - 2)) + (5 * {_Z} ** 5 + 16 * {_Z} ** 3 + 3 * {_Z}) / (96 * (n - 2) ** 2) AS t FROM f, (SELECT unnest(generate_series(0, 99)) AS i)),
+ e AS (SELECT x, my + c / vx * (x - mx) AS fit, t * sqrt((vy - c * c / vx) * n / (n - 2) * (1 / n + (x - mx) ** 2 / (n * vx))) AS w FROM g)
+SELECT {r('x', 4)} AS x, {r('fit', 4)} AS fit, {r('fit - w', 4)} AS lower, {r('fit + w', 4)} AS upper FROM e""",
+)
+register(
+    "pair_grid_points",
+    lambda s, d: rounded(chartdata.pair_grid(with_gaps(s, d))["points"]),
+    f"SELECT {', '.join(c + '::DOUBLE AS ' + c for c in GAP_NUMBERS)} FROM {_gaps} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in GAP_NUMBERS),
+)
 register("pair_grid", lambda s, d: rounded(chartdata.pair_grid(with_gaps(s, d))["histograms"]), histogram_sql(GAP_NUMBERS, _gaps, 20))
 register("pair_grid_correlations", lambda s, d: rounded(chartdata.pair_grid(with_gaps(s, d))["correlations"]), pearson_sql(GAP_NUMBERS, _gaps))
 
@@ -356,8 +380,32 @@ register(
     f"""SELECT k.k AS component, n.n AS "column", {r('1 + abs(c) * CASE WHEN k.k = 1 THEN 1 ELSE -1 END')} AS explained, {r('(1 + abs(c) * CASE WHEN k.k = 1 THEN 1 ELSE -1 END) / 2')} AS explained_ratio, {r('sqrt(0.5)')} AS loading
 FROM {_R2} c, (SELECT unnest([1, 2]) AS k) k, (SELECT unnest(['l_quantity', 'l_extendedprice']) AS n) n""",
 )
-register("pca", lambda s, d: rounded(multivariate.pca(lineitem(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], keep=["l_orderkey"])))
-register("kmeans", lambda s, d: rounded(multivariate.kmeans_centers(table(s, d, "customer"), ["c_nationkey", "c_acctbal"]), 3))
+# Two standardised columns have the diagonals as their components.
+register(
+    "pca",
+    lambda s, d: multivariate.pca(lineitem(s, d), ["l_extendedprice", "l_quantity"], keep=["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", "l_linenumber", F.round(F.abs("pc1"), 5).alias("pc1_size"), F.round(F.abs("pc2"), 5).alias("pc2_size")
+    ),
+    """WITH z AS (SELECT l_orderkey, l_linenumber, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS a, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS b,
+  corr(l_extendedprice, l_quantity) OVER () AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(abs(CASE WHEN r >= 0 THEN a + b ELSE a - b END) / sqrt(2), 5) AS pc1_size, round(abs(CASE WHEN r >= 0 THEN a - b ELSE a + b END) / sqrt(2), 5) AS pc2_size FROM z""",
+)
+
+
+def _far_groups(s, d):
+    """Customers moved into three groups that are far apart."""
+    group = F.col("c_custkey") % 3
+    return table(s, d, "customer").select("c_custkey", (group * 1_000_000 + F.col("c_acctbal")).alias("x"), ((2 - group) * 500_000 + F.col("c_nationkey")).cast("double").alias("y"))
+
+
+_FAR = "(SELECT c_custkey, c_custkey % 3 AS g, (c_custkey % 3) * 1000000 + c_acctbal AS x, (2 - c_custkey % 3) * 500000 + c_nationkey AS y FROM customer) t"
+register(
+    "kmeans",
+    lambda s, d: rounded(multivariate.kmeans_centers(_far_groups(s, d), ["x", "y"]), 3),
+    f"""SELECT g::INTEGER AS cluster, count(*) AS size, 'x' AS "column", {r('avg(x)', 3)} AS center FROM {_FAR} GROUP BY g
+UNION ALL SELECT g::INTEGER, count(*), 'y', {r('avg(y)', 3)} FROM {_FAR} GROUP BY g""",
+)
+register("kmeans_labels", lambda s, d: multivariate.kmeans(_far_groups(s, d), ["x", "y"], keep=["c_custkey"]).select("c_custkey", F.col("cluster").cast("int").alias("cluster")), f"SELECT c_custkey, g::INTEGER AS cluster FROM {_FAR}")
 _WORDS = r"""SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_'']+')) AS word FROM documents"""
 register("word_frequencies", lambda s, d: text.word_frequencies(table(s, d, "documents"), "text"), f"SELECT word, count(*) AS n FROM ({_WORDS}) w GROUP BY 1 ORDER BY n DESC, word LIMIT 200")
 register(

@@ -40,6 +40,38 @@ register(
 )
 
 
+def _leading_zeros(spark, d):
+    """Codes with leading zeros keep them when mapped to text, and stay numbers when not."""
+    codes = table(spark, d, "part").select("p_partkey", F.lpad(F.col("p_size").cast("string"), 5, "0").alias("code"), F.lpad(F.col("p_size").cast("string"), 5, "0").alias("number"))
+    path = io.write_table(codes, scratch(spark, "codes.csv"), "csv")
+    return io.read_table(spark, path, "csv", dtype_map={"code": "string"}).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "code", F.col("number").cast("bigint").alias("number"))
+
+
+register("read_table_leading_zeros", _leading_zeros, "SELECT p_partkey, lpad(p_size::VARCHAR, 5, '0') AS code, p_size::BIGINT AS number FROM part")
+
+
+def _quoted_csv(name, columns):
+    def run(spark, d):
+        """Texts with quotes, commas and line breaks, as CSV and back."""
+        rows = table(spark, d, name).withColumn("text", F.concat(F.lit('say "hi", '), F.col("text"), F.lit('\nend, "'), F.col(columns.split()[0]).cast("string"), F.lit('"')))
+        path = io.write_table(rows, scratch(spark, f"{name}.csv"), "csv")
+        return io.read_table(spark, path, "csv", schema=columns, multi_line=True)
+
+    return run
+
+
+register(
+    "csv_documents",
+    _quoted_csv("documents", "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+    """SELECT doc_id, 'say "hi", ' || text || chr(10) || 'end, "' || doc_id || '"' AS text, lang, source, n_chars FROM documents""",
+)
+register(
+    "csv_conversations",
+    _quoted_csv("conversations", "conv_id bigint, turn bigint, role string, text string"),
+    """SELECT conv_id, turn, role, 'say "hi", ' || text || chr(10) || 'end, "' || conv_id || '"' AS text FROM conversations""",
+)
+
+
 def _capped(spark, d):
     path = io.write_table(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), scratch(spark, "lineitem.csv"), "csv")
     both = io.union_tables(io.read_table(spark, path, "csv", schema="l_orderkey bigint, l_quantity double", max_rows=10_000), io.read_table(spark, path, "csv", schema="l_orderkey bigint, l_quantity double", nrows=500))
@@ -161,6 +193,11 @@ register(
     lambda s, d: select.filter_contains(table(s, d, "documents"), "text", r"\b(the|der)\b.*data").select("doc_id", "lang"),
     r"SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '\b(the|der)\b.*data', 'i')",
 )
+register(
+    "filter_contains_accents",
+    lambda s, d: select.filter_contains(table(s, d, "documents"), "text", "É[A-Z]*LE").select("doc_id"),
+    "SELECT doc_id FROM documents WHERE regexp_matches(text, '[Éé][a-zA-Z]*[lL][eE]')",
+)
 register(
     "filter_contains_literal",
     lambda s, d: select.filter_contains(table(s, d, "pages"), "url", ".COM/", literal=True).select("page_id", "url"),
@@ -239,8 +276,33 @@ register(
     lambda s, d: select.sort_asc(rated(s, d).select("quality", "doc_id"), "quality").limit(1).select(F.col("quality").isNull().alias("missing_first")),
     "SELECT false AS missing_first",
 )
-register("sample_rows", lambda s, d: select.sample_rows(table(s, d, "lineitem"), 1000))
-register("sample_fraction", lambda s, d: select.sample_fraction(table(s, d, "lineitem"), 0.05))
+
+
+def _sample_facts(s, d):
+    """Size and foreign rows of a sample."""
+    rows = table(s, d, "lineitem")
+    sample = select.sample_rows(rows, 1000).select("l_orderkey", "l_linenumber")
+    foreign = sample.join(rows, ["l_orderkey", "l_linenumber"], "left_anti").agg(F.count(F.lit(1)).alias("foreign_rows"))
+    return sample.agg(F.count(F.lit(1)).alias("n")).join(foreign)
+
+
+def _copies(s, d):
+    """Shares of four equally frequent values in a sample of a table that is nothing but copies."""
+    rows = table(s, d, "lineitem").select((F.col("l_orderkey") % 4).alias("value"))
+    return select.sample_rows(rows, 1000).groupBy("value").agg((F.count(F.lit(1)) / 1000).between(0.15, 0.35).alias("near_its_share"))
+
+
+register(
+    "sample_rows",
+    _sample_facts,
+    "SELECT least(count(*), 1000) AS n, 0::BIGINT AS foreign_rows FROM lineitem",
+)
+register("sample_rows_of_copies", _copies, "SELECT l_orderkey % 4 AS value, count(*) / sum(count(*)) OVER () BETWEEN 0.15 AND 0.35 AS near_its_share FROM lineitem GROUP BY 1")
+register(
+    "sample_fraction",
+    lambda s, d: select.sample_fraction(table(s, d, "lineitem"), 0.05).agg((F.count(F.lit(1)) / table(s, d, "lineitem").agg(F.count(F.lit(1))).scalar()).between(0.03, 0.07).alias("near_its_share")),
+    "SELECT count(*) > 0 AS near_its_share FROM lineitem",
+)
 register(
     "sample_rows_size",
     lambda s, d: select.sample_rows(table(s, d, "lineitem"), 1000).agg(F.count(F.lit(1)).alias("n")).withColumn("short", select.sample_rows(table(s, d, "region"), 10).agg(F.count(F.lit(1))).scalar()),

@@ -19,7 +19,6 @@ from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.select import sample_rows, to_numeric, top_n_plus_others, top_values
 from tablescope.operators.series import rolling_mean
 
-SCATTER_LIMIT = 200_000  # beyond this a scatter plot becomes a hexbin
 SQRT_2PI = math.sqrt(2 * math.pi)
 KERNEL_REACH = 9.0  # exp(-9^2 / 2) < 3e-18: farther grid points do not change a double
 
@@ -114,12 +113,12 @@ def _box(value: Column, q1: Column, q2: Column, q3: Column, k: float) -> list[Co
     ]
 
 
-def box_stats_by(df: DataFrame, cat: str, num: str, max_levels: int = 30, keep: int = 15, k: float = 1.5) -> DataFrame:
-    """Box statistics of ``num`` per level of ``cat``; beyond ``max_levels`` only the ``keep`` largest levels."""
+def box_stats_by(df: DataFrame, cat: str, num: str, top: int | None = None, k: float = 1.5) -> DataFrame:
+    """Box statistics of ``num`` per level of ``cat``; with ``top``, of the largest levels only."""
     rows = df.select(quoted(cat).cast("string").alias("level"), doubles_of(df, num).alias("value")).dropna()
-    sizes = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "level").limit(max_levels + 1).collect()
-    levels = [r["level"] for r in (sizes if len(sizes) <= max_levels else sizes[:keep])]
-    chosen = rows.filter(F.col("level").isin(levels))
+    sizes = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "level")
+    levels = [r["level"] for r in (sizes if top is None else sizes.limit(top)).collect()]
+    chosen = rows if top is None else rows.filter(F.col("level").isin(levels))
     got = exact_quantiles(chosen, ["value"], (0.25, 0.5, 0.75), by="level")
     table = df.sparkSession.createDataFrame(
         [(v, *[got[v, "value", p] for p in (0.25, 0.5, 0.75)]) for v in levels], "level string, q1 double, q2 double, q3 double"
@@ -211,11 +210,10 @@ def center_lines(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.avg(doubles_of(df, column)).alias("mean")).select("mean", q2.alias("median"), q1.alias("q1"), q3.alias("q3"))
 
 
-def kde_by(df: DataFrame, column: str, group: str, max_groups: int = 5, grid: int = 1000) -> DataFrame:
-    """``(level, point, x, density)`` for the first ``max_groups`` levels in sorted order."""
-    levels = [
-        r[0] for r in df.filter(quoted(group).isNotNull()).select(quoted(group)).distinct().orderBy(quoted(group)).limit(max_groups).collect()
-    ]
+def kde_by(df: DataFrame, column: str, group: str, max_groups: int | None = None, grid: int = 1000) -> DataFrame:
+    """``(level, point, x, density)`` for every level, or the first ``max_groups`` in sorted order."""
+    found = df.filter(quoted(group).isNotNull()).select(quoted(group)).distinct().orderBy(quoted(group))
+    levels = [r[0] for r in (found if max_groups is None else found.limit(max_groups)).collect()]
     out = df.sparkSession.createDataFrame([], "level string, point int, x double, density double")
     for level in levels:
         curve = kde(df.filter(quoted(group) == F.lit(level)), column, grid)
@@ -249,16 +247,16 @@ def scatter_points(df: DataFrame, x: str, y: str, log: bool = False) -> DataFram
     return rows.filter((F.col("x") > 0) & (F.col("y") > 0)) if log else rows
 
 
-def scatter_or_hexbin(df: DataFrame, x: str, y: str, log: bool = False, limit: int = SCATTER_LIMIT) -> tuple[str, DataFrame]:
-    """The points, or their hexbin when there are more than ``limit``."""
+def scatter_or_hexbin(df: DataFrame, x: str, y: str, log: bool = False, kind: str = "scatter") -> DataFrame:
+    """The points, or their hexbin with ``kind="hexbin"``, which suits large tables."""
     points = scatter_points(df, x, y, log)
-    if points.count() > limit:
-        return "hexbin", hexbin(points, "x", "y")
-    return "scatter", points
+    if kind not in ("scatter", "hexbin"):
+        raise ValueError(f"unknown kind: {kind}")
+    return hexbin(points, "x", "y") if kind == "hexbin" else points
 
 
-def index_scatter(df: DataFrame, column: str, order_by, cap: int | None = 10_000, seed: int = 42) -> DataFrame:
-    """``(idx, value)`` in row order, sampled down to ``cap`` points."""
+def index_scatter(df: DataFrame, column: str, order_by, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """``(idx, value)`` in row order; with ``cap``, a sample of so many points."""
     indexed = with_row_index(df.select(doubles_of(df, column).alias("value"), *[quoted(o).alias(f"_o{i}") for i, o in enumerate(_list(order_by))]), [f"_o{i}" for i in range(len(_list(order_by)))], "idx")
     points = indexed.select("idx", "value").filter(F.col("value").isNotNull())
     return (sample_rows(points, cap, seed, ["idx"]) if cap else points).orderBy("idx")
@@ -353,14 +351,14 @@ def regression_band(df: DataFrame, x: str, y: str, points: int = 100, level: flo
     return wide.select("x", "fit", (F.col("fit") - F.col("_t") * F.col("_e")).alias("lower"), (F.col("fit") + F.col("_t") * F.col("_e")).alias("upper"))
 
 
-def pair_grid(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 6, sample: int = 100) -> dict[str, DataFrame]:
-    """A 20-bin histogram per column, r per pair, and sampled complete rows for the scatter panels."""
+def pair_grid(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None, sample: int | None = None) -> dict[str, DataFrame]:
+    """A 20-bin histogram per column, r per pair, and the complete rows (with ``sample``, so many) for the scatter panels."""
     names = (list(cols) if cols else numeric_columns(df))[:max_cols]
     rows = df.select(*[doubles_of(df, c).alias(c) for c in names])
     return {
         "histograms": histogram(rows, names, bins=20),
         "correlations": corr_matrix(rows, "pearson", names),
-        "points": sample_rows(rows.dropna(), sample),
+        "points": rows.dropna() if sample is None else sample_rows(rows.dropna(), sample),
     }
 
 
@@ -466,11 +464,11 @@ def donut(df: DataFrame, column: str, n: int = 8, at_most: int = 8) -> DataFrame
 
 # --- dashboards -----------------------------------------------------------------------------------
 
-def smart_numeric(df: DataFrame, column: str, order_by) -> dict[str, DataFrame]:
-    """Histogram, 1000 sampled points, rolling trend and violin of one numeric column."""
+def smart_numeric(df: DataFrame, column: str, order_by, points: int | None = None) -> dict[str, DataFrame]:
+    """Histogram, points (with ``points``, a sample of so many), rolling trend and violin of one numeric column."""
     return {
         "histogram": histogram(df, [column], 30),
-        "scatter": index_scatter(df, column, order_by, cap=1000),
+        "scatter": index_scatter(df, column, order_by, cap=points),
         "trend": rolling_mean(df, _list(order_by)[0], column, 5, 0),
         "violin": violin(df, column),
     }

@@ -43,8 +43,8 @@ def crosstab_wide(df: DataFrame, a: str | None = None, b: str | None = None) ->
     return long.groupBy(F.col("v1").alias(a)).pivot("v2", levels).agg(F.sum("n")).na.fill(0)
 
 
-def crosstab_heatmap(df: DataFrame, a: str, b: str, metric: str = "lift", max_levels: int = 30) -> DataFrame:
-    """``(v1, v2, n, value)`` over the most frequent levels of both columns; value is the count or the lift.
+def crosstab_heatmap(df: DataFrame, a: str, b: str, metric: str = "lift", max_levels: int | None = None) -> DataFrame:
+    """``(v1, v2, n, value)`` over all levels of both columns, or their ``max_levels`` most frequent; value is the count or the lift.
 
     Margins are those of the table that remains after other levels are dropped.
     """
@@ -54,7 +54,9 @@ def crosstab_heatmap(df: DataFrame, a: str, b: str, metric: str = "lift", max_le
         counts = df.select(value.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         return [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(max_levels).collect()]
 
-    cells = crosstab(df, a, b).filter(F.col("v1").isin(leading(a)) & F.col("v2").isin(leading(b)))
+    cells = crosstab(df, a, b)
+    if max_levels is not None:
+        cells = cells.filter(F.col("v1").isin(leading(a)) & F.col("v2").isin(leading(b)))
     n, total = F.col("n").cast("double"), F.sum("n").over(Window.partitionBy(F.lit(0)))
     rows = F.sum("n").over(Window.partitionBy("v1"))
     columns = F.sum("n").over(Window.partitionBy("v2"))

@@ -23,6 +23,7 @@ from tablescope.operators.freq import value_counts
 from tablescope.operators.order import file_order, order_columns, with_row_index
 
 SHALLOW_ROWS = 100_000  # up to here a page is a top-k, beyond it rows are numbered in parallel
+SAMPLED_AT_ONCE = 10_000
 PAGE_SIZES = (10, 5000)
 
 
@@ -101,7 +102,7 @@ def filter_contains(df: DataFrame, column: str, value: str, literal: bool = Fals
     c = quoted(column).cast("string")
     if literal:
         return df.filter(F.contains(F.lower(c), F.lit(value.lower())))
-    return df.filter(c.rlike("(?i)" + value))
+    return df.filter(c.rlike("(?iu)" + value))
 
 
 def apply_filter(df: DataFrame, column: str, condition: str, value: object, on_error: str = "raise") -> DataFrame:
@@ -233,12 +234,23 @@ def sort_desc(df: DataFrame, by: str | None = None) -> DataFrame:
 # --- samples --------------------------------------------------------------------------------------
 
 def sample_rows(df: DataFrame, n: int = 10, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
-    """Exactly ``n`` rows (all if there are fewer), the same ones for the same seed and data.
+    """Exactly ``n`` rows (all if there are fewer), the same ones for the same seed and input files.
 
-    Rows are ranked by a seeded hash of ``keys`` (every plain column by default).
+    Rows are ranked by a seeded hash of ``keys`` (every plain column by default) and of their position, so
+    that copies are drawn one by one. A large ``n`` first takes the rows under a hash bound that leaves
+    little more than ``n`` of them, so that no task passes on ``n`` rows of its own.
     """
     names = list(keys) if keys else plain_columns(df)
-    return df.orderBy(F.xxhash64(F.lit(seed), *[quoted(k) for k in names])).limit(n)
+    place = F.xxhash64(F.lit(seed), *[quoted(k) for k in names], F.monotonically_increasing_id())
+    ranked = df.withColumn("_place", place)
+    if n > SAMPLED_AT_ONCE:
+        total = df.count()
+        share = (n + 8 * math.sqrt(n)) / max(total, 1)
+        if share < 0.5:
+            bounded = ranked.filter(F.col("_place") < F.lit(int((share - 0.5) * 2**64)))
+            if bounded.count() >= n:
+                ranked = bounded
+    return ranked.orderBy("_place").limit(n).drop("_place")
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -247,14 +259,15 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame
 
 # --- values and their counts ----------------------------------------------------------------------
 
-def top_values(df: DataFrame, column: str | None = None, k: int = 10, dropna: bool = True) -> DataFrame:
-    """``(value, n)`` of the ``k`` most frequent values, ties by value."""
+def top_values(df: DataFrame, column: str | None = None, k: int | None = 10, dropna: bool = True) -> DataFrame:
+    """``(value, n)`` of the ``k`` most frequent values (all with ``None``), ties by value."""
     c = column or df.columns[0]
     value = missing_to_null(c, field_type(df, c))
     counted = df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     if dropna:
         counted = counted.filter(F.col("value").isNotNull())
-    return counted.orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
+    ordered = counted.orderBy(F.desc("n"), F.asc_nulls_last("value"))
+    return ordered if k is None else ordered.limit(k)
 
 
 def top_values_all(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
