@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by
+from tests.conftest import by
 
 from tablescope.functions import special
 from tablescope.operators import anova, assoc, corr, kendall

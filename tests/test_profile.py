@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by
+from tests.conftest import by
 
 from tablescope.operators import profile, quality, quantiles
 
@@ -111,8 +111,46 @@ def test_outliers(mix12):
     assert [r["x"] for r in quality.iqr_outlier_rows(mix12, "x").collect()] == [100.0]
 
 
-def test_nested_columns_are_counted_but_not_profiled(spark):
+def test_nested_columns_count_by_content(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], True), (2, None, None)], "id int, v array<float>, b boolean")
-    assert {r["column"] for r in profile.column_profile(df).collect()} == {"id", "b"}
+    got = by(profile.column_profile(df), "column")
+    assert set(got) == {"id", "v", "b"}
+    assert (got["v"]["unique"], got["v"]["nulls"], got["v"]["mean"]) == (1, 1, None)
+    rows = [(1, [1, 2], {"a": 1, "b": 2}), (1, [3, 4], {"a": 1, "b": 2}), (1, [1, 2], {"b": 2, "a": 1}), (1, [1, 2], {"a": 1, "b": 2})]
+    same = spark.createDataFrame(rows, "id int, v array<int>, m map<string,int>")
+    assert quality.duplicate_rows_count(same).first()["duplicates"] == 2
+    assert {(r["column"], r["n_unique"]) for r in profile.nunique(same).collect()} == {("id", 1), ("v", 2), ("m", 1)}
     assert by(quality.missing_count(df), "column")["v"]["missing"] == 1
     assert math.isclose(by(profile.describe(df), "column")["id"]["mean"], 1.5)
+
+
+def test_tails_keep_their_digits():
+    from tablescope.functions.special import f_tail, log_beta
+
+    for d2 in (1e2, 1e4, 1e6):
+        assert math.isclose(f_tail(1.5, 2, d2), (1 + 3 / d2) ** (-d2 / 2), rel_tol=1e-9)
+    for d2 in (1e9, 1e12):  # the limit for two degrees of freedom
+        assert math.isclose(f_tail(1.5, 2, d2), math.exp(-1.5), rel_tol=1e-8)
+    assert math.isclose(log_beta(2000, 3000), math.lgamma(2000) + math.lgamma(3000) - math.lgamma(5000), rel_tol=1e-12)
+    assert math.isclose(log_beta(3, 5000), math.log(2 / (5000.0 * 5001 * 5002)), rel_tol=1e-12)
+
+
+def test_functions_travel_with_the_task(tmp_path):
+    """A session started elsewhere, whose workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+import tablescope
+from tablescope.functions.special import chi2_sf
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("P", round(spark.range(1).select(chi2_sf(F.lit(2.0), F.lit(2.0)).alias("p")).first().p, 6))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert f"P {round(math.exp(-1), 6)}" in done.stdout, done.stderr[-2000:]

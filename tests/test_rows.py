@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by
+from tests.conftest import by
 from pyspark.sql import functions as F
 
 from tablescope.operators import chartdata, multivariate, order, reshape, select, series, text
