@@ -257,11 +257,7 @@ register(
 def _deep_page(s, d):
     """A page far into the table, reached through row numbers instead of a top-k."""
     rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    shallow, select.SHALLOW_ROWS = select.SHALLOW_ROWS, 0
-    try:
-        return select.page(rows, 9, 200, ["l_orderkey", "l_linenumber"])
-    finally:
-        select.SHALLOW_ROWS = shallow
+    return select.page(rows, 9, 200, ["l_orderkey", "l_linenumber"], deep=True)
 
 
 register("page", lambda s, d: select.page(table(s, d, "orders"), 3, 100, "o_orderkey"), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 300")

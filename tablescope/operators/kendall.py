@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.kinds import doubles, quoted
+from tablescope.operators.order import materialize
 
-POINTS_PER_BLOCK = 200_000
-MAX_BLOCKS = 20_000  # block counts form a grid of at most (2 * MAX_BLOCKS)^2 entries
+POINTS_PER_BLOCK = 2_000_000  # 24 bytes each within one task
 
 
 def kendall(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -34,7 +34,8 @@ def kendall(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def _pair(df: DataFrame, a: str, b: str) -> DataFrame:
     complete = doubles(df, [a, b]).select(quoted(a).alias("x"), quoted(b).alias("y"))
-    points = (
+    # Written once: the counts below all read these points.
+    points = materialize(
         complete.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     )
     discordant = _discordant(points)
@@ -61,7 +62,7 @@ def _pair(df: DataFrame, a: str, b: str) -> DataFrame:
 def _discordant(points: DataFrame) -> float:
     """Number of row pairs ordered one way in x and the other way in y."""
     size = points.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, min(MAX_BLOCKS, -(-size // POINTS_PER_BLOCK)))
+    blocks = max(1, -(-size // POINTS_PER_BLOCK))
     edges_x, edges_y = _edges(points, blocks)
     placed = points.withColumn("bx", _block(F.col("x"), edges_x)).withColumn("by", _block(F.col("y"), edges_y))
 
@@ -134,7 +135,7 @@ def _across_blocks(placed: DataFrame) -> float:
     """Discordant pairs between points that differ in both blocks, from the block counts.
 
     For a block (bx, by) these are the points in later x-blocks and earlier y-blocks: a running sum down
-    each y-block column, then one along each x-block row, each over at most 2 * MAX_BLOCKS entries.
+    each y-block column, then one along each x-block row, each over twice as many entries as there are blocks.
     """
     cells = placed.groupBy("bx", "by").agg(F.sum("c").cast("double").alias("c"))
     xs = cells.select("bx").distinct()

@@ -167,24 +167,27 @@ def preview(df: DataFrame, n: int = 1000, max_chars: int = 50, order_by=None) ->
 
 # --- slices and pages -----------------------------------------------------------------------------
 
-def slice_rows(df: DataFrame, start: int, end: int, cols: Sequence[str] | None = None, order_by=None) -> DataFrame:
+def slice_rows(df: DataFrame, start: int, end: int, cols: Sequence[str] | None = None, order_by=None, deep: bool | None = None) -> DataFrame:
     """Rows ``start`` … ``end`` (1-based, inclusive, clamped) of the ordered table.
 
-    Without ``order_by`` the stored order of a Parquet scan is used.
+    Without ``order_by`` the stored order of a Parquet scan is used. ``deep`` says whether rows are numbered in
+    parallel or found by a top-k, which gives the same rows; by default that depends on how far down they are.
     """
     start, end = max(1, int(start)), int(end)
     if end < start:
         raise ValueError("invalid range")
-    return _rows_between(df, start - 1, end - start + 1, cols, order_by)
+    return _rows_between(df, start - 1, end - start + 1, cols, order_by, deep)
 
 
-def page(df: DataFrame, page: int, page_size: int = 100, order_by=None, cols: Sequence[str] | None = None) -> DataFrame:
+def page(
+    df: DataFrame, page: int, page_size: int = 100, order_by=None, cols: Sequence[str] | None = None, deep: bool | None = None
+) -> DataFrame:
     """Page ``page`` (from 0); the page size is clamped to 10 … 5000 and the page to the last one."""
     size = min(max(int(page_size), PAGE_SIZES[0]), PAGE_SIZES[1])
     number = max(0, int(page))
     if number:
         number = min(number, max(0, df.count() - 1) // size)
-    return _rows_between(df, number * size, size, cols, order_by)
+    return _rows_between(df, number * size, size, cols, order_by, deep)
 
 
 def page_count(df: DataFrame, page_size: int = 100) -> int:
@@ -192,11 +195,13 @@ def page_count(df: DataFrame, page_size: int = 100) -> int:
     return max(0, df.count() - 1) // size + 1
 
 
-def _rows_between(df: DataFrame, offset: int, count: int, cols, order_by) -> DataFrame:
+def _rows_between(df: DataFrame, offset: int, count: int, cols, order_by, deep: bool | None = None) -> DataFrame:
     names = list(cols) if cols else df.columns
     if order_by is None:
         df, order_by = file_order(df), ["_file_path", "_file_row"]
-    if offset + count <= SHALLOW_ROWS:
+    if deep is None:
+        deep = offset + count > SHALLOW_ROWS
+    if not deep:
         chosen = df.orderBy(*order_columns(order_by)).offset(offset).limit(count)
     else:
         indexed = with_row_index(df, order_by, "_index")
