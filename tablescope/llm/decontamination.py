@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import gram_hashes, pieces, ranges, words
-from tablescope.llm.sides import counted
+from tablescope.llm.sides import counted, received, shared
 
 BLOCK_CHARS = 16 << 20
 _FILTER_BITS = 22
@@ -126,10 +126,10 @@ def contaminated(
     found = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows, min_match))
+        index = shared(docs.sparkSession, index_items(rows, min_match))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            items = received(index)
             for batch in batches:
                 out = []
                 ids = batch.column(0)

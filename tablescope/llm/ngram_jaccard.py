@@ -34,7 +34,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document (doc_id, n_shingles, component_id): size of its set and smallest id that links reach."""
     pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    surveyed, linked = links(pairs, Join(shingle_sets))
+    surveyed, linked = links(pairs, Join(shingle_sets, signature=True))
     rows = surveyed.where("kind = 0").select("doc_id", F.col("id").alias("set_id"), F.col("n").cast("long").alias("n_shingles"))
     groups = components(linked).withColumnRenamed("node", "set_id")
     filled = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

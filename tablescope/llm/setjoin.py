@@ -9,10 +9,12 @@ the token. Tokens frequent enough to make a long list are split over pairs of bl
 together hold every pair of the list.
 
 Within a list, positions and sizes (and, if wished, a parity bitmap of the set) bound the overlap of a
-pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. In a
-long list each set is first compared with the first set alone. A set found similar to it takes its answer from
-there; only the others are then compared with the rest of their lists, which are kept in order of set size so
-that blocks of too small or too large sets are skipped.
+pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. For small
+sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone, and the rest
+if that one fails. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
+there; only the others are then compared with the rest of their lists, and only with sets not already known to
+hang together with them. Lists are kept in order of set size and position, so that blocks of sets that are too small or
+too large are skipped. Signatures (parities of the members by hash bucket) bound the difference of large sets from below.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,15 @@ from tablescope.operators.order import materialize
 SKETCH_SLICE_BITS = 16
 SHORT_LIST = 6
 LONGEST_LIST = 1 << 16  # lists longer than this are split
+FREQUENT = 1024  # tokens of more small sets than this only count together with others
 BLOCK_BYTES = 12 << 20  # aim for what one task of the join holds
-BROADCAST_IDS = 1 << 20
+ENTRIES_A_TASK = 200_000
+PAIRS_AT_ONCE = 1 << 19
+SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
+ASKED_AT_ONCE = 1 << 20  # ids sent to the tasks at once
 
-_ENTRY = ("key", "id", "doc", "unit", "n", "pos")
-_TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32)
+_ENTRY = ("key", "id", "doc", "n", "pos")
+_TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
 
 #: (bytes, offsets) -> (members sorted within each set, bounds of the sets, row of each set, number of the set in its row)
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -50,7 +58,8 @@ class Join:
     sets: Sets
     num: int = 4
     den: int = 5
-    bitmap: bool = False
+    bitmap: bool = False  # for small sets: parities of the members by 128 buckets travel with each entry
+    signature: bool = False  # for large sets: parities by 512 or more buckets, looked up for chosen pairs
     sketch_bits: int = 22
     skip_single: bool = False  # tokens that one set has can't be shared
     only_earlier: bool = False  # asked is whether an earlier set is similar, else how sets hang together
@@ -60,34 +69,60 @@ def _ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(row_sums(mixed(values), bounds) + mixed(np.diff(bounds).astype(np.uint64)))
 
 
+def _signatures(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parities of the members by hash bucket: four or more buckets per member, 512 at least, a power of two."""
+    width = 1 << np.maximum(9, np.ceil(np.log2(np.maximum(4 * np.diff(bounds), 1))).astype(np.int64))
+    ends = np.cumsum(width)
+    owner = np.repeat(np.arange(len(width)), np.diff(bounds))
+    bucket = (ends - width)[owner] + (values & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(bucket, minlength=int(width.sum())).astype(np.uint8) & 1).tobytes()
+    return [raw[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist())]
+
+
+def _folded(signatures: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) over fewer buckets."""
+    while signatures.shape[1] > words:
+        half = signatures.shape[1] // 2
+        signatures = signatures[:, :half] ^ signatures[:, half:]
+    return signatures
+
+
 def _docs(batch: pa.RecordBatch) -> np.ndarray:
     """Document ids; a missing one sorts last."""
     return batch.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
 def survey(docs: DataFrame, join: Join) -> DataFrame:
-    """One row per set (kind 0: doc_id, unit, id, n) and packed token counts (kind 1: unit the slice)."""
+    """One row per set (kind 0: doc_id, unit, id, n, blob the signature) and packed token counts (kind 1: unit the slice)."""
     schema = "kind int, doc_id long, unit int, id long, n int, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << join.sketch_bits, np.uint32)
         shift = np.uint64(64 - join.sketch_bits)
+        width = 1 << min(SKETCH_SLICE_BITS, join.sketch_bits)
         pending, held = [], 0
 
-        def add() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal pending, held
-            if pending:
-                counts[:] += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.uint32)
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *pending]), return_counts=True)
+            slices, firsts = np.unique(found // width, return_index=True)
+            blobs = []
+            for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(found)]):
+                blobs.append(zlib.compress((found[a:b] % width).astype(np.uint16).tobytes() + counts[a:b].astype(np.uint32).tobytes(), 1))
+            n = len(slices)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(slices.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())],
+                names=["kind", "doc_id", "unit", "id", "n", "blob"],
+            )
             pending, held = [], 0
 
         for batch in batches:
             ids = batch.column(0)
             for first, _, data, offsets in pieces(batch.column(1)):
                 values, bounds, rows, units = join.sets(data, offsets)
-                pending.append((values >> shift).astype(np.int64))
+                pending.append((values >> shift).astype(np.int32))
                 held += len(values)
                 if held > 1 << 22:
-                    add()
+                    yield from flush()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.zeros(len(rows), np.int32)),
@@ -95,21 +130,11 @@ def survey(docs: DataFrame, join: Join) -> DataFrame:
                         pa.array(units.astype(np.int32)),
                         pa.array(_ids(values, bounds).view(np.int64)),
                         pa.array(np.diff(bounds).astype(np.int32)),
-                        pa.nulls(len(rows), pa.binary()),
+                        pa.array(_signatures(values, bounds), pa.binary()) if join.signature else pa.nulls(len(rows), pa.binary()),
                     ],
                     names=["kind", "doc_id", "unit", "id", "n", "blob"],
                 )
-        add()
-        blobs, slices = [], []
-        for k, part in enumerate(counts.reshape(-1, 1 << min(SKETCH_SLICE_BITS, join.sketch_bits))):
-            if part.any():
-                slices.append(k)
-                blobs.append(zlib.compress(part.tobytes(), 1))
-        n = len(slices)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(slices, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())],
-            names=["kind", "doc_id", "unit", "id", "n", "blob"],
-        )
+        yield from flush()
 
     return materialize(docs.mapInArrow(run, schema))
 
@@ -124,7 +149,9 @@ def rarity(surveyed: DataFrame, join: Join) -> np.ndarray:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.uint64)
         for blob in table.column("blob"):
-            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+            raw = zlib.decompress(blob.as_py())
+            at, n = np.frombuffer(raw, np.uint16, len(raw) // 6), np.frombuffer(raw, np.uint32, len(raw) // 6, len(raw) // 6 * 2)
+            total[at] += n
         code = np.ceil(8 * np.log2(np.maximum(total, 1).astype(np.float64))) + (total > 0)
         return pa.table({"unit": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([np.minimum(code, 255).astype(np.uint8).tobytes()], pa.binary())})
 
@@ -150,12 +177,13 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in names}
 
 
-def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int) -> DataFrame:
-    """(slice, blob): the prefix entries of every set, packed by the slice their token falls in."""
+def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int, total: int, keys: np.ndarray | None = None) -> DataFrame:
+    """(slice, blob): the entries of every set (of some sorted ``keys``, if given), packed by the slice their key falls in."""
     codes_all = docs.sparkSession.sparkContext.broadcast(codes)
+    keys_all = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = codes_all.value
+        codes, keys = codes_all.value, keys_all.value
         shift = np.uint64(64 - join.sketch_bits)
         seen: set[int] = set()
         held: list[dict[str, np.ndarray]] = []
@@ -183,7 +211,7 @@ def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int) -> Dat
         for batch in batches:
             ids_of_docs = _docs(batch)
             for first, _, data, offsets in pieces(batch.column(1)):
-                values, bounds, rows, units = join.sets(data, offsets)
+                values, bounds, rows, _ = join.sets(data, offsets)
                 ids = _ids(values, bounds)
                 sizes = np.diff(bounds)
                 new = np.zeros(len(ids), bool)
@@ -204,33 +232,24 @@ def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int) -> Dat
                 for a, b in zip(inner[:-1].tolist(), inner[1:].tolist()):
                     order_key[a:b].sort()
                 prefix = sizes - -(-join.num * sizes // join.den) + 1
-                at = ranges(inner[:-1], prefix)
-                owner = np.repeat(np.arange(len(chosen)), prefix)
-                entry = {
-                    "key": order_key[at],
-                    "id": ids[chosen][owner],
-                    "doc": ids_of_docs[rows[chosen] + first][owner],
-                    "unit": units[chosen].astype(np.int32)[owner],
-                    "n": sizes.astype(np.int32)[owner],
-                    "pos": (at - inner[:-1][owner]).astype(np.int32),
-                }
+                some = join.den * sizes >= join.num * (sizes + 1)  # a larger set can be similar
+                some |= join.num * sizes <= join.den * (sizes - 1)  # or a smaller one
+                entry, most = _keys(join, order_key, inner, prefix * some, total)
+                owner = entry.pop("owner")
+                entry |= {"id": ids[chosen][owner], "doc": ids_of_docs[rows[chosen] + first][owner], "n": sizes.astype(np.int32)[owner]}
+                entry = {name: entry[name] for name in _ENTRY}
                 if join.bitmap:
                     bit = members & np.uint64(127)
                     low = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
                     high = np.where(bit < 64, np.uint64(0), np.uint64(1) << (bit & np.uint64(63)))
                     entry["low"] = np.bitwise_xor.reduceat(low, inner[:-1])[owner]
                     entry["high"] = np.bitwise_xor.reduceat(high, inner[:-1])[owner]
-                count = (entry["key"] >> np.uint64(56)).astype(np.int64)
-                keep = sizes[owner] > 0
-                if join.skip_single:
-                    keep &= count > 1
-                if not keep.all():
-                    entry = {k: v[keep] for k, v in entry.items()}
-                    count = count[keep]
-                most = 2.0 ** (count / 8)
                 hot = most > LONGEST_LIST
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
+                if keys is not None:
+                    asked = keys[np.minimum(np.searchsorted(keys, entry["key"]), len(keys) - 1)] == entry["key"]
+                    entry = {k: v[asked] for k, v in entry.items()}
                 held.append(entry)
                 size += len(entry["key"])
                 if size > 400_000:
@@ -240,6 +259,38 @@ def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int) -> Dat
     return docs.mapInArrow(run, "slice int, blob binary")
 
 
+def _keys(join: Join, members: np.ndarray, firsts: np.ndarray, prefix: np.ndarray, total: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The keys of sets whose members are in order of rarity, with owner and position, and how many sets may share each.
+
+    A key is a prefix token. With bitmaps, a token that many of the ``total`` sets have makes keys with each later token of a
+    prefix longer by one instead, and so on up to four tokens: similar sets share their first k common tokens within the first
+    prefix + k - 1, so they still share a key.
+    """
+    count = 2.0 ** ((members >> np.uint64(56)).astype(np.int64) / 8)
+    owner, at = np.repeat(np.arange(len(prefix)), prefix), ranges(firsts[:-1], prefix)
+    key, most = members[at], count[at]
+    out: dict[str, list[np.ndarray]] = {"key": [], "owner": [], "pos": [], "most": []}
+    for depth in range(1, 5):
+        keep = count[at] > 1 if join.skip_single else np.ones(len(at), bool)
+        hot = keep & (most > FREQUENT) if join.bitmap and depth < 4 else np.zeros(len(at), bool)
+        give = keep & ~hot
+        for name, values in (("key", key), ("owner", owner), ("pos", at - firsts[:-1][owner]), ("most", most)):
+            out[name].append(values[give])
+        if not hot.any():
+            break
+        owner, at, key, most = owner[hot], at[hot], key[hot], most[hot]
+        ends = np.minimum(firsts[:-1][owner] + prefix[owner] + depth, firsts[1:][owner])
+        n = np.maximum(ends - at - 1, 0)
+        at = ranges(at + 1, n)
+        owner = np.repeat(owner, n)
+        key = mixed(np.repeat(key, n) * np.uint64(0x9E3779B97F4A7C15) + members[at])
+        most = np.repeat(most, n) * count[at] / max(total, 1)
+    entry = {name: np.concatenate(parts) for name, parts in out.items()}
+    most = entry.pop("most")
+    entry["pos"] = entry["pos"].astype(np.int32)
+    return entry, most
+
+
 def _split(entry: dict[str, np.ndarray], hot: np.ndarray, blocks: np.ndarray) -> dict[str, np.ndarray]:
     """Give the entries of frequent tokens to every pair of blocks their set belongs to."""
     at = np.flatnonzero(hot)
@@ -266,83 +317,254 @@ def _possible(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, join: Join
 
 
 def _lists(blobs: list[bytes], join: Join) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Entries of the tokens that several sets have, ordered by token and first place; starts and lengths of the lists."""
+    """Entries of the keys that several sets have, ordered by key and first document; starts and lengths of the lists."""
     e = _unpack(blobs, join)
-    order = np.argsort(e["key"], kind="stable")
+    order = np.argsort(e["key"])
     key = e["key"][order]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:].copy()
     order = order[same]
-    e = {k: v[order] for k, v in e.items()}
-    order = np.lexsort((e["unit"], e["doc"], e["id"], e["key"]))
-    e = {k: v[order] for k, v in e.items()}
     if len(order):
-        once = np.ones(len(order), bool)
-        once[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
-        e = {k: v[once] for k, v in e.items()}
-        order = np.lexsort((e["id"], e["unit"], e["doc"], e["key"]))
-        e = {k: v[order] for k, v in e.items()}
+        order = order[np.argsort(e["doc"][order], kind="stable")]
+        _, once = np.unique(mixed(e["key"][order] ^ mixed(e["id"][order])), return_index=True)  # of copies from several tasks, the first
+        order = order[once]
+    order = order[np.lexsort((e["id"][order], e["doc"][order], e["key"][order]))]
+    e = {k: v[order] for k, v in e.items()}
     starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(order) else np.zeros(0, np.int64)
     return e, starts, np.diff(np.append(starts, len(e["key"])))
 
 
+def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All possible pairs within one list that is in order of first place, as (later, earlier), ordered.
+
+    With ``asked``, only pairs that have an asked set. Sets are compared in order of size, block by block, so that
+    others than those of a fitting size are skipped.
+    """
+    order = start + np.argsort(e["n"][start : start + n], kind="stable")
+    sizes = e["n"][order].astype(np.int64)
+    high = np.searchsorted(sizes, join.den * sizes // join.num, "right")
+    low = np.arange(n) + 1 if asked is None else np.searchsorted(sizes, -(-join.num * sizes // join.den))
+    ask = np.arange(n) if asked is None else np.flatnonzero(asked[order])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    halves = [e[c][order] for c in ("low", "high")]
+    step = max(1, min(256, PAIRS_AT_ONCE // max(1, n)))
+    for block in np.split(ask, np.arange(step, len(ask), step)):
+        if not len(block):
+            continue
+        a, b = int(low[block].min()), int(high[block].max())
+        if a >= b:
+            continue
+        limit = 2 * (join.den - join.num) * int(sizes[b - 1]) // join.den  # no similar pair here differs in more members
+        near = np.bitwise_count(halves[0][block][:, None] ^ halves[0][None, a:b]) + np.bitwise_count(halves[1][block][:, None] ^ halves[1][None, a:b]) <= limit
+        i, j = np.nonzero(near)
+        i, j = block[i], j + a
+        ok = (j >= low[i]) & (j < high[i])
+        i, j = order[i[ok]], order[j[ok]]
+        ok = _possible(e, i, j, join)
+        left.append(i[ok])
+        right.append(j[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+    later, earlier = np.maximum(i, j), np.minimum(i, j)
+    by = np.lexsort((earlier, later))
+    return later[by], earlier[by]
+
+
+def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """All possible pairs of all lists, as (later, earlier), ordered. Lists of moderate length advance side by side."""
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    some = lengths <= SIDE_BY_SIDE
+    for start, n in zip(starts[~some].tolist(), lengths[~some].tolist()):
+        i, j = _close(e, start, n, join, None)
+        later.append(i)
+        earlier.append(j)
+    starts, lengths = starts[some], lengths[some]
+    for lag in range(1, SIDE_BY_SIDE):
+        if lag & (lag - 1) == 0:  # at 1, 2, 4 ...: leave out the lists that are done
+            starts, lengths = starts[lengths > lag], lengths[lengths > lag]
+            at = ranges(starts, lengths)
+            if not len(at):
+                break
+            which = np.repeat(np.arange(len(starts)), lengths)
+            low, high = e["low"][at], e["high"][at]
+            limit = ((join.den - join.num) * e["n"][at].astype(np.int64) // join.num + 1).astype(np.int32)  # more than a similar set differs by
+        differ = np.bitwise_count(low[lag:] ^ low[:-lag]).astype(np.int32) + np.bitwise_count(high[lag:] ^ high[:-lag])
+        k = np.flatnonzero((which[lag:] == which[:-lag]) & (differ <= limit[lag:]))
+        i, j = at[k + lag], at[k]
+        ok = _possible(e, i, j, join)
+        later.append(i[ok])
+        earlier.append(j[ok])
+    i, j = np.concatenate(later), np.concatenate(earlier)
+    by = np.lexsort((j, i))
+    return i[by], j[by]
+
+
+def _asked_pairs(blobs: list[bytes], asked: np.ndarray, join: Join) -> pa.Table:
+    """All possible pairs of the sets in ``asked`` (sorted) with the rest of their lists."""
+    e, starts, lengths = _lists(blobs, join)
+    at = np.minimum(np.searchsorted(asked, e["id"]), len(asked) - 1)
+    is_asked = asked[at] == e["id"]
+    pairs = [np.zeros((2, 0), np.int64)]
+    for start, n in zip(starts.tolist(), lengths.tolist()):
+        if is_asked[start : start + n].any():
+            i, j = (e["id"][k].view(np.int64) for k in _close(e, start, n, join, is_asked))
+            pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    rows = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pa.table({"a": pa.array(rows[0]), "b": pa.array(rows[1])})
+
+
+_FOUND = "kind int, a long, b long, n int, pos int, key long"
+
+
 def _first_pairs(blobs: list[bytes], join: Join) -> pa.Table:
-    """Pairs (kind 0, and 1 if from a long list), sets to look at again (kind 2) and the long lists (kind 3)."""
+    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3)."""
     e, starts, lengths = _lists(blobs, join)
-    kinds, left, right = [], [], []
+    kinds, left, right, keys = [], [], [], []
 
     def give(kind: int, i: np.ndarray, j: np.ndarray) -> None:
-        kinds.append(np.full(len(i), kind))
+        kinds.append(np.full(len(i), kind, np.uint64))
+        if not (join.bitmap and kind == 1):
+            keys.append(np.zeros(len(i), np.uint64))
         left.append(e["id"][i])
         right.append(e["id"][j])
 
+    if join.bitmap:
+        later, earlier = _near_pairs(e, starts, lengths, join)
+        head = np.flatnonzero(np.diff(later, prepend=-1))
+        candidates = np.diff(np.append(head, len(later)))
+        few = np.repeat(candidates <= SHORT_LIST, candidates)
+        give(0, earlier[few], later[few])
+        head = head[candidates > SHORT_LIST]  # the first candidate of each; the others only if it fails
+        give(1, earlier[head], later[head])
+        keys.append(e["key"][later[head]])
+        lengths = lengths[:0]
+        starts = starts[:0]
     short = lengths <= SHORT_LIST
     for a in range(SHORT_LIST - 1):
         for b in range(a + 1, SHORT_LIST):
             s = starts[short & (lengths > b)]
             ok = _possible(e, s + a, s + b, join)
             give(0, s[ok] + a, s[ok] + b)
-    long_at, long_n = starts[~short], lengths[~short] - 1
-    other = ranges(long_at + 1, long_n)
-    head = np.repeat(long_at, long_n)
+    long_at, long_n = starts[~short], lengths[~short]
+    other = ranges(long_at + 1, long_n - 1)
+    head = np.repeat(long_at, long_n - 1)
     ok = _possible(e, head, other, join)
     give(1, head[ok], other[ok])
-    give(2, other[~ok], other[~ok])
-    rows = np.unique(np.stack([np.concatenate(kinds).astype(np.uint64), np.concatenate(left), np.concatenate(right)]), axis=1)
-    blobs_out = []
-    if len(long_at):
-        blobs_out = [_pack({k: v[a : a + n] for k, v in e.items()}) for a, n in zip(long_at, long_n + 1)]
-    n, m = rows.shape[1], len(blobs_out)
-    return pa.table(
-        {
-            "kind": pa.array(np.concatenate([rows[0].astype(np.int32), np.full(m, 3, np.int32)])),
-            "a": pa.array(np.concatenate([rows[1].view(np.int64), np.zeros(m, np.int64)])),
-            "b": pa.array(np.concatenate([rows[2].view(np.int64), np.zeros(m, np.int64)])),
-            "blob": pa.array([None] * n + blobs_out, pa.binary()),
-        }
-    )
+    give(2, head[~ok], other[~ok])
+    rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right, keys)]), axis=1, return_counts=True)
+    whole = ranges(long_at, long_n)
+    none = np.zeros(rows.shape[1], np.int32)
+    columns = {
+        "kind": np.concatenate([rows[0], np.full(len(whole), 3, np.uint64)]).astype(np.int32),
+        "a": np.concatenate([rows[1], e["key"][whole]]).view(np.int64),
+        "b": np.concatenate([rows[2], e["id"][whole]]).view(np.int64),
+        "n": np.concatenate([votes.astype(np.int32), e["n"][whole]]),
+        "pos": np.concatenate([none, e["pos"][whole]]),
+        "key": np.concatenate([rows[3], np.zeros(len(whole), np.uint64)]).view(np.int64),
+    }
+    return pa.table({k: pa.array(v) for k, v in columns.items()})
+
+
+def _differences(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many buckets the signatures differ, a lower bound of the sets' difference."""
+    out = np.zeros(len(x), np.int64)
+    widths = np.stack([pc.binary_length(v).to_numpy(zero_copy_only=False) // 8 for v in (x, y)])
+    for w in np.unique(widths, axis=1).T:
+        at = np.flatnonzero((widths == w[:, None]).all(axis=0))
+        for part in np.array_split(at, max(1, len(at) * int(w.max()) // (1 << 20))):
+            a, b = (np.frombuffer(b"".join(v.take(pa.array(part)).to_pylist()), np.uint64).reshape(len(part), n) for v, n in zip((x, y), w))
+            words = min(a.shape[1], b.shape[1])
+            out[part] = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum(axis=1, dtype=np.int64)
+    return out
+
 
+def _likely(pairs: DataFrame, surveyed: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures leave possible."""
+    if not join.signature:
+        return pairs
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    known = surveyed.where("kind = 0").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("blob").alias("s"), F.first("n").alias("n"))
+    both = pairs.join(known.withColumnsRenamed({"id": "a", "s": "x", "n": "p"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "y", "n": "q"}), "b")
 
-def _further_pairs(blob: bytes, again: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """All possible pairs of the sets in ``again`` with the rest of one long list."""
-    e, _, _ = _lists([blob], join)
-    order = np.lexsort((e["pos"], e["n"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("p").to_numpy().astype(np.int64) + batch.column("q").to_numpy()
+            need = -(-join.num * total // (join.num + join.den))
+            ok = pa.array(_differences(batch.column("x"), batch.column("y")) <= total - 2 * need)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return both.select("a", "b", "p", "q", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _further_pairs(table: pa.Table, join: Join) -> pa.Table:
+    """All possible pairs of the asked sets with the rest of their long lists, but for those that hang together already."""
+    e = {k: table.column(k).to_numpy() for k in ("list", "id", "n", "pos", "group", "asked")}
+    order = np.lexsort((e["pos"], e["n"], e["list"]))
     e = {k: v[order] for k, v in e.items()}
-    at = np.searchsorted(again, e["id"])
-    ask = np.flatnonzero(again[np.minimum(at, len(again) - 1)] == e["id"]) if len(again) else np.zeros(0, np.int64)
-    left, right = [], []
-    n = e["n"].astype(np.int64)
-    for block in np.array_split(ask, max(1, len(ask) // 256)):
-        low = np.searchsorted(n, -(-join.num * n[block] // join.den))
-        high = np.searchsorted(n, join.den * n[block] // join.num, "right")
-        i, j = np.repeat(block, high - low), ranges(low, high - low)
-        ok = _possible(e, i, j, join)
-        left.append(e["id"][i[ok]])
-        right.append(e["id"][j[ok]])
-    left, right = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
-    return pairs[0], pairs[1]
+    signatures = None
+    if join.signature:
+        signatures = np.concatenate([np.zeros((0, 8), np.uint64), *[_folded(np.frombuffer(x.as_buffer(), np.uint64)[None, :], 8) for x in table.column("signature")]])[order]
+    starts = np.flatnonzero(np.concatenate([[len(order) > 0], e["list"][1:] != e["list"][:-1]])[: len(order)])
+    pairs = [np.zeros((2, 0), np.int64)]
+    for start, end in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+        n = e["n"][start:end].astype(np.int64)
+        ask = np.flatnonzero(e["asked"][start:end])
+        for block in np.array_split(ask, max(1, len(ask) // 256)):
+            low = np.searchsorted(n, -(-join.num * n[block] // join.den))
+            high = np.searchsorted(n, join.den * n[block] // join.num, "right")
+            i, j = start + np.repeat(block, high - low), start + ranges(low, high - low)
+            ok = _possible(e, i, j, join)
+            ok &= e["group"][i] != e["group"][j]
+            i, j = i[ok], j[ok]
+            if signatures is not None and len(i):
+                total = e["n"][i].astype(np.int64) + e["n"][j]
+                need = -(-join.num * total // (join.num + join.den))
+                ok = np.bitwise_count(signatures[i] ^ signatures[j]).sum(axis=1, dtype=np.int64) <= total - 2 * need
+                i, j = i[ok], j[ok]
+            if len(i):
+                pairs.append(np.unique(np.stack([np.minimum(e["id"][i], e["id"][j]), np.maximum(e["id"][i], e["id"][j])]), axis=1))
+    pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+
+def _asking(wanted: Broadcast, join: Join) -> Callable[[pa.Table], pa.Table]:
+    def ask(table: pa.Table) -> pa.Table:
+        return _asked_pairs([b.as_py() for b in table.column("blob")], wanted.value, join)
+
+    return ask
+
+
+def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFrame]) -> DataFrame:
+    """All possible pairs (a, b) of the sets (id) in their lists (key) of ``again``, which go to the tasks in blocks of bounded size."""
+    blocks = -(-again.count() // ASKED_AT_ONCE)
+    new = None
+    for k in range(blocks):
+        rows = again.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).toPandas()
+        ids, keys = (np.unique(rows[c].to_numpy(np.int64).view(np.uint64)) for c in ("id", "key"))
+        wanted = again.sparkSession.sparkContext.broadcast(ids)
+        part = packed(keys).groupBy("slice").applyInArrow(_asking(wanted, join), "a long, b long")
+        new = part if new is None else new.union(part)
+    return new.distinct()
+
+
+def _more(found: DataFrame, surveyed: DataFrame, groups: DataFrame, again: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that the sets in ``again`` still have to be tested in."""
+    entries = found.where("kind = 3").select(F.col("a").alias("list"), F.col("b").alias("id"), "n", "pos")
+    entries = (
+        entries.join(groups.withColumnRenamed("node", "id"), "id", "left")
+        .join(again.withColumn("asked", F.lit(True)), "id", "left")
+        .select("list", "id", "n", "pos", F.coalesce("component", "id").alias("group"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    )
+    entries = materialize(entries)
+    mixed_lists = entries.groupBy("list").agg(F.max("asked").alias("some"), (F.min("group") != F.max("group")).alias("several")).where("some AND several")
+    entries = entries.join(mixed_lists.select("list"), "list", "left_semi")
+    if join.signature:
+        ids = entries.select("id").distinct()
+        known = surveyed.where("kind = 0").join(ids, "id", "left_semi").groupBy("id").agg(F.first("blob").alias("signature"))
+        entries = entries.join(known, "id")
+    tasks = max(8, found.where("kind = 3").count() // ENTRIES_A_TASK)
+    dealt = entries.withColumn("task", F.pmod(F.xxhash64("list"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(lambda table: _further_pairs(table, join), "a long, b long").distinct()
 
 
 def _members(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -366,7 +588,7 @@ def _members(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join)
 
 
 def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """The pairs with an added ``linked``, by the exact overlap of the two sets."""
+    """The pairs (a, b) that are similar enough, by the exact overlap of the two sets."""
     members = _members(docs, surveyed, pairs, join)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,14 +600,13 @@ def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -
                 both.sort()
                 overlap = int((both[1:] == both[:-1]).sum())
                 verdict.append(join.den * overlap >= join.num * (len(both) - overlap))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(verdict, pa.bool_())], names=["a", "b", "linked"]
-            )
+            similar = pa.array(verdict, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(similar), batch.column("b").filter(similar)], names=["a", "b"])
 
     joined = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(
         members.select(F.col("id").alias("b"), F.col("members").alias("y")), "b"
     )
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"))
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _later(linked: DataFrame, surveyed: DataFrame) -> DataFrame:
@@ -415,43 +636,46 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     surveyed = survey(docs, join)
     codes = rarity(surveyed, join)
     entries = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1)).first()[0] or 0
-    slices = int(max(8, entries * (52 if join.bitmap else 36) // BLOCK_BYTES))
-    packed = postings(docs, join, codes, slices).repartition(slices, "slice")
+    slices = int(max(8, entries * (48 if join.bitmap else 32) // BLOCK_BYTES))
+    total = surveyed.where("kind = 0 AND n > 0").count()
+    packed = postings(docs, join, codes, slices, total).repartition(slices, "slice")
 
     def first(table: pa.Table) -> pa.Table:
         return _first_pairs([b.as_py() for b in table.column("blob")], join)
 
-    found = materialize(packed.groupBy("slice").applyInArrow(first, "kind int, a long, b long, blob binary"))
-    pairs = found.where("kind < 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("kind") == 1, F.col("b")).alias("asked"))
-    asked = found.where("kind = 2").select(F.col("a").alias("id"))
-    tested = _links(docs, surveyed, pairs.select("a", "b").distinct(), join)
-    linked = tested.where("linked").select("a", "b")
-    headed = pairs.where("asked IS NOT NULL").distinct()
+    found = materialize(packed.groupBy("slice").applyInArrow(first, _FOUND))
+    pairs = found.where("kind < 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("votes"))
     if join.only_earlier:
-        linked_later = materialize(_later(linked, surveyed))
-        again = asked.union(headed.select(F.col("asked").alias("id"))).distinct().join(linked_later, "id", "left_anti")
-    else:
-        failed = headed.join(tested.where("NOT linked"), ["a", "b"], "left_semi").select(F.col("asked").alias("id"))
-        again = asked.union(failed).distinct()
-    again = materialize(again)
-    blocks = -(-again.count() // BROADCAST_IDS)
-    new = None
-    for k in range(blocks):
-        ids = again.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()["id"].to_numpy(np.int64).view(np.uint64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
-
-        def more(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column("blob"):
-                    i, j = _further_pairs(blob.as_py(), wanted.value, join)
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
-
-        part = found.where("kind = 3").select("blob").repartition(max(8, blocks)).mapInArrow(more, "a long, b long")
-        new = part if new is None else new.union(part)
-    if new is not None:
-        new = materialize(new.distinct().join(tested, ["a", "b"], "left_anti"))
-        found_more = _links(docs, surveyed, new, join).where("linked").select("a", "b")
-        if join.only_earlier:
-            return surveyed, linked_later.union(_later(found_more, surveyed)).distinct()
-        linked = linked.union(found_more)
-    return surveyed, linked_later if join.only_earlier else linked
+        later = materialize(_later(_links(docs, surveyed, pairs.select("a", "b"), join), surveyed))
+        again = materialize(found.where("kind = 1").select(F.col("b").alias("id"), "key").distinct().join(later, "id", "left_anti"))
+        if again.isEmpty():
+            return surveyed, later
+        new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys)).join(pairs, ["a", "b"], "left_anti")
+        return surveyed, later.union(_later(_links(docs, surveyed, materialize(new), join), surveyed)).distinct()
+
+    likely = materialize(_likely(pairs, surveyed, join).join(pairs, ["a", "b"]))
+    # each set is first tested with the one it shares most lists with; most others then hang together with it already
+    ends = likely.select(F.col("a").alias("id"), F.col("b").alias("other"), "votes").union(likely.select(F.col("b").alias("id"), F.col("a").alias("other"), "votes"))
+    best = ends.groupBy("id").agg(F.max_by("other", F.struct("votes", F.negative("other"))).alias("other"))
+    best = materialize(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    linked = _links(docs, surveyed, best, join)
+    groups = materialize(_labels(linked))
+    rest = _apart(likely.join(best, ["a", "b"], "left_anti"), groups).select("a", "b")
+    again = materialize(_apart(found.where("kind IN (1, 2)").select("a", "b").distinct(), groups).select(F.col("b").alias("id")).distinct())
+    if not again.isEmpty():
+        more = materialize(_more(found, surveyed, groups, again, join).join(likely, ["a", "b"], "left_anti"))
+        rest = rest.union(_likely(more, surveyed, join)).distinct()
+    return surveyed, linked.union(_links(docs, surveyed, materialize(rest), join))
+
+
+def _labels(linked: DataFrame) -> DataFrame:
+    """(node, component): a smallest neighbour's smallest neighbour. Nodes of one label hang together; more labels than needed only cost tests."""
+    both = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    once = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("least"))
+    return both.join(once.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("least").alias("least")).toDF("node", "component")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that do not hang together in ``groups`` (node, component)."""
+    known = pairs.join(groups.toDF("a", "p"), "a", "left").join(groups.toDF("b", "q"), "b", "left")
+    return known.where(F.coalesce("p", "a") != F.coalesce("q", "b"))
