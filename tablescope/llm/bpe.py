@@ -1,18 +1,24 @@
 """Byte-level BPE ids of many texts with the tokenizers library, each distinct word of a task encoded once.
 
-The library's splitting pattern starts a token at a lone space between two other characters, so texts fall apart
-there without changing a single id. Only cuts next to characters that are surely no white space are used.
+The library's splitting pattern starts a token at a lone space between two other characters, at an ASCII sign after an
+ASCII letter, and on both sides of a lone line break, so texts fall apart there without changing a single id. Only
+cuts next to characters that are surely no white space are used.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from tablescope.llm.arrays import SPACE, ranges, span_hashes
 
 _MOST_WORDS = 1_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 class WordEncoder:
@@ -23,6 +29,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
@@ -41,9 +48,9 @@ class WordEncoder:
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.array([len(i) for i in ids])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
         firsts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.array([k for i in ids for k in i], np.uint32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
         self.hashes = np.concatenate([self.hashes, hashes[new]])
         self.firsts, self.counts = np.concatenate([self.firsts, firsts]), np.concatenate([self.counts, counts])
         order = np.argsort(self.hashes, kind="stable")
@@ -58,7 +65,18 @@ class WordEncoder:
         before = plain.copy()
         before[1:] |= data[:-1] == 0xC3
         after = plain | (data == 0xC3)
-        cut[1:-1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
+        lone = before[:-2] & after[2:]
+        cut[1:-1] = (data[1:-1] == 0x20) & lone
+        line = np.flatnonzero((data[1:-1] == 0x0A) & lone) + 1
+        cut[line] = True
+        cut[line + 1] = True
+        cut[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
+        raw = data.tobytes()
+        for token in self.added:  # stay whole
+            at = raw.find(token)
+            while at >= 0:
+                cut[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + 1)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))

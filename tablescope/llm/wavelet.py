@@ -28,6 +28,8 @@ from tablescope.llm.arrays import pieces
 from tablescope.llm.bpe import WordEncoder
 
 SHARD_IDS = 1 << 22
+SPLITS_A_TASK = 2  # input splits whose words one task encodes once
+_PIECE = 4 << 20
 _BLOCK = 512
 _MAGIC = b"WVMATRX1"
 
@@ -147,7 +149,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str =
     sent = spark.sparkContext.broadcast(tokenizer_json)
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     keys = ["doc_id", "_hash", "_copy"]
-    parts = max(8, docs.rdd.getNumPartitions())
+    parts = max(8, docs.rdd.getNumPartitions() // SPLITS_A_TASK)
     ordered = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str =
             ids_of, counts, held, size = [], [], [], 0
 
         for batch in batches:
-            for first, end, data, offsets in pieces(batch.column(1)):
+            for first, end, data, offsets in pieces(batch.column(1), _PIECE):
                 ids, bounds = encoder.encode(data, offsets)
                 ids = np.insert(ids, bounds[1:], end_id).astype(np.uint16 if planes <= 16 else np.uint32)
                 ids_of.append(batch.column(0).slice(first, end - first))
