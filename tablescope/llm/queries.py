@@ -6,10 +6,11 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, token_counts, toxicity, wavelet
-from tablescope.operators.order import shared_folder, with_row_index
+from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,14 +37,17 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Flat token files of all documents, scanned; a document's number in the files is its rank by id."""
+    """Flat token files of all documents, scanned; documents are told by their place, files being written in table order."""
     path = f"{shared_folder(spark).rstrip('/')}/flat-{uuid.uuid4().hex}"
     docs = _table(spark, folder, "documents")
     with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
         token_counts.write_flat(docs, path, file.read())
-    counts = token_counts.token_counts(spark, path)
-    ranks = with_row_index(docs.select("doc_id"), "doc_id", "doc_no")
-    return counts.join(ranks, "doc_no", "left").select("doc_id", "doc_no", "start", "n_tokens")
+    places = docs.select("doc_id", F.monotonically_increasing_id().alias("place"))
+    places = places.select("doc_id", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    parts = places.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    ranks = places.join(F.broadcast(parts), "part").select("doc_id", (F.col("first") + F.col("row")).alias("doc_no"))
+    return token_counts.token_counts(spark, path).join(ranks, "doc_no", "left").select("doc_id", "doc_no", "start", "n_tokens")
 
 
 def op5_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:

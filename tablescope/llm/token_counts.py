@@ -7,7 +7,7 @@ gives each block the ids and documents before it and where its open document beg
 
 Files are read in the order of the number in their name, then of the name. Defined cases: no files or empty files give no rows;
 two end ids in a row enclose an empty document of 0 ids; ids after the last end id are one more document with
-``closed`` false. Written texts that are missing or empty are empty documents; rows with one id keep an order by a hash of the text.
+``closed`` false. Written texts that are missing or empty are empty documents.
 """
 
 from __future__ import annotations
@@ -26,29 +26,25 @@ from tablescope.operators.order import materialize
 BLOCK_IDS = 1 << 20
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Write ids as 16-bit numbers in ascending document order: 0 ends a document, every other id is the tokenizer's plus 1.
+def write_flat(docs: DataFrame, path: str, tokenizer_json: str, text_column: str = "text") -> None:
+    """Write ids as 16-bit numbers, in the order of the rows: 0 ends a document, every other id is the tokenizer's plus 1.
 
     Spark's text writer puts the end id, two zero bytes, after each row; ids never hold it, as none of them is 0.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tokenizer_json)
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    keys = ["doc_id", "_hash", "_copy"]
-    parts = max(8, docs.rdd.getNumPartitions())
-    ordered = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(sent.value)
         if encoder.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for _, _, data, offsets in pieces(batch.column(0), 4 << 20):
                 ids, bounds = encoder.encode(data, offsets)
                 raw = pa.py_buffer((ids + 1).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), raw])], names=["ids"])
 
-    ordered.select("text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0\0").text(path)
+    texts.mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0\0").text(path)
 
 
 def blocks(spark: SparkSession, path: str, end_id: int = 0, width: int = 2) -> DataFrame:
