@@ -37,7 +37,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """``docs`` with later similar lines removed from the text, and added ``n_lines`` and ``n_removed``."""
     key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1))
     pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    surveyed, later = links(pairs, Join(line_sets, bitmap=True, sketch_bits=24, skip_single=True, only_earlier=True))
+    surveyed, later = links(pairs, Join(line_sets, bitmap=True, sketch_bits=23, skip_single=True, only_earlier=True))
     decided = first_places(surveyed).join(later.withColumn("later", F.lit(True)), "id", "left").where("later OR rows > 1")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit")
     gone = (

@@ -177,9 +177,8 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in names}
 
 
-def postings(docs: DataFrame, join: Join, codes: np.ndarray, slices: int, total: int, keys: np.ndarray | None = None) -> DataFrame:
+def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, keys: np.ndarray | None = None) -> DataFrame:
     """(slice, blob): the entries of every set (of some sorted ``keys``, if given), packed by the slice their key falls in."""
-    codes_all = docs.sparkSession.sparkContext.broadcast(codes)
     keys_all = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +334,22 @@ def _lists(blobs: list[bytes], join: Join) -> tuple[dict[str, np.ndarray], np.nd
     return e, starts, np.diff(np.append(starts, len(e["key"])))
 
 
+def _leading(later: list[np.ndarray], earlier: list[np.ndarray], most: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The pairs ordered by the later set, and of each later set only the ``most`` first ones, if given."""
+    i, j = np.concatenate([np.zeros(0, np.int64), *later]), np.concatenate([np.zeros(0, np.int64), *earlier])
+    by = np.lexsort((j, i))
+    i, j = i[by], j[by]
+    if most is not None and len(i):
+        firsts = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(firsts, np.diff(np.append(firsts, len(i))))
+        i, j = i[rank < most], j[rank < most]
+    return [i], [j]
+
+
 def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """All possible pairs within one list that is in order of first place, as (later, earlier), ordered.
+    """The possible pairs within one list that is in order of first place, as (later, earlier), ordered.
 
-    With ``asked``, only pairs that have an asked set. Sets are compared in order of size, block by block, so that
+    Of each later set the first few, one more than are tested at once; with ``asked``, all pairs that have an asked set. Sets are compared in order of size, block by block, so that
     others than those of a fitting size are skipped.
     """
     order = start + np.argsort(e["n"][start : start + n], kind="stable")
@@ -347,6 +358,7 @@ def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.n
     low = np.arange(n) + 1 if asked is None else np.searchsorted(sizes, -(-join.num * sizes // join.den))
     ask = np.arange(n) if asked is None else np.flatnonzero(asked[order])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    most, held = (SHORT_LIST + 1 if asked is None else None), 0
     halves = [e[c][order] for c in ("low", "high")]
     step = max(1, min(256, PAIRS_AT_ONCE // max(1, n)))
     for block in np.split(ask, np.arange(step, len(ask), step)):
@@ -362,17 +374,20 @@ def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.n
         ok = (j >= low[i]) & (j < high[i])
         i, j = order[i[ok]], order[j[ok]]
         ok = _possible(e, i, j, join)
-        left.append(i[ok])
-        right.append(j[ok])
-    i, j = np.concatenate(left), np.concatenate(right)
-    later, earlier = np.maximum(i, j), np.minimum(i, j)
-    by = np.lexsort((earlier, later))
-    return later[by], earlier[by]
+        i, j = i[ok], j[ok]
+        left.append(np.maximum(i, j))
+        right.append(np.minimum(i, j))
+        held += len(i)
+        if held > PAIRS_AT_ONCE:
+            left, right = _leading(left, right, most)
+            held = len(left[0]) if asked is None else 0
+    left, right = _leading(left, right, most)
+    return left[0], right[0]
 
 
 def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """All possible pairs of all lists, as (later, earlier), ordered. Lists of moderate length advance side by side."""
-    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """The first few possible pairs of each set and list, as (later, earlier), ordered. Lists of moderate length advance side by side."""
+    later, earlier, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     some = lengths <= SIDE_BY_SIDE
     for start, n in zip(starts[~some].tolist(), lengths[~some].tolist()):
         i, j = _close(e, start, n, join, None)
@@ -394,9 +409,12 @@ def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarra
         ok = _possible(e, i, j, join)
         later.append(i[ok])
         earlier.append(j[ok])
-    i, j = np.concatenate(later), np.concatenate(earlier)
-    by = np.lexsort((j, i))
-    return i[by], j[by]
+        held += int(ok.sum())
+        if held > PAIRS_AT_ONCE:
+            later, earlier = _leading(later, earlier, SHORT_LIST + 1)
+            held = 0
+    later, earlier = _leading(later, earlier, SHORT_LIST + 1)
+    return later[0], earlier[0]
 
 
 def _asked_pairs(blobs: list[bytes], asked: np.ndarray, join: Join) -> pa.Table:
@@ -634,7 +652,7 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     before it; else verified pairs (a, b) that connect all sets which similar pairs connect.
     """
     surveyed = survey(docs, join)
-    codes = rarity(surveyed, join)
+    codes = docs.sparkSession.sparkContext.broadcast(rarity(surveyed, join))
     entries = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1)).first()[0] or 0
     slices = int(max(8, entries * (48 if join.bitmap else 32) // BLOCK_BYTES))
     total = surveyed.where("kind = 0 AND n > 0").count()
