@@ -22,7 +22,6 @@ _FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,15 +46,29 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
+class _Powers:
+    """Powers known so far. They do not travel with pickled functions; each process works out its own."""
+
+    def __init__(self) -> None:
+        self.known = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            factors = np.full(size, base, np.uint64)
+    if len(_powers.known[0]) < n:
+        found = []
+        for base in (_BASE, _BASE_INVERSE):
+            factors = np.full(max(n, 2 * PIECE_BYTES), base, np.uint64)
             factors[0] = 1
-            _powers[k] = np.cumprod(factors, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.cumprod(factors, dtype=np.uint64))
+        _powers.known = tuple(found)
+    return _powers.known[0][:n], _powers.known[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
