@@ -11,7 +11,8 @@ together hold every pair of the list.
 Within a list, positions and sizes (and, if wished, a parity bitmap of the set) bound the overlap of a
 pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. For small
 sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone, and the rest
-if that one fails. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
+if that one fails. That loses nothing where only earlier sets are asked for, as lists are in order of first place: of a set found
+later, all other pairs in the list are with sets before it too. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
 there; only the others are then compared with the rest of their lists, and only with sets not already known to
 hang together with them. Lists are kept in order of set size and position, so that blocks of sets that are too small or
 too large are skipped. Signatures (parities of the members by hash bucket) bound the difference of large sets from below.
@@ -42,10 +43,13 @@ BLOCK_BYTES = 12 << 20  # aim for what one task of the join holds
 ENTRIES_A_TASK = 200_000
 PAIRS_AT_ONCE = 1 << 19
 SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
+MOST_SEEN = 500_000  # sets whose place a task remembers
 ASKED_AT_ONCE = 1 << 20  # ids sent to the tasks at once
 
 _ENTRY = ("key", "id", "doc", "n", "pos")
 _TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
+_BITMAP = (("low", np.uint64), ("high", np.uint64))
+_UNIT = (("unit", np.int32),)
 
 #: (bytes, offsets) -> (members sorted within each set, bounds of the sets, row of each set, number of the set in its row)
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -166,7 +170,7 @@ def _pack(entries: dict[str, np.ndarray]) -> bytes:
 
 
 def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
-    names = [*zip(_ENTRY, _TYPES), *([("low", np.uint64), ("high", np.uint64)] if join.bitmap else [])]
+    names = [*zip(_ENTRY, _TYPES), *(_BITMAP if join.bitmap else ()), *(_UNIT if join.only_earlier else ())]
     width = sum(np.dtype(t).itemsize for _, t in names)
     parts: dict[str, list] = {name: [] for name, _ in names}
     for blob in blobs:
@@ -178,13 +182,16 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
 
 
 def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, keys: np.ndarray | None = None) -> DataFrame:
-    """(slice, blob): the entries of every set (of some sorted ``keys``, if given), packed by the slice their key falls in."""
+    """(slice, blob): the entries of every set (of some sorted ``keys``, if given), packed by the slice their key falls in.
+
+    A set that a task finds again gives its entries again if the place is before the one they were given with.
+    """
     keys_all = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, keys = codes_all.value, keys_all.value
         shift = np.uint64(64 - join.sketch_bits)
-        seen: set[int] = set()
+        seen: dict[int, list[int]] = {}  # the place each set was given with
         held: list[dict[str, np.ndarray]] = []
         size = 0
 
@@ -210,15 +217,19 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
         for batch in batches:
             ids_of_docs = _docs(batch)
             for first, _, data, offsets in pieces(batch.column(1)):
-                values, bounds, rows, _ = join.sets(data, offsets)
+                values, bounds, rows, units = join.sets(data, offsets)
                 ids = _ids(values, bounds)
                 sizes = np.diff(bounds)
+                docs_of_sets = ids_of_docs[rows + first]
+                order = np.lexsort((units, docs_of_sets, ids))
+                order = order[sizes[order] > 0]
+                order = order[np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])[: len(order)])]  # the first place of each
                 new = np.zeros(len(ids), bool)
-                for i, x in enumerate(ids.tolist()):
-                    if sizes[i] and x not in seen:
-                        seen.add(x)
+                for i, x, *place in zip(order.tolist(), ids[order].tolist(), docs_of_sets[order].tolist(), units[order].tolist()):
+                    if x not in seen or place < seen[x]:
+                        seen[x] = place
                         new[i] = True
-                if len(seen) > 2_000_000:
+                if len(seen) > MOST_SEEN:
                     seen.clear()
                 chosen = np.flatnonzero(new)
                 if not len(chosen):
@@ -235,7 +246,7 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 some |= join.num * sizes <= join.den * (sizes - 1)  # or a smaller one
                 entry, most = _keys(join, order_key, inner, prefix * some, total)
                 owner = entry.pop("owner")
-                entry |= {"id": ids[chosen][owner], "doc": ids_of_docs[rows[chosen] + first][owner], "n": sizes.astype(np.int32)[owner]}
+                entry |= {"id": ids[chosen][owner], "doc": docs_of_sets[chosen][owner], "n": sizes.astype(np.int32)[owner]}
                 entry = {name: entry[name] for name in _ENTRY}
                 if join.bitmap:
                     bit = members & np.uint64(127)
@@ -243,6 +254,8 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                     high = np.where(bit < 64, np.uint64(0), np.uint64(1) << (bit & np.uint64(63)))
                     entry["low"] = np.bitwise_xor.reduceat(low, inner[:-1])[owner]
                     entry["high"] = np.bitwise_xor.reduceat(high, inner[:-1])[owner]
+                if join.only_earlier:
+                    entry["unit"] = units[chosen].astype(np.int32)[owner]
                 hot = most > LONGEST_LIST
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
@@ -316,7 +329,7 @@ def _possible(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, join: Join
 
 
 def _lists(blobs: list[bytes], join: Join) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Entries of the keys that several sets have, ordered by key and first document; starts and lengths of the lists."""
+    """Entries of the keys that several sets have, ordered by key and first place; starts and lengths of the lists."""
     e = _unpack(blobs, join)
     order = np.argsort(e["key"])
     key = e["key"][order]
@@ -325,10 +338,10 @@ def _lists(blobs: list[bytes], join: Join) -> tuple[dict[str, np.ndarray], np.nd
     same[:-1] |= same[1:].copy()
     order = order[same]
     if len(order):
-        order = order[np.argsort(e["doc"][order], kind="stable")]
+        order = order[np.lexsort([*(e[c][order] for c in ("unit", "doc") if c in e)])]
         _, once = np.unique(mixed(e["key"][order] ^ mixed(e["id"][order])), return_index=True)  # of copies from several tasks, the first
         order = order[once]
-    order = order[np.lexsort((e["id"][order], e["doc"][order], e["key"][order]))]
+    order = order[np.lexsort([e["id"][order].view(np.int64), *(e[c][order] for c in ("unit", "doc", "key") if c in e)])]
     e = {k: v[order] for k, v in e.items()}
     starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(order) else np.zeros(0, np.int64)
     return e, starts, np.diff(np.append(starts, len(e["key"])))
@@ -628,13 +641,13 @@ def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -
 
 
 def _later(linked: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(id) of the sets with a link to a set whose first place comes before theirs."""
+    """(id) of the sets with a link to a set whose first place comes before theirs; of equal places (rows that share an id), the larger id is later."""
     ends = linked.select(F.col("a").alias("id")).union(linked.select(F.col("b").alias("id"))).distinct()
     places = first_places(surveyed.join(ends, "id", "left_semi")).select("id", "place")
     return (
         linked.join(places.withColumnsRenamed({"id": "a", "place": "at_a"}), "a")
         .join(places.withColumnsRenamed({"id": "b", "place": "at_b"}), "b")
-        .select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id"))
+        .select(F.when(F.col("at_a") <= F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id"))
         .distinct()
     )
 

@@ -1,6 +1,7 @@
 """Line dedup and document joins against brute force, decontamination against plain tiling, with awkward rows."""
 
 import collections
+import random
 
 import pytest
 
@@ -67,6 +68,27 @@ def test_joins_match_brute_force(spark, monkeypatch, short, longest, frequent):
     assert {r.doc_id: r.text for r in dedup_lines(frame(spark, docs, extra=True)).collect()} == deduped(docs)
 
 
+@pytest.mark.parametrize("by_id", [1, -1])
+def test_lines_of_a_template_in_any_row_order(spark, by_id):
+    """Sets with many candidates in a list, within one document and in rows that are not in order of id."""
+    r = random.Random(3)
+    docs = []
+    for d in range(12):
+        lines = []
+        for t in range(6):
+            base = [f"t{t}w{k}" for k in range(20)]
+            for _ in range(6):
+                line = list(base)
+                for at in r.sample(range(20), r.randint(1, 4)):
+                    line[at] = f"v{r.randrange(3)}"
+                lines.append(" ".join(line))
+        r.shuffle(lines)
+        docs.append((d, "\n".join(lines)))
+    docs += [(d + 100, text) for d, text in docs[:3]]
+    table = frame(spark, sorted(docs, key=lambda d: by_id * d[0])).coalesce(1)
+    assert {r.doc_id: r.text for r in dedup_lines(table).collect()} == deduped(docs)
+
+
 def test_joins_on_awkward_tables(spark):
     empty = frame(spark, [])
     assert jaccard_components(empty).collect() == []
