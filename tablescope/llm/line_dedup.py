@@ -3,11 +3,12 @@
 A line is the set of its lower-cased words. Words are ordered by rarity over all lines; prefix,
 positional, length and parity-bitmap filters choose pairs, whose Jaccard similarity is then
 verified on the sets. A line goes if its words equal those of a line before it, or if their similarity with a line before
-it is 0.8 or more; before means a smaller (doc_id, line number), a missing id last. The line before may itself be removed.
+it is 0.8 or more; before means a smaller (doc_id, line number), a missing id last, and a smaller hash where different texts share an id or have none.
+The line before may itself be removed.
 
 Defined cases: a missing text stays missing; lines without a word are never compared and stay; a text whose
-every line with words goes becomes empty. Rows with the same id count as one document, so repeated rows
-get the same text. Extra columns pass through.
+every line with words goes becomes empty. Rows with the same id and text count as one document, so repeated rows
+get the same text; rows that only share an id, or have none, are decided each by itself. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import sorted_sets, words
 from tablescope.llm.setjoin import Join, first_places, links
+from tablescope.llm.sides import row_key
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray):
@@ -35,16 +37,16 @@ def line_sets(data: np.ndarray, offsets: np.ndarray):
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with later similar lines removed from the text, and added ``n_lines`` and ``n_removed``."""
-    key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1))
-    pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    key = row_key(id_column, text_column)
+    pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), key.alias("row"))
     surveyed, later = links(pairs, Join(line_sets, bitmap=True, sketch_bits=23, skip_single=True, only_earlier=True))
     decided = first_places(surveyed).join(later.withColumn("later", F.lit(True)), "id", "left").where("later OR rows > 1")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit")
+    decided = decided.select("id", F.col("row").alias("first_row"), F.col("place.unit").alias("first_unit"), "later")
     gone = (
         surveyed.where("kind = 0")
         .join(decided, "id")
-        .where(F.coalesce("later", F.lit(False)) | (place != F.col("place")))
-        .groupBy(place["doc"].alias("_doc"))
+        .where("coalesce(later, false) OR row != first_row OR unit != first_unit")
+        .groupBy(F.col("row").alias("_doc"))
         .agg(F.collect_set("unit").alias("_gone"))
     )
     text = F.col(f"`{text_column}`")

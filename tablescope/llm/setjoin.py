@@ -97,8 +97,8 @@ def _docs(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def survey(docs: DataFrame, join: Join) -> DataFrame:
-    """One row per set (kind 0: doc_id, unit, id, n, blob the signature) and packed token counts (kind 1: unit the slice)."""
-    schema = "kind int, doc_id long, unit int, id long, n int, blob binary"
+    """One row per set (kind 0: doc_id, row, unit, id, n, blob the signature) and packed token counts (kind 1: unit the slice)."""
+    schema = "kind int, doc_id long, row long, unit int, id long, n int, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - join.sketch_bits)
@@ -114,8 +114,8 @@ def survey(docs: DataFrame, join: Join) -> DataFrame:
                 blobs.append(zlib.compress((found[a:b] % width).astype(np.uint16).tobytes() + counts[a:b].astype(np.uint32).tobytes(), 1))
             n = len(slices)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(slices.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())],
-                names=["kind", "doc_id", "unit", "id", "n", "blob"],
+                [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(slices.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())],
+                names=["kind", "doc_id", "row", "unit", "id", "n", "blob"],
             )
             pending, held = [], 0
 
@@ -131,12 +131,13 @@ def survey(docs: DataFrame, join: Join) -> DataFrame:
                     [
                         pa.array(np.zeros(len(rows), np.int32)),
                         ids.take(pa.array(rows + first)).cast(pa.int64()),
+                        batch.column(2).take(pa.array(rows + first)),
                         pa.array(units.astype(np.int32)),
                         pa.array(_ids(values, bounds).view(np.int64)),
                         pa.array(np.diff(bounds).astype(np.int32)),
                         pa.array(_signatures(values, bounds), pa.binary()) if join.signature else pa.nulls(len(rows), pa.binary()),
                     ],
-                    names=["kind", "doc_id", "unit", "id", "n", "blob"],
+                    names=["kind", "doc_id", "row", "unit", "id", "n", "blob"],
                 )
         yield from flush()
 
@@ -653,18 +654,20 @@ def _later(linked: DataFrame, surveyed: DataFrame) -> DataFrame:
 
 
 def first_places(surveyed: DataFrame) -> DataFrame:
-    """(id, place, rows): where each set is found first, a missing document id last, and how often it is found."""
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit")
-    return surveyed.where("kind = 0 AND n > 0").groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows"))
+    """(id, place, row, rows): where each set is found first, a missing document id last, in which row, and how often it is found."""
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit", "row")
+    least = surveyed.where("kind = 0 AND n > 0").groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows"))
+    return least.select("id", F.struct("place.doc", "place.unit").alias("place"), F.col("place.row").alias("row"), "rows")
 
 
 def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """(surveyed sets, result). ``docs`` has an id and a text column, in this order.
+    """(surveyed sets, result). ``docs`` has an id, a text and a row key column (see ``row_key``), in this order.
 
     The result has, with ``only_earlier``, the (id) of each set that is similar to a set first found
     before it; else verified pairs (a, b) that connect all sets which similar pairs connect.
     """
     surveyed = survey(docs, join)
+    docs = docs.select(*docs.columns[:2])
     codes = docs.sparkSession.sparkContext.broadcast(rarity(surveyed, join))
     entries = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1)).first()[0] or 0
     slices = int(max(8, entries * (48 if join.bitmap else 32) // BLOCK_BYTES))

@@ -1,11 +1,11 @@
-"""Joins against a table whose size is only known once it is there."""
+"""Joins against a table whose size is only known once it is there, and the key by which rows are told apart."""
 
 from __future__ import annotations
 
 import pickle
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.operators.order import materialize
@@ -22,6 +22,11 @@ def received(broadcast: Broadcast):
     return pickle.loads(broadcast.value)
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """A 64-bit hash of id and text: rows with a missing or a shared id are told apart by their texts, repeated rows are not."""
+    return F.xxhash64(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
+
+
 def counted(side: DataFrame) -> DataFrame:
     """``side``, written once; marked for broadcast if it has few rows, else joined by a shuffle. For narrow rows only."""
     side = materialize(side)

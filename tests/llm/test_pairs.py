@@ -101,6 +101,25 @@ def test_joins_on_awkward_tables(spark):
     assert kept == {(None, "", 1), (7, "A b c d e f", 0), (8, None, 0), (9, "", 0)}
 
 
+def test_rows_without_an_id_are_decided_each_by_itself(spark):
+    """A copy among rows that have no id, or share one, costs the others nothing."""
+    a, b, c, d = ("\n".join(f"{name}{k} one{name}{k} two{name}{k} six{name}{k} ten{name}{k}" for k in range(3)) for name in "abcd")
+    first = a.split("\n")[0]
+    docs = [(1, a), (None, f"{first}\n{b}"), (None, c), (None, a), (None, c), (5, d), (5, a), (6, None), (None, None)]
+    table = frame(spark, docs)
+    gone = {(None, f"{first}\n{b}"): b, (None, a): "", (5, a): ""}
+    got = collections.Counter((r.doc_id, r.text) for r in dedup_lines(table).collect())
+    assert got == collections.Counter((i, gone.get((i, t), t)) for i, t in docs)
+    got = collections.Counter((r.doc_id, r.text) for r in one_of_each(table).collect())
+    assert got == collections.Counter(x for x in docs if x not in ((None, a), (5, a)))
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in without_contaminated(table, items).collect())
+    assert got == collections.Counter(x for x in docs if x[1] != a)
+    later = dedup_lines(frame(spark, [(None, f"{c}\n{first}"), (None, f"{d}\n{first}"), (3, f"{b}"), (3, f"{b}\n{d}")])).collect()
+    lines = collections.Counter(line for r in later for line in r.text.split("\n") if line)
+    assert lines == collections.Counter([*b.split("\n"), *c.split("\n"), *d.split("\n"), first])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, k) for k in range(100, 140)] + [(60, 60), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
