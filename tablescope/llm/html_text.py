@@ -7,6 +7,12 @@ length, stop-word and link density: in, out, or undecided. Second pass: undecide
 blocks take the label of the nearest decided blocks before and after, in if both are in; if they
 differ, the nearly good ones are in; headings go with what follows.
 
+Class, id and role words are weak evidence. What only says how a container is laid out (has-sidebar, no-ads, social-enabled) and
+the id of a section or heading say nothing. A container around the marked article, or around more than half of the page's text, is
+never out by its words (but for a single short block); a comment section around so much is, if there is good text outside it. The marked article is the article
+or main with the most text of its own, one outside comment sections first. Within an article, words that sections of articles also have (legal, related,
+notice ...) count only for containers with many links. A link is an anchor with a target; one that is not closed ends at the next block tag.
+
 Defined cases: missing and empty pages have empty text; text outside any tag is a block; an unclosed script, style or
 comment reaches to the end of the page; repeated rows give equal texts. Extra columns are ignored.
 """
@@ -43,6 +49,14 @@ _OUT_WORDS = frozenset(
     comment comments commentlist disqus reply replies discussion related recommended recommendations widget widgets pagination pager
     copyright legal disclaimer search toolbar""".split()
 )
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies discussion".split())
+# Words that real sections of articles have too, and first and last words of names that only tell the layout.
+_SECTION_WORDS = frozenset(
+    "alert consent discussion disclaimer copyright legal notice notices promo promotion recommended recommendations related search share sharing social sponsor sponsors subscription toolbar".split()
+)
+_LAYOUT_FIRST = frozenset("has have with without no not non hide show".split())
+_LAYOUT_LAST = frozenset("enabled disabled open opened closed on off active inactive visible hidden true false".split())
+_NAMED_TAGS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _HEADER_WORDS = frozenset(["header", "headers", "topbar"])
 _ARTICLE_TAGS = frozenset(["article", "main"])
 _BLOCK_TAGS = frozenset(
@@ -57,6 +71,8 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_TARGET = re.compile(r"(?:^|\s)href\s*=", re.I)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 SHORT, LONG = 70, 200  # characters
 LOW_STOP, HIGH_STOP = 0.30, 0.32  # shares of the words
@@ -70,28 +86,91 @@ class Block:
     out: bool
     article: bool
     heading: bool
+    place: int = -1  # innermost container that is out by its words, if any
+    story: int = -1  # innermost article
+
+
+@dataclass
+class Container:
+    """An element that may be out by the words of its class, id or role."""
+
+    parent: int
+    comments: bool
+    by_links: bool  # within an article, by words that its sections have too
+    chars: int = 0
+    links: int = 0
+    blocks: int = 0
+    out: bool = True
 
 
-def _class_words(attributes: str) -> set[str]:
+def _class_words(tag: str, attributes: str) -> set[str]:
     words: set[str] = set()
     for name, *values in _NAMES.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "hidden":
+        value, name = "".join(values), name.lower()
+        if name == "hidden":
             words.add("hidden")
-        else:
-            words.update(w.lower() for w in _WORD.findall(value))
-            words.update(value.lower().split())
+        elif name != "id" or tag not in _NAMED_TAGS:
+            for token in value.split():
+                parts = [w.lower() for w in _WORD.findall(token)]
+                if len(parts) < 2 or not (parts[0] in _LAYOUT_FIRST or parts[-1] in _LAYOUT_LAST):
+                    words.update(parts)
+                    words.add(token.lower())
     return words
 
 
+def _good(b: Block) -> bool:
+    """Whether a block is in by itself."""
+    return len(b.text) > LONG and b.links <= MOST_LINKS * len(b.text) and _stops(b.text) >= HIGH_STOP
+
+
+def _judge(found: list[Block], containers: list[Container], stories: list[tuple[int, bool]]) -> None:
+    """Settle which containers are out by their words, and mark the blocks in them."""
+    own = [0] * len(stories)
+    for b in found:
+        if not b.out:
+            if b.story >= 0:
+                own[b.story] += len(b.text)
+            if b.place >= 0:
+                containers[b.place].chars += len(b.text)
+                containers[b.place].links += b.links
+                containers[b.place].blocks += 1
+    commented: list[bool] = []
+    for c in containers:
+        commented.append(c.comments or (c.parent >= 0 and commented[c.parent]))
+    for c in reversed(containers):
+        if c.parent >= 0:
+            containers[c.parent].chars += c.chars
+            containers[c.parent].links += c.links
+            containers[c.parent].blocks += c.blocks
+    good_outside = any(_good(b) for b in found if not b.out and (b.place < 0 or not commented[b.place]))
+    total = sum(len(b.text) for b in found if not b.out)
+    for c, within in zip(containers, commented):
+        leaf = c.blocks < 2 and c.chars <= LONG
+        if (2 * c.chars > total and not leaf and not (within and good_outside)) or (c.by_links and c.links <= MOST_LINKS * c.chars):
+            c.out = False
+    ranked = [(not (place >= 0 and commented[place]), own[k], -k) for k, (place, out) in enumerate(stories) if not out]
+    if ranked:
+        outside, _, k = max(ranked)
+        place = stories[-k][0] if outside or not good_outside else -1
+        while place >= 0:
+            containers[place].out = False
+            place = containers[place].parent
+    for c in containers:
+        c.out = c.out or (c.parent >= 0 and containers[c.parent].out)
+    for b in found:
+        b.out = b.out or (b.place >= 0 and containers[b.place].out)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in order, with references decoded and white space made single."""
     found: list[Block] = []
     parts: list[str] = []
     links = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, article
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, out, article, container, innermost article
+    containers: list[Container] = []
+    stories: list[tuple[int, bool]] = []  # container and out of each article
     open_tags: dict[str, int] = {}
-    in_link = 0
+    in_link, link_closed = 0, False
     heading = False
 
     def end_block() -> None:
@@ -99,7 +178,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], heading))
+                found.append(Block(text, min(links, len(text)), *(stack[-1][1:3] if stack else (False, False)), heading, *(stack[-1][3:] if stack else ())))
         parts, links = [], 0
 
     def add(text: str) -> None:
@@ -135,6 +214,7 @@ def blocks(page: str) -> list[Block]:
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in _BLOCK_TAGS:
             end_block()
+            in_link = in_link and link_closed
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
         elif tag in _SPACE_TAGS:
             parts.append(" ")
@@ -142,11 +222,14 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if open_tags.get(tag):
-                end_block() if any(s[0] == tag and s[1] for s in stack[-1:]) else None
+                if stack[-1][0] == tag and (stack[-1][1] or stack[-1][3] != (stack[-2][3] if len(stack) > 1 else -1)):
+                    end_block()
                 close(tag)
             continue
         if tag == "a":
-            in_link = 1
+            in_link = int(bool(_TARGET.search(attributes)))
+            following = _ANCHOR.search(page, at) if in_link else None
+            link_closed = following is not None and bool(following[1])
         if tag in _RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -155,23 +238,37 @@ def blocks(page: str) -> list[Block]:
             continue
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
             close(stack[-1][0])
-        out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        out, article, place, story = stack[-1][1:] if stack else (False, False, -1, -1)
+        around = place
         if tag in _ARTICLE_TAGS:
             article = True
+            stories.append((place, out))
+            story = len(stories) - 1
         elif tag in _OUT_TAGS or (tag == "header" and not article):
             out = True
         elif tag not in ("html", "body") and attributes.strip():
-            words = _class_words(attributes)
-            out = out or bool(words & _OUT_WORDS) or "hidden" in words or (not article and bool(words & _HEADER_WORDS))
-        if tag in _BLOCK_TAGS or out:
-            if out and not (stack and stack[-1][1]):
+            words = _class_words(tag, attributes)
+            out = out or "hidden" in words
+            said = words & _OUT_WORDS or (not article and words & _HEADER_WORDS)
+            if said and not out:
+                by_links = article and said <= _SECTION_WORDS
+                containers.append(Container(place, bool(said & _COMMENT_WORDS) and not by_links, by_links))
+                place = len(containers) - 1
+        if tag in _BLOCK_TAGS or out or place >= 0:
+            if (out and not (stack and stack[-1][1])) or place != around:
                 end_block()
-            stack.append((tag, out, article))
+            stack.append((tag, out, article, place, story))
             open_tags[tag] = open_tags.get(tag, 0) + 1
     end_block()
+    _judge(found, containers, stories)
     return found
 
 
+def _stops(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 IN, OUT, NEAR, UNDECIDED = "in", "out", "near", "short"
 
 
@@ -189,8 +286,7 @@ def first_pass(found: list[Block]) -> list[str]:
         elif len(b.text) < SHORT:
             labels.append(OUT if share > 0 else UNDECIDED)
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+            stops = _stops(b.text)
             if stops >= HIGH_STOP:
                 labels.append(IN if len(b.text) > LONG else NEAR)
             else:

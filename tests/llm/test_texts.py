@@ -110,6 +110,37 @@ def test_page_rules(spark):
     assert html_text.extract(docs.limit(0)).collect() == []
 
 
+_STORY = "The river had been high for most of the week, and the people who lived near it were used to that. " * 3
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<div class="layout has-sidebar"><article>', "</article></div>"),
+        ('<div id="page" class="social-enabled"><main>', "</main></div>"),
+        ('<div class="search-result-page content"><article>', "</article></div>"),
+        ('<div class="search widget">', "</div>"),
+        ('<article><section id="discussion">', "</section></article>"),
+        ('<article><p>One.</p><section class="legal">', "</section></article>"),
+        ('<a name="top"><div>', "</div>"),
+        ('<a href="x">Back<div>', "</div>"),
+    ],
+)
+def test_words_of_a_class_do_not_lose_the_article(before, after):
+    assert _STORY.strip() in html_text.main_text(f'<body><div class="ad">Buy this now</div>{before}<p>{_STORY}</p>{after}</body>').split("\n")
+
+
+def test_words_of_a_class_decide_side_matter():
+    story = f"<p>{_STORY}</p>"
+    want = _STORY.strip()
+    comments = '<div id="comments">' + f"<article><p>I liked it. {_STORY}</p></article>" * 3 + "</div>"
+    links = '<div class="related"><p>More on this: <a href=a>the river in the spring and what was done about it</a></p></div>'
+    assert html_text.main_text(f'<div class="page toolbar"><article>{story}{links}</article>{comments}</div>') == want
+    assert html_text.main_text(f"<div>{story}</div>{comments}") == want
+    assert html_text.main_text(f"<div class=widget><p>A <b>b</b> c. {_STORY}</p></div>") == f"A b c. {want}"
+    assert html_text.main_text(f"<main>{story}{comments}<div class='ad-box'>Buy it, it is the best that there is</div></main>") == want
+
+
 def test_fingerprints(spark):
     rows = list(enumerate(texts(11, 50)))
     docs = spark.createDataFrame([(k * 3, t, "x", 1) for k, t in rows], "doc_id long, text string, fingerprint string, range int")
