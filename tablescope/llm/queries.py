@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, token_counts, toxicity, wavelet
+from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, source_divergence, token_counts, toxicity, wavelet
 from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergences(_table(spark, folder, "documents"))
+
+
 _ALL = (
     op1_secrets,
     op2_decontamination,
@@ -89,6 +93,7 @@ _ALL = (
     op8_multiset_hash,
     op9_toxicity,
     op10_ngram_jaccard,
+    op11_source_divergence,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_source_divergence": source_divergence.SQL}
