@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, source_divergence, token_counts, toxicity, wavelet
+from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, source_divergence, token_counts, top_products, toxicity, wavelet
 from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.divergences(_table(spark, folder, "documents"))
 
 
+def op12_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products.top_products(_table(spark, folder, "embeddings"))
+
+
 _ALL = (
     op1_secrets,
     op2_decontamination,
@@ -94,6 +98,7 @@ _ALL = (
     op9_toxicity,
     op10_ngram_jaccard,
     op11_source_divergence,
+    op12_top_products,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op11_source_divergence": source_divergence.SQL}
+SQL: dict[str, str] = {"op11_source_divergence": source_divergence.SQL, "op12_top_products": top_products.SQL}
