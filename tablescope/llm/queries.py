@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, source_divergence, token_counts, top_products, toxicity, wavelet
+from tablescope.llm import conversation_repair, decontamination, html_text, line_dedup, multiset_hash, ngram_jaccard, piece_sampling, secrets_crf, source_divergence, token_counts, top_products, toxicity, wavelet
 from tablescope.operators.order import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op12_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_products.top_products(_table(spark, folder, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(_table(spark, folder, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(rows, present="present"))
+
+
 _ALL = (
     op1_secrets,
     op2_decontamination,
@@ -99,6 +104,7 @@ _ALL = (
     op10_ngram_jaccard,
     op11_source_divergence,
     op12_top_products,
+    op13_conversation_repair,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op11_source_divergence": source_divergence.SQL, "op12_top_products": top_products.SQL}

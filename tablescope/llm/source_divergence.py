@@ -229,7 +229,7 @@ def divergences(docs: DataFrame, least: int = 30, most: int = 50, text: str = "t
     entries = found.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
     totals = entries.groupBy("lang", F.col("e.sources").alias("source")).agg(F.sum(F.when(F.col("term") != "", F.col("e.counts")).otherwise(0)).alias("n"))
     kept = found.groupBy("lang").agg(F.count_if(F.col("term") != "").alias("v"))
-    parts = found.rdd.getNumPartitions()
+    parts = max(1, found.rdd.getNumPartitions())
     # Each partition first gets the totals of all groups (one short row per source), then its share of the stripes.
     heads = totals.join(kept, "lang").select(
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "lang", "source", F.array("source").alias("sources"), F.array("n").alias("counts"), "v"
