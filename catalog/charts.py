@@ -88,6 +88,14 @@ register(
 SELECT idx, ts, value, CASE WHEN idx >= w - 1 THEN {r('s1 / w + (SELECT avg(value) FROM events)')} END AS rolling_mean,
  CASE WHEN idx >= w - 1 THEN {r('sqrt(greatest((s2 - s1 * s1 / w) / (w - 1), 0))')} END AS rolling_std FROM j""",
 )
+# Four or more events an hour: ties of the time go by value, on both sides of a few hundred rows alike.
+_HOURS = "(SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, value FROM events)"
+for _w in (200, 201):
+    register(
+        f"rolling_stats_ties_{_w}",
+        lambda s, d, w=_w: rounded(series.rolling_stats(events(s, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "ts", "value", w)),
+        f"{rolling_sql(str(_w), _HOURS)} SELECT idx, ts, value, {_rolled(_w)} FROM o",
+    )
 _R5 = r("avg(value) OVER (ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 register(
     "rolling_mean",

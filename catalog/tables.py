@@ -294,6 +294,13 @@ register(
     "SELECT least(count(*), 1000) AS n, 0::BIGINT AS foreign_rows FROM lineitem",
 )
 register("sample_rows_of_copies", _copies, "SELECT l_orderkey % 4 AS value, count(*) / sum(count(*)) OVER () BETWEEN 0.15 AND 0.35 AS near_its_share FROM lineitem GROUP BY 1")
+register(
+    "sample_rows_any_layout",
+    lambda s, d: select.sample_rows(table(s, d, "lineitem"), 1000)
+    .exceptAll(select.sample_rows(table(s, d, "lineitem").repartition(7, "l_suppkey"), 1000))
+    .agg(F.count(F.lit(1)).alias("differing")),
+    "SELECT 0::BIGINT AS differing",
+)
 register(
     "sample_fraction",
     lambda s, d: select.sample_fraction(table(s, d, "lineitem"), 0.05).agg((F.count(F.lit(1)) / table(s, d, "lineitem").agg(F.count(F.lit(1))).scalar()).between(0.03, 0.07).alias("near_its_share")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.stats import pearson_sql
 from tablescope.kinds import double_sql, doubles, name_sql, numeric_columns, quoted, text_sql
 from tablescope.operators.kendall import kendall
+from tablescope.operators.moments import correlations
 from tablescope.operators.order import average_ranks
 from tablescope.plans.config import RelationConfig
 
@@ -54,27 +55,17 @@ def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], r, n) -> DataFrame:
 
 
 def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
-    """Sums of products around the column means, shared between pairs.
+    """Masked Gram matrices of all columns, merged around shared means: one scan for any number of columns."""
+    return _every_pair(df, names, correlations(doubles(df, names), names))
 
-    A column without missing values contributes the same sums to all its pairs; only partners with missing
-    values need sums of their own, so the number of aggregates stays close to one per pair.
-    """
-    values = doubles(df, names)
-    facts = values.agg(
-        *[F.struct(F.count_if(quoted(c).isNull()).alias("missing"), F.avg(quoted(c)).alias("mean")).alias(f"_{i}") for i, c in enumerate(names)]
-    ).first()
-    mean = {c: facts[f"_{i}"]["mean"] for i, c in enumerate(names)}
-    partial = {c for i, c in enumerate(names) if facts[f"_{i}"]["missing"]}
-
-    def centred(a: str, b: str) -> str:
-        column, mask = _context(a, b, partial)
-        gap = f"({name_sql(column)} - {double_sql(mean[column] or 0.0)})"
-        return f"(CASE WHEN {name_sql(mask)} IS NOT NULL THEN {gap} END)" if mask else gap
-
-    def r(a: str, b: str) -> str:
-        return pearson_sql(centred(a, b), centred(b, a))
 
-    return _pair_rows(values, list(combinations(names, 2)), r, lambda a, b: f"count({centred(a, b)} * {centred(b, a)})")
+def _every_pair(df: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
+    """``found`` with a row for the pairs of a table without rows."""
+    positions = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(names) - 2))).alias("i"))
+    positions = positions.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(len(names) - 1))).alias("j"))
+    label = F.lit(names)
+    pairs = positions.select(F.get(label, F.col("i")).alias("col1"), F.get(label, F.col("j")).alias("col2"))
+    return pairs.join(F.broadcast(found), ["col1", "col2"], "left").select("col1", "col2", "r", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:

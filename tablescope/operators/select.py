@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.kinds import (
     INTEGRAL,
+    NESTED,
     column_kind,
     columns_of_kind,
     field_type,
+    groupable_columns,
     missing_to_null,
+    nested_text,
     plain_columns,
     quoted,
     string_columns,
 )
 from tablescope.operators.freq import value_counts
-from tablescope.operators.order import file_order, order_columns, with_row_index
+from tablescope.operators.order import file_order, materialize, order_columns, with_row_index
 
 SHALLOW_ROWS = 100_000  # up to here a page is a top-k, beyond it rows are numbered in parallel
-SAMPLED_AT_ONCE = 10_000
+BROADCAST_ROWS = 1 << 20
 PAGE_SIZES = (10, 5000)
 
 
@@ -239,23 +244,58 @@ def sort_desc(df: DataFrame, by: str | None = None) -> DataFrame:
 # --- samples --------------------------------------------------------------------------------------
 
 def sample_rows(df: DataFrame, n: int = 10, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
-    """Exactly ``n`` rows (all if there are fewer), the same ones for the same seed and input files.
+    """Exactly ``n`` rows (all if there are fewer), the same ones for the same seed and rows, however they are laid out.
 
-    Rows are ranked by a seeded hash of ``keys`` (every plain column by default) and of their position, so
-    that copies are drawn one by one. A large ``n`` first takes the rows under a hash bound that leaves
-    little more than ``n`` of them, so that no task passes on ``n`` rows of its own.
+    Every row has a random place by a seeded hash of ``keys`` (all columns by default); the rows with the smallest places are
+    taken, in their order. Copies have places of their own without being told apart: they are counted, and the
+    smallest of c places are drawn one after another by their spacings, as far as a bound that leaves little more than ``n`` places.
+    Rows that only agree in ``keys`` are copies too, of which any one stands for all.
     """
-    names = list(keys) if keys else plain_columns(df)
-    place = F.xxhash64(F.lit(seed), *[quoted(k) for k in names], F.monotonically_increasing_id())
-    ranked = df.withColumn("_place", place)
-    if n > SAMPLED_AT_ONCE:
-        total = df.count()
-        share = (n + 8 * math.sqrt(n)) / max(total, 1)
-        if share < 0.5:
-            bounded = ranked.filter(F.col("_place") < F.lit(int((share - 0.5) * 2**64)))
-            if bounded.count() >= n:
-                ranked = bounded
-    return ranked.orderBy("_place").limit(n).drop("_place")
+    names = list(keys) if keys else groupable_columns(df)
+    cells = []
+    for c in names:
+        dtype = field_type(df, c)
+        value = nested_text(quoted(c), dtype) if isinstance(dtype, NESTED) else quoted(c)
+        cells += [value, quoted(c).isNull()]
+    marked = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_row"), *[F.xxhash64(F.lit(seed), F.lit(k), *cells).alias(x) for k, x in enumerate("ab")])
+    counted = materialize(marked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    if n >= total:
+        return df
+    wanted = min(1.0, (n + 8 * math.sqrt(n) + 40) / total)
+    for share in (wanted, 1.0):  # the bound fails about once in 10^9 samples
+        places = materialize(counted.mapInArrow(lambda batches: _smallest_places(batches, n, share), "a long, b long, place double"))
+        if share == 1 or places.count() >= n:
+            break
+    chosen = places.orderBy("place", "a", "b").limit(n)
+    small = (lambda side: F.broadcast(side)) if n <= BROADCAST_ROWS else (lambda side: side)
+    rows = marked.join(small(chosen.select("a", "b").distinct()), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("_row").alias("_row"))
+    return small(chosen).join(rows, ["a", "b"]).orderBy("place", "a", "b").select("_row.*")
+
+
+def _uniform(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Numbers in (0, 1] from two hashes and a number."""
+    x = a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((k * 0xD1B54A32D192ED03) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def _smallest_places(batches: Iterator[pa.RecordBatch], most: int, share: float) -> Iterator[pa.RecordBatch]:
+    """The places under a bound of rows (a, b) that occur c times, at most ``most`` each: sums of exponential spacings over the copies left."""
+    bound = math.inf if share >= 1 else -math.log1p(-share)
+    for batch in batches:
+        a, b, c = (batch.column(k).to_numpy() for k in range(3))
+        place, step = np.zeros(len(a)), 0
+        while len(a):
+            place = place - np.log(_uniform(a, b, step)) / (c - step)
+            step += 1
+            some = place <= bound
+            a, b, c, place = a[some], b[some], c[some], place[some]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(place)], names=["a", "b", "place"])
+            more = (c > step) & (step < most)
+            a, b, c, place = a[more], b[more], c[more], place[more]
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

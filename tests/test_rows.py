@@ -88,6 +88,29 @@ def test_sample_is_stable(spark):
     assert select.sample_rows(df.limit(5), 20).count() == 5
 
 
+def test_sample_draws_copies_one_by_one(spark):
+    """A value on a third of the rows gets about a third of the sample, in every layout, and a sample of all rows is the table."""
+    rows = [(7, None, "x")] * 400 + [(k, None, "y") for k in range(400)] + [(None, k, "z") for k in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, c string").repartition(6)
+    hot = []
+    for seed in range(12):
+        got = [tuple(r) for r in select.sample_rows(df, 120, seed).collect()]
+        again = [tuple(r) for r in select.sample_rows(df.repartition(3), 120, seed).collect()]
+        assert got == again and len(got) == 120
+        others = [r for r in got if r[2] != "x"]
+        assert len(set(others)) == len(others) and set(got) <= set(rows)
+        hot.append(120 - len(others))
+    assert 34 < np.mean(hot) < 46 and 2 < np.std(hot) < 9
+    assert sorted(map(str, select.sample_rows(df, 1300).collect())) == sorted(map(str, df.collect()))
+    assert [r["n"] for r in select.sample_rows(df, 1199).groupBy("c").count().withColumnRenamed("count", "n").orderBy("c").collect()][0] in (399, 400)
+
+
+def test_sample_of_nested_rows(spark):
+    df = spark.sql("SELECT id, map('k', id) AS m, array(id, NULL) AS l, struct(id) AS s FROM range(40)")
+    got = select.sample_rows(df, 9)
+    assert got.dtypes == df.dtypes and got.count() == 9 and got.select("id").distinct().count() == 9
+
+
 def test_others(spark):
     df = spark.createDataFrame([(chr(97 + i),) for i in range(12) for _ in range(20 - i)], "c string")
     got = by(select.top_n_plus_others(df, "c", 9, 10), "value")
@@ -122,13 +145,11 @@ def test_narrowing(spark):
     assert io.narrow_schema(df.limit(0))[1].count() == 6
 
 
-def test_rolling_agrees_with_pandas_for_short_and_long_windows(spark, monkeypatch):
+def test_rolling_agrees_with_pandas_for_short_and_long_windows(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"t": np.arange(400), "v": rng.normal(50, 10, 400)})
     df = spark.createDataFrame(pdf).repartition(5)
-    monkeypatch.setattr(series, "BLOCK_ROWS", 32)
-    for window, short in ((7, 200), (7, 0), (90, 0), (90, 200)):
-        monkeypatch.setattr(series, "SHORT_WINDOW", short)
+    for window in (1, 7, 90, 399, 400):
         got = by(series.rolling_stats(df, "t", "v", window, order_by="t"), "ts")
         mean, std = pdf.v.rolling(window).mean(), pdf.v.rolling(window).std()
         for t in range(400):
@@ -136,7 +157,31 @@ def test_rolling_agrees_with_pandas_for_short_and_long_windows(spark, monkeypatc
                 assert got[t]["rolling_mean"] is None and got[t]["rolling_std"] is None
             else:
                 assert got[t]["rolling_mean"] == pytest.approx(mean[t], rel=1e-9)
-                assert got[t]["rolling_std"] == pytest.approx(std[t], rel=1e-7)
+                assert got[t]["rolling_std"] == (None if window == 1 else pytest.approx(std[t], rel=1e-9))
+
+
+def test_windows_of_all_lengths_see_one_order(spark):
+    """Ties of the time go by value at every length, and neither a large offset nor a trend costs digits."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"t": np.arange(2400) // 4, "v": 1e9 + rng.normal(size=2400)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    ordered = pdf.sort_values(["t", "v"], ignore_index=True)
+    first = None
+    for window in (3, 200, 201, 1700):
+        got = series.rolling_stats(df, "t", "v", window, order_by="t").orderBy("idx").toPandas()
+        assert (got.ts == ordered.t).all() and (got.value == ordered.v).all()
+        first = got if first is None else first
+        assert (got[["idx", "ts", "value"]] == first[["idx", "ts", "value"]]).all(axis=None)
+        shifted = (ordered.v - 1e9).rolling(window)
+        assert got.rolling_mean.isna().sum() == window - 1
+        assert np.allclose(got.rolling_mean[window - 1 :] - 1e9, shifted.mean()[window - 1 :], atol=2e-7)
+        assert np.allclose(got.rolling_std[window - 1 :], shifted.std()[window - 1 :], rtol=1e-6)
+
+
+def test_constant_windows_have_no_spread(spark):
+    df = spark.createDataFrame([(k, 0.1) for k in range(50)], "t int, v double").repartition(4)
+    got = series.rolling_stats(df, "t", "v", 7, order_by="t").where("idx >= 6").collect()
+    assert len(got) == 44 and all(r["rolling_std"] == 0 and r["rolling_mean"] == 0.1 for r in got)
 
 
 def test_autocorrelation_across_blocks(spark, mix12, monkeypatch):
