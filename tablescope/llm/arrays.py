@@ -7,6 +7,7 @@ Words and sets of words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ PIECE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
+_LONG_SPAN = 512
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_TAIL = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -95,20 +99,53 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hash_sums(data: np.ndarray, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums and factors from which the hash of any span follows."""
+def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and factors from which the rolling hash of any short span follows."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if folded else _BYTE)[data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     return sums, down
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
-    """One 64-bit hash per span of bytes; ``folded`` takes A-Z as a-z."""
-    sums, down = hash_sums(data, folded)
+def rolling_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a few dozen bytes, for lookups at every place of a text; see ``span_hashes`` for others."""
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+    """One 64-bit hash per span of bytes; ``folded`` takes A-Z as a-z.
+
+    Eight bytes at a time are mixed into the hash, so it has no arithmetic structure: different spans share a hash with a chance
+    of 2^-64 a pair. Spans of more than ``_LONG_SPAN`` bytes take a BLAKE2 digest.
+    """
+    if folded:
+        data = _LOWER[data]
+    sizes = ends - starts
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    out = mixed(sizes.astype(np.uint64) + np.uint64(_BASE))
+    left, at, which = sizes, starts, None
+    long = np.flatnonzero(sizes > _LONG_SPAN)
+    if len(long):
+        which = np.flatnonzero(sizes <= _LONG_SPAN)
+        left, at = sizes[which], starts[which]
+    while len(at):
+        lane = lanes[at]
+        part = left < 8
+        lane[part] &= _TAIL[left[part]]
+        if which is None:
+            out = mixed((out ^ lane) * np.uint64(_BASE))
+        else:
+            out[which] = mixed((out[which] ^ lane) * np.uint64(_BASE))
+        more = np.flatnonzero(left > 8)
+        if which is None and not len(more):
+            break
+        which = more if which is None else which[more]
+        left, at = left[more] - 8, at[more] + 8
+    for k in long.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False):
     """(starts, ends, hashes, first word of each row and the end) of the runs without white space."""
     starts, ends = spans(~SPACE[data], offsets)

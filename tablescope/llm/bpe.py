@@ -14,7 +14,9 @@ import numpy as np
 
 from tablescope.llm.arrays import SPACE, ranges, span_hashes
 
-_MOST_WORDS = 1_000_000
+_MOST_WORDS = 400_000  # kept at most
+_WORDS_AT_ONCE = 4_000  # encoded at once: the library's objects take about a kilobyte a word
+_BYTES_AT_ONCE = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
@@ -45,12 +47,17 @@ class WordEncoder:
         if len(self.hashes) + int(new.sum()) > _MOST_WORDS:
             self._reset()
             new = np.ones(len(hashes), bool)
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        raw = memoryview(data)
+        starts, ends = starts[new], ends[new]
+        ids, counts = [self.ids], []
+        for k in range(0, len(starts), _WORDS_AT_ONCE):
+            texts = [str(raw[a:b], "utf-8") for a, b in zip(starts[k : k + _WORDS_AT_ONCE].tolist(), ends[k : k + _WORDS_AT_ONCE].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        counts = np.concatenate(counts)
         firsts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
+        self.ids = np.concatenate(ids)
         self.hashes = np.concatenate([self.hashes, hashes[new]])
         self.firsts, self.counts = np.concatenate([self.firsts, firsts]), np.concatenate([self.counts, counts])
         order = np.argsort(self.hashes, kind="stable")
@@ -80,9 +87,14 @@ class WordEncoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        self._learn(data, hashes, starts[first], ends[first])
-        at = np.searchsorted(self.hashes, hashes)
-        counts = self.counts[at][which]
-        ids = self.ids[ranges(self.firsts[at][which], counts)]
-        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]
+        parts, sizes = [], []
+        bounds = np.searchsorted(starts, np.arange(0, len(data) + _BYTES_AT_ONCE, _BYTES_AT_ONCE)).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if a == b:
+                continue
+            hashes, first, which = np.unique(span_hashes(data, starts[a:b], ends[a:b]), return_index=True, return_inverse=True)
+            self._learn(data, hashes, starts[a:b][first], ends[a:b][first])
+            at = np.searchsorted(self.hashes, hashes)
+            sizes.append(self.counts[at][which])
+            parts.append(self.ids[ranges(self.firsts[at][which], sizes[-1])])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.searchsorted(starts, offsets)]

@@ -7,7 +7,7 @@ random numbers that are a hash of the seed, the row's key, the place in the row
 a row's segmentation depends neither on partitions nor on other rows.
 
 No piece crosses into a word (spaces, then other characters) or a line break, so the lattice falls apart at those places
-without loss. Each distinct word's lattice is filtered once per piece of text; each occurrence draws its own path. Characters that
+without loss. Each distinct word's lattice is filtered once per run of text; each occurrence draws its own path. Characters that
 are no piece are spelled in bytes, also the space mark itself, so decoding gives back every text.
 
 Defined cases: missing and empty texts have no pieces; repeated rows have equal pieces; a missing key
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.arrays import hash_sums, mixed, pieces, ranges, span_hashes
+from tablescope.llm.arrays import hash_sums, mixed, pieces, ranges, rolling_hashes, span_hashes
 from tablescope.llm.sides import received, shared
 
 _PIECE = 2 << 20
+_LATTICE = 192 << 10  # bytes of distinct words whose lattice is laid out at once, 100 bytes for each
 _FILTER_BITS = 20
 _LONG = 96
 _MARK = "▁"
@@ -66,7 +67,7 @@ def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
     firsts = np.concatenate([[0], np.cumsum([len(p) for p in raw])])
     text = np.frombuffer(b"".join(raw), np.uint8)
     chosen = np.array(ranked)
-    hashes = span_hashes(text, firsts[chosen], firsts[chosen + 1])
+    hashes = rolling_hashes(*hash_sums(text), firsts[chosen], firsts[chosen + 1])
     order = np.argsort(hashes)
     return Vocabulary(text, firsts, sharpness * log_weight, hashes[order], chosen[order], int(np.diff(firsts).max()), byte_ids)
 
@@ -96,7 +97,7 @@ def _lattice(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
         at = np.flatnonzero(left >= size)
         if not len(at):
             break
-        hashes = mixed((sums[at + size] - sums[at]) * down[at] + np.uint64(size))
+        hashes = rolling_hashes(sums, down, at, at + size)
         hit = np.flatnonzero(near[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
         where = np.minimum(np.searchsorted(v.hashes, hashes[hit]), len(v.hashes) - 1)
         same = v.hashes[where] == hashes[hit]
@@ -148,29 +149,65 @@ def _filtered(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sample(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of each row, sampled by its key, and the bounds of the rows among them."""
+    """Piece ids of each row, sampled by its key, and the bounds of the rows among them.
+
+    Words are worked through in runs of at most ``_PIECE`` bytes, and the distinct ones of a run in groups.
+    """
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
     starts = _units(data, offsets)
     ends = np.append(starts[1:], len(data))
-    hashes = span_hashes(data, starts, ends)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, bounds = _lattice(v, data, starts[first], ends[first])
-    logs = _filtered(v, ids, bounds)
-    base = bounds[:-1] + np.arange(len(first))
     of_row = np.searchsorted(starts, offsets)
-    row = np.repeat(np.arange(rows), np.diff(of_row))
-    place = np.arange(len(starts)) - of_row[:-1][row]
-    seed = mixed(keys[row] ^ mixed(place.astype(np.uint64) + np.uint64(0x51ED27)))
+    parts, counts = [], []
+    runs = np.searchsorted(starts, np.arange(0, len(data) + _PIECE, _PIECE)).tolist()
+    for a, b in zip(runs[:-1], runs[1:]):
+        if a == b:
+            continue
+        row = np.searchsorted(of_row, np.arange(a, b), "right") - 1
+        place = np.arange(a, b) - of_row[row]
+        seed = mixed(keys[row] ^ mixed(place.astype(np.uint64) + np.uint64(0x51ED27)))
+        ids, n = _sample_run(v, data, starts[a:b], ends[a:b], seed)
+        parts.append(ids)
+        counts.append(n)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])[of_row]
+
+
+def _sample_run(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of a run of words, and the number of each word."""
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    first_at, first_end = starts[first], ends[first]
+    filled = np.cumsum(first_end - first_at)
+    group_of = np.minimum((filled - 1) // _LATTICE, len(first) - 1)
+    by_group = np.argsort(group_of[which], kind="stable")
+    bounds = np.searchsorted(group_of[which][by_group], np.arange(int(group_of[-1]) + 2))
+    counts = np.zeros(len(starts), np.int64)
+    drawn = []
+    for g in np.unique(group_of).tolist():
+        low, high = np.searchsorted(group_of, [g, g + 1]).tolist()
+        words = by_group[bounds[g] : bounds[g + 1]]
+        ids, lattice = _lattice(v, data, first_at[low:high], first_end[low:high])
+        steps = _draw(v, ids, lattice, _filtered(v, ids, lattice), which[words] - low, (ends - starts)[words], seed[words])
+        for who, chosen in steps:
+            counts[words[who]] += 1
+            drawn.append((words[who], chosen))
+    lasts = np.cumsum(counts)
+    out = np.zeros(lasts[-1], np.int32)
+    done = np.zeros(len(starts), np.int64)
+    for who, chosen in drawn:
+        done[who] += 1
+        out[lasts[who] - done[who]] = chosen
+    return out, counts
+
+
+def _draw(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, logs: np.ndarray, unit: np.ndarray, size: np.ndarray, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Backward sampling: per step the words that still draw and the piece each one drew, last pieces first."""
+    base = bounds[:-1] + np.arange(len(bounds) - 1)
     log_weight = v.log_weight.copy()
     log_weight[0] = -np.inf
-
-    active = np.arange(len(starts))
-    unit = which
-    at = (ends - starts).copy()
+    active = np.arange(len(unit))
+    at = size.copy()
     steps, step = [], 0
-    counts = np.zeros(len(starts), np.int64)
     while len(active):
         random = (mixed(seed[active] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         chosen = np.zeros(len(active), np.int32)
@@ -199,15 +236,10 @@ def sample(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
                 closed[o[done]] = True
                 open_ = open_[~closed[open_]]
         steps.append((active, chosen))
-        counts[active] += 1
         at[active] -= size_of
         active = active[at[active] > 0]
         step += 1
-    lasts = np.cumsum(counts)
-    out = np.zeros(lasts[-1], np.int32)
-    for k, (who, chosen) in enumerate(steps):
-        out[lasts[who] - 1 - k] = chosen
-    return out, np.concatenate([[0], lasts])[of_row]
+    return steps
 
 
 def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
