@@ -6,8 +6,10 @@ gate keeps its result small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from tablescope.functions.special import chi2_sf, f_sf
 from tablescope.functions.stats import ratio
 from tablescope.kinds import doubles_of, numeric_columns, quoted
 from tablescope.operators.assoc import usable_categories
-from tablescope.operators.order import materialize, running_totals
+from tablescope.operators.order import materialize
+from tablescope.operators.ranks import group_cells, ranked
 from tablescope.plans.config import RelationConfig
 
 PAIR = ["num", "cat"]
@@ -109,9 +112,9 @@ def kruskal(
 ) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected) and p of every (num, cat) pair, over the kept levels.
 
-    Values are counted with the levels they occur in and ranked once in global order. Each count carries
-    the number of equal values, and how many of those come before it, so no rank is joined back. Categories
-    that cover every row of a number share one ranking; others rank the rows they cover.
+    The values of all numbers are ranked by one range shuffle, in which they carry the levels of their row, so that ranks are
+    summed by level where they are found. Categories that cover every row of a number share one ranking; others rank the
+    rows they cover.
     """
     levels = levels if levels is not None else level_stats(df, config, cats, nums)
     kept = levels.select(*PAIR, "level", "n").collect()
@@ -151,38 +154,15 @@ def kruskal(
             pair_rows.append((g, i, numbers[j], used[i]))
             among = ", ".join(str(v) for v in sorted(allowed[numbers[j], used[i]]))
             value = f"CASE WHEN c{i} IN ({among}) THEN {value} END"
-        own = ", ".join(f"'c{i}', " + (f"coalesce(c{i}, -1)" if i in served else "-1") for i in range(len(used)))
-        cells.append(f"named_struct('ranking', {g}, 'value', {value}, {own})")
-    counted = (
-        coded.select(F.expr(f"inline(array({', '.join(cells)}))"))
-        .filter(F.col("value").isNotNull())
-        .groupBy("ranking", "value", *level_names)
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    equal = Window.partitionBy("ranking", "value")
-    sized = counted.select(
-        "ranking",
-        "value",
-        *level_names,
-        "c",
-        F.sum("c").over(equal).alias("t"),
-        F.coalesce(F.sum("c").over(equal.orderBy(*level_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior"),
-    )
-    ranked = running_totals(sized, ["value", *level_names], ["c"], "ranking").withColumn(
-        "rank", F.col("c_before") - F.col("prior") + (F.col("t") + 1) / 2
-    )
-    spread_levels = ", ".join(f"named_struct('cat_index', {i}, 'level', c{i})" for i in range(len(used)))
-    t = F.col("t").cast("double")
+        cells.append((g, value))
+    levels_of = coded.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in level_names], *[f"v{j}" for j in range(len(numbers))], F.monotonically_increasing_id().alias("row"))
+    ranks = ranked(group_cells(levels_of, cells, ["row", *level_names]), "row")
     # Ranks are taken from the middle rank, so that large sums do not cancel.
     sizes = [present[f"v{j}"] if len(served) > 1 else covered[numbers[j], used[served[0]]] for j, served in rankings]
-    middle = F.element_at(F.array(*[F.lit((s + 1) / 2) for s in sizes]), F.col("ranking") + 1)
-    # Counts that share a value add up to its t^3 - t.
+    serves = [served for _, served in rankings]
+    by_level = ranks.mapInArrow(lambda batches: _rank_sums(batches, serves, sizes, len(code)), "ranking int, cat_index int, level int, rank_sum double, size long, ties double")
     sums = (
-        ranked.groupBy("ranking", *level_names)
-        .agg(F.sum(F.col("c") * (F.col("rank") - middle)).alias("rank_sum"), F.sum("c").alias("size"), F.sum(F.col("c") * (t * t - 1)).alias("ties"))
-        .select("ranking", "rank_sum", "size", "ties", F.expr(f"inline(array({spread_levels}))"))
-        .filter(F.col("level") >= 0)
-        .groupBy("ranking", "cat_index", "level")
+        by_level.groupBy("ranking", "cat_index", "level")
         .agg(F.sum("rank_sum").alias("rank_sum"), F.sum("size").alias("size"), F.sum("ties").alias("ties"))
         .groupBy("ranking", "cat_index")
         .agg(
@@ -201,6 +181,26 @@ def kruskal(
     return out.select(*PAIR, F.col("total").alias("n"), "h_stat", chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("kruskal_p"))
 
 
+def _rank_sums(batches: Iterator[pa.RecordBatch], serves: list[list[int]], sizes: list[int], levels: int) -> Iterator[pa.RecordBatch]:
+    """Per ranking, category and level the sum of ranks less the middle one, the number of ranks, and the ties' part of the correction."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        group, rank, ties = (batch.column(c).to_numpy() for c in ("group", "rank", "ties"))
+        for g in np.unique(group).tolist():
+            at = group == g
+            away, tied = rank[at] - (sizes[g] + 1) / 2, ties[at].astype(np.float64) ** 2 - 1
+            for i in serves[g]:
+                level = batch.column(f"c{i}").to_numpy()[at]
+                own = np.stack([np.bincount(level, w, levels) for w in (away, np.ones(len(away)), tied)])
+                sums[g, i] = sums[g, i] + own if (g, i) in sums else own
+    rows = [(g, i, v, *own[:, v].tolist()) for (g, i), own in sums.items() for v in np.flatnonzero(own[1]).tolist()]
+    if rows:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+        columns[4] = columns[4].cast(pa.int64())
+        yield pa.RecordBatch.from_arrays(columns, names=["ranking", "cat_index", "level", "rank_sum", "size", "ties"])
+
+
 def mixed_relations(
     df: DataFrame,
     config: RelationConfig = RelationConfig(),

@@ -1,15 +1,16 @@
 """Association of all categorical column pairs, from one set of contingency tables.
 
-All pairs are counted by one grouping-sets aggregate. The cardinality gate bounds the cells of a pair, so
-everything after that aggregate works on small tables.
+All pairs are counted in one scan, as tables of counts by level numbers that each task adds up. The cardinality gate bounds the
+cells of a pair, so everything after that works on small tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from tablescope.plans.config import RelationConfig
 
 PAIR = ["col1", "col2"]
 CELL_SCHEMA = "col1 string, col2 string, v1 string, v2 string, n bigint"
-PAIRS_PER_AGGREGATE = 60
+MOST_CELLS = 1 << 25  # counts a task holds
+MOST_LEVELS = 1 << 18  # levels a task numbers; the gate of the analyses is far below
 
 
 def usable_categories(df: DataFrame, config: RelationConfig, cols: Sequence[str] | None = None, min_levels: int = 1) -> list[str]:
@@ -30,32 +32,72 @@ def usable_categories(df: DataFrame, config: RelationConfig, cols: Sequence[str]
 
 
 def cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(col1, col2, v1, v2, n)`` for every pair; rows with a missing side are dropped."""
+    """``(col1, col2, v1, v2, n)`` for every pair, from one scan; rows with a missing side are dropped.
+
+    A task numbers the levels of each column as they come and adds up a table of counts for every pair; what it has
+    counted goes out once, or whenever the tables reach a fixed number of cells.
+    """
     if not pairs:
         return df.sparkSession.createDataFrame([], CELL_SCHEMA)
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        some = list(pairs[start : start + PAIRS_PER_AGGREGATE])
-        names = list(dict.fromkeys(c for pair in some for c in pair))
-        keys = [quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(names)]
-        key_of = {c: F.col(f"k{i}") for i, c in enumerate(names)}
-        counted = (
-            df.select(*keys)
-            .groupingSets([[key_of[a], key_of[b]] for a, b in some], *[key_of[c] for c in names])
-            .agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
-        )
-        cell: Column = F.lit(None)
-        for a, b in some:
-            # grouping_id has a 0 bit for the two columns of the set, the first column in the highest bit
-            gid = sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in (a, b))
-            cell = F.when(
-                F.col("_set") == gid,
-                F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), key_of[a].alias("v1"), key_of[b].alias("v2")),
-            ).otherwise(cell)
-        parts.append(
-            counted.select(cell.alias("_cell"), "n").select("_cell.*", "n").filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-        )
-    return reduce(DataFrame.unionByName, parts)
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    sides = [(names.index(a), names.index(b)) for a, b in pairs]
+    texts = df.select(*[quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(names)])
+    counted = texts.mapInArrow(lambda batches: _pair_counts(batches, sides), "pair int, v1 string, v2 string, n long")
+    summed = counted.groupBy("pair", "v1", "v2").agg(F.sum("n").alias("n"))
+    firsts, seconds = (F.get(F.lit([p[k] for p in pairs]), F.col("pair")) for k in (0, 1))
+    return summed.select(firsts.alias("col1"), seconds.alias("col2"), "v1", "v2", "n")
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], sides: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    levels: list[dict[str, int]] = []
+    tables: dict[int, np.ndarray] = {}
+    held = 0
+
+    def give() -> Iterator[pa.RecordBatch]:
+        names = [pa.array(list(own), pa.string()) for own in levels]
+        for p, table in tables.items():
+            i, j = np.nonzero(table)
+            a, b = sides[p]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), p, np.int32)), names[a].take(pa.array(i)), names[b].take(pa.array(j)), pa.array(table[i, j])], names=["pair", "v1", "v2", "n"]
+            )
+
+    for batch in batches:
+        levels = levels or [{} for _ in batch.columns]
+        codes = []
+        for own, column in zip(levels, batch.columns):
+            coded = column.dictionary_encode()
+            known = np.array([own.setdefault(v, len(own)) for v in coded.dictionary.to_pylist()] + [-1], np.int64)  # the last for missing ones
+            codes.append(known[coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)])
+        for p, (a, b) in enumerate(sides):
+            wide = max(len(levels[b]), 1)
+            both = codes[a] * wide + codes[b]
+            both = both[(codes[a] >= 0) & (codes[b] >= 0)]
+            old = tables.get(p)
+            shape = (len(levels[a]), len(levels[b]))
+            if shape[0] * shape[1] > max(1 << 16, 4 * batch.num_rows):  # more cells than rows: only those that occur
+                found, n = np.unique(both, return_counts=True)
+                names = [pa.array(list(levels[k]), pa.string()) for k in (a, b)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), p, np.int32)), names[0].take(pa.array(found // wide)), names[1].take(pa.array(found % wide)), pa.array(n.astype(np.int64))],
+                    names=["pair", "v1", "v2", "n"],
+                )
+                continue
+            if old is None or old.shape != shape:
+                table = np.zeros(shape, np.int64)
+                if old is not None:
+                    table[: old.shape[0], : old.shape[1]] = old
+                    held -= old.size
+                held += table.size
+                tables[p] = old = table
+            old += np.bincount(both, minlength=old.size).reshape(shape)
+        if held > MOST_CELLS:
+            yield from give()
+            tables, held = {}, 0
+        if any(len(own) > MOST_LEVELS for own in levels):
+            yield from give()
+            levels, tables, held = [], {}, 0
+    yield from give()
 
 
 def with_margins(table: DataFrame) -> DataFrame:

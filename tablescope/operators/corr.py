@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.stats import pearson_sql
-from tablescope.kinds import double_sql, doubles, name_sql, numeric_columns, quoted, text_sql
+from tablescope.kinds import doubles, name_sql, numeric_columns, quoted
 from tablescope.operators.kendall import kendall
-from tablescope.operators.moments import correlations
-from tablescope.operators.order import average_ranks
+from tablescope.operators.moments import correlations, folded, folded_pairs, merged_rows, named
+from tablescope.operators.ranks import by_row, group_cells, ranked
 from tablescope.plans.config import RelationConfig
 
-PAIRS_PER_AGGREGATE = 60
-BROADCAST_VALUES = 300_000  # rank tables up to this many rows are broadcast (24 bytes per row)
-HOT_SHARE = 1_000  # a value is hot above 1/1000 of the rows, so there are fewer than 1000 hot values
-
 PAIR_SCHEMA = "col1 string, col2 string, r double, n bigint"
 
 
@@ -40,20 +35,6 @@ def corr_matrix(df: DataFrame, method: str = "pearson", cols: Sequence[str] | No
     raise ValueError(f"unknown correlation method: {method}")
 
 
-def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]], r, n) -> DataFrame:
-    """One aggregate per chunk of pairs, returned as one row per pair; ``r`` and ``n`` give SQL text."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        some = pairs[start : start + PAIRS_PER_AGGREGATE]
-        cells = [
-            F.expr(f"named_struct('col1', {text_sql(a)}, 'col2', {text_sql(b)}, 'r', {r(a, b)}, 'n', {n(a, b)}) AS _{i}")
-            for i, (a, b) in enumerate(some)
-        ]
-        inline = ", ".join(f"_{i}" for i in range(len(cells)))
-        parts.append(df.agg(*cells).select(F.expr(f"inline(array({inline}))")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
     """Masked Gram matrices of all columns, merged around shared means: one scan for any number of columns."""
     return _every_pair(df, names, correlations(doubles(df, names), names))
@@ -69,91 +50,37 @@ def _every_pair(df: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
 
 
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson on average ranks.
+    """Pearson on average ranks: one range shuffle ranks the cells of all columns, one more brings the ranks back to their rows.
 
-    Ranks are computed on the distinct values of each column and joined back to the rows. A
-    column with missing values changes the rows its partners are ranked over, so ranks are kept per
+    A column with missing values changes the rows its partners are ranked over, so cells are ranked per
     (column, partner with missing values); columns without missing values share one ranking.
     """
     values = doubles(df, names)
-    missing = values.agg(*[F.count_if(quoted(c).isNull()).alias(c) for c in names]).first().asDict()
-    partial = {c for c in names if missing[c]}
-
+    missing = values.agg(*[F.count_if(quoted(c).isNull()).alias(f"_{i}") for i, c in enumerate(names)]).first()
+    partial = {c for i, c in enumerate(names) if missing[f"_{i}"]}
     pairs = list(combinations(names, 2))
-    contexts: dict[tuple[str, str | None], str] = {}
+    contexts: dict[tuple[str, str | None], int] = {}
     for a, b in pairs:
         for key in (_context(a, b, partial), _context(b, a, partial)):
-            contexts.setdefault(key, f"r{len(contexts)}")
+            contexts.setdefault(key, len(contexts))
+    left, right = (np.array([contexts[_context(*sides, partial)] for sides in ordered]) for ordered in (pairs, [(b, a) for a, b in pairs]))
     cells = [
-        F.struct(F.lit(label).alias("context"), _masked(column, mask).alias("value"))
-        for (column, mask), label in contexts.items()
+        (g, f"CASE WHEN {name_sql(mask)} IS NOT NULL THEN {name_sql(column)} END" if mask else name_sql(column)) for (column, mask), g in contexts.items()
     ]
-    frequencies = (
-        values.select(F.inline(F.array(*cells)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("context", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranks = average_ranks(frequencies, "context")
-    sizes = {
-        r["context"]: (r["values"], r["rows"])
-        for r in ranks.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()
-    }
-    if any(n_values > BROADCAST_VALUES for n_values, _ in sizes.values()):
-        # Rows will be shuffled by value: collapse copies first, so that distinct rows spread evenly.
-        rows = values.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("_w"))
-    else:
-        rows = values.withColumn("_w", F.lit(1).cast("bigint"))
-    for (column, _), label in contexts.items():
-        rows = _attach_ranks(rows, names, column, ranks.filter(F.col("context") == label), label, *sizes.get(label, (0, 0)))
-
-    def centred(a: str, b: str) -> str:
-        label = contexts[_context(a, b, partial)]
-        middle = (sizes.get(label, (0, 0))[1] + 1) / 2
-        return f"(CASE WHEN {name_sql(b)} IS NOT NULL THEN {label} - {double_sql(middle)} END)"
-
-    def r(a: str, b: str) -> str:
-        x, y = centred(a, b), centred(b, a)
-        spread = f"sqrt(sum(_w * {x} * {x})) * sqrt(sum(_w * {y} * {y}))"
-        return f"sum(_w * {x} * {y}) / nullif({spread}, 0D)"
-
-    def n(a: str, b: str) -> str:
-        return f"coalesce(sum(CASE WHEN {name_sql(a)} IS NOT NULL AND {name_sql(b)} IS NOT NULL THEN _w END), 0L)"
-
-    return _pair_rows(rows, pairs, r, n)
+    numbered = values.select("*", F.monotonically_increasing_id().alias("row"))  # travels with its cells, so it is drawn once
+    ranks = ranked(group_cells(numbered, cells, ["row"]), "row")
+    if not partial and list(contexts) == [(c, None) for c in names]:
+        parts = merged_rows(by_row(ranks, len(names), folded))
+        return _every_pair(df, names, named(parts, lambda i, n: ([names[i]] * n, names[i + 1 :])))
+    size = 64
+    parts = merged_rows(by_row(ranks, len(contexts), lambda matrices: folded_pairs(matrices, left, right, size)))
+    return _every_pair(df, names, named(parts, lambda i, n: tuple(zip(*pairs[i * size : i * size + n]))))
 
 
 def _context(column: str, partner: str, partial: set[str]) -> tuple[str, str | None]:
     return column, (partner if partner in partial else None)
 
 
-def _masked(column: str, mask: str | None) -> Column:
-    return F.when(quoted(mask).isNotNull(), quoted(column)) if mask else quoted(column)
-
-
-def _attach_ranks(rows, names, column, ranks, label, n_values, n_rows) -> DataFrame:
-    """Add the rank of ``column`` to every row.
-
-    A short rank table is broadcast. Beyond that only its hot values are, whose number is bounded by
-    their share of the rows; the remaining rows are joined by shuffle on values that are all rare, and
-    rows already served carry a spread key of their own instead of piling up on NULL.
-    """
-    table = ranks.select(F.col("value").alias("_v"), F.col("rank").alias(label), F.col("n").alias("_n"))
-    if n_values <= BROADCAST_VALUES:
-        short = F.broadcast(table.drop("_n"))
-        return rows.join(short, quoted(column) == F.col("_v"), "left").drop("_v")
-    cutoff = n_rows / HOT_SHARE
-    hot = table.filter(F.col("_n") > cutoff).select("_v", F.col(label).alias("_hot"))
-    rare = table.filter(F.col("_n") <= cutoff).select(F.col("_v").alias("_key"), F.lit(0).cast("bigint").alias("_salt"), label)
-    served = rows.join(F.broadcast(hot), quoted(column) == F.col("_v"), "left").drop("_v")
-    pending = F.col("_hot").isNull() & quoted(column).isNotNull()
-    keyed = served.withColumn("_key", F.when(pending, quoted(column))).withColumn(
-        "_salt", F.when(pending, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*[quoted(c) for c in names]))
-    )
-    joined = keyed.join(rare, ["_key", "_salt"], "left")
-    return joined.withColumn(label, F.coalesce("_hot", label)).drop("_key", "_salt", "_hot")
-
-
 def strength_label(r: Column) -> Column:
     return F.when(F.abs(r) >= 0.7, "strong").otherwise("moderate")
 

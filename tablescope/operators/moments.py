@@ -68,16 +68,54 @@ def pair_moments(values: DataFrame) -> DataFrame:
 
 
 def _folded(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    return folded(matrix(batch.slice(k, ROWS_AT_ONCE), names) for batch in batches for k in range(0, batch.num_rows, ROWS_AT_ONCE))
+
+
+def folded(matrices: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The moments of all pairs of columns of a task's matrices."""
     total = None
     with np.errstate(all="ignore"):
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                own = CoMoments.of(matrix(batch.slice(k, ROWS_AT_ONCE), names))
-                total = own if total is None else total.merged(own)
+        for x in matrices:
+            own = CoMoments.of(x)
+            total = own if total is None else total.merged(own)
     if total is not None:
         yield packed(total)
 
 
+def folded_pairs(matrices: Iterator[np.ndarray], left: np.ndarray, right: np.ndarray, size: int = 64) -> Iterator[pa.RecordBatch]:
+    """The moments of chosen pairs of columns only, ``size`` pairs to a row."""
+    totals: list[tuple] = []
+    cuts = range(0, len(left), size)
+    with np.errstate(all="ignore"):
+        for x in matrices:
+            own = [_pair_tables(x[:, left[k : k + size]], x[:, right[k : k + size]]) for k in cuts]
+            totals = [merged_tables(a, b) for a, b in zip(totals, own)] if totals else own
+    if totals:
+        cells = [pa.array([np.ascontiguousarray(t[k]).tobytes() for t in totals], pa.binary()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(totals), dtype=np.int32)), *cells], names=_FIELDS)
+
+
+def _pair_tables(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    here = ~(np.isnan(a) | np.isnan(b))
+    n = here.sum(axis=0).astype(np.float64)
+    at = np.maximum(n, 1)
+    means = [np.where(here, v, 0.0).sum(axis=0) / at for v in (a, b)]
+    da, db = (np.where(here, v - m, 0.0) for v, m in zip((a, b), means))
+    return n, np.concatenate(means), np.concatenate([(d * d).sum(axis=0) for d in (da, db)]), (da * db).sum(axis=0)
+
+
+def merged_tables(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:
+    """Merge two packed tables (n, mean and squares of both sides, products) of the same pairs."""
+    n, mean, squares, products = b
+    before, at, s, p = a
+    share = n / np.maximum(before + n, 1)
+    both = before * share
+    gap = np.where(np.tile(both, 2) > 0, mean - at, 0.0)
+    at = np.where(np.tile(before, 2) == 0, mean, at + gap * np.tile(share, 2))
+    half = len(n)
+    return before + n, at, s + squares + gap * gap * np.tile(both, 2), p + products + gap[:half] * gap[half:] * both
+
+
 def packed(total: CoMoments) -> pa.RecordBatch:
     """Row i holds, for each j after i: n, mean and squares of i then those of j, products."""
     rows = range(len(total.n) - 1)
@@ -111,19 +149,13 @@ def merged_rows(parts: DataFrame) -> DataFrame:
         with np.errstate(all="ignore"):
             for batch in batches:
                 for row in batch.to_pylist():
-                    n, mean, squares, products = _unpacked(row)
+                    own = _unpacked(row)
                     if row["first"] != key:
                         if total is not None:
                             yield give()
-                        key, total = row["first"], (n, mean, squares, products)
-                        continue
-                    before, at, s, p = total
-                    share = n / np.maximum(before + n, 1)
-                    both = before * share
-                    gap = np.where(np.tile(both, 2) > 0, mean - at, 0.0)
-                    at = np.where(np.tile(before, 2) == 0, mean, at + gap * np.tile(share, 2))
-                    half = len(n)
-                    total = (before + n, at, s + squares + gap * gap * np.tile(both, 2), p + products + gap[:half] * gap[half:] * both)
+                        key, total = row["first"], own
+                    else:
+                        total = merged_tables(total, own)
         if total is not None:
             yield give()
 
@@ -133,6 +165,11 @@ def merged_rows(parts: DataFrame) -> DataFrame:
 def correlations(values: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``(col1, col2, r, n)`` of all pairs of columns of a table of doubles; r is NULL where a side is constant."""
     names = list(labels)
+    return named(pair_moments(values), lambda i, n: ([names[i]] * n, names[i + 1 :]))
+
+
+def named(parts: DataFrame, label) -> DataFrame:
+    """``(col1, col2, r, n)`` from merged rows; ``label(first, pairs)`` names the two sides of a row's pairs."""
     schema = pa.schema([("col1", pa.string()), ("col2", pa.string()), ("r", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +177,11 @@ def correlations(values: DataFrame, labels: Sequence[str]) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     n, mean, squares, products = _unpacked(row)
-                    i, half = row["first"], len(n)
+                    half = len(n)
                     varies = squares > np.tile(n, 2) * (mean * (8 * _EPS)) ** 2  # less is what rounding makes of a constant
                     r = products / (np.sqrt(squares[:half]) * np.sqrt(squares[half:]))
                     known = varies[:half] & varies[half:] & np.isfinite(r)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[i]] * half), pa.array(names[i + 1 :]), pa.array(r, mask=~known), pa.array(n.astype(np.int64))], schema=schema
-                    )
+                    a, b = label(row["first"], half)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(r, mask=~known), pa.array(n.astype(np.int64))], schema=schema)
 
-    return pair_moments(values).mapInArrow(run, "col1 string, col2 string, r double, n long")
+    return parts.mapInArrow(run, "col1 string, col2 string, r double, n long")

@@ -6,7 +6,7 @@ import pytest
 from tests.conftest import by
 
 from tablescope.functions import special
-from tablescope.operators import anova, assoc, corr, kendall
+from tablescope.operators import anova, assoc, corr, kendall, ranks
 from tablescope.plans import recipes, relations
 from tablescope.plans.config import RelationConfig
 
@@ -43,11 +43,12 @@ def test_pearson(mix12, spark, tangled):
             assert row["r"] == pytest.approx(want.loc[a, b], rel=1e-9)
 
 
-@pytest.mark.parametrize("broadcast", [300_000, 3])
-def test_spearman(spark, tangled, monkeypatch, broadcast):
-    """With a tiny broadcast limit the hot-and-rare join is used; both must agree with pandas."""
-    monkeypatch.setattr(corr, "BROADCAST_VALUES", broadcast)
-    got = by(corr.corr_matrix(spark.createDataFrame(tangled), "spearman"), "col1", "col2")
+@pytest.mark.parametrize("parts", [1, 13])
+def test_spearman(spark, tangled, parts):
+    """In many small partitions ties cross their borders; both must agree with pandas."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = by(corr.corr_matrix(spark.createDataFrame(tangled).repartition(parts), "spearman"), "col1", "col2")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     for (a, b), row in got.items():
         ranks = tangled[[a, b]].dropna().rank()
         if "k" in (a, b):
@@ -57,6 +58,70 @@ def test_spearman(spark, tangled, monkeypatch, broadcast):
             assert row["n"] == len(ranks)
 
 
+@pytest.mark.parametrize("parts, records", [(1, 10_000), (11, 10_000), (11, 7)])
+def test_ranks_across_partitions_and_batches(spark, parts, records):
+    """Average ranks of several groups, with values that fill whole partitions and batches."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(5)
+    frames = [pd.DataFrame({"group": g, "value": v.astype(float)}) for g, v in enumerate([rng.integers(0, 3, 500), rng.normal(size=300), np.zeros(200), np.array([1.0]), rng.integers(0, 90, 400) * -0.0])]
+    pdf = pd.concat(frames, ignore_index=True).assign(row=lambda d: np.arange(len(d)))
+    got = ranks.ranked(spark.createDataFrame(pdf), "row").toPandas().sort_values("row")
+    for key, value in (("shuffle.partitions", 4), ("execution.arrow.maxRecordsPerBatch", 10_000), ("adaptive.coalescePartitions.enabled", "true")):
+        spark.conf.set(f"spark.sql.{key}", value)
+    assert len(got) == len(pdf)
+    assert (got["rank"].to_numpy() == pdf.groupby("group").value.rank().to_numpy()).all()
+    assert (got.ties.to_numpy() == pdf.groupby(["group", "value"]).value.transform("size").to_numpy()).all()
+
+
+def scans(df):
+    """File scans in a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_pearson_and_contingency_scan_once(spark, tmp_path):
+    """150 columns of numbers, and 40 of texts, are one scan each; results agree with pandas."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(300, 150)) + 1e6, columns=[f"x{i}" for i in range(150)])
+    pdf["x1"] = pdf["x0"] * 2 + rng.normal(size=300)
+    pdf.loc[rng.random(300) < 0.3, "x2"] = np.nan
+    pdf["x3"] = 0.1
+    spark.createDataFrame(pdf).repartition(5).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    matrix = corr.corr_matrix(df)
+    assert scans(matrix) == 1
+    got, want = by(matrix, "col1", "col2"), pdf.corr()
+    assert len(got) == 150 * 149 // 2
+    for (a, b), row in got.items():
+        assert row["n"] == len(pdf[[a, b]].dropna())
+        assert row["r"] is None if "x3" in (a, b) else row["r"] == pytest.approx(want.loc[a, b], abs=1e-9)
+    texts = pd.DataFrame({f"c{i}": rng.choice([*"abcdefg"[: 2 + i % 5], None], 300) for i in range(40)})
+    spark.createDataFrame(texts).repartition(5).write.parquet(str(tmp_path / "texts"))
+    pairs = [(f"c{i}", f"c{j}") for i in range(40) for j in range(i + 1, 40)]
+    table = assoc.cells(spark.read.parquet(str(tmp_path / "texts")), pairs)
+    assert scans(table) == 1 and "Expand" not in table._jdf.queryExecution().executedPlan().toString()
+    counted = {}
+    for r in table.collect():
+        counted[r["col1"], r["col2"], r["v1"], r["v2"]] = r["n"]
+    for a, b in pairs[::37]:
+        own = texts[[a, b]].dropna().groupby([a, b]).size()
+        assert {k[2:]: n for k, n in counted.items() if k[:2] == (a, b)} == own.to_dict()
+
+
+def test_cells_of_many_levels(spark, monkeypatch):
+    """Tables that outgrow a task's bounds go out in parts; the counts are the same."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 700, 3000).astype(str), "b": rng.integers(0, 600, 3000).astype(str), "c": rng.choice(["x", "y"], 3000)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    for most_cells, most_levels in ((1 << 25, 1 << 18), (50, 100)):
+        monkeypatch.setattr(assoc, "MOST_CELLS", most_cells)
+        monkeypatch.setattr(assoc, "MOST_LEVELS", most_levels)
+        got = {(r["col1"], r["col2"], r["v1"], r["v2"]): r["n"] for r in assoc.cells(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect()}
+        want = {(x, y, *k): n for x, y in (("a", "b"), ("a", "c"), ("b", "c")) for k, n in pdf.groupby([x, y]).size().items()}
+        assert got == want
+
+
 @pytest.mark.parametrize("block", [200_000, 40])
 def test_kendall(spark, tangled, monkeypatch, block):
     """With tiny blocks most pairs cross blocks, and the hot value of ``a`` gets a block of its own."""
