@@ -46,6 +46,7 @@ SELECT v1, v2, n, {r(value + '::DOUBLE')} AS value FROM m"""
 
 register("crosstab_heatmap", lambda s, d: rounded(reshape.crosstab_heatmap(table(s, d, "part"), "p_name", "p_brand", max_levels=30)), _heatmap_sql("p_name", "p_brand", "part", 30, "lift"))
 register("crosstab_heatmap_count", lambda s, d: rounded(reshape.crosstab_heatmap(table(s, d, "documents"), "lang", "source", "count", 5)), _heatmap_sql("lang", "source", "documents", 5, "count"))
+register("crosstab_heatmap_all", lambda s, d: rounded(reshape.crosstab_heatmap(lineitem(s, d), "l_suppkey", "l_shipdate")), _heatmap_sql("l_suppkey", "l_shipdate", "(SELECT l_suppkey::VARCHAR AS l_suppkey, l_shipdate::VARCHAR AS l_shipdate FROM lineitem)", 1 << 40, "lift"))
 register(
     "transpose",
     lambda s, d: reshape.transpose(table(s, d, "nation"), 3, "n_nationkey"),
@@ -175,6 +176,7 @@ def box_by_sql(cat, num, source, levels=None):
 register("box_stats", lambda s, d: rounded(chartdata.box_stats(with_gaps(s, d))), box_sql(GAP_NUMBERS, _gaps))
 register("box_stats_events", lambda s, d: rounded(chartdata.box_stats(events(s, d), EVENT_NUMBERS)), box_sql(EVENT_NUMBERS, "events"))
 register("box_stats_by", lambda s, d: rounded(chartdata.box_stats_by(events(s, d), "event_type", "value")), box_by_sql("event_type", "value", "events"))
+register("box_stats_by_all", lambda s, d: rounded(chartdata.box_stats_by(lineitem(s, d), "l_partkey", "l_extendedprice")), box_by_sql("l_partkey::VARCHAR", "l_extendedprice", "lineitem"))
 register(
     "box_stats_by_many",
     lambda s, d: rounded(chartdata.box_stats_by(table(s, d, "part"), "p_name", "p_retailprice", top=15)),
@@ -212,6 +214,13 @@ register(
     lambda s, d: rounded(chartdata.center_lines(events(s, d), "value")),
     f"SELECT {r('avg(value)')} AS mean, {r('median(value)')} AS median, {r('quantile_cont(value, 0.25)')} AS q1, {r('quantile_cont(value, 0.75)')} AS q3 FROM events",
 )
+register(
+    "kde_by_all",
+    lambda s, d: chartdata.kde_by(table(s, d, "orders"), "o_totalprice", "o_orderpriority", grid=60).select("level", "point", F.round("x", 2).alias("x"), F.round("density", 12).alias("density")),
+    f"""WITH f AS (SELECT o_orderpriority AS level, count(*)::DOUBLE AS n, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1),
+ g AS (SELECT level, i AS point, lo - (hi - lo) / 2 + i * 2 * (hi - lo) / 59 AS p, n, h FROM f, (SELECT unnest(range(60))::INTEGER AS i) q)
+SELECT g.level, point, {r('any_value(p)', 2)} AS x, {r(f'sum(exp(-0.5 * pow((p - o_totalprice) / h, 2))) / any_value(n * h * {math.sqrt(2 * math.pi)!r})', 12)} AS density FROM g JOIN orders ON o_orderpriority = g.level GROUP BY g.level, point""",
+)
 register(
     "kde_by",
     lambda s, d: (lambda k: k.select("level", "point", F.round("x", 4).alias("x"), F.round("density", 9).alias("density")))(chartdata.kde_by(lineitem(s, d), "l_quantity", "l_returnflag", 2, 50)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tablescope.functions.stats import guarded_corr, ratio
 from tablescope.kinds import column_kind, doubles_of, field_type, missing_to_null, numeric_columns, quoted
 from tablescope.operators.corr import corr_matrix
 from tablescope.operators.freq import gated_categories
-from tablescope.operators.order import running_totals, with_row_index
+from tablescope.operators.order import materialize, running_totals, sized, with_row_index
 from tablescope.operators.quality import category_overview
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.select import sample_rows, to_numeric, top_n_plus_others, top_values
@@ -116,14 +117,22 @@ def _box(value: Column, q1: Column, q2: Column, q3: Column, k: float) -> list[Co
 def box_stats_by(df: DataFrame, cat: str, num: str, top: int | None = None, k: float = 1.5) -> DataFrame:
     """Box statistics of ``num`` per level of ``cat``; with ``top``, of the largest levels only."""
     rows = df.select(quoted(cat).cast("string").alias("level"), doubles_of(df, num).alias("value")).dropna()
-    sizes = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "level")
-    levels = [r["level"] for r in (sizes if top is None else sizes.limit(top)).collect()]
-    chosen = rows if top is None else rows.filter(F.col("level").isin(levels))
-    got = exact_quantiles(chosen, ["value"], (0.25, 0.5, 0.75), by="level")
-    table = df.sparkSession.createDataFrame(
-        [(v, *[got[v, "value", p] for p in (0.25, 0.5, 0.75)]) for v in levels], "level string, q1 double, q2 double, q3 double"
+    if top is not None:
+        sizes = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "level")
+        rows = rows.filter(F.col("level").isin([r["level"] for r in sizes.limit(top).collect()]))
+    # One range shuffle orders all levels; a level's order statistics are rows at known places.
+    placed = materialize(running_totals(rows.withColumn("one", F.lit(1).cast("bigint")), ["level", "value"], ["one"]).drop("one"))
+    levels = sized(placed.groupBy("level").agg(F.min("one_before").alias("first"), F.count(F.lit(1)).alias("rows")))
+    at = F.col("one_before") - F.col("first")
+    marks = {f"q{i}": (F.col("rows") - 1) * p for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))}
+    numbered = placed.join(levels, "level")
+    near = [(F.floor(m), F.least(F.floor(m) + 1, F.col("rows") - 1)) for m in marks.values()]
+    held = numbered.filter(reduce(lambda a, b: a | b, [(at == low) | (at == high) for low, high in near]))
+    ends = held.groupBy("level", "rows").agg(
+        *[F.max(F.when(at == place, F.col("value"))).alias(f"{q}_{k}") for q, pair in zip(marks, near) for k, place in enumerate(pair)]
     )
-    return chosen.join(F.broadcast(table), "level").groupBy("level").agg(*_box(F.col("value"), F.col("q1"), F.col("q2"), F.col("q3"), k))
+    boxes = sized(ends.select("level", *[(F.col(f"{q}_0") + (F.col(f"{q}_1") - F.col(f"{q}_0")) * (m - F.floor(m))).alias(q) for q, m in marks.items()]))
+    return placed.join(boxes, "level").groupBy("level").agg(*_box(F.col("value"), F.col("q1"), F.col("q2"), F.col("q3"), k))
 
 
 # --- distribution curves --------------------------------------------------------------------------
@@ -154,41 +163,50 @@ def kde(
 ) -> DataFrame:
     """``(point, x, density)``: Gaussian density with Scott's bandwidth on an even grid.
 
-    The grid extends half the data range beyond both ends unless ``lo`` and ``hi`` are given. Each value
-    only meets the grid points its kernel reaches in double precision; sums move as one row per grid point
-    and task. Columns with few distinct values are counted first.
+    The grid extends half the data range beyond both ends unless ``lo`` and ``hi`` are given. See ``_densities``.
     """
-    value = doubles_of(df, column)
-    rows = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    facts = rows.agg(
-        F.count("v").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")
-    ).first()
-    n, spread = facts["n"], facts["s"]
-    if n < 2 or not spread:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
-    h = bandwidth or spread * n ** (-1 / 5)
-    half = (facts["hi"] - facts["lo"]) / 2
-    start, end = (facts["lo"] - half if lo is None else lo), (facts["hi"] + half if hi is None else hi)
-    step = (end - start) / (grid - 1)
-    if facts["d"] < 0.2 * n:
-        weighted = rows.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    else:
-        weighted = rows.withColumn("w", F.lit(1.0))
-    first = F.greatest(F.ceil((F.col("v") - KERNEL_REACH * h - start) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor((F.col("v") + KERNEL_REACH * h - start) / step), F.lit(grid - 1)).cast("int")
+    rows = df.select(F.lit("").alias("level"), doubles_of(df, column).alias("v"))
+    return _densities(rows, grid, lo, hi, bandwidth).drop("level")
+
+
+TERMS = 15  # of the expansion
+CELL = 0.5  # of a bandwidth, the width of a cell
+
+
+def _densities(rows: DataFrame, grid: int, lo: float | None = None, hi: float | None = None, bandwidth: float | None = None) -> DataFrame:
+    """``(level, point, x, density)`` of (level, v) by a fast Gauss transform, all levels in one aggregate.
+
+    Values are summed into cells half a bandwidth wide, as the moments sum(t^k) / k! of their distances t from the middle, in
+    bandwidths. A cell then adds sum of He_k(y) times moment k, times exp(-y^2/2), to the points it reaches. As |t| <= 1/4 and
+    |He_k(y)| exp(-y^2/4) <= 1.09 sqrt(k!), the terms left out are below 1.1 * 4^-15 / sqrt(15!) < 10^-14 of the kernel's peak per value.
+    Levels of fewer than two values, or of equal ones, have no density.
+    """
+    rows = rows.filter(F.col("v").isNotNull() & F.col("level").isNotNull())
+    facts = rows.groupBy("level").agg(F.count("v").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("low"), F.max("v").alias("high")).filter("n > 1 AND s > 0")
+    half = (F.col("high") - F.col("low")) / 2
+    begin = F.col("low") - half if lo is None else F.lit(float(lo))
+    end = F.col("high") + half if hi is None else F.lit(float(hi))
+    h = F.lit(float(bandwidth)) if bandwidth else F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-1 / 5))
+    facts = sized(facts.select("level", "n", "low", begin.alias("start"), ((end - begin) / (grid - 1)).alias("step"), h.alias("h")))
+    celled = rows.join(facts, "level").withColumn("cell", F.floor((F.col("v") - F.col("low")) / (F.col("h") * CELL)).cast("bigint"))
+    t = "((v - low) / h - (cell + 0.5D) * %rD)" % CELL
+    moments = [F.expr(f"sum({'1D' if not k else ' * '.join([t] * k)}) / {float(math.factorial(k))!r}D").alias(f"m{k}") for k in range(TERMS)]
+    middle = F.col("low") + (F.col("cell") + 0.5) * CELL * F.col("h")
+    cells = celled.groupBy("level", "cell").agg(*moments).join(facts, "level").withColumn("middle", middle)
+    reach = (KERNEL_REACH + CELL) * F.col("h")
+    first = F.greatest(F.ceil((F.col("middle") - reach - F.col("start")) / F.col("step")), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("middle") + reach - F.col("start")) / F.col("step")), F.lit(grid - 1)).cast("int")
+    terms = ", ".join(f"named_struct('a', m{k}, 'k', {k + 1}D)" for k in range(TERMS - 1, -1, -1))
     reached = (
-        weighted.withColumn("_first", first)
-        .withColumn("_last", last)
-        .filter(F.col("_first") <= F.col("_last"))
-        .select("v", "w", F.explode(F.sequence("_first", "_last")).alias("point"))
-    )
-    u = (F.lit(start) + F.col("point") * F.lit(step) - F.col("v")) / F.lit(h)
-    sums = reached.groupBy("point").agg(F.sum(F.col("w") * F.exp(-0.5 * u * u)).alias("_sum"))
-    points = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("point"))
-    density = F.coalesce(F.col("_sum"), F.lit(0.0)) / F.lit(n * h * SQRT_2PI)
-    return points.join(sums, "point", "left").select(
-        "point", (F.lit(start) + F.col("point") * F.lit(step)).alias("x"), density.alias("density")
-    )
+        cells.withColumn("first", first).withColumn("last", last).filter("first <= last").withColumn("terms", F.expr(f"array({terms})"))
+        .select("level", "middle", "h", "start", "step", "terms", F.explode(F.sequence("first", "last")).alias("point"))
+        .withColumn("y", (F.col("start") + F.col("point") * F.col("step") - F.col("middle")) / F.col("h"))
+    )
+    series = "aggregate(terms, named_struct('p', 0D, 'q', 0D), (s, e) -> named_struct('p', e.a + y * s.p - e.k * s.q, 'q', s.p), s -> s.p)"
+    sums = reached.groupBy("level", "point").agg(F.sum(F.expr(f"exp(-0.5D * y * y) * {series}")).alias("sum"))
+    points = facts.select("level", "n", "start", "step", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    density = F.greatest(F.coalesce(F.col("sum"), F.lit(0.0)), F.lit(0.0)) / (F.col("n") * F.col("h") * SQRT_2PI)
+    return points.join(sums, ["level", "point"], "left").select("level", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"), density.alias("density"))
 
 
 def ridge(df: DataFrame, column: str, grid: int = 1000) -> DataFrame:
@@ -212,13 +230,11 @@ def center_lines(df: DataFrame, column: str) -> DataFrame:
 
 def kde_by(df: DataFrame, column: str, group: str, max_groups: int | None = None, grid: int = 1000) -> DataFrame:
     """``(level, point, x, density)`` for every level, or the first ``max_groups`` in sorted order."""
-    found = df.filter(quoted(group).isNotNull()).select(quoted(group)).distinct().orderBy(quoted(group))
-    levels = [r[0] for r in (found if max_groups is None else found.limit(max_groups)).collect()]
-    out = df.sparkSession.createDataFrame([], "level string, point int, x double, density double")
-    for level in levels:
-        curve = kde(df.filter(quoted(group) == F.lit(level)), column, grid)
-        out = out.unionByName(curve.withColumn("level", F.lit(str(level))))
-    return out
+    rows = df.select(quoted(group).alias("level"), doubles_of(df, column).alias("v"))
+    if max_groups is not None:
+        first = rows.filter(F.col("level").isNotNull()).select("level").distinct().orderBy("level").limit(max_groups)
+        rows = rows.join(F.broadcast(first), "level", "left_semi")
+    return _densities(rows.select(F.col("level").cast("string").alias("level"), "v"), grid)
 
 
 def qq_points(df: DataFrame, column: str) -> DataFrame:

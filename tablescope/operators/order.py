@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tablescope.kinds import INTEGRAL, quoted
 
+BROADCAST_ROWS = 1 << 18
 _POSITION_BITS = 33  # monotonically_increasing_id: partition id above, row position below
 
 
@@ -45,6 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """A narrow table, written once: marked for broadcast if it has few rows, else joined by a shuffle."""
+    side = materialize(side)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def order_columns(order_by: str | Column | Sequence[str | Column]) -> list[Column]:
     items = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     return [quoted(i) if isinstance(i, str) else i for i in items]

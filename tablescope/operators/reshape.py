@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.kinds import missing_to_null, field_type, plain_columns, quoted
 from tablescope.operators.corr import corr_matrix
-from tablescope.operators.order import order_columns
+from tablescope.operators.order import materialize, order_columns, sized
 
 MAX_WIDE_LEVELS = 1_000
 MAX_TRANSPOSED_ROWS = 1_000
@@ -57,13 +57,14 @@ def crosstab_heatmap(df: DataFrame, a: str, b: str, metric: str = "lift", max_le
     cells = crosstab(df, a, b)
     if max_levels is not None:
         cells = cells.filter(F.col("v1").isin(leading(a)) & F.col("v2").isin(leading(b)))
-    n, total = F.col("n").cast("double"), F.sum("n").over(Window.partitionBy(F.lit(0)))
-    rows = F.sum("n").over(Window.partitionBy("v1"))
-    columns = F.sum("n").over(Window.partitionBy("v2"))
-    sized = cells.select("v1", "v2", "n", rows.alias("_r"), columns.alias("_c"), total.alias("_t"))
-    expected = F.greatest(F.col("_r").cast("double") * F.col("_c") / F.col("_t"), F.lit(1e-9))
-    value = n / expected if metric == "lift" else n
-    return sized.select("v1", "v2", "n", value.alias("value"))
+    n = F.col("n").cast("double")
+    if metric != "lift":
+        return cells.select("v1", "v2", "n", n.alias("value"))
+    cells = materialize(cells)  # read for both margins
+    rows, columns = (sized(cells.groupBy(v).agg(F.sum("n").alias(name))) for v, name in (("v1", "_r"), ("v2", "_c")))
+    total = rows.agg(F.sum("_r")).first()[0]
+    expected = F.greatest(F.col("_r").cast("double") * F.col("_c") / F.lit(total), F.lit(1e-9))
+    return cells.join(rows, "v1").join(columns, "v2").select("v1", "v2", "n", (n / expected).alias("value"))
 
 
 def transpose(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
