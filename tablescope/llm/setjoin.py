@@ -10,9 +10,9 @@ together hold every pair of the list.
 
 Within a list, positions and sizes (and, if wished, a parity bitmap of the set) bound the overlap of a
 pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. For small
-sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone, and the rest
-if that one fails. That loses nothing where only earlier sets are asked for, as lists are in order of first place: of a set found
-later, all other pairs in the list are with sets before it too. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
+sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone. If that one fails,
+the list is laid out once more with the members of its sets, and settles by itself whether any set before it is similar; nothing
+but the ids of sets found later leaves it. That loses nothing where only earlier sets are asked for, as lists are in order of first place. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
 there; only the others are then compared with the rest of their lists, and only with sets not already known to
 hang together with them. Lists are kept in order of set size and position, so that blocks of sets that are too small or
 too large are skipped. Signatures (parities of the members by hash bucket) bound the difference of large sets from below.
@@ -44,7 +44,7 @@ ENTRIES_A_TASK = 200_000
 PAIRS_AT_ONCE = 1 << 19
 SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
 MOST_SEEN = 500_000  # sets whose place a task remembers
-ASKED_AT_ONCE = 1 << 20  # ids sent to the tasks at once
+ASKED_BITS = 1 << 25  # places of the table of keys that are looked at again
 
 _ENTRY = ("key", "id", "doc", "n", "pos")
 _TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
@@ -166,12 +166,16 @@ def rarity(surveyed: DataFrame, join: Join) -> np.ndarray:
     return codes.reshape(-1)
 
 
+def _fields(join: Join) -> list[tuple[str, type]]:
+    return [*zip(_ENTRY, _TYPES), *(_BITMAP if join.bitmap else ()), *(_UNIT if join.only_earlier else ())]
+
+
 def _pack(entries: dict[str, np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(v).tobytes() for v in entries.values())
 
 
 def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
-    names = [*zip(_ENTRY, _TYPES), *(_BITMAP if join.bitmap else ()), *(_UNIT if join.only_earlier else ())]
+    names = _fields(join)
     width = sum(np.dtype(t).itemsize for _, t in names)
     parts: dict[str, list] = {name: [] for name, _ in names}
     for blob in blobs:
@@ -182,38 +186,49 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in names}
 
 
-def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, keys: np.ndarray | None = None) -> DataFrame:
-    """(slice, blob): the entries of every set (of some sorted ``keys``, if given), packed by the slice their key falls in.
+def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, asked_keys: np.ndarray | None = None) -> DataFrame:
+    """(slice, blob): the entries of every set, packed by the slice their key falls in.
 
-    A set that a task finds again gives its entries again if the place is before the one they were given with.
+    With ``asked_keys``, a table of ``ASKED_BITS`` places, only those of keys whose place is marked, and with their members. A set that a
+    task finds again gives its entries again if the place is before the one they were given with.
     """
-    keys_all = docs.sparkSession.sparkContext.broadcast(keys)
+    keys_all = docs.sparkSession.sparkContext.broadcast(asked_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, keys = codes_all.value, keys_all.value
         shift = np.uint64(64 - join.sketch_bits)
         seen: dict[int, list[int]] = {}  # the place each set was given with
         held: list[dict[str, np.ndarray]] = []
+        members_held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, members_held, size
             if held:
                 entries = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
                 slice_of = (mixed(entries["key"] ^ np.uint64(0xA5A5A5A5)) % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(slice_of, kind="stable")
                 slice_of = slice_of[order]
+                member_at = entries.pop("member_at", None)
                 entries = {k: v[order] for k, v in entries.items()}
                 cuts = np.flatnonzero(np.diff(slice_of, prepend=-1))
                 ends = np.append(cuts[1:], len(slice_of))
+                if keys is not None:
+                    whole, member_at = np.concatenate(members_held), member_at[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slice_of[cuts].astype(np.int32)),
-                        pa.array([_pack({k: v[a:b] for k, v in entries.items()}) for a, b in zip(cuts, ends)], pa.binary()),
+                        pa.array(
+                            [
+                                _pack({k: v[a:b] for k, v in entries.items()} | ({} if keys is None else {"members": whole[ranges(member_at[a:b], entries["n"][a:b].astype(np.int64))], "count": np.array([b - a])}))
+                                for a, b in zip(cuts, ends)
+                            ],
+                            pa.binary(),
+                        ),
                     ],
                     names=["slice", "blob"],
                 )
-            held, size = [], 0
+            held, members_held, size = [], [], 0
 
         for batch in batches:
             ids_of_docs = _docs(batch)
@@ -257,12 +272,17 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                     entry["high"] = np.bitwise_xor.reduceat(high, inner[:-1])[owner]
                 if join.only_earlier:
                     entry["unit"] = units[chosen].astype(np.int32)[owner]
+                if keys is not None:
+                    entry["_set"] = owner
                 hot = most > LONGEST_LIST
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
                 if keys is not None:
-                    asked = keys[np.minimum(np.searchsorted(keys, entry["key"]), len(keys) - 1)] == entry["key"]
+                    asked = keys[(entry["key"] & np.uint64(len(keys) - 1)).astype(np.int64)]
                     entry = {k: v[asked] for k, v in entry.items()}
+                    entry["member_at"] = inner[:-1][entry.pop("_set")] + sum(map(len, members_held))
+                    members_held.append(members)
+                    size += len(members) // 4
                 held.append(entry)
                 size += len(entry["key"])
                 if size > 400_000:
@@ -329,55 +349,70 @@ def _possible(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, join: Join
     return ok
 
 
-def _lists(blobs: list[bytes], join: Join) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Entries of the keys that several sets have, ordered by key and first place; starts and lengths of the lists."""
-    e = _unpack(blobs, join)
+def _lists(blobs: list[bytes], join: Join, more: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Entries of the keys that several sets have (with ``more`` columns), ordered by key and first place; starts and lengths of the lists."""
+    e = _unpack(blobs, join) | (more or {})
     order = np.argsort(e["key"])
     key = e["key"][order]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:].copy()
-    order = order[same]
-    if len(order):
-        order = order[np.lexsort([*(e[c][order] for c in ("unit", "doc") if c in e)])]
-        _, once = np.unique(mixed(e["key"][order] ^ mixed(e["id"][order])), return_index=True)  # of copies from several tasks, the first
-        order = order[once]
-    order = order[np.lexsort([e["id"][order].view(np.int64), *(e[c][order] for c in ("unit", "doc", "key") if c in e)])]
-    e = {k: v[order] for k, v in e.items()}
-    starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(order) else np.zeros(0, np.int64)
-    return e, starts, np.diff(np.append(starts, len(e["key"])))
-
-
-def _leading(later: list[np.ndarray], earlier: list[np.ndarray], most: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The pairs ordered by the later set, and of each later set only the ``most`` first ones, if given."""
+    order, key = order[same], key[same]
+    if not len(order):
+        return {k: v[order] for k, v in e.items()}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))  # of the list
+    place = _places(e, order)
+    by = np.argsort(number * (int(place.max()) + 1) + place, kind="stable") if (int(number[-1]) + 1) * (int(place.max()) + 1) < 1 << 62 else np.lexsort((place, number))
+    order, number = order[by], number[by]
+    _, once = np.unique(mixed(number.astype(np.uint64) ^ mixed(e["id"][order])), return_index=True)  # of copies from several tasks, the first
+    once.sort()
+    order, number = order[once], number[once]
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return {k: v[order] for k, v in e.items()}, starts, np.diff(np.append(starts, len(order)))
+
+
+def _places(e: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Ranks of the entries' first places (document, then unit if there is one, then id), equal for copies."""
+    _, doc = np.unique(e["doc"][order], return_inverse=True)
+    if "unit" in e:
+        unit = e["unit"][order].astype(np.int64)
+        doc = doc * (int(unit.max()) + 1) + unit
+    ids = e["id"][order].view(np.int64)
+    by = np.argsort(doc, kind="stable")
+    tied = doc[by][1:] == doc[by][:-1]
+    if (tied & (ids[by][1:] != ids[by][:-1])).any():  # different sets at one place: by id
+        by = np.lexsort((ids, doc))
+        step = np.concatenate([[0], (doc[by][1:] != doc[by][:-1]) | (ids[by][1:] != ids[by][:-1])])
+        doc = np.empty(len(by), np.int64)
+        doc[by] = np.cumsum(step)
+    return doc
+
+
+def _leading(later: list[np.ndarray], earlier: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The pairs ordered by the later set, and of each later set only the ``most`` first ones."""
     i, j = np.concatenate([np.zeros(0, np.int64), *later]), np.concatenate([np.zeros(0, np.int64), *earlier])
     by = np.lexsort((j, i))
     i, j = i[by], j[by]
-    if most is not None and len(i):
+    if len(i):
         firsts = np.flatnonzero(np.diff(i, prepend=-1))
         rank = np.arange(len(i)) - np.repeat(firsts, np.diff(np.append(firsts, len(i))))
         i, j = i[rank < most], j[rank < most]
     return [i], [j]
 
 
-def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The possible pairs within one list that is in order of first place, as (later, earlier), ordered.
-
-    Of each later set the first few, one more than are tested at once; with ``asked``, all pairs that have an asked set. Sets are compared in order of size, block by block, so that
-    others than those of a fitting size are skipped.
+def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The possible pairs within one list that is in order of first place, as (later, earlier), ordered; of each later set the first few,
+    one more than are tested at once. Sets are compared in order of size, block by block, so that others than those of a
+    fitting size are skipped.
     """
     order = start + np.argsort(e["n"][start : start + n], kind="stable")
     sizes = e["n"][order].astype(np.int64)
     high = np.searchsorted(sizes, join.den * sizes // join.num, "right")
-    low = np.arange(n) + 1 if asked is None else np.searchsorted(sizes, -(-join.num * sizes // join.den))
-    ask = np.arange(n) if asked is None else np.flatnonzero(asked[order])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    most, held = (SHORT_LIST + 1 if asked is None else None), 0
+    low = np.arange(n) + 1
+    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     halves = [e[c][order] for c in ("low", "high")]
     step = max(1, min(256, PAIRS_AT_ONCE // max(1, n)))
-    for block in np.split(ask, np.arange(step, len(ask), step)):
-        if not len(block):
-            continue
+    for block in np.split(np.arange(n), np.arange(step, n, step)):
         a, b = int(low[block].min()), int(high[block].max())
         if a >= b:
             continue
@@ -393,9 +428,9 @@ def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, asked: np.n
         right.append(np.minimum(i, j))
         held += len(i)
         if held > PAIRS_AT_ONCE:
-            left, right = _leading(left, right, most)
-            held = len(left[0]) if asked is None else 0
-    left, right = _leading(left, right, most)
+            left, right = _leading(left, right, SHORT_LIST + 1)
+            held = 0
+    left, right = _leading(left, right, SHORT_LIST + 1)
     return left[0], right[0]
 
 
@@ -404,7 +439,7 @@ def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarra
     later, earlier, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     some = lengths <= SIDE_BY_SIDE
     for start, n in zip(starts[~some].tolist(), lengths[~some].tolist()):
-        i, j = _close(e, start, n, join, None)
+        i, j = _close(e, start, n, join)
         later.append(i)
         earlier.append(j)
     starts, lengths = starts[some], lengths[some]
@@ -431,25 +466,75 @@ def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarra
     return later[0], earlier[0]
 
 
-def _asked_pairs(blobs: list[bytes], asked: np.ndarray, join: Join) -> pa.Table:
-    """All possible pairs of the sets in ``asked`` (sorted) with the rest of their lists."""
-    e, starts, lengths = _lists(blobs, join)
-    at = np.minimum(np.searchsorted(asked, e["id"]), len(asked) - 1)
-    is_asked = asked[at] == e["id"]
-    pairs = [np.zeros((2, 0), np.int64)]
-    for start, n in zip(starts.tolist(), lengths.tolist()):
-        if is_asked[start : start + n].any():
-            i, j = (e["id"][k].view(np.int64) for k in _close(e, start, n, join, is_asked))
-            pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-    rows = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pa.table({"a": pa.array(rows[0]), "b": pa.array(rows[1])})
+def _unpack_with_members(blobs: list[bytes], counts: list[int], join: Join) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(fixed parts of the blobs, members of all entries, where each entry's begin)."""
+    width = sum(np.dtype(t).itemsize for _, t in _fields(join))
+    n_at = sum(np.dtype(t).itemsize for c, t in _fields(join)[: _ENTRY.index("n")])
+    fixed, members, sizes = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for blob, count in zip(blobs, counts):
+        fixed.append(blob[: width * count])
+        sizes.append(np.frombuffer(blob, np.int32, count, n_at * count).astype(np.int64))
+        members.append(np.frombuffer(blob, np.uint64, int(sizes[-1].sum()), width * count))
+    sizes = np.concatenate(sizes)
+    return fixed, np.concatenate(members), np.cumsum(sizes) - sizes
+
+
+def _similar(members: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, join: Join) -> np.ndarray:
+    """Whether the sets i and j are similar enough, by their members."""
+    out = np.zeros(len(i), bool)
+    total = n[i] + n[j]
+    by = np.argsort(total, kind="stable")
+    first = 0
+    while first < len(by):
+        width = int(total[by[min(len(by), first + (1 << 12)) - 1]])
+        some = by[first : first + min(1 << 12, max(1, (1 << 20) // width))]
+        width = int(total[some[-1]])
+        table = np.arange(width, dtype=np.uint64)[None, :].repeat(len(some), axis=0)  # fillers differ from each other
+        used = np.zeros(len(some), np.int64)
+        for side in (i[some], j[some]):
+            row = np.repeat(np.arange(len(some)), n[side])
+            table[row, ranges(used, n[side])] = members[ranges(at[side], n[side])]
+            used = used + n[side]
+        table.sort(axis=1)
+        overlap = (table[:, 1:] == table[:, :-1]).sum(axis=1)
+        out[some] = join.den * overlap >= join.num * (total[some] - overlap)
+        first += len(some)
+    return out
+
+
+def _asked_later(blobs: list[bytes], asked: np.ndarray, join: Join) -> np.ndarray:
+    """Those of the ``asked`` sets (key and id mixed, sorted) that are similar to a set before them in their list."""
+    counts = [int(np.frombuffer(b[-8:], np.int64)[0]) for b in blobs]
+    fixed, members, at = _unpack_with_members([b[:-8] for b in blobs], counts, join)
+    e, starts, lengths = _lists(fixed, join, {"members": at})
+    member_at, n = e["members"], e["n"].astype(np.int64)
+    name = mixed(e["key"] ^ mixed(e["id"]))
+    is_asked = asked[np.minimum(np.searchsorted(asked, name), len(asked) - 1)] == name
+    found = np.zeros(len(name), bool)
+    for start, size in zip(starts.tolist(), lengths.tolist()):
+        ask = start + np.flatnonzero(is_asked[start : start + size])
+        step = max(1, PAIRS_AT_ONCE // size)
+        for k in range(0, len(ask), step):
+            block = ask[k : k + step]
+            end = int(block[-1])
+            limit = 2 * (join.den - join.num) * int(n[start : start + size].max()) // join.den  # no similar pair here differs in more members
+            differ = np.bitwise_count(e["low"][block][:, None] ^ e["low"][None, start:end]) + np.bitwise_count(e["high"][block][:, None] ^ e["high"][None, start:end])
+            i, j = np.nonzero((differ <= limit) & (np.arange(start, end)[None, :] < block[:, None]))
+            i, j = block[i], start + j
+            ok = _possible(e, i, j, join)
+            i, j = i[ok], j[ok]
+            found[i[_similar(members, member_at, n, i, j, join)]] = True
+    return np.unique(e["id"][found])
 
 
 _FOUND = "kind int, a long, b long, n int, pos int, key long"
 
 
-def _first_pairs(blobs: list[bytes], join: Join) -> pa.Table:
-    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3)."""
+def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
+    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3).
+
+    Of small sets, kind 1 tells the list's key, and as ``pos`` its slice.
+    """
     e, starts, lengths = _lists(blobs, join)
     kinds, left, right, keys = [], [], [], []
 
@@ -485,7 +570,7 @@ def _first_pairs(blobs: list[bytes], join: Join) -> pa.Table:
     give(2, head[~ok], other[~ok])
     rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right, keys)]), axis=1, return_counts=True)
     whole = ranges(long_at, long_n)
-    none = np.zeros(rows.shape[1], np.int32)
+    none = np.full(rows.shape[1], slice_of, np.int32)
     columns = {
         "kind": np.concatenate([rows[0], np.full(len(whole), 3, np.uint64)]).astype(np.int32),
         "a": np.concatenate([rows[1], e["key"][whole]]).view(np.int64),
@@ -559,24 +644,29 @@ def _further_pairs(table: pa.Table, join: Join) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
-def _asking(wanted: Broadcast, join: Join) -> Callable[[pa.Table], pa.Table]:
-    def ask(table: pa.Table) -> pa.Table:
-        return _asked_pairs([b.as_py() for b in table.column("blob")], wanted.value, join)
+def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFrame]) -> DataFrame:
+    """(id) of the sets of ``again`` (slice, key, id) that are similar to one before them in one of these lists.
 
-    return ask
+    A table of fixed size tells the tasks which lists to lay out once more, now with members, and each list settles its
+    own sets: nothing but ids of sets found leaves it.
+    """
+    place = F.col("key").bitwiseAND(F.lit(ASKED_BITS - 1)) + 1  # Spark's buckets and their values count from 1
+    marked = again.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    keys = np.zeros(ASKED_BITS, bool)
+    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # 4 MB at most in all
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
+        first = (row["bucket"] - 1) * len(bits)
+        keys[first : first + len(bits)] = bits
 
+    def ask(wanted: pa.Table, lists: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.uint64)
+        if wanted.num_rows and lists.num_rows:
+            key, own = (wanted.column(c).to_numpy().view(np.uint64) for c in ("key", "id"))
+            found = _asked_later([b.as_py() for b in lists.column("blob")], np.sort(mixed(key ^ mixed(own))), join)
+        return pa.table({"id": pa.array(found.view(np.int64))})
 
-def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFrame]) -> DataFrame:
-    """All possible pairs (a, b) of the sets (id) in their lists (key) of ``again``, which go to the tasks in blocks of bounded size."""
-    blocks = -(-again.count() // ASKED_AT_ONCE)
-    new = None
-    for k in range(blocks):
-        rows = again.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).toPandas()
-        ids, keys = (np.unique(rows[c].to_numpy(np.int64).view(np.uint64)) for c in ("id", "key"))
-        wanted = again.sparkSession.sparkContext.broadcast(ids)
-        part = packed(keys).groupBy("slice").applyInArrow(_asking(wanted, join), "a long, b long")
-        new = part if new is None else new.union(part)
-    return new.distinct()
+    lists = packed(keys)
+    return again.groupBy("slice").cogroup(lists.groupBy("slice")).applyInArrow(ask, "id long")
 
 
 def _more(found: DataFrame, surveyed: DataFrame, groups: DataFrame, again: DataFrame, join: Join) -> DataFrame:
@@ -674,18 +764,18 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     total = surveyed.where("kind = 0 AND n > 0").count()
     packed = postings(docs, join, codes, slices, total).repartition(slices, "slice")
 
-    def first(table: pa.Table) -> pa.Table:
-        return _first_pairs([b.as_py() for b in table.column("blob")], join)
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        return _first_pairs([b.as_py() for b in table.column("blob")], join, key[0].as_py())
 
     found = materialize(packed.groupBy("slice").applyInArrow(first, _FOUND))
     pairs = found.where("kind < 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("votes"))
     if join.only_earlier:
         later = materialize(_later(_links(docs, surveyed, pairs.select("a", "b"), join), surveyed))
-        again = materialize(found.where("kind = 1").select(F.col("b").alias("id"), "key").distinct().join(later, "id", "left_anti"))
+        again = materialize(found.where("kind = 1").select(F.col("pos").alias("slice"), "key", F.col("b").alias("id")).distinct().join(later, "id", "left_anti"))
         if again.isEmpty():
             return surveyed, later
-        new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys)).join(pairs, ["a", "b"], "left_anti")
-        return surveyed, later.union(_later(_links(docs, surveyed, materialize(new), join), surveyed)).distinct()
+        new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys))
+        return surveyed, materialize(later.union(new).distinct())
 
     likely = materialize(_likely(pairs, surveyed, join).join(pairs, ["a", "b"]))
     # each set is first tested with the one it shares most lists with; most others then hang together with it already
