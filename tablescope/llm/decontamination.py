@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import gram_hashes, pieces, ranges, words
-from tablescope.llm.sides import counted, received, row_key, shared
+from tablescope.llm.sides import counted, received, row_key, shared, spare
 
 BLOCK_CHARS = 16 << 20
 _FILTER_BITS = 22
@@ -156,7 +156,7 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents that cover no item; each row is decided by its own text."""
-    row = row_key(id_column, text_column)
+    row, name = row_key(id_column, text_column), spare(docs, "_gone")
     keyed = docs.select(row.alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
-    gone = counted(contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, row == F.col("_gone"), "left_anti")
+    gone = counted(contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, row == F.col(name), "left_anti")

@@ -8,7 +8,8 @@ The line before may itself be removed.
 
 Defined cases: a missing text stays missing; lines without a word are never compared and stay; a text whose
 every line with words goes becomes empty. Rows with the same id and text count as one document, so repeated rows
-get the same text; rows that only share an id, or have none, are decided each by itself. Extra columns pass through.
+get the same text; rows that only share an id, or have none, are decided each by itself. Extra columns pass through; columns
+``n_lines`` and ``n_removed`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import sorted_sets, words
 from tablescope.llm.setjoin import Join, first_places, links
-from tablescope.llm.sides import row_key
+from tablescope.llm.sides import row_key, spare
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray):
@@ -38,6 +39,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray):
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with later similar lines removed from the text, and added ``n_lines`` and ``n_removed``."""
     key = row_key(id_column, text_column)
+    keyed, own, gone_lines = (spare(docs, name) for name in ("_key", "_own", "_gone"))
     pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), key.alias("row"))
     surveyed, later = links(pairs, Join(line_sets, bitmap=True, sketch_bits=23, skip_single=True, only_earlier=True))
     decided = first_places(surveyed).join(later.withColumn("later", F.lit(True)), "id", "left").where("later OR rows > 1")
@@ -46,16 +48,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         surveyed.where("kind = 0")
         .join(decided, "id")
         .where("coalesce(later, false) OR row != first_row OR unit != first_unit")
-        .groupBy(F.col("row").alias("_doc"))
-        .agg(F.collect_set("unit").alias("_gone"))
+        .groupBy(F.col("row").alias(own))
+        .agg(F.collect_set("unit").alias(gone_lines))
     )
     text = F.col(f"`{text_column}`")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    done = docs.withColumn("_key", key).join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_doc"), "left")
-    new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone_lines, i))
+    done = docs.withColumn(keyed, key).join(gone.hint("shuffle_hash"), F.col(keyed) == F.col(own), "left")
+    new = F.when(F.col(gone_lines).isNull(), text).otherwise(F.array_join(kept, "\n"))
     return done.select(
         *[new.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(text.isNotNull(), F.size(lines)).otherwise(0).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(gone_lines), F.lit(0)).alias("n_removed"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablescope.llm.arrays import gram_hashes, sorted_sets, words
 from tablescope.llm.components import components
 from tablescope.llm.setjoin import Join, links
-from tablescope.llm.sides import counted, row_key
+from tablescope.llm.sides import counted, row_key, spare
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -60,5 +60,6 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The first document of each component: the one with the smallest id, a missing id last, and of different texts that
     share an id or have none the one with the smallest hash. Repeated rows (same id and text) go or stay together."""
-    gone = _grouped(docs, id_column, text_column).where(F.col("smallest") < _place()).select(F.col("row").alias("_gone")).distinct()
-    return docs.join(counted(gone), row_key(id_column, text_column) == F.col("_gone"), "left_anti")
+    name = spare(docs, "_gone")
+    gone = _grouped(docs, id_column, text_column).where(F.col("smallest") < _place()).select(F.col("row").alias(name)).distinct()
+    return docs.join(counted(gone), row_key(id_column, text_column) == F.col(name), "left_anti")

@@ -11,7 +11,7 @@ without loss. Each distinct word's lattice is filtered once per run of text; eac
 are no piece are spelled in bytes, also the space mark itself, so decoding gives back every text.
 
 Defined cases: missing and empty texts have no pieces; repeated rows have equal pieces; a missing key
-counts as its own key. Extra columns pass through.
+counts as its own key. Extra columns pass through; columns ``piece_ids``, ``n_pieces`` and ``lossless`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.llm.arrays import hash_sums, mixed, pieces, ranges, rolling_hashes, span_hashes
-from tablescope.llm.sides import received, shared
+from tablescope.llm.sides import received, shared, spare
 
 _PIECE = 2 << 20
 _LATTICE = 192 << 10  # bytes of distinct words whose lattice is laid out at once, 100 bytes for each
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     fields = [f for f in docs.schema.fields if f.name not in (*added, text_column)]
     names = [f.name for f in fields]
     schema = T.StructType(fields).add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("lossless", "boolean")
-    keyed = docs.select(*[F.col(f"`{n}`") for n in names], F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed)).alias("_key"), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    keyed = docs.select(*[F.col(f"`{n}`") for n in names], F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed)).alias(spare(docs, "_key")), F.col(f"`{text_column}`").cast("string").alias(spare(docs, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = received(sent)

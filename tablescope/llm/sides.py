@@ -27,6 +27,14 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def counted(side: DataFrame) -> DataFrame:
     """``side``, written once; marked for broadcast if it has few rows, else joined by a shuffle. For narrow rows only."""
     side = materialize(side)

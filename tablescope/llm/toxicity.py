@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import SPACE, pieces, ranges, span_hashes, spans
-from tablescope.llm.sides import received, shared
+from tablescope.llm.sides import received, shared, spare
 
 MOST_LABELLED = 1500
 LANDMARKS = 256
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", name: str =
     sent = shared(docs.sparkSession, model)
     fields = [f for f in docs.schema.fields if f.name != name]
     names = [f.name for f in fields]
-    keep = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_column}`").cast("string").alias("_scored"))
+    keep = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_column}`").cast("string").alias(spare(docs, "_scored")))
     schema = type(docs.schema)(fields).add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,4 +323,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score under 0.5."""
-    return score(docs, train(docs, labels), name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = spare(docs, "_toxicity")
+    return score(docs, train(docs, labels), name=name).where(F.col(name) < 0.5).drop(name)

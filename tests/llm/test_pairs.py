@@ -3,9 +3,12 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
-from tablescope.llm import setjoin
+from tablescope.llm import decontamination, line_dedup, ngram_jaccard, piece_sampling, setjoin, toxicity
+from tablescope.llm.arrays import span_hashes
+from tablescope.llm.bpe import WordEncoder
 from tablescope.llm.components import components
 from tablescope.llm.decontamination import contaminated, without_contaminated
 from tablescope.llm.line_dedup import dedup_lines
@@ -13,6 +16,12 @@ from tablescope.llm.ngram_jaccard import jaccard_components, one_of_each
 from tests.llm.conftest import split_words, texts
 
 
+def thue_morse(n):
+    """Two complementary words of 2^n letters."""
+    bits = np.array([bin(k).count("1") % 2 for k in range(1 << n)])
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 def shingles(text):
     w = split_words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -178,3 +187,41 @@ def test_tiling(spark):
     assert sorted(r.doc_id for r in without_contaminated(frame(spark, docs), bench).collect()) == [3, 4, 5]
     assert contaminated(frame(spark, []), bench).collect() == []
     assert contaminated(frame(spark, docs), bench.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_come_through(spark, piece_file):
+    """A table with columns named like every helper column keeps them, with their values."""
+    names = ["_key", "_own", "_doc", "_gone", "_toxicity", "_scored", "_text", "row", "id", "score", "_row", "slice"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(["one two three four five six", "one two three four five six", "a line\nb line here", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(5)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "nothing of the kind is here")], "item_id long, text string")
+    want = {r[0]: r[2:] for r in rows}
+    results = {
+        "lines": line_dedup.dedup_lines(docs),
+        "shingles": ngram_jaccard.one_of_each(docs),
+        "items": decontamination.without_contaminated(docs, items),
+        "toxic": toxicity.without_toxic(docs, labels),
+        "pieces": piece_sampling.encode(docs, piece_file),
+    }
+    for name, got in results.items():
+        kept = {r["doc_id"]: tuple(r[n] for n in names) for r in got.collect()}
+        assert kept and all(want[k] == v for k, v in kept.items()), name
+
+
+@pytest.mark.parametrize("a, b", [thue_morse(11)])
+def test_words_that_a_polynomial_cannot_tell_apart(spark, tokenizer_json, piece_file, a, b):
+    """Complementary Thue-Morse words collide under any polynomial modulo a power of two; here they stay different words."""
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    one, other = span_hashes(data, np.array([0, len(a)]), np.array([len(a), len(a + b)]))
+    assert one != other
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    encoder = WordEncoder(tokenizer_json)
+    ids, bounds = encoder.encode(data, np.array([0, len(a), len(data)]))
+    for k, text in enumerate((a, b)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(r["lossless"] for r in piece_sampling.encode(docs, piece_file).collect())
+    assert {r["component_id"] for r in ngram_jaccard.jaccard_components(docs).collect()} == {1, 2}
+    assert sum(r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()) == 0
+    items = spark.createDataFrame([(7, b)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.contaminated(docs, items).collect()] == [2]
