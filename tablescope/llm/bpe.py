@@ -7,8 +7,11 @@ cuts next to characters that are surely no white space are used.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import sys
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 
@@ -23,6 +26,18 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+def encoder_of(tokenizer_json: str) -> WordEncoder:
+    """The encoder of a tokenizer, kept by a worker process from task to task with the words it knows.
+
+    It is kept under a module name of its own, as this module travels with each task anew.
+    """
+    kept = sys.modules.setdefault("_tablescope_encoder", ModuleType("_tablescope_encoder")).__dict__
+    name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if kept.get("name") != name:
+        kept["name"], kept["encoder"] = name, WordEncoder(tokenizer_json)
+    return kept["encoder"]
+
+
 class WordEncoder:
     """Encodes pieces of text; keeps the ids of the words seen so far, a bounded number of them."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import pieces
-from tablescope.llm.bpe import WordEncoder
+from tablescope.llm.bpe import encoder_of
 from tablescope.operators.order import materialize
 
 BLOCK_IDS = 1 << 20
@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer_json: str, text_column: str
     texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value)
+        encoder = encoder_of(sent.value)
         if encoder.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import pieces
-from tablescope.llm.bpe import WordEncoder
+from tablescope.llm.bpe import encoder_of
 
 SHARD_IDS = 1 << 22
 SPLITS_A_TASK = 2  # input splits whose words one task encodes once
@@ -153,7 +153,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str =
     ordered = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value)
+        encoder = encoder_of(sent.value)
         planes = max(1, (max(encoder.tokenizer.get_vocab_size() - 1, end_id)).bit_length())
         part, shard = TaskContext.get().partitionId(), 0
         ids_of, counts, held, size = [], [], [], 0
