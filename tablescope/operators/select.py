@@ -27,9 +27,11 @@ from tablescope.kinds import (
 from tablescope.operators.freq import value_counts
 from tablescope.operators.order import file_order, materialize, order_columns, with_row_index
 
-SHALLOW_ROWS = 100_000  # up to here a page is a top-k, beyond it rows are numbered in parallel
+SHALLOW_ROWS = 100_000  # up to here a page is a top-k, beyond it its place is found by counting
 BROADCAST_ROWS = 1 << 20
 PAGE_SIZES = (10, 5000)
+SORTED_AT_ONCE = 200_000  # rows among which a page is found by sorting
+SPLITTERS = 32  # counted in one scan
 
 
 # --- coercion -------------------------------------------------------------------------------------
@@ -175,8 +177,8 @@ def preview(df: DataFrame, n: int = 1000, max_chars: int = 50, order_by=None) ->
 def slice_rows(df: DataFrame, start: int, end: int, cols: Sequence[str] | None = None, order_by=None, deep: bool | None = None) -> DataFrame:
     """Rows ``start`` … ``end`` (1-based, inclusive, clamped) of the ordered table.
 
-    Without ``order_by`` the stored order of a Parquet scan is used. ``deep`` says whether rows are numbered in
-    parallel or found by a top-k, which gives the same rows; by default that depends on how far down they are.
+    Without ``order_by`` the stored order of a Parquet scan is used. ``deep`` says whether rows are found by
+    counting or by a top-k, which gives the same rows; by default that depends on how far down they are.
     """
     start, end = max(1, int(start)), int(end)
     if end < start:
@@ -208,12 +210,69 @@ def _rows_between(df: DataFrame, offset: int, count: int, cols, order_by, deep:
         deep = offset + count > SHALLOW_ROWS
     if not deep:
         chosen = df.orderBy(*order_columns(order_by)).offset(offset).limit(count)
+    elif all(isinstance(key, str) for key in ([order_by] if isinstance(order_by, str) else order_by if not isinstance(order_by, Column) else [order_by])):
+        return _sought(df, offset, count, [order_by] if isinstance(order_by, str) else list(order_by)).select(*[quoted(n) for n in names])
     else:
         indexed = with_row_index(df, order_by, "_index")
         chosen = indexed.filter((F.col("_index") >= offset) & (F.col("_index") < offset + count))
     return chosen.select(*[quoted(n) for n in names])
 
 
+def _sought(df: DataFrame, offset: int, count: int, keys: Sequence[str]) -> DataFrame:
+    """Rows ``offset`` … of the ascending order of ``keys``, found by counting.
+
+    A few splitting keys are drawn from the rows that are still in question, one scan counts the rows before each of them, and
+    only the stretch between the two splitters around the wanted rows stays in question, until it is short enough to sort.
+    Ties are ordered by a hash of the row, so what then still ties are copies.
+    """
+    hashable = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    marked = df.select("*", F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], F.xxhash64(*hashable).alias("h")).alias("_at"))
+    types = [f.dataType for f in marked.schema["_at"].dataType.fields]
+
+    def literal(key) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(key, types))])
+
+    low = high = None
+    before, inside = 0, marked.count()
+    count = max(0, min(count, inside - offset))
+    for step in range(60):
+        here = marked
+        if low is not None:
+            here = here.filter(F.col("_at") >= literal(low))
+        if high is not None:
+            here = here.filter(F.col("_at") < literal(high))
+        if inside <= max(SORTED_AT_ONCE, 2 * count) or not count:
+            break
+        drawn = here.sample(fraction=min(1.0, 4 * SPLITTERS**2 / inside), seed=step).select("_at").limit(8 * SPLITTERS**2).distinct().orderBy("_at").collect()
+        keys_drawn = [tuple(r["_at"]) for r in drawn]
+        every = max(1, len(keys_drawn) // SPLITTERS)
+        splitters = [k for k in keys_drawn[::every] if k != low]
+        counted = here.agg(*[F.count_if(F.col("_at") < literal(k)).alias(f"_{i}") for i, k in enumerate(splitters)]).first() if splitters else ()
+        base, end = before, before + inside
+        left = right = None
+        for k, n in zip(splitters, counted):
+            if base + n <= offset:
+                left, before = k, base + n
+            elif base + n >= offset + count and right is None:
+                right, end = k, base + n
+        if left is None and right is None:
+            # no key splits the rest: copies of the lowest key come first, then it can go on
+            least = tuple(here.agg(F.min("_at").alias("m")).first()["m"])
+            copies = here.filter(F.col("_at") == literal(least))
+            same = copies.count()
+            taken = max(0, min(count, before + same - offset))
+            first = copies.limit(taken).drop("_at")
+            return first if taken == count else first.unionByName(_sought(df, offset + taken, count - taken, keys)) if taken else _above(df, marked, literal(least), offset - before - same, count, keys)
+        low, high = left or low, right or high
+        inside = end - before
+    return here.orderBy("_at").offset(offset - before).limit(count).drop("_at")
+
+
+def _above(df: DataFrame, marked: DataFrame, least: Column, offset: int, count: int, keys: Sequence[str]) -> DataFrame:
+    """Rows after all copies of a key."""
+    return _sought(marked.filter(F.col("_at") > least).drop("_at"), offset, count, keys)
+
+
 def head(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
     return _rows_between(df, 0, n, None, order_by)
 
