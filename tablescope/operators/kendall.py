@@ -1,115 +1,97 @@
-"""Kendall's tau-b, exact, without comparing all pairs of rows.
-
-tau-b needs the tie counts, which are plain group-bys, and the number of discordant row pairs. For the
-latter the distinct (x, y) points are cut into x-blocks and y-blocks of bounded size:
-
-* pairs in different x-blocks and different y-blocks follow from the block-by-block counts alone;
-* pairs within one x-block, and pairs within one y-block but different x-blocks, are counted inside the
-  block by sorting. A block holds a bounded share of the points: values too heavy for that get a block of
-  their own, which holds a single value and therefore no discordant pair.
+"""Kendall's tau-b of all column pairs, exact, without comparing all pairs of rows and in a number of jobs that does not grow with the pairs.
+
+tau-b needs the tie counts, which are plain group-bys, and the number of discordant row pairs: those with x ascending and y
+descending, which are inversions of y in the order of x. Two different y differ first at some bit of their rank, the higher
+one with a 1, the lower one with a 0, all bits above being equal. So inversions are counted bit by bit: within rows of equal
+higher bits, in order of x, each 0 counts the 1s before it. y is ranked by blocks of bounded size for this, whose number
+has few bits; each bit is one range-ordered pass whose partitions only tell their counts. What is left are inversions within a block,
+which one task counts in memory by the same rule. Values too heavy for a block have one of their own, which holds no inversion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.kinds import doubles, quoted
+from tablescope.kinds import doubles, name_sql
 from tablescope.operators.order import materialize
 
 POINTS_PER_BLOCK = 2_000_000  # 24 bytes each within one task
 
+_LEVEL = "part int, pair int, level int, prefix int, inside double, ones double, zeros double"
+
 
 def kendall(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(col1, col2, r, n)`` with tau-b for every pair of numeric columns."""
-    parts = [_pair(df, a, b) for a, b in combinations(names, 2)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    complete = doubles(df, [a, b]).select(quoted(a).alias("x"), quoted(b).alias("y"))
+    pairs = list(combinations(names, 2))
+    cells = ", ".join(f"named_struct('pair', {p}, 'x', {name_sql(a)} + 0D, 'y', {name_sql(b)} + 0D)" for p, (a, b) in enumerate(pairs))
+    complete = doubles(df, names).select(F.expr(f"inline(array({cells}))")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     # Written once: the counts below all read these points.
-    points = materialize(
-        complete.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    )
-    discordant = _discordant(points)
-
-    def ties(*by: str) -> Column:
-        sizes = (points.groupBy(*by).agg(F.sum("c").alias("t")) if by != ("x", "y") else points.withColumnRenamed("c", "t"))
-        t = F.col("t").cast("double")
-        return sizes.agg(F.coalesce(F.sum(t * (t - 1) / 2), F.lit(0.0))).scalar()
-
-    rows = points.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    n = F.col("n").cast("double")
-    all_pairs = n * (n - 1) / 2
-    out = rows.select("n", ties("x").alias("tx"), ties("y").alias("ty"), ties("x", "y").alias("txy"))
-    untied = all_pairs - F.col("tx") - F.col("ty") + F.col("txy")
-    spread = F.sqrt(all_pairs - F.col("tx")) * F.sqrt(all_pairs - F.col("ty"))
-    return out.select(
-        F.lit(a).alias("col1"),
-        F.lit(b).alias("col2"),
-        ((untied - 2 * F.lit(discordant)) / F.nullif(spread, F.lit(0.0))).alias("r"),
-        "n",
-    )
-
-
-def _discordant(points: DataFrame) -> float:
-    """Number of row pairs ordered one way in x and the other way in y."""
-    size = points.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, -(-size // POINTS_PER_BLOCK))
-    edges_x, edges_y = _edges(points, blocks)
-    placed = points.withColumn("bx", _block(F.col("x"), edges_x)).withColumn("by", _block(F.col("y"), edges_y))
-
-    # Heavy values have odd block numbers and nothing to count inside.
-    within_x = _inside_blocks(placed.filter(F.col("bx") % 2 == 0), "bx", "x")
-    total = within_x
-    if edges_x:
-        total += _inside_blocks(placed.filter(F.col("by") % 2 == 0), "by", "bx")
-        total += _across_blocks(placed)
-    return total
-
-
-def _edges(points: DataFrame, blocks: int) -> tuple[list[float], list[float]]:
+    points = materialize(complete.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c")))
+    placed, bits = _blocks(points)
+    t = F.col("t").cast("double")
+
+    def ties(*by: str) -> DataFrame:
+        sizes = points.groupBy("pair", *by).agg(F.sum("c").alias("t")) if len(by) == 1 else points.withColumnRenamed("c", "t")
+        return sizes.groupBy("pair").agg(F.sum(t * (t - 1) / 2).alias("t" + "".join(by)), F.sum("t").alias("n" + "".join(by)))
+
+    discordant = _within_blocks(placed)
+    if bits:
+        discordant = discordant.unionByName(_across_blocks(placed, bits))
+    d = discordant.groupBy("pair").agg(F.sum("d").alias("d"))
+    found = ties("x").join(ties("y"), "pair").join(ties("x", "y"), "pair").join(d, "pair", "left")
+    n = F.col("nx").cast("double")
+    every = n * (n - 1) / 2
+    untied = every - F.col("tx") - F.col("ty") + F.col("txy")
+    spread = F.sqrt(every - F.col("tx")) * F.sqrt(every - F.col("ty"))
+    r = (untied - 2 * F.coalesce("d", F.lit(0.0))) / F.nullif(spread, F.lit(0.0))
+    named = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
+    first, second = (F.get(F.lit([p[k] for p in pairs]), F.col("pair")) for k in (0, 1))
+    return named.join(found, "pair", "left").select(first.alias("col1"), second.alias("col2"), r.alias("r"), F.coalesce("nx", F.lit(0).cast("bigint")).alias("n"))
+
+
+def _blocks(points: DataFrame) -> tuple[DataFrame, int]:
+    """Points with ``block``, the rank of their y's block within its pair, and the number of bits of a block's rank.
+
+    Ranks are 2i between the edges i - 1 and i, and 2i + 1 exactly at edge i.
+    """
+    largest = points.groupBy("pair").count().agg(F.max("count")).first()[0] or 0
+    blocks = 1
+    while blocks * POINTS_PER_BLOCK < largest:
+        blocks *= 2
     if blocks == 1:
-        return [], []
+        return points.withColumn("block", F.lit(0)), 0
     cuts = [i / blocks for i in range(1, blocks)]
-    accuracy = 20 * blocks
-    row = points.agg(F.percentile_approx("x", cuts, accuracy).alias("x"), F.percentile_approx("y", cuts, accuracy).alias("y")).first()
-    return sorted(set(row["x"])), sorted(set(row["y"]))
+    edges = points.groupBy("pair").agg(F.array_distinct(F.percentile_approx("y", cuts, 20 * blocks)).alias("edges"))
+    placed = points.join(F.broadcast(edges), "pair")  # one row a pair
+    block = _rank(F.col("y"), F.col("edges"), blocks)
+    return placed.withColumn("block", block.cast("int")).drop("edges"), (2 * blocks - 1).bit_length()
 
 
-def _block(value: Column, edges: list[float]) -> Column:
-    """2i between edge i-1 and edge i, 2i+1 exactly at edge i; binary search over the constant edges."""
-    if not edges:
-        return F.lit(0)
-    steps, width = [], 1
-    while width <= len(edges):
+def _rank(value: Column, edges: Column, most: int) -> Column:
+    """Binary search in an ordered array of fewer than ``most`` (a power of two) values."""
+    steps, width = [], most // 2
+    while width:
         steps.append(width)
-        width *= 2
-    bounds = F.lit(edges)
-    below = F.reduce(
-        F.lit(list(reversed(steps))),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(edges)) & (F.get(bounds, at + step - 1) < value), at + step).otherwise(at),
-    )
-    return 2 * below + F.coalesce((F.get(bounds, below) == value).cast("int"), F.lit(0))
+        width //= 2
+    below = F.reduce(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= F.size(edges)) & (F.get(edges, at + step - 1) < value), at + step).otherwise(at))
+    return 2 * below + F.coalesce((F.get(edges, below) == value).cast("int"), F.lit(0))
 
 
-def _inside_blocks(placed: DataFrame, block: str, x: str) -> float:
-    """Discordant pairs among the points of each block, summed."""
+def _within_blocks(placed: DataFrame) -> DataFrame:
+    """(pair, d): discordant pairs among the points of each block; blocks of odd rank hold one y."""
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"d": [_count_discordant(group["x"].to_numpy(), group["y"].to_numpy(), group["c"].to_numpy())]})
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        x, y, c = (table.column(k).to_numpy() for k in ("x", "y", "c"))
+        return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "d": pa.array([_count_discordant(x, y, c)])})
 
-    groups = placed.select(F.col(block).alias("block"), F.col(x).cast("double").alias("x"), "y", "c")
-    counted = groups.groupBy("block").applyInPandas(count, "d double")
-    return counted.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+    return placed.filter(F.col("block") % 2 == 0).groupBy("pair", "block").applyInArrow(count, "pair int, d double")
 
 
 def _count_discordant(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -122,30 +104,61 @@ def _count_discordant(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float
         by_prefix = np.argsort(rank >> (bit + 1), kind="stable")  # equal higher bits, still in x order
         prefix = (rank >> (bit + 1))[by_prefix]
         high = ((rank >> bit) & 1)[by_prefix].astype(bool)
-        ww = w[by_prefix]
-        ones = np.cumsum(np.where(high, ww, 0.0))
-        starts = np.r_[True, prefix[1:] != prefix[:-1]]
-        before_group = np.where(starts, ones - np.where(high, ww, 0.0), 0.0)
-        before_group = np.maximum.accumulate(before_group)
-        total += float(np.sum(np.where(high, 0.0, ww * (ones - before_group))))
-    return total
+        total += _inversions(prefix, high, w[by_prefix])[0].sum()
+    return float(total)
+
+
+def _inversions(group: np.ndarray, high: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per run of equal groups: weight of (1 before 0) pairs, of ones, of zeros; and where the runs start."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0), np.zeros(0), np.zeros(0), starts
+    one = np.where(high, w, 0.0)
+    upto = np.cumsum(one)
+    sizes = np.diff(np.append(starts, len(group)))
+    before = upto - np.repeat(upto[starts] - one[starts], sizes)
+    zero = w - one
+    return np.add.reduceat(zero * before, starts), np.add.reduceat(one, starts), np.add.reduceat(zero, starts), starts
 
 
-def _across_blocks(placed: DataFrame) -> float:
-    """Discordant pairs between points that differ in both blocks, from the block counts.
+def _across_blocks(placed: DataFrame, bits: int) -> DataFrame:
+    """(pair, d): discordant pairs of points in different blocks, a level for each bit of the blocks' ranks.
 
-    For a block (bx, by) these are the points in later x-blocks and earlier y-blocks: a running sum down
-    each y-block column, then one along each x-block row, each over twice as many entries as there are blocks.
+    At equal x a 0 comes before a 1, so that only strictly smaller x count. Every partition tells its counts for each run of equal
+    higher bits it holds; runs that go on in later partitions are put together from those.
     """
-    cells = placed.groupBy("bx", "by").agg(F.sum("c").cast("double").alias("c"))
-    xs = cells.select("bx").distinct()
-    later = Window.partitionBy("by").orderBy(F.desc("bx")).rowsBetween(Window.unboundedPreceding, -1)
-    # Every (bx, by) position is needed, also empty ones, so that row sums see all earlier y-blocks.
-    per_y = cells.groupBy("by").agg(F.map_from_entries(F.collect_list(F.struct("bx", "c"))).alias("m"))
-    grid = per_y.select("by", "m", F.explode(F.lit(sorted(r[0] for r in xs.collect()))).alias("bx")).select(
-        "bx", "by", F.coalesce(F.try_element_at("m", F.col("bx")), F.lit(0.0)).alias("c")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")
+    cells = placed.select("pair", "x", "block", "c", levels)
+    cells = cells.select(
+        "pair", "level", F.expr("shiftright(block, level + 1)").alias("prefix"), "x", F.expr("shiftright(block, level) & 1").alias("bit"), F.col("c").cast("double").alias("w")
     )
-    below = grid.withColumn("later_x", F.coalesce(F.sum("c").over(later), F.lit(0.0)))
-    earlier = Window.partitionBy("bx").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
-    both = below.withColumn("partners", F.coalesce(F.sum("later_x").over(earlier), F.lit(0.0)))
-    return both.agg(F.coalesce(F.sum(F.col("c") * F.col("partners")), F.lit(0.0))).first()[0]
+    keys = ["pair", "level", "prefix", "x", "bit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, state = None, (0.0, 0.0, 0.0)
+        out: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair, level, prefix, bit, w = (batch.column(k).to_numpy() for k in ("pair", "level", "prefix", "bit", "w"))
+            group = (pair.astype(np.int64) * 64 + level) * (1 << 32) + prefix
+            inside, ones, zeros, starts = _inversions(group, bit == 1, w)
+            for k, at in enumerate(starts.tolist()):
+                here = (int(pair[at]), int(level[at]), int(prefix[at]))
+                own = (float(inside[k]), float(ones[k]), float(zeros[k]))
+                if here == key:
+                    state = (state[0] + own[0] + own[2] * state[1], state[1] + own[1], state[2] + own[2])
+                else:
+                    if key is not None:
+                        out.append((part, *key, *state))
+                    key, state = here, own
+        if key is not None:
+            out.append((part, *key, *state))
+            kinds = [pa.int32()] * 4 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in _LEVEL.split(", ")])
+
+    told = cells.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _LEVEL)
+    before = Window.partitionBy("pair", "level", "prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    joined = told.withColumn("earlier", F.coalesce(F.sum("ones").over(before), F.lit(0.0)))
+    return joined.select("pair", (F.col("inside") + F.col("zeros") * F.col("earlier")).alias("d"))
