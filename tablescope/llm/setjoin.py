@@ -189,7 +189,7 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
 def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, asked_keys: np.ndarray | None = None) -> DataFrame:
     """(slice, blob): the entries of every set, packed by the slice their key falls in.
 
-    With ``asked_keys``, a table of ``ASKED_BITS`` places, only those of keys whose place is marked, and with their members. A set that a
+    With ``asked_keys``, a table of ``ASKED_BITS`` bits, only those of keys whose place is marked, and with their members. A set that a
     task finds again gives its entries again if the place is before the one they were given with.
     """
     keys_all = docs.sparkSession.sparkContext.broadcast(asked_keys)
@@ -278,7 +278,8 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
                 if keys is not None:
-                    asked = keys[(entry["key"] & np.uint64(len(keys) - 1)).astype(np.int64)]
+                    bit = (entry["key"] & np.uint64(ASKED_BITS - 1)).astype(np.int64)
+                    asked = ((keys[bit >> 3] >> (bit & 7)) & 1).astype(bool)
                     entry = {k: v[asked] for k, v in entry.items()}
                     entry["member_at"] = inner[:-1][entry.pop("_set")] + sum(map(len, members_held))
                     members_held.append(members)
@@ -652,11 +653,10 @@ def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFram
     """
     place = F.col("key").bitwiseAND(F.lit(ASKED_BITS - 1)) + 1  # Spark's buckets and their values count from 1
     marked = again.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    keys = np.zeros(ASKED_BITS, bool)
+    keys = np.zeros(ASKED_BITS // 8, np.uint8)
     for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # 4 MB at most in all
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        first = (row["bucket"] - 1) * len(bits)
-        keys[first : first + len(bits)] = bits
+        first = (row["bucket"] - 1) * len(row["bits"])
+        keys[first : first + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
 
     def ask(wanted: pa.Table, lists: pa.Table) -> pa.Table:
         found = np.zeros(0, np.uint64)
