@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from tablescope.kinds import INTEGRAL, NESTED, field_type, groupable_columns, missing_to_null, nested_text, quoted
 
+from tablescope.operators.order import materialize
+
 
 def column_struct(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("column"), value.alias("value"))
@@ -123,20 +126,67 @@ def per_column(df: DataFrame, columns: Iterable[str], metrics: dict[str, object]
     names = list(columns)
     if not names:
         raise ValueError("no suitable columns")
+    cells = [(c, [(k, fn(missing_to_null(c, field_type(df, c)), field_type(df, c))) for k, fn in metrics.items()]) for c in names]
+    shared = _SHARED.get()
+    if shared is not None and shared.df is df:
+        found = shared.rows(cells)
+        if found is not None:
+            return found
     parts = []
     for start in range(0, len(names), chunk):
-        some = names[start : start + chunk]
-        structs = [
-            F.struct(
-                F.lit(c).alias("column"),
-                *[fn(missing_to_null(c, field_type(df, c)), field_type(df, c)).alias(k) for k, fn in metrics.items()],
-            ).alias(f"_{i}")
-            for i, c in enumerate(some)
-        ]
+        some = cells[start : start + chunk]
+        structs = [F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in values]).alias(f"_{i}") for i, (c, values) in enumerate(some)]
         parts.append(df.agg(*structs).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(some))]))))
     return reduce(DataFrame.unionByName, parts)
 
 
+_SHARED: ContextVar[SharedAggregates | None] = ContextVar("shared", default=None)
+
+
+class SharedAggregates:
+    """The aggregates that several calls of ``per_column`` on one table ask for, worked out together.
+
+    While it is entered, calls tell it what they ask for; after ``compute`` they take their rows from its result. Equal
+    aggregates of equal columns are worked out once.
+    """
+
+    MOST = 400  # aggregates of one scan
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.wanted: dict[str, Column] = {}
+        self.place: dict[str, tuple[int, str]] = {}
+        self.results: list[DataFrame] = []
+
+    def __enter__(self) -> SharedAggregates:
+        self.token = _SHARED.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SHARED.reset(self.token)
+
+    def compute(self) -> None:
+        texts = list(self.wanted)
+        for part, start in enumerate(range(0, len(texts), self.MOST)):
+            some = texts[start : start + self.MOST]
+            self.place.update({t: (part, f"_{i}") for i, t in enumerate(some)})
+            self.results.append(materialize(self.df.agg(*[self.wanted[t].alias(f"_{i}") for i, t in enumerate(some)])))
+
+    def rows(self, cells: list[tuple[str, list[tuple[str, Column]]]]) -> DataFrame | None:
+        asked = [(c, [(k, str(v)) for k, v in values]) for c, values in cells]
+        if not self.results:
+            self.wanted.update({str(v): v for _, values in cells for _, v in values})
+            return None
+        if any(t not in self.place for _, values in asked for _, t in values):
+            return None
+        by_part: dict[int, list] = {}
+        for c, values in asked:
+            if len({self.place[t][0] for _, t in values}) > 1:
+                return None
+            by_part.setdefault(self.place[values[0][1]][0], []).append(F.struct(F.lit(c).alias("column"), *[F.col(self.place[t][1]).alias(k) for k, t in values]))
+        return reduce(DataFrame.unionByName, [self.results[p].select(F.inline(F.array(*structs))) for p, structs in by_part.items()])
+
+
 def excluded_categories(df: DataFrame, columns: list[str], kept: Iterable[str]) -> DataFrame:
     """``(column, n_levels)`` of the text columns that the cardinality gate leaves out; the number is a sketch's estimate."""
     out = [c for c in columns if c not in set(kept)]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 
 from tablescope.kinds import numeric_columns, string_columns
 from tablescope.operators import chartdata, corr, multivariate, profile, quality, reshape, select, series, text
+from tablescope.operators.freq import SharedAggregates
+from tablescope.operators.order import materialize
 from tablescope.plans import relations
 from tablescope.sources import io
 
@@ -151,21 +153,38 @@ def template(name: str = "basic") -> list[str]:
     return list(TEMPLATES.get(name, TEMPLATES["basic"]))
 
 
-def run_recipe(df: DataFrame, tokens: Sequence[str] | str, **settings) -> list[RecipeResult]:
+# Recipes that are per-column aggregates and nothing else.
+AGGREGATES = frozenset(["C2", "C3", "C11", "C29", "C30", "C31", "C33", "C39", "C40", "C58", "C59"])
+
+
+def run_recipe(df: DataFrame, tokens: Sequence[str] | str, eager: bool = False, **settings) -> list[RecipeResult]:
     """Run named analyses in order. One that fails, or is unknown, is reported and does not stop the rest.
 
-    ``tokens`` may be a template name. Results are lazy tables over the same input; persist ``df`` first
-    when it is expensive to read.
+    ``tokens`` may be a template name. Per-column aggregates of all recipes are worked out in one scan. Other results are lazy
+    tables over the same input; persist ``df`` first when it is expensive to read. With ``eager`` each result is
+    written once, so that a recipe that only fails while it runs is reported as well.
     """
     names = template(tokens) if isinstance(tokens, str) else list(tokens)
-    out = []
-    for token in names:
-        recipe = RECIPES.get(token)
-        if recipe is None:
-            out.append(RecipeResult(token, f"unknown token {token}", None, "unknown token"))
-            continue
-        try:
-            out.append(RecipeResult(token, recipe.description, recipe.run(df, **settings)))
-        except Exception as failure:
-            out.append(RecipeResult(token, recipe.description, None, f"{type(failure).__name__}: {failure}"))
-    return out
+    with SharedAggregates(df) as shared:
+        together = [t for t in names if t in AGGREGATES]
+        if len(together) > 1:
+            for token in together:
+                _attempt(df, token, False, settings)
+            try:
+                shared.compute()
+            except Exception:
+                shared.results.clear()  # each recipe then tells its own failure
+        return [_attempt(df, token, eager, settings) for token in names]
+
+
+def _attempt(df: DataFrame, token: str, eager: bool, settings: dict) -> RecipeResult:
+    recipe = RECIPES.get(token)
+    if recipe is None:
+        return RecipeResult(token, f"unknown token {token}", None, "unknown token")
+    try:
+        result = recipe.run(df, **settings)
+        if eager:
+            result = {k: materialize(v) for k, v in result.items()} if isinstance(result, dict) else materialize(result)
+        return RecipeResult(token, recipe.description, result)
+    except Exception as failure:
+        return RecipeResult(token, recipe.description, None, f"{type(failure).__name__}: {failure}")

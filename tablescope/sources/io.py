@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from pathlib import PurePath
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,12 +45,14 @@ def read_table(
     Without ``schema`` CSV and JSON types are inferred from every row, as a value further down may need a wider type.
     ``dtype_map`` sets the types of single columns while they are read (``"string"`` keeps leading zeros); what does
     not parse is NULL. Quotes within quoted CSV text are doubled. ``multi_line`` allows line breaks
-    within quotes; such files are not split between tasks. ``nrows`` or ``max_rows`` cut the result.
+    within quotes (see ``csv_records``); a ``schema`` saves the inference, which takes such a file in one task. ``nrows`` or ``max_rows`` cut the result.
     """
     kind = _format_of(path, fmt)
     reader = spark.read
     if kind == "csv":
         reader = reader.options(**CSV, multiLine=multi_line)
+    if kind == "csv" and multi_line:
+        return _cut(_read_records(spark, path, reader, schema, dtype_map), nrows, max_rows)
     if schema is not None:
         reader = reader.schema(schema)
     elif kind == "csv":
@@ -62,8 +65,90 @@ def read_table(
         df = reader.schema(T.StructType(fields)).format(kind).load(path)
     for name, dtype in mapped.items():
         df = df.withColumn(name, quoted(name).try_cast(dtype))
-    limits = [n for n in (nrows, max_rows) if n is not None]
-    return df.limit(min(limits)) if limits else df
+    return _cut(df, nrows, max_rows)
+
+
+def _cut(df: DataFrame, *limits: int | None) -> DataFrame:
+    known = [n for n in limits if n is not None]
+    return df.limit(min(known)) if known else df
+
+
+def _read_records(spark: SparkSession, path: str, reader, schema: str | T.StructType | None, dtype_map: Mapping[str, str] | None) -> DataFrame:
+    """CSV whose quoted text holds line breaks, each file read in as many splits as its size asks for."""
+    full = _as_struct(spark, schema) if schema is not None else reader.option("inferSchema", True).csv(path).schema
+    mapped = {n: t for n, t in (dtype_map or {}).items() if n in full.names}
+    full = T.StructType([T.StructField(f.name, T.StringType()) if f.name in mapped else f for f in full.fields])
+    options = {"quote": CSV["quote"], "escape": CSV["escape"], "multiLine": "true"}
+    parsed = csv_records(spark, path).select(F.from_csv("record", F.lit(full.toDDL()), options).alias("r")).select("r.*")
+    return parsed.select(*[quoted(f.name).try_cast(mapped[f.name]).alias(f.name) if f.name in mapped else quoted(f.name) for f in full.fields])
+
+
+_WHOLE, _HEAD, _TAIL, _MIDDLE = range(4)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files without their headers, one text each, line breaks within quotes included.
+
+    A line break ends a record if the number of quotes before it is even (quotes in quoted text are doubled; unquoted text has none).
+    One scan counts the quotes of each split of a file, a sum over splits tells which of them begin within quotes, and the
+    splits are then cut into records each by itself. Records that go on in another split are put together from their pieces.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a split
+    splits = lines.groupBy("file", "start").agg(F.sum(quotes).alias("q")).withColumn("odd", F.sum("q").over(before) % 2 == 1)
+    within = splits.filter("odd").select(F.xxhash64("file", "start").alias("key"), F.lit(True).alias("open"))  # 16 bytes a split
+    told = lines.withColumn("key", F.xxhash64("file", "start")).join(F.broadcast(within), "key", "left").select("file", "start", "value", "open")
+    pieces = told.mapInArrow(_cut_records, "file string, start long, kind int, text string")
+    order = Window.partitionBy("file").orderBy("start", "kind")
+    broken = pieces.filter(F.col("kind") != _WHOLE).withColumn("number", F.sum((F.col("kind") == _TAIL).cast("int")).over(order))
+    joined = broken.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "text"))).alias("p"))
+    mended = joined.select(F.array_join(F.col("p.text"), "\n").alias("record"))
+    whole = pieces.filter(F.col("kind") == _WHOLE).select(F.col("text").alias("record"))
+    return whole.unionByName(mended).select(F.regexp_replace("record", r"\r\z", "").alias("record")).filter("record != ''")
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the lines of each split into records; those at its ends that lie in other splits as well are marked as pieces."""
+    split, held, inside, begun, header = None, [], False, False, False
+    out: list[tuple] = []
+    size = 0
+
+    def give(kind: int) -> None:
+        nonlocal held, size, header
+        text = "\n".join(held)
+        held = []
+        if header:
+            header = False  # the first record of a file
+            return
+        out.append((*split, kind, text))
+        size += len(text)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal out, size
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["file", "start", "kind", "text"])
+        out, size = [], 0
+        return batch
+
+    for batch in batches:
+        for first in range(0, batch.num_rows, 4096):
+            for file, start, line, within in zip(*[c.to_pylist() for c in batch.slice(first, 4096).columns]):
+                if (file, start) != split:
+                    if held:
+                        give(_TAIL if begun else _MIDDLE)
+                    split, inside, begun, header = (file, start), bool(within), not within, start == 0
+                held.append(line)
+                inside ^= line.count('"') % 2 == 1
+                if not inside:
+                    give(_WHOLE if begun else _HEAD)
+                    begun = True
+            if size > 4 << 20:
+                yield flush()
+    if held:
+        give(_TAIL if begun else _MIDDLE)
+    if out:
+        yield flush()
 
 
 def union_tables(first: DataFrame, *others: DataFrame) -> DataFrame:

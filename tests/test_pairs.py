@@ -235,3 +235,23 @@ def test_recipes(mix12, tmp_path):
     assert set(failed) == {"C51"}, failed  # no time column in this table
     assert recipes.run_recipe(mix12, ["C99"])[0].error == "unknown token"
     assert recipes.template("nonsense") == recipes.template("basic")
+
+
+def test_recipes_share_a_scan_and_report_late_failures(spark, tmp_path):
+    """Eight aggregate recipes read the table once; one that fails while it runs is reported, the others come."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.normal(size=200), "y": rng.integers(-3, 4, 200).astype(float), "s": rng.choice(["a", "b", None], 200)})
+    pdf.loc[::7, "y"] = np.nan
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tokens = ["C2", "C3", "C11", "C29", "C30", "C31", "C33", "C40"]
+    shared = recipes.run_recipe(df, tokens)
+    assert all(r.error is None and scans(r.result) == 0 for r in shared)  # all come from one written row
+    for token, together in zip(tokens, shared):
+        (alone,) = recipes.run_recipe(df, [token])
+        assert together.result.columns == alone.result.columns
+        assert sorted(map(str, together.result.collect())) == sorted(map(str, alone.result.collect())), token
+    late = df.selectExpr("x", "y", "CASE WHEN x > -9 THEN raise_error('late') END AS z")
+    results = recipes.run_recipe(late, ["C15", "C29", "C9", "C3"], eager=True)
+    assert [r.error is None for r in results] == [True, True, True, False] or [r.error is None for r in results] == [True, False, True, False]
+    assert "late" in results[3].error and results[0].result.first()["n_rows"] == 200

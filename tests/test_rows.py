@@ -1,5 +1,7 @@
 """Filters, order, slices, sources, series, charts."""
 
+import csv
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -135,6 +137,28 @@ def test_corrupt_rows_are_kept_in_previews(spark, tmp_path):
     assert tuple(io.preview_quality(preview).first()) == (3, 1)
 
 
+def test_csv_records_across_splits(spark, tmp_path):
+    """Quoted line breaks, doubled quotes and records longer than a split: the same rows as one task reads, from many tasks."""
+    rows = []
+    for k in range(400):
+        text = ["plain", 'a "quoted" word', "two\nlines", 'line\n"break", comma', "\n" * 5, "x" * 700 + "\n" + "y" * 900, "", "tail\r\nend"][k % 8]
+        rows.append((k, text or None, k * 0.5))
+    path = tmp_path / "t.csv"
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerow(["k", "text\nof header", "v"])
+        writer.writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    got = io.read_table(spark, str(path), "csv", schema="k int, text string, v double", multi_line=True)
+    tasks = io.csv_records(spark, str(path)).rdd.getNumPartitions()
+    found = sorted(map(tuple, got.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == rows and tasks >= 8
+    assert [r["k"] for r in io.read_table(spark, str(path), "csv", multi_line=True).orderBy("k").limit(3).collect()] == [0, 1, 2]
+
+
 def test_narrowing(spark):
     df = spark.createDataFrame([(0, 300, -5, 2**40, "a", 0.5), (255, 70_000, 100, 1, "a", 1.5), (7, 1, 2, 3, "b", 2.5), (7, 1, 2, 3, "b", 2.5), (7, 1, 2, 3, "b", 2.5)], "u8 long, u32 long, i8 long, big long, s string, f double")
     narrowed, plan = io.narrow_schema(df)
