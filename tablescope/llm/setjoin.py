@@ -9,10 +9,9 @@ the token. Tokens frequent enough to make a long list are split over pairs of bl
 together hold every pair of the list.
 
 Within a list, positions and sizes (and, if wished, a parity bitmap of the set) bound the overlap of a
-pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. For small
-sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone. If that one fails,
-the list is laid out once more with the members of its sets, and settles by itself whether any set before it is similar; nothing
-but the ids of sets found later leaves it. That loses nothing where only earlier sets are asked for, as lists are in order of first place. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
+pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. Small
+sets are cheap to send: where only sets similar to an earlier one are asked for, lists with a possible pair are laid out once more
+with the members of their sets and settle their pairs themselves; nothing but ids leaves them, and lists are in order of first place. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
 there; only the others are then compared with the rest of their lists, and only with sets not already known to
 hang together with them. Lists are kept in order of set size and position, so that blocks of sets that are too small or
 too large are skipped. Signatures (parities of the members by hash bucket) bound the difference of large sets from below.
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import mixed, pieces, ranges, row_sums
-from tablescope.llm.sides import counted
+from tablescope.llm.sides import counted, release
 from tablescope.operators.order import materialize
 
 SKETCH_SLICE_BITS = 16
@@ -44,7 +43,7 @@ ENTRIES_A_TASK = 200_000
 PAIRS_AT_ONCE = 1 << 19
 SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
 MOST_SEEN = 500_000  # sets whose place a task remembers
-ASKED_BITS = 1 << 25  # places of the table of keys that are looked at again
+MOST_MARKS = 1 << 28  # bits of the table of lists that have a possible pair
 
 _ENTRY = ("key", "id", "doc", "n", "pos")
 _TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
@@ -189,7 +188,7 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
 def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, asked_keys: np.ndarray | None = None) -> DataFrame:
     """(slice, blob): the entries of every set, packed by the slice their key falls in.
 
-    With ``asked_keys``, a table of ``ASKED_BITS`` bits, only those of keys whose place is marked, and with their members. A set that a
+    With ``asked_keys``, a table of bits, only those of keys whose place is marked, and with their members. A set that a
     task finds again gives its entries again if the place is before the one they were given with.
     """
     keys_all = docs.sparkSession.sparkContext.broadcast(asked_keys)
@@ -278,7 +277,7 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
                 if keys is not None:
-                    bit = (entry["key"] & np.uint64(ASKED_BITS - 1)).astype(np.int64)
+                    bit = (entry["key"] & np.uint64(8 * len(keys) - 1)).astype(np.int64)
                     asked = ((keys[bit >> 3] >> (bit & 7)) & 1).astype(bool)
                     entry = {k: v[asked] for k, v in entry.items()}
                     entry["member_at"] = inner[:-1][entry.pop("_set")] + sum(map(len, members_held))
@@ -503,60 +502,59 @@ def _similar(members: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray,
     return out
 
 
-def _asked_later(blobs: list[bytes], asked: np.ndarray, join: Join) -> np.ndarray:
-    """Those of the ``asked`` sets (key and id mixed, sorted) that are similar to a set before them in their list."""
+def _keys_with_pairs(blobs: list[bytes], join: Join) -> pa.Table:
+    """The keys of lists that have a possible pair."""
+    e, starts, lengths = _lists(blobs, join)
+    later, _ = _near_pairs(e, starts, lengths, join)
+    return pa.table({"key": pa.array(np.unique(e["key"][later]).view(np.int64))})
+
+
+def _found_later(blobs: list[bytes], join: Join) -> pa.Table:
+    """The sets of lists with members that are similar to a set before them in their list.
+
+    Each set is first compared with its first few possible partners, then those without success that have more with all.
+    """
     counts = [int(np.frombuffer(b[-8:], np.int64)[0]) for b in blobs]
     fixed, members, at = _unpack_with_members([b[:-8] for b in blobs], counts, join)
     e, starts, lengths = _lists(fixed, join, {"members": at})
     member_at, n = e["members"], e["n"].astype(np.int64)
-    name = mixed(e["key"] ^ mixed(e["id"]))
-    is_asked = asked[np.minimum(np.searchsorted(asked, name), len(asked) - 1)] == name
-    found = np.zeros(len(name), bool)
-    for start, size in zip(starts.tolist(), lengths.tolist()):
-        ask = start + np.flatnonzero(is_asked[start : start + size])
+    found = np.zeros(len(n), bool)
+    later, earlier = _near_pairs(e, starts, lengths, join)
+    found[later[_similar(members, member_at, n, later, earlier, join)]] = True
+    heads = np.flatnonzero(np.diff(later, prepend=-1))
+    many = later[heads[np.diff(np.append(heads, len(later))) > SHORT_LIST]]
+    open_ = many[~found[many]]
+    list_of = np.searchsorted(starts, open_, "right") - 1
+    for k in np.unique(list_of).tolist():
+        start, size = int(starts[k]), int(lengths[k])
+        ask = open_[list_of == k]
+        limit = 2 * (join.den - join.num) * int(n[start : start + size].max()) // join.den  # no similar pair here differs in more members
         step = max(1, PAIRS_AT_ONCE // size)
-        for k in range(0, len(ask), step):
-            block = ask[k : k + step]
+        for first in range(0, len(ask), step):
+            block = ask[first : first + step]
             end = int(block[-1])
-            limit = 2 * (join.den - join.num) * int(n[start : start + size].max()) // join.den  # no similar pair here differs in more members
             differ = np.bitwise_count(e["low"][block][:, None] ^ e["low"][None, start:end]) + np.bitwise_count(e["high"][block][:, None] ^ e["high"][None, start:end])
             i, j = np.nonzero((differ <= limit) & (np.arange(start, end)[None, :] < block[:, None]))
             i, j = block[i], start + j
             ok = _possible(e, i, j, join)
             i, j = i[ok], j[ok]
             found[i[_similar(members, member_at, n, i, j, join)]] = True
-    return np.unique(e["id"][found])
+    return pa.table({"id": pa.array(np.unique(e["id"][found]).view(np.int64))})
 
 
-_FOUND = "kind int, a long, b long, n int, pos int, key long"
+_FOUND = "kind int, a long, b long, n int, pos int"
 
 
-def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
-    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3).
-
-    Of small sets, kind 1 tells the list's key, and as ``pos`` its slice.
-    """
+def _first_pairs(blobs: list[bytes], join: Join) -> pa.Table:
+    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3)."""
     e, starts, lengths = _lists(blobs, join)
-    kinds, left, right, keys = [], [], [], []
+    kinds, left, right = [], [], []
 
     def give(kind: int, i: np.ndarray, j: np.ndarray) -> None:
         kinds.append(np.full(len(i), kind, np.uint64))
-        if not (join.bitmap and kind == 1):
-            keys.append(np.zeros(len(i), np.uint64))
         left.append(e["id"][i])
         right.append(e["id"][j])
 
-    if join.bitmap:
-        later, earlier = _near_pairs(e, starts, lengths, join)
-        head = np.flatnonzero(np.diff(later, prepend=-1))
-        candidates = np.diff(np.append(head, len(later)))
-        few = np.repeat(candidates <= SHORT_LIST, candidates)
-        give(0, earlier[few], later[few])
-        head = head[candidates > SHORT_LIST]  # the first candidate of each; the others only if it fails
-        give(1, earlier[head], later[head])
-        keys.append(e["key"][later[head]])
-        lengths = lengths[:0]
-        starts = starts[:0]
     short = lengths <= SHORT_LIST
     for a in range(SHORT_LIST - 1):
         for b in range(a + 1, SHORT_LIST):
@@ -569,16 +567,15 @@ def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
     ok = _possible(e, head, other, join)
     give(1, head[ok], other[ok])
     give(2, head[~ok], other[~ok])
-    rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right, keys)]), axis=1, return_counts=True)
+    rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right)]), axis=1, return_counts=True)
     whole = ranges(long_at, long_n)
-    none = np.full(rows.shape[1], slice_of, np.int32)
+    none = np.zeros(rows.shape[1], np.int32)
     columns = {
         "kind": np.concatenate([rows[0], np.full(len(whole), 3, np.uint64)]).astype(np.int32),
         "a": np.concatenate([rows[1], e["key"][whole]]).view(np.int64),
         "b": np.concatenate([rows[2], e["id"][whole]]).view(np.int64),
         "n": np.concatenate([votes.astype(np.int32), e["n"][whole]]),
         "pos": np.concatenate([none, e["pos"][whole]]),
-        "key": np.concatenate([rows[3], np.zeros(len(whole), np.uint64)]).view(np.int64),
     }
     return pa.table({k: pa.array(v) for k, v in columns.items()})
 
@@ -645,28 +642,35 @@ def _further_pairs(table: pa.Table, join: Join) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
-def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFrame]) -> DataFrame:
-    """(id) of the sets of ``again`` (slice, key, id) that are similar to one before them in one of these lists.
+def _marked(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits in which the place of each key is set; the driver sees no more than that."""
+    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's buckets and their values count from 1
+    marked = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        first = (row["bucket"] - 1) * len(row["bits"])
+        out[first : first + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return out[: bits // 8]
+
 
-    A table of fixed size tells the tasks which lists to lay out once more, now with members, and each list settles its
-    own sets: nothing but ids of sets found leaves it.
+def _earlier_found(docs: DataFrame, join: Join, codes: Broadcast, slices: int, total: int) -> DataFrame:
+    """(id) of the sets that are similar to a set first found before them.
+
+    The lists are laid out twice: first without members, which tells the lists that have a possible pair, then those alone with
+    the members of their sets, so that every list settles its own pairs. Nothing but keys and ids leaves a list.
     """
-    place = F.col("key").bitwiseAND(F.lit(ASKED_BITS - 1)) + 1  # Spark's buckets and their values count from 1
-    marked = again.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    keys = np.zeros(ASKED_BITS // 8, np.uint8)
-    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # 4 MB at most in all
-        first = (row["bucket"] - 1) * len(row["bits"])
-        keys[first : first + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
 
-    def ask(wanted: pa.Table, lists: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
-        if wanted.num_rows and lists.num_rows:
-            key, own = (wanted.column(c).to_numpy().view(np.uint64) for c in ("key", "id"))
-            found = _asked_later([b.as_py() for b in lists.column("blob")], np.sort(mixed(key ^ mixed(own))), join)
-        return pa.table({"id": pa.array(found.view(np.int64))})
+    def near(table: pa.Table) -> pa.Table:
+        return _keys_with_pairs([b.as_py() for b in table.column("blob")], join)
+
+    def settle(table: pa.Table) -> pa.Table:
+        return _found_later([b.as_py() for b in table.column("blob")], join)
 
-    lists = packed(keys)
-    return again.groupBy("slice").cogroup(lists.groupBy("slice")).applyInArrow(ask, "id long")
+    keys = materialize(postings(docs, join, codes, slices, total).repartition(slices, "slice").groupBy("slice").applyInArrow(near, "key long"))
+    release(docs.sparkSession)
+    bits = min(MOST_MARKS, max(1 << 18, 1 << (8 * total).bit_length()))
+    lists = postings(docs, join, codes, 2 * slices, total, _marked(keys, bits)).repartition(2 * slices, "slice")
+    return materialize(lists.groupBy("slice").applyInArrow(settle, "id long").distinct())
 
 
 def _more(found: DataFrame, surveyed: DataFrame, groups: DataFrame, again: DataFrame, join: Join) -> DataFrame:
@@ -731,18 +735,6 @@ def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _later(linked: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(id) of the sets with a link to a set whose first place comes before theirs; of equal places (rows that share an id), the larger id is later."""
-    ends = linked.select(F.col("a").alias("id")).union(linked.select(F.col("b").alias("id"))).distinct()
-    places = first_places(surveyed.join(ends, "id", "left_semi")).select("id", "place")
-    return (
-        linked.join(places.withColumnsRenamed({"id": "a", "place": "at_a"}), "a")
-        .join(places.withColumnsRenamed({"id": "b", "place": "at_b"}), "b")
-        .select(F.when(F.col("at_a") <= F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id"))
-        .distinct()
-    )
-
-
 def first_places(surveyed: DataFrame) -> DataFrame:
     """(id, place, row, rows): where each set is found first, a missing document id last, in which row, and how often it is found."""
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit", "row")
@@ -762,21 +754,15 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     entries = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1)).first()[0] or 0
     slices = int(max(8, entries * (48 if join.bitmap else 32) // BLOCK_BYTES))
     total = surveyed.where("kind = 0 AND n > 0").count()
+    if join.only_earlier:
+        return surveyed, _earlier_found(docs, join, codes, slices, total)
     packed = postings(docs, join, codes, slices, total).repartition(slices, "slice")
 
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        return _first_pairs([b.as_py() for b in table.column("blob")], join, key[0].as_py())
+    def first(table: pa.Table) -> pa.Table:
+        return _first_pairs([b.as_py() for b in table.column("blob")], join)
 
     found = materialize(packed.groupBy("slice").applyInArrow(first, _FOUND))
     pairs = found.where("kind < 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("votes"))
-    if join.only_earlier:
-        later = materialize(_later(_links(docs, surveyed, pairs.select("a", "b"), join), surveyed))
-        again = materialize(found.where("kind = 1").select(F.col("pos").alias("slice"), "key", F.col("b").alias("id")).distinct().join(later, "id", "left_anti"))
-        if again.isEmpty():
-            return surveyed, later
-        new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys))
-        return surveyed, materialize(later.union(new).distinct())
-
     likely = materialize(_likely(pairs, surveyed, join).join(pairs, ["a", "b"]))
     # each set is first tested with the one it shares most lists with; most others then hang together with it already
     ends = likely.select(F.col("a").alias("id"), F.col("b").alias("other"), "votes").union(likely.select(F.col("b").alias("id"), F.col("a").alias("other"), "votes"))

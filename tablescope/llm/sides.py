@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 
 from pyspark import Broadcast, cloudpickle
@@ -35,6 +36,12 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so once the driver has collected the steps as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def counted(side: DataFrame) -> DataFrame:
     """``side``, written once; marked for broadcast if it has few rows, else joined by a shuffle. For narrow rows only."""
     side = materialize(side)
