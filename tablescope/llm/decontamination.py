@@ -30,14 +30,28 @@ BLOCK_CHARS = 16 << 20
 _FILTER_BITS = 22
 
 
+@dataclass(frozen=True)
+class Seeds:
+    """Runs of words of one length in the items, ordered by their hash and then by that of the run one word before."""
+
+    grams: np.ndarray  # different hashes, sorted
+    before: np.ndarray  # different hashes of runs one word before, sorted; none counts as 0
+    key: np.ndarray  # number of the hash and number of the one before, of every run, sorted
+    owner: np.ndarray  # item of every run
+    place: np.ndarray  # its place in it
+    near: np.ndarray  # a filter of hashes
+    every: np.ndarray  # hashes of all runs in order of items
+    bounds: np.ndarray  # where each item's begin, and the end
+
+
 @dataclass(frozen=True)
 class Items:
-    """Words of a block of items, and their seeds by length: sorted hashes, item and place of each."""
+    """Words of a block of items, and their seeds by length."""
 
     ids: list
     tokens: np.ndarray
     firsts: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: dict[int, Seeds]
 
 
 def index_items(rows: list, min_match: int) -> Items:
@@ -59,20 +73,20 @@ def index_items(rows: list, min_match: int) -> Items:
         n = bounds[use + 1] - bounds[use]
         at = ranges(bounds[use], n)
         owner, place = np.repeat(use, n), ranges(np.zeros(len(use), np.int64), n)
-        order = np.argsort(grams[at], kind="stable")
         near = np.zeros(1 << _FILTER_BITS, bool)
         near[(grams[at] & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        seeds[size] = (grams[at][order], owner[order], place[order], near)
+        previous = np.where(place > 0, grams[np.maximum(at - 1, 0)], np.uint64(0))
+        kinds, gram_of = np.unique(grams[at], return_inverse=True)
+        earlier, before_of = np.unique(previous, return_inverse=True)
+        key = gram_of.astype(np.int64) * (len(earlier) + 1) + before_of
+        order = np.argsort(key, kind="stable")
+        seeds[size] = Seeds(kinds, earlier, key[order], owner[order], place[order], near, grams, bounds)
     return Items([r["item_id"] for r in rows], tokens, firsts, seeds)
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, place in the document, place in the item) from seeds of ``size`` words."""
-    order = np.lexsort((doc_at, doc_at - item_at))
-    doc_at, item_at = doc_at[order], item_at[order]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(doc_at) != 1) | (np.diff(item_at) != 1)]))
-    runs = np.diff(np.append(cut, len(doc_at)))
-    heap = [(-(n + size - 1), d, i) for n, d, i in zip(runs.tolist(), doc_at[cut].tolist(), item_at[cut].tolist())]
+def tiles(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, runs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, place in the document, place in the item) from runs of seeds of ``size`` words."""
+    heap = [(-(n + size - 1), d, i) for n, d, i in zip(runs.tolist(), doc_at.tolist(), item_at.tolist())]
     heapq.heapify(heap)
     used_doc, used_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     found = []
@@ -93,17 +107,40 @@ def tiles(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.nda
 
 
 def _matches(items: Items, hashes: np.ndarray, firsts: np.ndarray, size: int):
-    """Places where a document gram is a seed: document, place in it, item, place in it; ordered by document and item."""
-    sorted_seeds, owner, place, near = items.seeds[size]
+    """Runs of document grams that are an item's: document, place in it, item, place in it, grams; ordered by document and item.
+
+    Only their beginnings are looked up: a gram meets the item grams of its hash that follow another gram than it does.
+    """
+    s = items.seeds[size]
     grams, bounds = gram_hashes(hashes, firsts, size, whole_if_short=False)
-    at = np.flatnonzero(near[(grams & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-    low = np.searchsorted(sorted_seeds, grams[at])
-    counts = np.searchsorted(sorted_seeds, grams[at], "right") - low
-    seed, gram = ranges(low, counts), np.repeat(at, counts)
-    doc = np.searchsorted(bounds, gram, "right") - 1
-    order = np.lexsort((owner[seed], doc))
-    doc, gram, seed = doc[order], gram[order], seed[order]
-    return doc, gram - bounds[doc], owner[seed], place[seed]
+    at = np.flatnonzero(s.near[(grams & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
+    kind = np.minimum(np.searchsorted(s.grams, grams[at]), len(s.grams) - 1)
+    known = s.grams[kind] == grams[at]
+    at, kind = at[known], kind[known]
+    doc = np.searchsorted(bounds, at, "right") - 1
+    first = at == bounds[doc]
+    previous = grams[np.maximum(at - 1, 0)]
+    number = np.minimum(np.searchsorted(s.before, previous), len(s.before) - 1)
+    same = (s.before[number] == previous) & ~first
+    base = kind.astype(np.int64) * (len(s.before) + 1)
+    low, high = np.searchsorted(s.key, base), np.searchsorted(s.key, base + len(s.before), "right")
+    cut = np.where(same, np.searchsorted(s.key, base + number), high)
+    rest = np.where(same, np.searchsorted(s.key, base + number, "right"), high)
+    seed = np.concatenate([ranges(low, cut - low), ranges(rest, high - rest)])
+    gram = np.concatenate([np.repeat(at, cut - low), np.repeat(at, high - rest)])
+    doc = np.concatenate([np.repeat(doc, cut - low), np.repeat(doc, high - rest)])
+    item, place = s.owner[seed], s.place[seed]
+    runs = np.ones(len(seed), np.int64)
+    open_, there = np.arange(len(seed)), s.bounds[item] + place
+    while len(open_):  # a step for each gram of the longest run
+        d, i = gram[open_] + runs[open_], there[open_] + runs[open_]
+        inside = (d < bounds[doc[open_] + 1]) & (i < s.bounds[item[open_] + 1])
+        open_, d, i = open_[inside], d[inside], i[inside]
+        open_ = open_[grams[d] == s.every[i]]
+        runs[open_] += 1
+    order = np.lexsort((place, gram, item, doc))
+    doc, gram, item, place, runs = (x[order] for x in (doc, gram, item, place, runs))
+    return doc, gram - bounds[doc], item, place, runs
 
 
 def contaminated(
@@ -136,12 +173,12 @@ def contaminated(
                 for first, _, data, offsets in pieces(batch.column(1)):
                     _, _, hashes, firsts = words(data, offsets, folded=True)
                     for size in items.seeds:
-                        doc, doc_at, item, item_at = _matches(items, hashes, firsts, size)
+                        doc, doc_at, item, item_at, runs = _matches(items, hashes, firsts, size)
                         cuts = np.flatnonzero(np.concatenate([[len(doc) > 0], (np.diff(doc) != 0) | (np.diff(item) != 0)])[: len(doc)])
                         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(doc)).tolist()):
                             d, i = doc[a], item[a]
                             tokens = items.tokens[items.firsts[i] : items.firsts[i + 1]]
-                            got = tiles(hashes[firsts[d] : firsts[d + 1]], tokens, doc_at[a:b], item_at[a:b], size)
+                            got = tiles(hashes[firsts[d] : firsts[d + 1]], tokens, doc_at[a:b], item_at[a:b], runs[a:b], size)
                             covered = sum(t[0] for t in got)
                             if covered >= coverage * len(tokens):
                                 out.append((ids[int(first + d)].as_py(), items.ids[i], len(tokens), covered, covered / len(tokens), len(got), max(t[0] for t in got)))
