@@ -438,6 +438,19 @@ def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join) -> tuple[np
 def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """The first few possible pairs of each set and list, as (later, earlier), ordered. Lists of moderate length advance side by side."""
     later, earlier, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    close: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+    def settle() -> None:
+        """Test the pairs of close bitmaps so far."""
+        nonlocal held
+        i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in close)
+        ok = _possible(e, i, j, join)
+        later.append(i[ok])
+        earlier.append(j[ok])
+        close[0].clear()
+        close[1].clear()
+        held = 0
+
     some = lengths <= SIDE_BY_SIDE
     for start, n in zip(starts[~some].tolist(), lengths[~some].tolist()):
         i, j = _close(e, start, n, join)
@@ -455,14 +468,13 @@ def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarra
             limit = ((join.den - join.num) * e["n"][at].astype(np.int64) // join.num + 1).astype(np.int32)  # more than a similar set differs by
         differ = np.bitwise_count(low[lag:] ^ low[:-lag]).astype(np.int32) + np.bitwise_count(high[lag:] ^ high[:-lag])
         k = np.flatnonzero((which[lag:] == which[:-lag]) & (differ <= limit[lag:]))
-        i, j = at[k + lag], at[k]
-        ok = _possible(e, i, j, join)
-        later.append(i[ok])
-        earlier.append(j[ok])
-        held += int(ok.sum())
+        close[0].append(at[k + lag])
+        close[1].append(at[k])
+        held += len(k)
         if held > PAIRS_AT_ONCE:
+            settle()
             later, earlier = _leading(later, earlier, SHORT_LIST + 1)
-            held = 0
+    settle()
     later, earlier = _leading(later, earlier, SHORT_LIST + 1)
     return later[0], earlier[0]
 
@@ -778,7 +790,9 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
             return surveyed, later
         release(docs.sparkSession)
         new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys))
-        return surveyed, materialize(later.union(new).distinct())
+        later = materialize(later.union(new).distinct())
+        release(docs.sparkSession)
+        return surveyed, later
 
     likely = materialize(_likely(pairs, surveyed, join).join(pairs, ["a", "b"]))
     # each set is first tested with the one it shares most lists with; most others then hang together with it already
