@@ -7,6 +7,7 @@ Words and sets of words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -50,6 +51,14 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this worker process have freed to the system; workers serve one stage after another."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class _Powers:
     """Powers known so far. They do not travel with pickled functions; each process works out its own."""
 

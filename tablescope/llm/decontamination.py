@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.arrays import gram_hashes, pieces, ranges, words
+from tablescope.llm.arrays import give_back, gram_hashes, pieces, ranges, words
 from tablescope.llm.sides import counted, received, row_key, shared, spare
 
 BLOCK_CHARS = 16 << 20
@@ -166,6 +166,7 @@ def contaminated(
         index = shared(docs.sparkSession, index_items(rows, min_match))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            give_back()
             items = received(index)
             for batch in batches:
                 out = []

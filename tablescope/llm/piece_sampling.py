@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.arrays import hash_sums, mixed, pieces, ranges, rolling_hashes, span_hashes
+from tablescope.llm.arrays import give_back, hash_sums, mixed, pieces, ranges, rolling_hashes, span_hashes
 from tablescope.llm.sides import received, shared, spare
 
-_PIECE = 2 << 20
-_LATTICE = 192 << 10  # bytes of distinct words whose lattice is laid out at once, 100 bytes for each
+_PIECE = 1 << 20
+_LATTICE = 96 << 10  # bytes of distinct words whose lattice is laid out at once, 100 bytes for each
 _FILTER_BITS = 20
 _LONG = 96
 _MARK = "▁"
@@ -268,6 +268,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     keyed = docs.select(*[F.col(f"`{n}`") for n in names], F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed)).alias(spare(docs, "_key")), F.col(f"`{text_column}`").cast("string").alias(spare(docs, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         v = received(sent)
         for batch in batches:
             keys = batch.column(len(names)).to_numpy().view(np.uint64)

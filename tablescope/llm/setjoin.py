@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.arrays import mixed, pieces, ranges, row_sums
+from tablescope.llm.arrays import give_back, mixed, pieces, ranges, row_sums
 from tablescope.llm.sides import counted, release
 from tablescope.operators.order import materialize
 
@@ -101,6 +101,7 @@ def survey(docs: DataFrame, join: Join) -> DataFrame:
     schema = "kind int, doc_id long, row long, unit int, id long, n int, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shift = np.uint64(64 - join.sketch_bits)
         width = 1 << min(SKETCH_SLICE_BITS, join.sketch_bits)
         pending, held = [], 0
@@ -195,6 +196,7 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
     keys_all = docs.sparkSession.sparkContext.broadcast(asked_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         codes, keys = codes_all.value, keys_all.value
         shift = np.uint64(64 - join.sketch_bits)
         seen: dict[int, list[int]] = {}  # the place each set was given with
