@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.arrays import sorted_sets, words
 from tablescope.llm.setjoin import Join, first_places, links
-from tablescope.llm.sides import row_key, spare
+from tablescope.llm.sides import release, row_key, spare
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray):
@@ -42,6 +42,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed, own, gone_lines = (spare(docs, name) for name in ("_key", "_own", "_gone"))
     pairs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), key.alias("row"))
     surveyed, later = links(pairs, Join(line_sets, bitmap=True, sketch_bits=23, skip_single=True, only_earlier=True))
+    release(docs.sparkSession)  # the joins' shuffles, before the texts are moved
     decided = first_places(surveyed).join(later.withColumn("later", F.lit(True)), "id", "left").where("later OR rows > 1")
     decided = decided.select("id", F.col("row").alias("first_row"), F.col("place.unit").alias("first_unit"), "later")
     gone = (
