@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.kinds import doubles, name_sql, numeric_columns, quoted
 from tablescope.operators.kendall import kendall
-from tablescope.operators.moments import correlations, folded, folded_pairs, merged_rows, named
-from tablescope.operators.ranks import by_row, group_cells, ranked
+from tablescope.operators.moments import PARTS, ROWS_AT_ONCE, correlations, folded, folded_pairs, matrix, merged_rows, named
+from tablescope.operators.order import materialize
+from tablescope.operators.ranks import RankTable, by_row, few_valued, group_cells, partitions_for, rank_tables, ranked
 from tablescope.plans.config import RelationConfig
 
 PAIR_SCHEMA = "col1 string, col2 string, r double, n bigint"
@@ -50,14 +52,19 @@ def _every_pair(df: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
 
 
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson on average ranks: one range shuffle ranks the cells of all columns, one more brings the ranks back to their rows.
+    """Pearson on average ranks: columns of few values are ranked by their counts, the cells of the others by one range shuffle; one more brings ranks and rows together.
 
     A column with missing values changes the rows its partners are ranked over, so cells are ranked per
     (column, partner with missing values); columns without missing values share one ranking.
     """
     values = doubles(df, names)
-    missing = values.agg(*[F.count_if(quoted(c).isNull()).alias(f"_{i}") for i, c in enumerate(names)]).first()
-    partial = {c for i, c in enumerate(names) if missing[f"_{i}"]}
+    facts = values.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(names)],
+    ).first()
+    partial = {c for i, c in enumerate(names) if facts[f"n{i}"] < facts["n"]}
+    different = {c: facts[f"d{i}"] for i, c in enumerate(names)}
     pairs = list(combinations(names, 2))
     contexts: dict[tuple[str, str | None], int] = {}
     for a, b in pairs:
@@ -67,14 +74,36 @@ def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
     cells = [
         (g, f"CASE WHEN {name_sql(mask)} IS NOT NULL THEN {name_sql(column)} END" if mask else name_sql(column)) for (column, mask), g in contexts.items()
     ]
-    numbered = values.select("*", F.monotonically_increasing_id().alias("row"))  # travels with its cells, so it is drawn once
-    ranks = ranked(group_cells(numbered, cells, ["row"]), "row")
-    if not partial and list(contexts) == [(c, None) for c in names]:
-        parts = merged_rows(by_row(ranks, len(names), folded))
-        return _every_pair(df, names, named(parts, lambda i, n: ([names[i]] * n, names[i + 1 :])))
     size = 64
-    parts = merged_rows(by_row(ranks, len(contexts), lambda matrices: folded_pairs(matrices, left, right, size)))
-    return _every_pair(df, names, named(parts, lambda i, n: tuple(zip(*pairs[i * size : i * size + n]))))
+    if not partial and list(contexts) == [(c, None) for c in names]:
+        use, label = folded, lambda i, n: ([names[i]] * n, names[i + 1 :])
+    else:
+        use, label = lambda matrices: folded_pairs(matrices, left, right, size), lambda i, n: tuple(zip(*pairs[i * size : i * size + n]))
+    few = few_valued({g: different[column] for (column, _), g in contexts.items()})
+    known, others = [c for c in cells if c[0] in few], [c for c in cells if c[0] not in few]
+    if not others:
+        tables = rank_tables(values, known)
+        ranks = values.select(*[F.expr(value).alias(f"g{g}") for g, value in known])
+        parts = ranks.mapInArrow(lambda batches: use(_looked_up(batches, tables)), PARTS)
+        return _every_pair(df, names, named(merged_rows(parts), label))
+    numbered = values.select("*", F.monotonically_increasing_id().alias("row"))
+    rows, tables = None, None
+    if known:
+        numbered = materialize(numbered)  # cells and rows must have the same numbers
+        tables = rank_tables(numbered, known)
+        rows = numbered.select("row", F.array(*[F.expr(value) for _, value in known]).alias("values"))
+    n = facts["n"] * len(others)
+    ranks = ranked(group_cells(numbered, others, ["row"]), "row", partitions_for(df, n))
+    parts = by_row(ranks, len(contexts), partitions_for(df, n + (facts["n"] if known else 0)), use, rows, tables)
+    return _every_pair(df, names, named(merged_rows(parts), label))
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], tables: dict[int, RankTable]) -> Iterator[np.ndarray]:
+    """Matrices of ranks of rows whose values all have rank tables."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            x = matrix(batch.slice(k, ROWS_AT_ONCE), batch.schema.names)
+            yield np.stack([t.ranked(x[:, i]) for i, t in enumerate(tables.values())], axis=1)
 
 
 def _context(column: str, partner: str, partial: set[str]) -> tuple[str, str | None]:
