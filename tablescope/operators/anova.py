@@ -7,6 +7,7 @@ gate keeps its result small.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from tablescope.functions.stats import ratio
 from tablescope.kinds import doubles_of, numeric_columns, quoted
 from tablescope.operators.assoc import usable_categories
 from tablescope.operators.order import materialize
-from tablescope.operators.ranks import group_cells, ranked
+from tablescope.operators.ranks import RankTable, few_valued, group_cells, partitions_for, rank_tables, ranked
 from tablescope.plans.config import RelationConfig
 
 PAIR = ["num", "cat"]
@@ -112,8 +113,8 @@ def kruskal(
 ) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected) and p of every (num, cat) pair, over the kept levels.
 
-    The values of all numbers are ranked by one range shuffle, in which they carry the levels of their row, so that ranks are
-    summed by level where they are found. Categories that cover every row of a number share one ranking; others rank the
+    Numbers of few values are ranked by their counts, where the rows are. The values of the others are ranked by one range shuffle,
+    in which they carry the levels of their row, so that ranks are summed by level where they are found. Categories that cover every row of a number share one ranking; others rank the
     rows they cover.
     """
     levels = levels if levels is not None else level_stats(df, config, cats, nums)
@@ -138,7 +139,7 @@ def kruskal(
     for i, c in enumerate(used):
         codes = spark.createDataFrame([(level, n) for (cat, level), n in code.items() if cat == c], f"k{i} string, c{i} int")
         coded = coded.join(F.broadcast(codes), f"k{i}", "left")
-    present = coded.agg(*[F.count(f"v{j}").alias(f"v{j}") for j in range(len(numbers))]).first()
+    present = coded.agg(*[f(f"v{j}").alias(f"{k}{j}") for k, f in (("v", F.count), ("d", F.approx_count_distinct)) for j in range(len(numbers))]).first()
 
     # A ranking is a number with the categories it serves; categories with gaps have one of their own.
     rankings: list[tuple[int, list[int]]] = []
@@ -156,11 +157,21 @@ def kruskal(
             value = f"CASE WHEN c{i} IN ({among}) THEN {value} END"
         cells.append((g, value))
     levels_of = coded.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in level_names], *[f"v{j}" for j in range(len(numbers))], F.monotonically_increasing_id().alias("row"))
-    ranks = ranked(group_cells(levels_of, cells, ["row", *level_names]), "row")
     # Ranks are taken from the middle rank, so that large sums do not cancel.
     sizes = [present[f"v{j}"] if len(served) > 1 else covered[numbers[j], used[served[0]]] for j, served in rankings]
     serves = [served for _, served in rankings]
-    by_level = ranks.mapInArrow(lambda batches: _rank_sums(batches, serves, sizes, len(code)), "ranking int, cat_index int, level int, rank_sum double, size long, ties double")
+    few = few_valued({g: present[f"d{j}"] for g, (j, _) in enumerate(rankings)})
+    known, others = [c for c in cells if c[0] in few], [c for c in cells if c[0] not in few]
+    schema = "ranking int, cat_index int, level int, rank_sum double, size long, ties double"
+    found = []
+    if known:
+        tables = rank_tables(levels_of, known)
+        looked_up = levels_of.select(*level_names, *[F.expr(value).alias(f"g{g}") for g, value in known])
+        found.append(looked_up.mapInArrow(lambda batches: _rank_sums(_by_table(batches, tables), serves, sizes, len(code)), schema))
+    if others:
+        ranks = ranked(group_cells(levels_of, others, ["row", *level_names]), "row", partitions_for(df, sum(sizes[g] for g, _ in others)))
+        found.append(ranks.mapInArrow(lambda batches: _rank_sums(_by_group(batches), serves, sizes, len(code)), schema))
+    by_level = reduce(DataFrame.unionByName, found)
     sums = (
         by_level.groupBy("ranking", "cat_index", "level")
         .agg(F.sum("rank_sum").alias("rank_sum"), F.sum("size").alias("size"), F.sum("ties").alias("ties"))
@@ -181,18 +192,33 @@ def kruskal(
     return out.select(*PAIR, F.col("total").alias("n"), "h_stat", chi2_sf(F.col("h_stat"), (F.col("k") - 1).cast("double")).alias("kruskal_p"))
 
 
-def _rank_sums(batches: Iterator[pa.RecordBatch], serves: list[list[int]], sizes: list[int], levels: int) -> Iterator[pa.RecordBatch]:
-    """Per ranking, category and level the sum of ranks less the middle one, the number of ranks, and the ties' part of the correction."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ranking, ranks, ties, batch, cells of the batch) of ranked cells."""
     for batch in batches:
         group, rank, ties = (batch.column(c).to_numpy() for c in ("group", "rank", "ties"))
         for g in np.unique(group).tolist():
             at = group == g
-            away, tied = rank[at] - (sizes[g] + 1) / 2, ties[at].astype(np.float64) ** 2 - 1
-            for i in serves[g]:
-                level = batch.column(f"c{i}").to_numpy()[at]
-                own = np.stack([np.bincount(level, w, levels) for w in (away, np.ones(len(away)), tied)])
-                sums[g, i] = sums[g, i] + own if (g, i) in sums else own
+            yield g, rank[at], ties[at], batch, at
+
+
+def _by_table(batches: Iterator[pa.RecordBatch], tables: dict[int, RankTable]) -> Iterator[tuple]:
+    """The same of rows whose ranks are looked up."""
+    for batch in batches:
+        for g, table in tables.items():
+            x = batch.column(f"g{g}").to_numpy(zero_copy_only=False).astype(np.float64)
+            here = ~np.isnan(x)
+            yield g, *table.at(x[here]), batch, here
+
+
+def _rank_sums(cells: Iterator[tuple], serves: list[list[int]], sizes: list[int], levels: int) -> Iterator[pa.RecordBatch]:
+    """Per ranking, category and level the sum of ranks less the middle one, the number of ranks, and the ties' part of the correction."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for g, rank, ties, batch, at in cells:
+        away, tied = rank - (sizes[g] + 1) / 2, ties.astype(np.float64) ** 2 - 1
+        for i in serves[g]:
+            level = batch.column(f"c{i}").to_numpy()[at]
+            own = np.stack([np.bincount(level, w, levels) for w in (away, np.ones(len(away)), tied)])
+            sums[g, i] = sums[g, i] + own if (g, i) in sums else own
     rows = [(g, i, v, *own[:, v].tolist()) for (g, i), own in sums.items() for v in np.flatnonzero(own[1]).tolist()]
     if rows:
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())

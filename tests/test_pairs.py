@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from tests.conftest import by
 
@@ -75,6 +76,54 @@ def test_ranks_across_partitions_and_batches(spark, parts, records):
     assert (got.ties.to_numpy() == pdf.groupby(["group", "value"]).value.transform("size").to_numpy()).all()
 
 
+def test_long_runs_are_not_kept():
+    """The cells of a run whose length is known leave as they come, whatever its length; ranks are those of the whole."""
+    values = np.repeat([0.0, 1.0, 2.0, 3.0], [5, 1000, 3, 400])
+    none = np.zeros(len(values), np.int32)
+    batches = pa.table({"group": none, "value": values, "_part": none}).to_batches(max_chunksize=10)
+    taken = given = lag = 0
+    out = []
+
+    def counted():
+        nonlocal taken
+        for batch in batches:
+            taken += batch.num_rows
+            yield batch
+
+    for batch in ranks._positions(counted(), {0: {0: (0, 0, 5, 450, 3.0, {1.0: 1000})}}):  # the last value goes on for 50 cells
+        given += batch.num_rows
+        lag = max(lag, taken - given)
+        out += list(zip(batch.column("rank").to_pylist(), batch.column("ties").to_pylist()))
+    assert lag < 30 and given == len(values)
+    assert out == [(3.0, 5)] * 5 + [(505.5, 1000)] * 1000 + [(1007.0, 3)] * 3 + [(1233.5, 450)] * 400
+
+
+@pytest.mark.parametrize("most", [0, 60, 1 << 18])
+def test_ranks_by_tables_and_by_shuffle(spark, monkeypatch, most):
+    """Spearman and Kruskal-Wallis agree with pandas, whichever columns are ranked by counts."""
+    monkeypatch.setattr(ranks, "KNOWN_VALUES", most)
+    monkeypatch.setattr(ranks, "LONG_RUN", 20)
+    monkeypatch.setattr(ranks, "LEAST_CELLS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"a": rng.integers(0, 3, 400) * -1.0, "b": rng.normal(size=400).round(1), "c": rng.integers(0, 9, 400) * 1.0, "g": rng.choice([*"xyz"], 400)})
+    pdf["d"] = pdf.a + pdf.b
+    for frame in (pdf, pdf.assign(c=pdf.c.where(pdf.c > 0), d=pdf.d.where(rng.random(400) < 0.8))):
+        df = spark.createDataFrame(frame).repartition(3)
+        got = by(corr.corr_matrix(df, "spearman"), "col1", "col2")
+        tested = by(anova.kruskal(df, RelationConfig(min_sample_size=1)), "num")
+        for (x, y), row in got.items():
+            both = frame[[x, y]].dropna()
+            assert row["n"] == len(both) and row["r"] == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-12)
+        for num, row in tested.items():
+            own = frame[[num, "g"]].dropna()
+            r, n = own[num].rank(), len(own)
+            h = 12 / (n * (n + 1)) * (r.groupby(own.g).sum() ** 2 / r.groupby(own.g).size()).sum() - 3 * (n + 1)
+            t = own[num].value_counts().to_numpy()
+            assert row["n"] == n and row["h_stat"] == pytest.approx(h / (1 - (t**3 - t).sum() / (n**3 - n)), rel=1e-9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
 def scans(df):
     """File scans in a plan."""
     return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
