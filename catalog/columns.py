@@ -173,7 +173,7 @@ SUPPLIER = {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_
 
 
 def _profile_section(name, digits=7):
-    return lambda s, d: rounded(recipes.full_profile(lineitem(s, d))[name], digits)
+    return lambda s, d: rounded(recipes.full_profile(lineitem(s, d), [name])[name], digits)
 
 
 register("full_profile", lambda s, d: rounded(recipes.full_profile(table(s, d, "supplier"))["columns"], 7), _profile_sql(SUPPLIER, "supplier"))

@@ -6,6 +6,7 @@ import pytest
 from tests.conftest import by
 
 from tablescope.operators import profile, quality, quantiles
+from tablescope.plans import recipes
 
 
 def test_profile_of_mixed_table(mix12):
@@ -154,3 +155,16 @@ print("P", round(spark.range(1).select(chi2_sf(F.lit(2.0), F.lit(2.0)).alias("p"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert f"P {round(math.exp(-1), 6)}" in done.stdout, done.stderr[-2000:]
+
+
+def test_full_profile_works_out_the_asked_sections_only(spark, mix12, monkeypatch):
+    """A section is the same by itself as in the bundle, and does not pay for the others."""
+    names = ["overview", "missing", "duplicates"]
+    whole = recipes.full_profile(mix12)
+    assert list(whole) == ["overview", "columns", "types", "missing", "duplicates", "outliers", "pearson", "spearman", "top_values"]
+    monkeypatch.setattr(recipes.corr, "corr_matrix", None)
+    monkeypatch.setattr(recipes.profile, "column_profile", None)
+    own = recipes.full_profile(mix12, names)
+    assert list(own) == names
+    for name in names:
+        assert sorted(own[name].collect()) == sorted(whole[name].collect())
