@@ -284,3 +284,15 @@ def test_time_column_detection(spark):
     df = spark.createDataFrame([("x", "2024-01-01", 1.0), ("y", "2024-01-02", 2.0)], "a string, b string, v double")
     assert series.detect_time_column(df) == "b"
     assert [r["value"] for r in series.time_trend(df).collect()] == [1.0, 2.0]
+
+
+def test_layout_of_the_sample_query_follows_the_table(spark, monkeypatch, tmp_path):
+    """No fixed number of parts, which would make a task of it grow with the table."""
+    from catalog import QUERIES
+
+    spark.range(40).selectExpr("id AS l_orderkey", "id % 9 AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    taken, sample = [], select.sample_rows
+    monkeypatch.setattr(select, "sample_rows", lambda df, n: taken.append(df) or sample(df, n))
+    assert QUERIES["sample_rows_any_layout"](spark, str(tmp_path)).first()["differing"] == 0
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in taken]
+    assert sum("hashpartitioning(l_suppkey" in p for p in plans) == 1 and not any("REPARTITION_BY_NUM" in p for p in plans)
