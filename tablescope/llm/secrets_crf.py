@@ -2,13 +2,13 @@
 
 Base patterns find assignments, access keys and hexadecimal runs. The field tags each word as the begin of
 a secret, inside one, or outside, from its shape (length, kinds of characters, changes between them), the words
-around it, and features of the file, and Viterbi decoding gives further spans; base spans stay. Words whose shape cannot be a secret
-(no digit, no sign of code, short) are outside by definition unless an assignment sign stands before them, so chains are
-runs of the remaining words.
+around it, and features of the file, and Viterbi decoding gives further spans; base spans stay. The chain of a text holds all its
+words, and every one is scored and decoded.
 
 The field is trained here, by gradient steps on the exact likelihood, on words that base patterns mark in at most
-``most_hits`` documents with a match and ``most_others`` others, the first by a hash. Half of the
-marked words are also shown without the words before them, so that the shape alone is learned. Everything is scanned.
+``most_hits`` documents with a match and ``most_others`` others, the first by a hash: the first ``LEAD`` words of
+each, and those of an odd shape (a digit, a sign of code, long, or after an assignment sign) with their neighbours, in stretches of at most
+``BLOCK`` words. Marked words are also shown among plain words and without their names, so that the shape alone is learned.
 
 Spans count code points, the end exclusive; a base span is the whole match. Defined cases: missing and empty texts have no
 spans; equal texts have equal spans; with no marked word to learn from, only base spans are given.
@@ -40,6 +40,8 @@ MOST_OTHERS = 1500
 _DIM = 1 << 12
 _WORD_BUCKETS = 1 << 10
 _LABELS = 3  # outside, begin, inside
+LEAD = 16
+BLOCK = 64  # words decoded one after another; blocks advance side by side
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,13 +73,14 @@ _EDGE = _table(b"\"'`,;.()[]{}<>!?")
 
 @dataclass(frozen=True)
 class Words:
-    """Words of a piece that may belong to a secret, in chains of neighbours."""
+    """All words of a piece; those of a row are a chain."""
 
     rows: np.ndarray
     starts: np.ndarray  # bytes
     ends: np.ndarray
     features: np.ndarray  # [word, slot] -> index
     chain: np.ndarray  # number of the chain of each word
+    odd: np.ndarray | None = None  # words whose shape is not that of plain prose
 
 
 def describe(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -97,61 +100,55 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Words:
     sign = _ASSIGN[last] if n else np.zeros(0, bool)
     after = np.zeros(n, bool)
     after[1:] = sign[:-1] & (row[1:] == row[:-1])
-    maybe = ((digits > 0) & (size >= 6)) | ((assigns > 0) & (size >= 6) & ~sign) | (size >= 24) | after
-    at = np.flatnonzero(maybe)
-    lower, upper, hexes, quotes = (count(t)[at] for t in (_LOWER, _UPPER, _HEX, _QUOTE))
-    high = (size[at] - count(_table(range(128)))[at]) > 0
+    odd = ((digits > 0) & (size >= 6)) | ((assigns > 0) & (size >= 6) & ~sign) | (size >= 24) | after
+    lower, upper, hexes, quotes = (count(t) for t in (_LOWER, _UPPER, _HEX, _QUOTE))
+    high = (size - count(_table(range(128)))) > 0
     kind = _LOWER.astype(np.uint8) + 2 * _UPPER + 3 * _DIGIT
     k = kind[data]
     change = np.zeros(len(data) + 1, np.int32)
     np.cumsum(k[1:] != k[:-1], out=change[1:-1] if len(data) else change[:0])
-    changes = change[np.maximum(ends[at] - 1, 0)] - change[starts[at]] if n else np.zeros(0, np.int32)
-    s = size[at]
+    changes = change[np.maximum(ends - 1, 0)] - change[starts] if n else np.zeros(0, np.int32)
+    s = size
+    names = 1 + (span_hashes(data, starts, ends, folded=True) % np.uint64(_WORD_BUCKETS - 1)).astype(np.int32) if n else np.zeros(0, np.int32)
 
     def share(x: np.ndarray) -> np.ndarray:
         return (4 * x + s - 1) // np.maximum(s, 1)
 
     def neighbour(shift: int) -> np.ndarray:
-        who = at + shift
-        ok = (who >= 0) & (who < n)
-        who = np.clip(who, 0, max(n - 1, 0))
-        ok &= row[who] == row[at]
-        names = span_hashes(data, starts[who], ends[who], folded=True)
-        return np.where(ok, 1 + (names % np.uint64(_WORD_BUCKETS - 1)).astype(np.int64), 0)
+        """The name of the word ``shift`` places on in the same row, 0 if there is none."""
+        out = np.zeros(n, np.int32)
+        here, there = (slice(None, -shift), slice(shift, None)) if shift > 0 else (slice(-shift, None), slice(None, shift))
+        out[here] = np.where(row[here] == row[there], names[there], 0)
+        return out
 
     of_row = np.searchsorted(starts, offsets)
     words_in = np.diff(of_row)
-    odd_in = np.bincount(row[at], minlength=rows)
+    odd_in = np.bincount(row[odd], minlength=rows)
     assigns_in = row_sums(assigns.astype(np.uint64), of_row).astype(np.int64)
     file_odd = np.minimum(3, (20 * odd_in) // np.maximum(words_in, 1))
     file_assign = np.minimum(3, (20 * assigns_in) // np.maximum(words_in, 1))
-    first = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at][1:] != row[at][:-1])])[: len(at)]
-    if len(at):
-        before, behind, two = neighbour(-1), neighbour(1), neighbour(-2)
-    else:
-        before = behind = two = np.zeros(0, np.int64)
+    before, behind, two = neighbour(-1), neighbour(1), neighbour(-2)
     bucket = np.searchsorted([6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 28, 32, 40, 48, 64], s, "right")
     slots = [
         bucket,
-        share(digits[at]) * 5 + share(upper),
-        share(lower) * 5 + share(code[at]),
+        share(digits) * 5 + share(upper),
+        share(lower) * 5 + share(code),
         np.minimum(changes * 8 // np.maximum(s, 1), 7),
         (hexes >= s - quotes - 1) * 4 + (quotes > 0) * 2 + high,
-        np.minimum(assigns[at], 2) * 2 + after[at],
+        np.minimum(assigns, 2) * 2 + after,
         bucket * 8 + np.minimum(changes * 8 // np.maximum(s, 1), 7),
-        file_odd[row[at]] * 4 + file_assign[row[at]],
+        file_odd[row] * 4 + file_assign[row],
     ]
     widths = [16, 25 + 5, 30, 8, 8, 6, 128, 16]
-    index, base = [], 0
-    for slot, width in zip(slots, widths):
-        index.append(base + np.clip(slot, 0, width - 1))
+    features, base = np.zeros((n, len(slots) + 3), np.int16), 0
+    for i, (slot, width) in enumerate(zip(slots, widths)):
+        features[:, i] = base + np.clip(slot, 0, width - 1)
         base += width
-    for name in (before, behind, two):
-        index.append(base + name)
+    for i, name in enumerate((before, behind, two), len(slots)):
+        features[:, i] = base + name
         base += _WORD_BUCKETS
     assert base <= _DIM
-    features = np.stack(index, axis=1).astype(np.int32) if len(at) else np.zeros((0, 11), np.int32)
-    return Words(row[at], starts[at], ends[at], features, np.cumsum(first) - 1)
+    return Words(row, starts, ends, features, row, odd)
 
 
 WORD_SLOTS = (8, 9, 10)
@@ -175,33 +172,65 @@ def _positions(chain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def viterbi(field: Field, words: Words) -> np.ndarray:
-    """The best label of each word; chains advance side by side."""
-    scores = field.weights[words.features].sum(axis=1)
-    firsts, lengths, _ = _positions(words.chain)
-    labels = np.zeros(len(scores), np.int8)
-    if not len(firsts):
+    """The best label of each word.
+
+    Chains are cut into blocks of ``BLOCK`` words. All blocks advance side by side, from each label of their first word; then the blocks
+    of a chain are joined one after another, which is exact and takes a long chain few steps.
+    """
+    n = len(words.chain)
+    labels = np.zeros(n, np.int8)
+    if not n:
         return labels
-    came = np.zeros((len(scores), _LABELS), np.int8)
-    best = field.begin + scores[firsts]
-    finals = np.zeros((len(firsts), _LABELS))
-    alive = len(firsts)
-    for k in range(int(lengths[0])):
-        now = int(np.searchsorted(-lengths, -k, "left"))  # chains longer than k
+    scores = np.zeros((n, _LABELS))
+    for slot in range(words.features.shape[1]):
+        scores += field.weights[words.features[:, slot]]
+    heads = np.flatnonzero(np.diff(words.chain, prepend=-1))
+    blocks_of = (np.diff(np.append(heads, n)) + BLOCK - 1) // BLOCK
+    block_chain = np.repeat(np.arange(len(heads)), blocks_of)
+    nth = np.arange(len(block_chain)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
+    begins = heads[block_chain] + nth * BLOCK
+    sizes = np.diff(np.append(begins, n))
+    order = np.argsort(-sizes, kind="stable")
+    firsts, lengths = begins[order], sizes[order]
+
+    # best[block, label of its first word, label of the word reached]
+    best = np.where(np.eye(_LABELS, dtype=bool), scores[firsts][:, None, :], -np.inf)
+    came = np.zeros((n, _LABELS, _LABELS), np.int8)
+    alive = [int(np.searchsorted(-lengths, -k, "left")) for k in range(int(lengths[0]))]  # blocks longer than k
+    for k in range(1, len(alive)):
+        now = alive[k]
+        options = best[:now, :, :, None] + field.steps
+        came[firsts[:now] + k] = options.argmax(axis=2)
+        best[:now] = options.max(axis=2) + scores[firsts[:now] + k][:, None, :]
+    whole = np.empty_like(best)
+    whole[order] = best
+
+    by_count = np.argsort(-blocks_of, kind="stable")
+    lead, count = (np.cumsum(blocks_of) - blocks_of)[by_count], blocks_of[by_count]
+    chains = [int(np.searchsorted(-count, -k, "left")) for k in range(int(count[0]))]  # with more than k blocks
+    entered, left = np.zeros((len(whole), _LABELS), np.int8), np.zeros((len(whole), _LABELS), np.int8)
+    reached = np.zeros((len(heads), _LABELS))
+    for k, now in enumerate(chains):
+        at = lead[:now] + k
+        start = np.broadcast_to(field.begin, (now, _LABELS))
         if k:
-            options = best[:now, :, None] + field.steps[None]
-            came[firsts[:now] + k] = options.argmax(axis=1)
-            best = options.max(axis=1) + scores[firsts[:now] + k]
-        ended = lengths[:now] == k + 1
-        finals[:now][ended] = best[ended]
-        alive = now
-    del alive
-    state = (finals + field.end).argmax(axis=1)
-    for k in range(int(lengths[0]) - 1, -1, -1):
-        now = int(np.searchsorted(-lengths, -k, "left"))
-        at = firsts[:now] + k
-        labels[at] = state[:now]
-        if k:
-            state[:now] = came[at, state[:now]]
+            options = reached[:now, :, None] + field.steps
+            left[at], start = options.argmax(axis=1), options.max(axis=1)
+        options = start[:, :, None] + whole[at]
+        entered[at], reached[:now] = options.argmax(axis=1), options.max(axis=1)
+    state = (reached + field.end).argmax(axis=1)
+    first, last = np.zeros(len(whole), np.int8), np.zeros(len(whole), np.int8)
+    for k in range(len(chains) - 1, -1, -1):
+        at = lead[: chains[k]] + k
+        last[at] = state[: chains[k]]
+        first[at] = entered[at, last[at]]
+        state[: chains[k]] = left[at, first[at]]
+
+    first, state = first[order], last[order]
+    for k in range(len(alive) - 1, -1, -1):
+        at = firsts[: alive[k]] + k
+        labels[at] = state[: alive[k]]
+        state[: alive[k]] = came[at, first[: alive[k]], labels[at]]
     return labels
 
 
@@ -275,14 +304,35 @@ def _labelled(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
             for start, _, end in found:
                 inside = at[(s < end) & (e > start)]
                 labels[inside] = np.where(labels[inside] > 0, labels[inside], np.where(np.arange(len(inside)) == 0, 1, 2))
-        out.append((words.features, words.chain, labels))
-        hidden = words.features.copy()
+        marked = labels > 0
+        hidden = words.features[marked]
         for k, slot in enumerate(WORD_SLOTS):
-            hidden[labels > 0, slot] = FIRST_WORD + k * _WORD_BUCKETS
-        out.append((hidden[labels > 0], np.arange((labels > 0).sum()), np.minimum(labels[labels > 0], 1)))
+            hidden[:, slot] = FIRST_WORD + k * _WORD_BUCKETS
+        kept, chain = _stretches(words, marked)
+        out.append((words.features[kept], chain, labels[kept]))
+        plain = kept[~(marked | words.odd)[kept]]
+        if len(plain):  # a plain word on either side
+            sides = [words.features[np.resize(np.roll(plain, k), len(hidden))] for k in (0, len(plain) // 2)]
+            hidden = np.stack([sides[0], hidden, sides[1]], axis=1).reshape(-1, hidden.shape[1])
+        each = 3 if len(plain) else 1
+        shown = np.tile([0, 1, 0] if len(plain) else [1], len(hidden) // each)
+        out.append((hidden, np.arange(len(hidden)) // each, shown))
     return out
 
 
+def _stretches(words: Words, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words to learn from, and the number of the stretch of each."""
+    near = words.odd | marked
+    same = words.rows[1:] == words.rows[:-1]
+    near[1:] |= (words.odd | marked)[:-1] & same
+    near[:-1] |= (words.odd | marked)[1:] & same
+    heads = np.flatnonzero(np.diff(words.rows, prepend=-1))
+    place = np.arange(len(near)) - np.repeat(heads, np.diff(np.append(heads, len(near))))
+    kept = np.flatnonzero(near | (place < LEAD))
+    fresh = np.concatenate([[True], (np.diff(kept) != 1) | (place[kept][1:] % BLOCK == 0)])[: len(kept)]
+    return kept, np.cumsum(fresh) - 1
+
+
 def _code_points(data: np.ndarray) -> np.ndarray:
     """Code points before each byte, and their number at the end."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

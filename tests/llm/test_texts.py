@@ -80,6 +80,34 @@ def test_viterbi_finds_the_best_path():
         assert tuple(got[at]) == best
 
 
+def test_every_word_is_decoded():
+    """A text's chain holds all its words, plain ones too, and any of them may be given a label."""
+    raw = np.frombuffer("give me some plain words and hunter for a secret of letters\nno".encode(), np.uint8)
+    words = secrets_crf.describe(raw, np.array([0, len(raw) - 3, len(raw)]))
+    assert words.rows.tolist() == [0] * 12 + [1] and words.chain.tolist() == words.rows.tolist()
+    weights = np.zeros((secrets_crf._DIM, 3))
+    weights[words.features[6], 1] = 1  # the features of "hunter"
+    field = secrets_crf.Field(weights, np.zeros((3, 3)), np.zeros(3), np.zeros(3))
+    scores = weights[words.features].sum(axis=1)
+    assert (secrets_crf.viterbi(field, words) == scores.argmax(axis=1)).all() and scores[6].argmax() == 1
+
+
+def test_viterbi_of_long_chains():
+    """Chains over many blocks have the score of the best path."""
+    r = np.random.default_rng(6)
+    field = secrets_crf.Field(r.normal(size=(50, 3)), 3 * r.normal(size=(3, 3)), r.normal(size=3), r.normal(size=3))
+    chain = np.repeat(np.arange(7), [1000, 64, 65, 1, 128, 63, 301])
+    words = secrets_crf.Words(chain, chain, chain, r.integers(0, 50, (len(chain), 2)), chain)
+    got, scores = secrets_crf.viterbi(field, words), field.weights[words.features].sum(axis=1)
+    for c in range(7):
+        own, path = scores[chain == c], got[chain == c]
+        best = field.begin + own[0]
+        for score in own[1:]:
+            best = (best[:, None] + field.steps).max(axis=0) + score
+        total = field.begin[path[0]] + field.end[path[-1]] + own[np.arange(len(own)), path].sum() + field.steps[path[:-1], path[1:]].sum()
+        assert total == pytest.approx((best + field.end).max())
+
+
 def article(page):
     inner = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
