@@ -31,20 +31,21 @@ from tablescope.llm.sides import received, shared, spare
 
 _PIECE = 1 << 20
 _LATTICE = 96 << 10  # bytes of distinct words whose lattice is laid out at once, 100 bytes for each
-_FILTER_BITS = 20
+_SLOT_BITS = 16
 _LONG = 96
 _MARK = "▁"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces as bytes, with the space mark as a space, and their weights."""
+    """Pieces as bytes, with the space mark as a space, and their weights; the beginnings of pieces are looked up by their hashes."""
 
     text: np.ndarray  # all pieces' bytes
     firsts: np.ndarray  # where each id's bytes start, and the end
     log_weight: np.ndarray
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray
+    hashes: np.ndarray  # of the beginnings of pieces, whole ones included
+    ids: np.ndarray  # the piece that each of them is, 0 if none
+    slots: np.ndarray  # which of them a hash's last bits name, -1 if none; those whose slot is taken follow in the next free one
     longest: int
     byte_ids: np.ndarray
 
@@ -67,9 +68,33 @@ def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
     firsts = np.concatenate([[0], np.cumsum([len(p) for p in raw])])
     text = np.frombuffer(b"".join(raw), np.uint8)
     chosen = np.array(ranked)
-    hashes = rolling_hashes(*hash_sums(text), firsts[chosen], firsts[chosen + 1])
-    order = np.argsort(hashes)
-    return Vocabulary(text, firsts, sharpness * log_weight, hashes[order], chosen[order], int(np.diff(firsts).max()), byte_ids)
+    sizes = np.diff(firsts)[chosen]
+    owner, size = np.repeat(chosen, sizes), ranges(np.ones(len(chosen), np.int64), sizes)
+    hashes, at = np.unique(rolling_hashes(*hash_sums(text), firsts[owner], firsts[owner] + size), return_index=True)
+    ids = np.zeros(len(hashes), np.int32)
+    ids[np.searchsorted(hashes, rolling_hashes(*hash_sums(text), firsts[chosen], firsts[chosen + 1]))] = chosen
+    slots = np.full(1 << max(_SLOT_BITS, int(4 * len(hashes)).bit_length()), -1, np.int32)
+    left, slot = np.arange(len(hashes)), (hashes & np.uint64(len(slots) - 1)).astype(np.int64)
+    while len(left):
+        free = slots[slot] < 0
+        slots[slot[free]] = left[free]  # of several the last stays
+        again = slots[slot] != left
+        left, slot = left[again], (slot[again] + 1) % len(slots)
+    return Vocabulary(text, firsts, sharpness * log_weight, hashes, ids, slots, int(np.diff(firsts).max()), byte_ids)
+
+
+def _found(v: Vocabulary, hashes: np.ndarray) -> np.ndarray:
+    """Which beginning of a piece each hash is, -1 if none."""
+    slot = (hashes & np.uint64(len(v.slots) - 1)).astype(np.int64)
+    out = v.slots[slot]
+    left = np.flatnonzero(out >= 0)
+    left = left[v.hashes[out[left]] != hashes[left]]
+    while len(left):
+        slot[left] = (slot[left] + 1) % len(v.slots)
+        out[left] = v.slots[slot[left]]
+        left = left[out[left] >= 0]
+        left = left[v.hashes[out[left]] != hashes[left]]
+    return out
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,68 +108,91 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
-def _lattice(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids [length - 1, place] within the given units laid end to end (0: none), and the units' bounds there."""
+@dataclass(frozen=True)
+class Lattice:
+    """Pieces within units laid end to end, by the place where they end and their size. A unit of n bytes has n + 1 places."""
+
+    bounds: np.ndarray  # of the units among the places
+    firsts: np.ndarray  # of the pieces that end at each place, and the end
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
+def _lattice(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattice:
     sizes = ends - starts
     text = data[ranges(starts, sizes)]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     left = np.repeat(bounds[1:], sizes) - np.arange(len(text))
-    near = np.zeros(1 << _FILTER_BITS, bool)
-    near[(v.hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-    ids = np.zeros((v.longest, len(text)), np.int32)
     sums, down = hash_sums(text)
+    at = np.arange(len(text))
+    places, ids, lengths = [], [], []
+    lead = np.flatnonzero((text & 0xC0) != 0x80)
+    width = np.diff(np.append(lead, len(text)))
+    spelled = np.ones(len(text), bool)  # characters that are no piece
+    whole = np.zeros(len(text), np.int64)
+    whole[lead] = width
     for size in range(1, v.longest + 1):
-        at = np.flatnonzero(left >= size)
+        at = at[left[at] >= size]
         if not len(at):
             break
-        hashes = rolling_hashes(sums, down, at, at + size)
-        hit = np.flatnonzero(near[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-        where = np.minimum(np.searchsorted(v.hashes, hashes[hit]), len(v.hashes) - 1)
-        same = v.hashes[where] == hashes[hit]
-        ids[size - 1, at[hit[same]]] = v.ids[where[same]]
-    lead = np.flatnonzero((text & 0xC0) != 0x80)
-    width = np.diff(np.append(lead, len(text)))
-    spelled = ids[np.minimum(width, v.longest) - 1, lead] == 0
-    at = ranges(lead[spelled], width[spelled])
-    ids[0, at] = v.byte_ids[text[at]]
-    return ids, bounds
-
-
-def _filtered(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Log of the summed weights of all paths to each place of each unit; a unit of n bytes has n + 1 places."""
-    sizes = np.diff(bounds)
-    base = bounds[:-1] + np.arange(len(sizes))
-    out = np.zeros(bounds[-1] + len(sizes))
-    log_weight = v.log_weight.copy()
-    log_weight[0] = -np.inf
+        known = _found(v, rolling_hashes(sums, down, at, at + size))
+        at, known = at[known >= 0], known[known >= 0]
+        piece = v.ids[known]
+        here, piece = at[piece > 0], piece[piece > 0]
+        spelled[here[whole[here] == size]] = False
+        places.append(here)
+        ids.append(piece)
+        lengths.append(np.full(len(here), size, np.int32))
+    spell = spelled[lead]
+    single = ranges(lead[spell], width[spell])
+    if len(single):  # a byte takes the place of a piece of one byte there
+        byte = np.zeros(len(text), bool)
+        byte[single] = True
+        if places:
+            keep = ~byte[places[0]]
+            places[0], ids[0], lengths[0] = places[0][keep], ids[0][keep], lengths[0][keep]
+        places.insert(0, single)
+        ids.insert(0, v.byte_ids[text[single]].astype(np.int32))
+        lengths.insert(0, np.ones(len(single), np.int32))
+    place, piece, size = (np.concatenate(x) for x in (places, ids, lengths))
+    unit = np.repeat(np.arange(len(sizes)), sizes)[place]
+    end = place + unit + size  # units have a place more than bytes
+    order = np.argsort(end, kind="stable")
+    end = end[order]
+    return Lattice(bounds + np.arange(len(bounds)), np.searchsorted(end, np.arange(len(text) + len(sizes) + 1)), piece[order], size[order])
+
+
+def _filtered(v: Vocabulary, lattice: Lattice) -> np.ndarray:
+    """Log of the summed weights of all paths to each place of each unit."""
+    out = np.zeros(lattice.bounds[-1])
     # bytes share the weight of a path evenly in the linear sums, which keeps those in range
     lift = 3.0
-    weight = np.exp(log_weight + lift * np.diff(v.firsts))
-    order = np.argsort(sizes, kind="stable")
-    cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1))
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
-        group = order[a:b]
-        n = int(sizes[group[0]])
-        start = bounds[:-1][group]
-        if n <= _LONG:
-            sums = np.zeros((n + 1, len(group)))
-            sums[0] = 1
-            for p in range(1, n + 1):
-                for size in range(1, min(p, v.longest) + 1):
-                    sums[p] += sums[p - size] * weight[ids[size - 1, start + p - size]]
-            with np.errstate(divide="ignore"):
-                logs = np.log(sums) - lift * np.arange(n + 1)[:, None]
-        else:
-            logs = np.full((n + 1, len(group)), -np.inf)
-            logs[0] = 0
-            for p in range(1, n + 1):
-                reach = np.arange(1, min(p, v.longest) + 1)
-                terms = logs[p - reach] + log_weight[ids[reach[:, None] - 1, start[None, :] + p - reach[:, None]]]
-                top = terms.max(axis=0)
-                top = np.where(np.isfinite(top), top, 0)
-                with np.errstate(divide="ignore"):
-                    logs[p] = np.log(np.exp(terms - top).sum(axis=0)) + top
-        out[base[group][None, :] + np.arange(n + 1)[:, None]] = logs
+    sizes = np.diff(lattice.bounds) - 1
+    which = np.repeat(np.arange(len(sizes)), sizes + 1)
+    step = np.arange(len(which)) - lattice.bounds[:-1][which]  # of each place in its unit
+    short = sizes[which] <= _LONG
+    count = np.diff(lattice.firsts)
+    order = np.argsort(np.where(short, step, -1), kind="stable")
+    order = order[np.searchsorted(np.where(short, step, -1)[order], 1) :]
+    cuts = np.searchsorted(step[order], np.arange(1, int(step[order[-1]]) + 2)) if len(order) else np.zeros(1, np.int64)
+    edge = ranges(lattice.firsts[:-1][order], count[order])
+    weight = np.exp(v.log_weight + lift * np.diff(v.firsts))[lattice.ids[edge]]
+    source = np.repeat(order, count[order]) - lattice.sizes[edge]
+    edges = np.concatenate([[0], np.cumsum(count[order])])
+    sums = np.ones(len(which))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        c, d = int(edges[a]), int(edges[b])
+        target = np.repeat(np.arange(b - a), count[order[a:b]])
+        sums[order[a:b]] = np.bincount(target, sums[source[c:d]] * weight[c:d], minlength=b - a)
+    with np.errstate(divide="ignore"):
+        out[short] = np.log(sums[short]) - lift * step[short]
+    for unit in np.flatnonzero(sizes > _LONG).tolist():
+        first, end = lattice.bounds[unit : unit + 2].tolist()
+        for p in range(first + 1, end):
+            a, b = lattice.firsts[p : p + 2].tolist()
+            terms = out[p - lattice.sizes[a:b]] + v.log_weight[lattice.ids[a:b]]
+            top = terms.max(initial=-np.inf)
+            out[p] = np.log(np.exp(terms - top).sum()) + top if np.isfinite(top) else -np.inf
     return out
 
 
@@ -186,8 +234,8 @@ def _sample_run(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nd
     for g in np.unique(group_of).tolist():
         low, high = np.searchsorted(group_of, [g, g + 1]).tolist()
         words = by_group[bounds[g] : bounds[g + 1]]
-        ids, lattice = _lattice(v, data, first_at[low:high], first_end[low:high])
-        steps = _draw(v, ids, lattice, _filtered(v, ids, lattice), which[words] - low, (ends - starts)[words], seed[words])
+        lattice = _lattice(v, data, first_at[low:high], first_end[low:high])
+        steps = _draw(v, lattice, _filtered(v, lattice), which[words] - low, seed[words])
         for who, chosen in steps:
             counts[words[who]] += 1
             drawn.append((words[who], chosen))
@@ -200,44 +248,33 @@ def _sample_run(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nd
     return out, counts
 
 
-def _draw(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, logs: np.ndarray, unit: np.ndarray, size: np.ndarray, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _draw(v: Vocabulary, lattice: Lattice, logs: np.ndarray, unit: np.ndarray, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Backward sampling: per step the words that still draw and the piece each one drew, last pieces first."""
-    base = bounds[:-1] + np.arange(len(bounds) - 1)
-    log_weight = v.log_weight.copy()
-    log_weight[0] = -np.inf
+    end = np.repeat(np.arange(len(logs)), np.diff(lattice.firsts))
+    reached = logs[end - lattice.sizes]
+    able = np.isfinite(reached)
+    end, ids, sizes = end[able], lattice.ids[able], lattice.sizes[able]
+    firsts = np.searchsorted(end, np.arange(len(logs) + 1))
+    total = np.exp(reached[able] + v.log_weight[ids] - logs[end])  # of the pieces of a place so far
+    count = np.diff(firsts)
+    for k in range(1, int(count.max(initial=0))):
+        at = firsts[:-1][count > k] + k
+        total[at] += total[at - 1]
+    total[firsts[1:][count > 0] - 1] = np.inf  # the last possible one stays if rounding leaves a gap
     active = np.arange(len(unit))
-    at = size.copy()
+    at = lattice.bounds[1:][unit] - 1
+    start = lattice.bounds[:-1][unit]
     steps, step = [], 0
     while len(active):
         random = (mixed(seed[active] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        chosen = np.zeros(len(active), np.int32)
-        size_of = np.zeros(len(active), np.int64)
-        open_ = np.arange(len(active))
-        total = np.zeros(len(active))
-        u, p = unit[active], at[active]
-        here = logs[base[u] + p]
-        for size in range(1, v.longest + 1):
-            open_ = open_[p[open_] >= size]
-            if not len(open_):
-                break
-            uu, pp = u[open_], p[open_] - size
-            piece = ids[size - 1, bounds[uu] + pp]
-            some = np.flatnonzero(piece)
-            if not len(some):
-                continue
-            o, uu, pp, piece = open_[some], uu[some], pp[some], piece[some]
-            reached = logs[base[uu] + pp]
-            total[o] += np.exp(reached + log_weight[piece] - here[o])
-            able = np.isfinite(reached)
-            chosen[o[able]], size_of[o[able]] = piece[able], size  # the last possible one stays if rounding leaves a gap
-            done = total[o] > random[o]
-            if done.any():
-                closed = np.zeros(len(active), bool)
-                closed[o[done]] = True
-                open_ = open_[~closed[open_]]
-        steps.append((active, chosen))
-        at[active] -= size_of
-        active = active[at[active] > 0]
+        edge = firsts[at[active]]
+        further = np.flatnonzero(total[edge] <= random)
+        while len(further):
+            edge[further] += 1
+            further = further[total[edge[further]] <= random[further]]
+        steps.append((active, ids[edge]))
+        at[active] -= sizes[edge]
+        active = active[at[active] > start[active]]
         step += 1
     return steps
 

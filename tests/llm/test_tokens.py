@@ -120,3 +120,13 @@ def test_paths_follow_their_weights(piece_file):
     for path, weight in sorted(weights.items(), key=lambda x: -x[1])[:6]:
         share = weight / sum(weights.values())
         assert abs(seen[path] / n - share) < 5 * np.sqrt(share / n) + 1e-4
+
+
+def test_places_are_looked_up_as_far_as_pieces_begin(piece_file, monkeypatch):
+    v = piece_sampling.vocabulary(piece_file)
+    looked, hashes = [], piece_sampling.rolling_hashes
+    monkeypatch.setattr(piece_sampling, "rolling_hashes", lambda sums, down, starts, ends: (looked.append(len(starts)), hashes(sums, down, starts, ends))[1])
+    data = np.frombuffer(b"qzxjvkwpqg" * 200, np.uint8)
+    ids, bounds = piece_sampling.sample(v, data, np.array([0, len(data)]), np.array([7], np.uint64))
+    assert b"".join(v.text[v.firsts[i] : v.firsts[i + 1]].tobytes() for i in ids.tolist()) == data.tobytes()
+    assert sum(looked) < 4 * len(data)
