@@ -24,6 +24,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 _LONG_SPAN = 512
+_SIDE_BY_SIDE = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _TAIL = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
@@ -77,7 +78,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.known[0]) < n:
         found = []
         for base in (_BASE, _BASE_INVERSE):
-            factors = np.full(max(n, 2 * PIECE_BYTES), base, np.uint64)
+            factors = np.full(max(1 << 16, 1 << (n - 1).bit_length()), base, np.uint64)
             factors[0] = 1
             found.append(np.cumprod(factors, dtype=np.uint64))
         _powers.known = tuple(found)
@@ -87,9 +88,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words under which neighbouring inputs have unrelated outputs."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
+    x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
@@ -188,12 +189,23 @@ def gram_hashes(hashes: np.ndarray, firsts: np.ndarray, size: int, whole_if_shor
     return out, bounds
 
 
+def sort_rows(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sort each row's values in place; short rows of one size side by side."""
+    sizes = np.diff(bounds)
+    some = np.flatnonzero((sizes > 1) & (sizes <= _SIDE_BY_SIDE))
+    some = some[np.argsort(sizes[some], kind="stable")]
+    for group in np.split(some, np.flatnonzero(np.diff(sizes[some])) + 1):
+        if len(group):
+            at = bounds[:-1][group][:, None] + np.arange(sizes[group[0]])
+            values[at] = np.sort(values[at], axis=1)
+    for r in np.flatnonzero(sizes > _SIDE_BY_SIDE).tolist():
+        values[bounds[r] : bounds[r + 1]].sort()
+
+
 def sorted_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort each row's values and keep one of each."""
     values = values.copy()
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a > 1:
-            values[a:b].sort()
+    sort_rows(values, bounds)
     keep = np.ones(len(values), bool)
     keep[1:] = values[1:] != values[:-1]
     inner = bounds[:-1][bounds[:-1] < len(values)]

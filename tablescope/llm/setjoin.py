@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.arrays import give_back, mixed, pieces, ranges, row_sums
+from tablescope.llm.arrays import give_back, mixed, pieces, ranges, row_sums, sort_rows
 from tablescope.llm.sides import counted, release
 from tablescope.operators.order import materialize
 
@@ -44,12 +44,14 @@ ENTRIES_A_TASK = 200_000
 PAIRS_AT_ONCE = 1 << 19
 SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
 MOST_SEEN = 500_000  # sets whose place a task remembers
-ASKED_BITS = 1 << 25  # places of the table of keys that are looked at again
+ASKED_BITS = 1 << 25  # places of a table of keys or ids that are looked at again
+MEMBERS_AT_ONCE = 1 << 19  # of the pairs that a task verifies
 
 _ENTRY = ("key", "id", "doc", "n", "pos")
 _TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
 _BITMAP = (("low", np.uint64), ("high", np.uint64))
 _UNIT = (("unit", np.int32),)
+_SMALL = ("doc", "n", "pos", "unit")  # packed byte by byte: their higher bytes are mostly equal, which shuffles compress
 
 #: (bytes, offsets) -> (members sorted within each set, bounds of the sets, row of each set, number of the set in its row)
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -172,7 +174,16 @@ def _fields(join: Join) -> list[tuple[str, type]]:
 
 
 def _pack(entries: dict[str, np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(v).tobytes() for v in entries.values())
+    parts = (np.ascontiguousarray(v) for v in entries.values())
+    return b"".join((v.view(np.uint8).reshape(len(v), -1).T if name in _SMALL and len(v) else v).tobytes() for name, v in zip(entries, parts))
+
+
+def _column(blob: bytes, name: str, kind: type, n: int, at: int) -> np.ndarray:
+    """One column of ``n`` packed entries."""
+    if name not in _SMALL or not n:
+        return np.frombuffer(blob, kind, n, at)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
 
 
 def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
@@ -182,11 +193,28 @@ def _unpack(blobs: list[bytes], join: Join) -> dict[str, np.ndarray]:
     for blob in blobs:
         n, at = len(blob) // width, 0
         for name, kind in names:
-            parts[name].append(np.frombuffer(blob, kind, n, at))
+            parts[name].append(_column(blob, name, kind, n, at))
             at += n * np.dtype(kind).itemsize
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in names}
 
 
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A table of ``ASKED_BITS`` bits with the places of the first column's values marked; 4 MB whatever their number."""
+    place = keys[keys.columns[0]].bitwiseAND(F.lit(ASKED_BITS - 1)) + 1  # Spark's buckets and their values count from 1
+    marked = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    out = np.zeros(ASKED_BITS // 8, np.uint8)
+    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        first = (row["bucket"] - 1) * len(row["bits"])
+        out[first : first + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the place of each key is marked."""
+    bit = (keys & np.uint64(ASKED_BITS - 1)).astype(np.int64)
+    return ((marks[bit >> 3] >> (bit & 7)) & 1).astype(bool)
+
+
 def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, total: int, asked_keys: np.ndarray | None = None) -> DataFrame:
     """(slice, blob): the entries of every set, packed by the slice their key falls in.
 
@@ -257,21 +285,22 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 inner = np.concatenate([[0], np.cumsum(sizes)])
                 code = codes[(members >> shift).astype(np.int64)]
                 order_key = (code.astype(np.uint64) << np.uint64(56)) | (members >> np.uint64(8))
-                for a, b in zip(inner[:-1].tolist(), inner[1:].tolist()):
-                    order_key[a:b].sort()
+                sort_rows(order_key, inner)
                 prefix = sizes - -(-join.num * sizes // join.den) + 1
                 some = join.den * sizes >= join.num * (sizes + 1)  # a larger set can be similar
                 some |= join.num * sizes <= join.den * (sizes - 1)  # or a smaller one
                 entry, most = _keys(join, order_key, inner, prefix * some, total)
+                if keys is not None and not (most > LONGEST_LIST).any():  # else keys change below
+                    asked = _marked(keys, entry["key"])
+                    entry, most = {k: v[asked] for k, v in entry.items()}, most[asked]
                 owner = entry.pop("owner")
                 entry |= {"id": ids[chosen][owner], "doc": docs_of_sets[chosen][owner], "n": sizes.astype(np.int32)[owner]}
                 entry = {name: entry[name] for name in _ENTRY}
                 if join.bitmap:
-                    bit = members & np.uint64(127)
-                    low = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-                    high = np.where(bit < 64, np.uint64(0), np.uint64(1) << (bit & np.uint64(63)))
+                    bit = np.uint64(1) << (members & np.uint64(63))
+                    low = bit * ((members & np.uint64(64)) == 0)
                     entry["low"] = np.bitwise_xor.reduceat(low, inner[:-1])[owner]
-                    entry["high"] = np.bitwise_xor.reduceat(high, inner[:-1])[owner]
+                    entry["high"] = np.bitwise_xor.reduceat(bit ^ low, inner[:-1])[owner]
                 if join.only_earlier:
                     entry["unit"] = units[chosen].astype(np.int32)[owner]
                 if keys is not None:
@@ -280,8 +309,7 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 if hot.any():
                     entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
                 if keys is not None:
-                    bit = (entry["key"] & np.uint64(ASKED_BITS - 1)).astype(np.int64)
-                    asked = ((keys[bit >> 3] >> (bit & 7)) & 1).astype(bool)
+                    asked = _marked(keys, entry["key"])
                     entry = {k: v[asked] for k, v in entry.items()}
                     entry["member_at"] = inner[:-1][entry.pop("_set")] + sum(map(len, members_held))
                     members_held.append(members)
@@ -364,8 +392,7 @@ def _lists(blobs: list[bytes], join: Join, more: dict[str, np.ndarray] | None =
     if not len(order):
         return {k: v[order] for k, v in e.items()}, np.zeros(0, np.int64), np.zeros(0, np.int64)
     number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))  # of the list
-    place = _places(e, order)
-    by = np.argsort(number * (int(place.max()) + 1) + place, kind="stable") if (int(number[-1]) + 1) * (int(place.max()) + 1) < 1 << 62 else np.lexsort((place, number))
+    by = _by_place(e, order, number)
     order, number = order[by], number[by]
     _, once = np.unique(mixed(number.astype(np.uint64) ^ mixed(e["id"][order])), return_index=True)  # of copies from several tasks, the first
     once.sort()
@@ -374,6 +401,24 @@ def _lists(blobs: list[bytes], join: Join, more: dict[str, np.ndarray] | None =
     return {k: v[order] for k, v in e.items()}, starts, np.diff(np.append(starts, len(order)))
 
 
+def _by_place(e: dict[str, np.ndarray], order: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The order by list, then first place, then id."""
+    least, doc = int(e["doc"][order].min()), e["doc"][order]
+    unit = e["unit"][order].astype(np.int64) if "unit" in e else np.zeros(len(order), np.int64)
+    units = int(unit.max()) + 1
+    docs = int(doc.max()) - least + 1
+    if (int(number[-1]) + 1) * docs * units < 1 << 62:
+        place = (number * docs + (doc - least)) * units + unit
+        by = np.argsort(place, kind="stable")
+        place, ids = place[by], e["id"][order][by]
+        if not ((place[1:] == place[:-1]) & (ids[1:] != ids[:-1])).any():
+            return by
+    place = _places(e, order)
+    if (int(number[-1]) + 1) * (int(place.max()) + 1) < 1 << 62:
+        return np.argsort(number * (int(place.max()) + 1) + place, kind="stable")
+    return np.lexsort((place, number))
+
+
 def _places(e: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
     """Ranks of the entries' first places (document, then unit if there is one, then id), equal for copies."""
     _, doc = np.unique(e["doc"][order], return_inverse=True)
@@ -488,7 +533,7 @@ def _unpack_with_members(blobs: list[bytes], counts: list[int], join: Join) -> t
     fixed, members, sizes = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob, count in zip(blobs, counts):
         fixed.append(blob[: width * count])
-        sizes.append(np.frombuffer(blob, np.int32, count, n_at * count).astype(np.int64))
+        sizes.append(_column(blob, "n", np.int32, count, n_at * count).astype(np.int64))
         members.append(np.frombuffer(blob, np.uint64, int(sizes[-1].sum()), width * count))
     sizes = np.concatenate(sizes)
     return fixed, np.concatenate(members), np.cumsum(sizes) - sizes
@@ -665,13 +710,6 @@ def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFram
     A table of fixed size tells the tasks which lists to lay out once more, now with members, and each list settles its
     own sets: nothing but ids of sets found leaves it.
     """
-    place = F.col("key").bitwiseAND(F.lit(ASKED_BITS - 1)) + 1  # Spark's buckets and their values count from 1
-    marked = again.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    keys = np.zeros(ASKED_BITS // 8, np.uint8)
-    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # 4 MB at most in all
-        first = (row["bucket"] - 1) * len(row["bits"])
-        keys[first : first + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
-
     def ask(wanted: pa.Table, lists: pa.Table) -> pa.Table:
         found = np.zeros(0, np.uint64)
         if wanted.num_rows and lists.num_rows:
@@ -679,7 +717,7 @@ def _again(again: DataFrame, join: Join, packed: Callable[[np.ndarray], DataFram
             found = _asked_later([b.as_py() for b in lists.column("blob")], np.sort(mixed(key ^ mixed(own))), join)
         return pa.table({"id": pa.array(found.view(np.int64))})
 
-    lists = packed(keys)
+    lists = packed(_marks(again.select("key")))
     return again.groupBy("slice").cogroup(lists.groupBy("slice")).applyInArrow(ask, "id long")
 
 
@@ -709,18 +747,25 @@ def _members(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join)
     places = surveyed.where("kind = 0").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     places = counted(places.select(F.coalesce("doc_id", F.lit(-1)).alias("_doc")).distinct())
     found = docs.join(places, F.coalesce(F.col(docs.columns[0]).cast("long"), F.lit(-1)) == F.col("_doc"), "left_semi")
+    marks_all = docs.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = marks_all.value
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(1)):
                 values, bounds, _, _ = join.sets(data, offsets)
+                ids, first = np.unique(_ids(values, bounds), return_index=True)
+                some = _marked(marks, ids)  # a few others that share a place find no pair
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_ids(values, bounds).view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())],
+                    [
+                        pa.array(ids[some].view(np.int64)),
+                        pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1][first[some]].tolist(), bounds[1:][first[some]].tolist())], pa.binary()),
+                    ],
                     names=["id", "members"],
                 )
 
-    return found.mapInArrow(run, "id long, members binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("members").alias("members"))
+    return found.mapInArrow(run, "id long, members binary").groupBy("id").agg(F.first("members").alias("members"))
 
 
 def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -729,15 +774,18 @@ def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                overlap = int((both[1:] == both[:-1]).sum())
-                verdict.append(join.den * overlap >= join.num * (len(both) - overlap))
-            similar = pa.array(verdict, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(similar), batch.column("b").filter(similar)], names=["a", "b"])
+            sizes = [pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for c in ("x", "y")]
+            filled = np.cumsum(sizes[0] + sizes[1])
+            first = 0
+            while first < batch.num_rows:
+                end = max(first + 1, int(np.searchsorted(filled, (filled[first - 1] if first else 0) + MEMBERS_AT_ONCE, "right")))
+                part = batch.slice(first, end - first)
+                n = np.concatenate([s[first:end] for s in sizes])
+                members = np.concatenate([data.view(np.uint64) for c in ("x", "y") for _, _, data, _ in pieces(part.column(c), 1 << 62)])
+                one = np.arange(end - first)
+                similar = pa.array(_similar(members, np.cumsum(n) - n, n, one, one + len(one), join))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(similar), part.column("b").filter(similar)], names=["a", "b"])
+                first = end
 
     joined = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(
         members.select(F.col("id").alias("b"), F.col("members").alias("y")), "b"
@@ -745,18 +793,6 @@ def _links(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, join: Join) -
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _later(linked: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(id) of the sets with a link to a set whose first place comes before theirs; of equal places (rows that share an id), the larger id is later."""
-    ends = linked.select(F.col("a").alias("id")).union(linked.select(F.col("b").alias("id"))).distinct()
-    places = first_places(surveyed.join(ends, "id", "left_semi")).select("id", "place")
-    return (
-        linked.join(places.withColumnsRenamed({"id": "a", "place": "at_a"}), "a")
-        .join(places.withColumnsRenamed({"id": "b", "place": "at_b"}), "b")
-        .select(F.when(F.col("at_a") <= F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id"))
-        .distinct()
-    )
-
-
 def first_places(surveyed: DataFrame) -> DataFrame:
     """(id, place, row, rows): where each set is found first, a missing document id last, in which row, and how often it is found."""
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "unit", "row")
@@ -773,9 +809,8 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     surveyed = survey(docs, join)
     docs = docs.select(*docs.columns[:2])
     codes = docs.sparkSession.sparkContext.broadcast(rarity(surveyed, join))
-    entries = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1)).first()[0] or 0
-    slices = int(max(8, entries * (48 if join.bitmap else 32) // BLOCK_BYTES))
-    total = surveyed.where("kind = 0 AND n > 0").count()
+    entries, total = surveyed.where("kind = 0").agg(F.sum(F.col("n") * (join.den - join.num) / join.den + 1), F.count_if(F.col("n") > 0)).first()
+    slices = int(max(8, (entries or 0) * (48 if join.bitmap else 32) // BLOCK_BYTES))
     packed = postings(docs, join, codes, slices, total).repartition(slices, "slice")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
@@ -784,9 +819,10 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     found = materialize(packed.groupBy("slice").applyInArrow(first, _FOUND))
     del packed
     release(docs.sparkSession)  # the lists are the largest shuffle
-    pairs = found.where("kind < 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("votes"))
     if join.only_earlier:
-        later = materialize(_later(_links(docs, surveyed, pairs.select("a", "b"), join), surveyed))
+        # lists are in order of first place, with every task's first copy of a set in them: a comes before b
+        pairs = materialize(found.where("kind < 2").select("a", "b").distinct())
+        later = materialize(_links(docs, surveyed, pairs, join).select(F.col("b").alias("id")).distinct())
         again = materialize(found.where("kind = 1").select(F.col("pos").alias("slice"), "key", F.col("b").alias("id")).distinct().join(later, "id", "left_anti"))
         if again.isEmpty():
             return surveyed, later
@@ -796,6 +832,7 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         release(docs.sparkSession)
         return surveyed, later
 
+    pairs = found.where("kind < 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("votes"))
     likely = materialize(_likely(pairs, surveyed, join).join(pairs, ["a", "b"]))
     # each set is first tested with the one it shares most lists with; most others then hang together with it already
     ends = likely.select(F.col("a").alias("id"), F.col("b").alias("other"), "votes").union(likely.select(F.col("b").alias("id"), F.col("a").alias("other"), "votes"))
@@ -803,6 +840,7 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     best = materialize(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     linked = _links(docs, surveyed, best, join)
     groups = materialize(_labels(linked))
+    release(docs.sparkSession)
     rest = _apart(likely.join(best, ["a", "b"], "left_anti"), groups).select("a", "b")
     again = materialize(_apart(found.where("kind IN (1, 2)").select("a", "b").distinct(), groups).select(F.col("b").alias("id")).distinct())
     if not again.isEmpty():

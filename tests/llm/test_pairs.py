@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablescope.llm import decontamination, line_dedup, ngram_jaccard, piece_sampling, setjoin, toxicity
@@ -225,3 +226,24 @@ def test_words_that_a_polynomial_cannot_tell_apart(spark, tokenizer_json, piece_
     assert sum(r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()) == 0
     items = spark.createDataFrame([(7, b)], "item_id long, text string")
     assert [r["doc_id"] for r in decontamination.contaminated(docs, items).collect()] == [2]
+
+
+def test_packed_entries_compress_and_come_back():
+    join = setjoin.Join(line_dedup.line_sets, bitmap=True, only_earlier=True)
+    r = np.random.default_rng(3)
+    n = 4000
+    entries = {"key": r.integers(0, 1 << 63, n, np.uint64), "id": r.integers(0, 1 << 63, n, np.uint64), "doc": np.sort(r.integers(0, 9000, n)) + (1 << 40)}
+    entries |= {"n": r.integers(2, 30, n).astype(np.int32), "pos": r.integers(0, 4, n).astype(np.int32)}
+    entries |= {"low": r.integers(0, 1 << 63, n, np.uint64), "high": r.integers(0, 1 << 63, n, np.uint64), "unit": r.integers(0, 60, n).astype(np.int32)}
+    blobs = [setjoin._pack({k: v[a:b] for k, v in entries.items()}) for a, b in ((0, 1), (1, n))]
+    back = setjoin._unpack(blobs, join)
+    assert all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in entries.items())
+    assert len(pa.compress(blobs[1], codec="lz4_raw", asbytes=True)) < 38 * n  # of 52, 32 are hashes
+
+
+def test_pairs_from_lists_are_in_order_of_first_place(spark):
+    words = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join([*words[:k], "x" + words[k], *words[k + 1 :]]) for k in range(12)]
+    docs = spark.createDataFrame([(int(d), t) for d, t in zip(np.random.default_rng(1).permutation(12), texts)], "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in dedup_lines(docs).where("text != ''").collect()}
+    assert kept == {0}
