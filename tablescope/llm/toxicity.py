@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.arrays import SPACE, pieces, ranges, span_hashes, spans
+from tablescope.llm.arrays import SPACE, give_back, pieces, ranges, span_hashes, spans
 from tablescope.llm.sides import received, shared, spare
 
 MOST_LABELLED = 1500
@@ -38,6 +38,7 @@ DECAY = 0.6
 ROUNDS = 4
 _SYMBOLS = 64
 _PIECE = 8 << 20
+_WORDS_AT_ONCE = 10_000
 _TRIPLES = [(a, b, DECAY ** (b - 2)) for b in (2, 3, 4) for a in range(1, b)]
 
 
@@ -99,11 +100,12 @@ def word_values(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: n
 
 def distinct_values(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.zeros(len(starts))
-    for k in range(0, len(starts), 50_000):
-        features, weights, owners, norm = triples(data, starts[k : k + 50_000], ends[k : k + 50_000])
+    for k in range(0, len(starts), _WORDS_AT_ONCE):
+        some = slice(k, k + _WORDS_AT_ONCE)
+        features, weights, owners, norm = triples(data, starts[some], ends[some])
         for feature, weight, owner in zip(features, weights, owners):
-            out[k : k + 50_000] += weight * np.bincount(owner, table[feature], minlength=len(norm))
-        out[k : k + 50_000] /= norm
+            out[some] += weight * np.bincount(owner, table[feature], minlength=len(norm))
+        out[some] /= norm
     return out
 
 
@@ -204,8 +206,10 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(len(toxic)), sizes)
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    del hashes
     pairs = np.unique(doc.astype(np.int64) * len(at) + which)
-    pair_doc, pair_word = pairs // len(at), pairs % len(at)
+    pair_doc, pair_word = (pairs // len(at)).astype(np.int32), (pairs % len(at)).astype(np.int32)
+    del doc, pairs
     bad, good = toxic.sum(), len(toxic) - toxic.sum()
     in_bad = np.bincount(pair_word[toxic[pair_doc] == 1], minlength=len(at))
     in_good = np.bincount(pair_word[toxic[pair_doc] == 0], minlength=len(at))
@@ -215,7 +219,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     common = np.argsort(-(in_bad + in_good), kind="stable")
     marks = np.concatenate([telling, common[~np.isin(common, telling)][: LANDMARKS // 4]])
     word_start, word_end = starts[at], ends[at]
-
+    del starts, ends
     features, weights, owners, norm = triples(data, word_start[marks], word_end[marks])
     used = np.unique(np.concatenate(features))
     column_of = np.full(_SYMBOLS**3, -1, np.int32)
@@ -294,7 +298,11 @@ def train(
         .limit(2 * most_labelled)
         .collect()
     )
-    return fit([r["_text"] for r in rows], np.array([r["_toxic"] for r in rows], int), counts.get(1, 0) / max(total, 1))
+    texts, toxic = [r["_text"] for r in rows], np.array([r["_toxic"] for r in rows], int)
+    del rows
+    model = fit(texts, toxic, counts.get(1, 0) / max(total, 1))
+    give_back()  # the driver goes on to other steps
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:

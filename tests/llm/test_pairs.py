@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -247,3 +248,14 @@ def test_pairs_from_lists_are_in_order_of_first_place(spark):
     docs = spark.createDataFrame([(int(d), t) for d, t in zip(np.random.default_rng(1).permutation(12), texts)], "doc_id long, text string").repartition(5)
     kept = {r["doc_id"] for r in dedup_lines(docs).where("text != ''").collect()}
     assert kept == {0}
+
+
+def test_a_fit_gives_words_values_in_small_groups():
+    words = [f"word{k:06d}" for k in range(40_000)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    starts = np.arange(len(words)) * 10
+    tracemalloc.start()
+    toxicity.distinct_values(np.ones(64**3), data, starts, starts + 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
