@@ -25,9 +25,7 @@ _STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 _LONG_SPAN = 512
 _SIDE_BY_SIDE = 64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_TAIL = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
+_TAIL = np.append((np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1), ~np.uint64(0))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,14 +97,13 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Starts and ends of the runs where ``inside`` holds; a run never crosses a row's border."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts, ends = inside.copy(), inside.copy()
-    starts[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    borders = offsets[1:-1]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    borders = np.unique(offsets[1:-1])
     borders = borders[(borders > 0) & (borders < len(inside))]
-    starts[borders] = inside[borders]
-    ends[borders - 1] = inside[borders - 1]
-    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    borders = borders[inside[borders - 1] & inside[borders]]  # a run ends there and another begins
+    edges = np.insert(edges, np.searchsorted(edges, borders).repeat(2), borders.repeat(2))
+    edges = np.concatenate([np.zeros(int(inside[0]), np.int64), edges, np.full(int(inside[-1]), len(inside))])
+    return edges[::2].copy(), edges[1::2].copy()
 
 
 def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +119,9 @@ def rolling_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_SEEDS = mixed(np.arange(_LONG_SPAN + 1, dtype=np.uint64) + np.uint64(_BASE))  # by size
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
     """One 64-bit hash per span of bytes; ``folded`` takes A-Z as a-z.
 
@@ -129,10 +129,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded:
     of 2^-64 a pair. Spans of more than ``_LONG_SPAN`` bytes take a BLAKE2 digest.
     """
     if folded:
-        data = _LOWER[data]
+        data = data + np.uint8(32) * ((data - np.uint8(ord("A"))) < 26)  # bytes below wrap around
     sizes = ends - starts
     lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
-    out = mixed(sizes.astype(np.uint64) + np.uint64(_BASE))
+    out = _SEEDS[np.minimum(sizes, _LONG_SPAN)]
     left, at, which = sizes, starts, None
     long = np.flatnonzero(sizes > _LONG_SPAN)
     if len(long):
@@ -140,8 +140,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded:
         left, at = sizes[which], starts[which]
     while len(at):
         lane = lanes[at]
-        part = left < 8
-        lane[part] &= _TAIL[left[part]]
+        lane &= _TAIL[np.minimum(left, 8)]
         if which is None:
             out = mixed((out ^ lane) * np.uint64(_BASE))
         else:
@@ -158,7 +157,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded:
 
 def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False):
     """(starts, ends, hashes, first word of each row and the end) of the runs without white space."""
-    starts, ends = spans(~SPACE[data], offsets)
+    starts, ends = spans((data != 0x20) & ((data - np.uint8(0x09)) > 4), offsets)  # not SPACE; bytes below wrap around
     return starts, ends, span_hashes(data, starts, ends, folded), np.searchsorted(starts, offsets)
 
 

@@ -59,6 +59,6 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     new = F.when(F.col(gone_lines).isNull(), text).otherwise(F.array_join(kept, "\n"))
     return done.select(
         *[new.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.when(text.isNotNull(), F.size(lines)).otherwise(0).alias("n_lines"),
+        F.when(text.isNotNull(), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).alias("n_lines"),
         F.coalesce(F.size(gone_lines), F.lit(0)).alias("n_removed"),
     )

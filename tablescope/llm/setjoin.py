@@ -9,10 +9,12 @@ the token. Tokens frequent enough to make a long list are split over pairs of bl
 together hold every pair of the list.
 
 Within a list, positions and sizes (and, if wished, a parity bitmap of the set) bound the overlap of a
-pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. For small
-sets, bitmaps leave hardly a pair that is not similar, so a set with many pairs in a list gives the first alone. If that one fails,
-the list is laid out once more with the members of its sets, and settles by itself whether any set before it is similar; nothing
-but the ids of sets found later leaves it. That loses nothing where only earlier sets are asked for, as lists are in order of first place. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
+pair from above; pairs under the needed overlap are skipped. A short list gives all its other pairs. Small sets with a bitmap are
+tested in the list of their first common members alone, as far as positions tell. There, bitmaps leave hardly a pair that is not similar,
+so a set with many pairs in a list gives the first alone, and keeps the others beside it; they are tested if it fails. Where a task has
+too many pairs to keep, the lists of sets still open are laid out once more with the members of their sets, and settle by themselves
+whether any set before is similar; nothing but the ids of sets found later leaves them. That loses nothing where only earlier
+sets are asked for, as lists are in order of first place. In a long list of large sets, each set is first compared with the first set alone. A set found similar to it takes its answer from
 there; only the others are then compared with the rest of their lists, and only with sets not already known to
 hang together with them. Lists are kept in order of set size and position, so that blocks of sets that are too small or
 too large are skipped. Signatures (parities of the members by hash bucket) bound the difference of large sets from below.
@@ -42,9 +44,11 @@ FREQUENT = 1024  # tokens of more small sets than this only count together with
 BLOCK_BYTES = 12 << 20  # aim for what one task of the join holds
 ENTRIES_A_TASK = 200_000
 PAIRS_AT_ONCE = 1 << 19
+MOST_PAIRS = 1 << 20  # of small sets that a task keeps
 SIDE_BY_SIDE = 64  # longest list of small sets that is compared along with others
 MOST_SEEN = 500_000  # sets whose place a task remembers
 ASKED_BITS = 1 << 25  # places of a table of keys or ids that are looked at again
+HALF_TELLS = 14  # differences up to which half a bitmap tells most sets apart
 MEMBERS_AT_ONCE = 1 << 19  # of the pairs that a task verifies
 
 _ENTRY = ("key", "id", "doc", "n", "pos")
@@ -173,9 +177,17 @@ def _fields(join: Join) -> list[tuple[str, type]]:
     return [*zip(_ENTRY, _TYPES), *(_BITMAP if join.bitmap else ()), *(_UNIT if join.only_earlier else ())]
 
 
+def _planes(entries: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The columns of entries as they are packed."""
+    out = []
+    for name, v in entries.items():
+        raw = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize)
+        out += [np.ascontiguousarray(raw[:, k]) for k in range(v.itemsize)] if name in _SMALL else [raw]
+    return out
+
+
 def _pack(entries: dict[str, np.ndarray]) -> bytes:
-    parts = (np.ascontiguousarray(v) for v in entries.values())
-    return b"".join((v.view(np.uint8).reshape(len(v), -1).T if name in _SMALL and len(v) else v).tobytes() for name, v in zip(entries, parts))
+    return b"".join(v.tobytes() for v in _planes(entries))
 
 
 def _column(blob: bytes, name: str, kind: type, n: int, at: int) -> np.ndarray:
@@ -227,38 +239,32 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
         give_back()
         codes, keys = codes_all.value, keys_all.value
         shift = np.uint64(64 - join.sketch_bits)
-        seen: dict[int, list[int]] = {}  # the place each set was given with
-        held: list[dict[str, np.ndarray]] = []
+        seen: dict[int, tuple[int, int]] = {}  # the place each set was given with
+        unseen = (1 << 63, 0)
+        held: list[dict[str, np.ndarray]] = []  # key, owner and position of entries
+        sets_held: list[dict[str, np.ndarray]] = []  # what all entries of a set share
         members_held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, members_held, size
+            nonlocal held, sets_held, members_held, size
             if held:
-                entries = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                entries, of_sets = ({k: np.concatenate([h[k] for h in part]) for k in part[0]} for part in (held, sets_held))
                 slice_of = (mixed(entries["key"] ^ np.uint64(0xA5A5A5A5)) % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(slice_of, kind="stable")
                 slice_of = slice_of[order]
-                member_at = entries.pop("member_at", None)
-                entries = {k: v[order] for k, v in entries.items()}
+                owner = (entries["owner"] + np.repeat(np.cumsum([0, *(len(h["id"]) for h in sets_held[:-1])]), [len(h["key"]) for h in held]))[order]
+                entries = {name: entries[name][order] if name in entries else of_sets[name][owner] for name, _ in _fields(join)}
                 cuts = np.flatnonzero(np.diff(slice_of, prepend=-1))
                 ends = np.append(cuts[1:], len(slice_of))
+                planes = _planes(entries)
+                blobs = [b"".join(v[a:b].tobytes() for v in planes) for a, b in zip(cuts, ends)]
                 if keys is not None:
-                    whole, member_at = np.concatenate(members_held), member_at[order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(slice_of[cuts].astype(np.int32)),
-                        pa.array(
-                            [
-                                _pack({k: v[a:b] for k, v in entries.items()} | ({} if keys is None else {"members": whole[ranges(member_at[a:b], entries["n"][a:b].astype(np.int64))], "count": np.array([b - a])}))
-                                for a, b in zip(cuts, ends)
-                            ],
-                            pa.binary(),
-                        ),
-                    ],
-                    names=["slice", "blob"],
-                )
-            held, members_held, size = [], [], 0
+                    whole, member_at, sizes = np.concatenate(members_held), of_sets["member_at"][owner], entries["n"].astype(np.int64)
+                    tails = ({"members": whole[ranges(member_at[a:b], sizes[a:b])], "count": np.array([b - a])} for a, b in zip(cuts, ends))
+                    blobs = [blob + _pack(tail) for blob, tail in zip(blobs, tails)]
+                yield pa.RecordBatch.from_arrays([pa.array(slice_of[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "blob"])
+            held, sets_held, members_held, size = [], [], [], 0
 
         for batch in batches:
             ids_of_docs = _docs(batch)
@@ -271,8 +277,8 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 order = order[sizes[order] > 0]
                 order = order[np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])[: len(order)])]  # the first place of each
                 new = np.zeros(len(ids), bool)
-                for i, x, *place in zip(order.tolist(), ids[order].tolist(), docs_of_sets[order].tolist(), units[order].tolist()):
-                    if x not in seen or place < seen[x]:
+                for i, x, place in zip(order.tolist(), ids[order].tolist(), zip(docs_of_sets[order].tolist(), units[order].tolist())):
+                    if place < seen.get(x, unseen):
                         seen[x] = place
                         new[i] = True
                 if len(seen) > MOST_SEEN:
@@ -293,29 +299,28 @@ def postings(docs: DataFrame, join: Join, codes_all: Broadcast, slices: int, tot
                 if keys is not None and not (most > LONGEST_LIST).any():  # else keys change below
                     asked = _marked(keys, entry["key"])
                     entry, most = {k: v[asked] for k, v in entry.items()}, most[asked]
-                owner = entry.pop("owner")
-                entry |= {"id": ids[chosen][owner], "doc": docs_of_sets[chosen][owner], "n": sizes.astype(np.int32)[owner]}
-                entry = {name: entry[name] for name in _ENTRY}
+                of_sets = {"id": ids[chosen], "doc": docs_of_sets[chosen], "n": sizes.astype(np.int32)}
                 if join.bitmap:
                     bit = np.uint64(1) << (members & np.uint64(63))
                     low = bit * ((members & np.uint64(64)) == 0)
-                    entry["low"] = np.bitwise_xor.reduceat(low, inner[:-1])[owner]
-                    entry["high"] = np.bitwise_xor.reduceat(bit ^ low, inner[:-1])[owner]
+                    of_sets["low"] = np.bitwise_xor.reduceat(low, inner[:-1])
+                    of_sets["high"] = np.bitwise_xor.reduceat(bit ^ low, inner[:-1])
                 if join.only_earlier:
-                    entry["unit"] = units[chosen].astype(np.int32)[owner]
-                if keys is not None:
-                    entry["_set"] = owner
+                    of_sets["unit"] = units[chosen].astype(np.int32)
                 hot = most > LONGEST_LIST
                 if hot.any():
-                    entry = _split(entry, hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
+                    entry = _split(entry, of_sets["id"], hot, np.ceil(most / LONGEST_LIST).astype(np.int64))
                 if keys is not None:
                     asked = _marked(keys, entry["key"])
                     entry = {k: v[asked] for k, v in entry.items()}
-                    entry["member_at"] = inner[:-1][entry.pop("_set")] + sum(map(len, members_held))
+                    if not asked.any():
+                        continue
+                    of_sets["member_at"] = inner[:-1] + sum(map(len, members_held))
                     members_held.append(members)
                     size += len(members) // 4
                 held.append(entry)
-                size += len(entry["key"])
+                sets_held.append(of_sets)
+                size += max(len(entry["key"]), len(chosen))
                 if size > 400_000:
                     yield from flush()
         yield from flush()
@@ -328,7 +333,7 @@ def _keys(join: Join, members: np.ndarray, firsts: np.ndarray, prefix: np.ndarra
 
     A key is a prefix token. With bitmaps, a token that many of the ``total`` sets have makes keys with each later token of a
     prefix longer by one instead, and so on up to four tokens: similar sets share their first k common tokens within the first
-    prefix + k - 1, so they still share a key.
+    prefix + k - 1, so they still share a key. The position tells how many members before the last one of the key are not part of it.
     """
     count = 2.0 ** ((members >> np.uint64(56)).astype(np.int64) / 8)
     owner, at = np.repeat(np.arange(len(prefix)), prefix), ranges(firsts[:-1], prefix)
@@ -338,7 +343,7 @@ def _keys(join: Join, members: np.ndarray, firsts: np.ndarray, prefix: np.ndarra
         keep = count[at] > 1 if join.skip_single else np.ones(len(at), bool)
         hot = keep & (most > FREQUENT) if join.bitmap and depth < 4 else np.zeros(len(at), bool)
         give = keep & ~hot
-        for name, values in (("key", key), ("owner", owner), ("pos", at - firsts[:-1][owner]), ("most", most)):
+        for name, values in (("key", key), ("owner", owner), ("pos", at - firsts[:-1][owner] - (depth - 1)), ("most", most)):
             out[name].append(values[give])
         if not hot.any():
             break
@@ -355,13 +360,13 @@ def _keys(join: Join, members: np.ndarray, firsts: np.ndarray, prefix: np.ndarra
     return entry, most
 
 
-def _split(entry: dict[str, np.ndarray], hot: np.ndarray, blocks: np.ndarray) -> dict[str, np.ndarray]:
+def _split(entry: dict[str, np.ndarray], ids: np.ndarray, hot: np.ndarray, blocks: np.ndarray) -> dict[str, np.ndarray]:
     """Give the entries of frequent tokens to every pair of blocks their set belongs to."""
     at = np.flatnonzero(hot)
     m = blocks[at]
     again = np.repeat(at, m)
     other = ranges(np.zeros(len(at), np.int64), m).astype(np.uint64)
-    own = mixed(entry["id"][again]) % np.repeat(m, m).astype(np.uint64)
+    own = mixed(ids[entry["owner"][again]]) % np.repeat(m, m).astype(np.uint64)
     pair = (np.minimum(own, other) << np.uint64(32)) | np.maximum(own, other)
     out = {k: np.concatenate([v[~hot], v[again]]) for k, v in entry.items()}
     out["key"][(~hot).sum() :] = mixed(out["key"][(~hot).sum() :] ^ mixed(pair + np.uint64(1)))
@@ -377,6 +382,7 @@ def _possible(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, join: Join
     if join.bitmap:
         differ = np.bitwise_count(e["low"][i] ^ e["low"][j]).astype(np.int64) + np.bitwise_count(e["high"][i] ^ e["high"][j])
         ok &= differ <= n + m - 2 * need
+        ok &= p + q <= n + m - 2 * need  # in the list of their first common members, none before is common
     return ok
 
 
@@ -436,73 +442,87 @@ def _places(e: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
     return doc
 
 
-def _leading(later: list[np.ndarray], earlier: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The pairs ordered by the later set, and of each later set only the ``most`` first ones."""
+def _leading(later: list[np.ndarray], earlier: list[np.ndarray], most: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The pairs ordered by the later set, and of each later set only the ``most`` first ones, if that is given."""
     i, j = np.concatenate([np.zeros(0, np.int64), *later]), np.concatenate([np.zeros(0, np.int64), *earlier])
-    by = np.lexsort((j, i))
-    i, j = i[by], j[by]
     if len(i):
-        firsts = np.flatnonzero(np.diff(i, prepend=-1))
-        rank = np.arange(len(i)) - np.repeat(firsts, np.diff(np.append(firsts, len(i))))
-        i, j = i[rank < most], j[rank < most]
+        width = int(i.max()) + 1
+        i, j = np.divmod(np.sort(i * width + j), width)
+        if most is not None:
+            firsts = np.flatnonzero(np.diff(i, prepend=-1))
+            rank = np.arange(len(i)) - np.repeat(firsts, np.diff(np.append(firsts, len(i))))
+            i, j = i[rank < most], j[rank < most]
     return [i], [j]
 
 
-def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The possible pairs within one list that is in order of first place, as (later, earlier), ordered; of each later set the first few,
-    one more than are tested at once. Sets are compared in order of size, block by block, so that others than those of a
-    fitting size are skipped.
+class _Found:
+    """Possible pairs (later, earlier) so far; once they are many, of each later set the first few, one more than are tested at once.
+    ``cut`` marks the sets that lost others by that."""
+
+    def __init__(self, e: dict[str, np.ndarray], join: Join) -> None:
+        self.e, self.join, self.cut = e, join, np.zeros(len(e["id"]), bool)
+        self.near, self.near_held = [], 0  # pairs of close bitmaps, not tested yet
+        self.later, self.earlier, self.held = [], [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.near.append((i, j))
+        self.near_held += len(i)
+        if self.near_held > PAIRS_AT_ONCE // 4:
+            self._settle()
+
+    def _settle(self) -> None:
+        i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*self.near)) if self.near else np.zeros((2, 0), np.int64)
+        ok = _possible(self.e, i, j, self.join)
+        i, j = i[ok], j[ok]
+        self.near, self.near_held = [], 0
+        self.later.append(np.maximum(i, j))
+        self.earlier.append(np.minimum(i, j))
+        self.held += len(i)
+        if self.held > MOST_PAIRS:
+            sets, pairs = np.unique(np.concatenate(self.later), return_counts=True)
+            self.cut[sets[pairs > SHORT_LIST + 1]] = True
+            self.later, self.earlier = _leading(self.later, self.earlier, SHORT_LIST + 1)
+            self.held = 0
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        self._settle()
+        later, earlier = _leading(self.later, self.earlier)
+        return later[0], earlier[0]
+
+
+def _close(e: dict[str, np.ndarray], start: int, n: int, join: Join, found: _Found) -> None:
+    """Add the pairs of close bitmaps within one list. Sets are compared in order of size, block by block, so that
+    others than those of a fitting size are skipped; where half the bitmap tells most pairs apart, it alone is compared at first.
     """
     order = start + np.argsort(e["n"][start : start + n], kind="stable")
     sizes = e["n"][order].astype(np.int64)
-    high = np.searchsorted(sizes, join.den * sizes // join.num, "right")
-    low = np.arange(n) + 1
-    left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    larger = join.den * sizes // join.num
+    high = np.searchsorted(sizes, larger, "right")
+    limit = np.minimum((join.den - join.num) * (sizes + larger) // (join.num + join.den), 255).astype(np.uint8)  # no similar larger set differs in more members
     halves = [e[c][order] for c in ("low", "high")]
-    step = max(1, min(256, PAIRS_AT_ONCE // max(1, n)))
-    for block in np.split(np.arange(n), np.arange(step, n, step)):
-        a, b = int(low[block].min()), int(high[block].max())
+    step = max(1, min(64, PAIRS_AT_ONCE // n))
+    for first in range(0, n, step):
+        end = min(n, first + step)
+        a, b = first + 1, int(high[end - 1])
         if a >= b:
             continue
-        limit = 2 * (join.den - join.num) * int(sizes[b - 1]) // join.den  # no similar pair here differs in more members
-        near = np.bitwise_count(halves[0][block][:, None] ^ halves[0][None, a:b]) + np.bitwise_count(halves[1][block][:, None] ^ halves[1][None, a:b]) <= limit
-        i, j = np.nonzero(near)
-        i, j = block[i], j + a
-        ok = (j >= low[i]) & (j < high[i])
-        i, j = order[i[ok]], order[j[ok]]
-        ok = _possible(e, i, j, join)
-        i, j = i[ok], j[ok]
-        left.append(np.maximum(i, j))
-        right.append(np.minimum(i, j))
-        held += len(i)
-        if held > PAIRS_AT_ONCE:
-            left, right = _leading(left, right, SHORT_LIST + 1)
-            held = 0
-    left, right = _leading(left, right, SHORT_LIST + 1)
-    return left[0], right[0]
-
-
-def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The first few possible pairs of each set and list, as (later, earlier), ordered. Lists of moderate length advance side by side."""
-    later, earlier, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    close: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-
-    def settle() -> None:
-        """Test the pairs of close bitmaps so far."""
-        nonlocal held
-        i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in close)
-        ok = _possible(e, i, j, join)
-        later.append(i[ok])
-        earlier.append(j[ok])
-        close[0].clear()
-        close[1].clear()
-        held = 0
-
+        differ = np.bitwise_count(halves[0][first:end, None] ^ halves[0][None, a:b])
+        if limit[end - 1] > HALF_TELLS:
+            differ += np.bitwise_count(halves[1][first:end, None] ^ halves[1][None, a:b])
+        i, j = np.divmod(np.flatnonzero(differ <= limit[first:end, None]), b - a)
+        i, j = i + first, j + a
+        ok = (j > i) & (j < high[i])
+        found.add(order[i[ok]], order[j[ok]])
+
+
+def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The possible pairs within lists, as (later, earlier), ordered, and which entries have only some of theirs, first ones among them.
+    Lists of moderate length advance side by side.
+    """
+    found = _Found(e, join)
     some = lengths <= SIDE_BY_SIDE
     for start, n in zip(starts[~some].tolist(), lengths[~some].tolist()):
-        i, j = _close(e, start, n, join)
-        later.append(i)
-        earlier.append(j)
+        _close(e, start, n, join, found)
     starts, lengths = starts[some], lengths[some]
     for lag in range(1, SIDE_BY_SIDE):
         if lag & (lag - 1) == 0:  # at 1, 2, 4 ...: leave out the lists that are done
@@ -515,15 +535,8 @@ def _near_pairs(e: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarra
             limit = ((join.den - join.num) * e["n"][at].astype(np.int64) // join.num + 1).astype(np.int32)  # more than a similar set differs by
         differ = np.bitwise_count(low[lag:] ^ low[:-lag]).astype(np.int32) + np.bitwise_count(high[lag:] ^ high[:-lag])
         k = np.flatnonzero((which[lag:] == which[:-lag]) & (differ <= limit[lag:]))
-        close[0].append(at[k + lag])
-        close[1].append(at[k])
-        held += len(k)
-        if held > PAIRS_AT_ONCE:
-            settle()
-            later, earlier = _leading(later, earlier, SHORT_LIST + 1)
-    settle()
-    later, earlier = _leading(later, earlier, SHORT_LIST + 1)
-    return later[0], earlier[0]
+        found.add(at[k + lag], at[k])
+    return *found.ordered(), found.cut
 
 
 def _unpack_with_members(blobs: list[bytes], counts: list[int], join: Join) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -587,35 +600,45 @@ def _asked_later(blobs: list[bytes], asked: np.ndarray, join: Join) -> np.ndarra
     return np.unique(e["id"][found])
 
 
-_FOUND = "kind int, a long, b long, n int, pos int, key long"
+_FOUND = "kind int, a long, b long, n int, pos int, key long, more array<long>"
 
 
-def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
-    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3).
-
-    Of small sets, kind 1 tells the list's key, and as ``pos`` its slice.
+def _first_near_pairs(blobs: list[bytes], join: Join, slice_of: int) -> pa.Table:
+    """Pairs a, b of small sets: all of a set b that has few in a list (kind 0), else the first (kind 1, with the list's key, as ``pos`` its slice, and
+    as ``more`` the sets of its other pairs there, unless the slice has too many pairs).
     """
     e, starts, lengths = _lists(blobs, join)
-    kinds, left, right, keys = [], [], [], []
+    later, earlier, cut = _near_pairs(e, starts, lengths, join)
+    head = np.flatnonzero(np.diff(later, prepend=-1))
+    candidates = np.diff(np.append(head, len(later)))
+    few = np.repeat(candidates <= SHORT_LIST, candidates)
+    pairs, votes = np.unique(earlier[few] * len(e["id"]) + later[few], return_counts=True)  # of copies in other lists, some remain
+    i, j = np.divmod(pairs, max(1, len(e["id"])))
+    head, candidates = head[candidates > SHORT_LIST], candidates[candidates > SHORT_LIST]
+    listed = np.where(cut[later[head]], 0, candidates - 1)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(listed)]).astype(np.int32), mask=np.append(cut[later[head]], False))
+    others = pa.ListArray.from_arrays(bounds, pa.array(e["id"][earlier[ranges(head + 1, listed)]].view(np.int64)))
+    more = pa.chunked_array([pa.nulls(len(i), others.type), others])
+    kind = np.repeat(np.array([0, 1], np.int32), [len(i), len(head)])
+    key = np.concatenate([np.zeros(len(i), np.uint64), e["key"][later[head]]])
+    i, j = np.concatenate([i, earlier[head]]), np.concatenate([j, later[head]])
+    columns = {"kind": kind, "a": e["id"][i].view(np.int64), "b": e["id"][j].view(np.int64), "n": np.append(votes, np.ones(len(head))).astype(np.int32)}
+    columns |= {"pos": np.full(len(i), slice_of, np.int32), "key": key.view(np.int64)}
+    return pa.table({k: pa.array(v) for k, v in columns.items()} | {"more": more})
+
+
+def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
+    """Pairs a, b (kind 0, and 1 if from a long list), pairs of a long list that are no candidates (kind 2), and the entries b of long lists a (kind 3)."""
+    if join.bitmap:
+        return _first_near_pairs(blobs, join, slice_of)
+    e, starts, lengths = _lists(blobs, join)
+    kinds, left, right = [], [], []
 
     def give(kind: int, i: np.ndarray, j: np.ndarray) -> None:
         kinds.append(np.full(len(i), kind, np.uint64))
-        if not (join.bitmap and kind == 1):
-            keys.append(np.zeros(len(i), np.uint64))
         left.append(e["id"][i])
         right.append(e["id"][j])
 
-    if join.bitmap:
-        later, earlier = _near_pairs(e, starts, lengths, join)
-        head = np.flatnonzero(np.diff(later, prepend=-1))
-        candidates = np.diff(np.append(head, len(later)))
-        few = np.repeat(candidates <= SHORT_LIST, candidates)
-        give(0, earlier[few], later[few])
-        head = head[candidates > SHORT_LIST]  # the first candidate of each; the others only if it fails
-        give(1, earlier[head], later[head])
-        keys.append(e["key"][later[head]])
-        lengths = lengths[:0]
-        starts = starts[:0]
     short = lengths <= SHORT_LIST
     for a in range(SHORT_LIST - 1):
         for b in range(a + 1, SHORT_LIST):
@@ -628,7 +651,7 @@ def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
     ok = _possible(e, head, other, join)
     give(1, head[ok], other[ok])
     give(2, head[~ok], other[~ok])
-    rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right, keys)]), axis=1, return_counts=True)
+    rows, votes = np.unique(np.stack([np.concatenate(x) for x in (kinds, left, right)]), axis=1, return_counts=True)
     whole = ranges(long_at, long_n)
     none = np.full(rows.shape[1], slice_of, np.int32)
     columns = {
@@ -637,9 +660,9 @@ def _first_pairs(blobs: list[bytes], join: Join, slice_of: int = 0) -> pa.Table:
         "b": np.concatenate([rows[2], e["id"][whole]]).view(np.int64),
         "n": np.concatenate([votes.astype(np.int32), e["n"][whole]]),
         "pos": np.concatenate([none, e["pos"][whole]]),
-        "key": np.concatenate([rows[3], np.zeros(len(whole), np.uint64)]).view(np.int64),
+        "key": np.zeros(len(none) + len(whole), np.int64),
     }
-    return pa.table({k: pa.array(v) for k, v in columns.items()})
+    return pa.table({k: pa.array(v) for k, v in columns.items()} | {"more": pa.nulls(len(none) + len(whole), pa.list_(pa.int64()))})
 
 
 def _differences(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -823,12 +846,19 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         # lists are in order of first place, with every task's first copy of a set in them: a comes before b
         pairs = materialize(found.where("kind < 2").select("a", "b").distinct())
         later = materialize(_links(docs, surveyed, pairs, join).select(F.col("b").alias("id")).distinct())
-        again = materialize(found.where("kind = 1").select(F.col("pos").alias("slice"), "key", F.col("b").alias("id")).distinct().join(later, "id", "left_anti"))
-        if again.isEmpty():
+        open_sets = counted(found.where("kind = 1").select("key", "b").join(later.withColumnRenamed("id", "b"), "b", "left_anti"))
+        if open_sets.isEmpty():
             return surveyed, later
         release(docs.sparkSession)
-        new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys))
-        later = materialize(later.union(new).distinct())
+        rest = found.where("kind = 1").coalesce(max(8, slices // 8)).join(open_sets, ["key", "b"], "left_semi")
+        rest = materialize(rest.select(F.col("pos").alias("slice"), "key", F.col("b").alias("id"), "more"))
+        pairs = materialize(rest.select(F.explode("more").alias("a"), F.col("id").alias("b")).distinct())
+        later = materialize(later.union(_links(docs, surveyed, pairs, join).select(F.col("b").alias("id"))).distinct())
+        again = materialize(rest.where("more IS NULL").select("slice", "key", "id").join(later, "id", "left_anti"))
+        if not again.isEmpty():
+            release(docs.sparkSession)
+            new = _again(again, join, lambda keys: postings(docs, join, codes, slices, total, keys))
+            later = materialize(later.union(new).distinct())
         release(docs.sparkSession)
         return surveyed, later
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tablescope.llm import decontamination, line_dedup, ngram_jaccard, piece_sampling, setjoin, toxicity
-from tablescope.llm.arrays import span_hashes
+from tablescope.llm.arrays import span_hashes, words
 from tablescope.llm.bpe import WordEncoder
 from tablescope.llm.components import components
 from tablescope.llm.decontamination import contaminated, without_contaminated
@@ -259,3 +259,53 @@ def test_a_fit_gives_words_values_in_small_groups():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30 << 20
+
+
+def listed(n, pos, bits, units):
+    """A packed list of sets of one key, with the bitmap ``bits``."""
+    count = len(units)
+    entries = {"key": np.full(count, 7, np.uint64), "id": np.arange(count, dtype=np.uint64) + np.uint64(100), "doc": np.zeros(count, np.int64)}
+    entries |= {"n": np.full(count, n, np.int32), "pos": np.array(pos, np.int32)}
+    entries |= {"low": np.array(bits, np.uint64), "high": np.zeros(count, np.uint64), "unit": np.array(units, np.int32)}
+    return [setjoin._pack(entries)]
+
+
+@pytest.mark.parametrize("pos, pairs", [((2, 2), 1), ((1, 3), 1), ((3, 2), 0), ((4, 4), 0)])
+def test_pairs_are_tested_in_the_list_of_their_first_common_members(pos, pairs):
+    join = setjoin.Join(line_dedup.line_sets, bitmap=True, only_earlier=True)
+    found = setjoin._first_pairs(listed(20, pos, [1, 2], [0, 1]), join)
+    assert found.num_rows == pairs
+
+
+@pytest.mark.parametrize("count", [40, 300])
+def test_a_list_keeps_the_other_pairs_of_sets_with_many(monkeypatch, count):
+    join = setjoin.Join(line_dedup.line_sets, bitmap=True, only_earlier=True)
+    units = np.random.default_rng(2).permutation(count)
+    bits = [1 if u % 3 else (1 << 60) - 1 for u in units.tolist()]  # two kinds of sets
+    ids = {u: 100 + k for k, u in enumerate(units.tolist())}  # by place
+    want = {(ids[b], ids[a]) for b in range(count) for a in range(b) if (a % 3 == 0) == (b % 3 == 0)}
+    found = setjoin._first_pairs(listed(20, [0] * count, bits, units), join, 5).to_pylist()
+    assert {(r["b"], a) for r in found for a in [r["a"], *(r["more"] or [])]} == want
+    assert all((r["more"] is None) == (r["kind"] == 0) and r["pos"] == 5 for r in found)
+    monkeypatch.setattr(setjoin, "MOST_PAIRS", 50)  # too many to keep: the first alone, with the key of the list
+    monkeypatch.setattr(setjoin, "PAIRS_AT_ONCE", 50)
+    cut = setjoin._first_pairs(listed(20, [0] * count, bits, units), join, 5).to_pylist()
+    first = {b: min((a for x, a in want if x == b), key={i: u for u, i in ids.items()}.get) for b, _ in want}
+    assert {(r["b"], r["a"]) for r in cut if r["kind"] == 1} == {(r["b"], r["a"]) for r in found if r["kind"] == 1}
+    assert all(r["a"] == first[r["b"]] and r["key"] == 7 for r in cut if r["kind"] == 1)
+    assert any(r["more"] is None for r in cut if r["kind"] == 1)
+    assert {(r["b"], a) for r in cut for a in [r["a"], *(r["more"] or [])]} <= want
+
+
+def test_spans_of_words_end_at_rows():
+    data = np.frombuffer(b"ab cd\tEf\x00\xff \n", np.uint8)
+    starts, ends, hashes, firsts = words(data, np.array([0, 0, 1, 4, 4, 8, len(data)]), folded=True)
+    assert list(zip(starts.tolist(), ends.tolist())) == [(0, 1), (1, 2), (3, 4), (4, 5), (6, 8), (8, 10)]
+    assert firsts.tolist() == [0, 0, 1, 3, 3, 5, 6]
+    assert hashes[4] == span_hashes(np.frombuffer(b"ef", np.uint8), np.array([0]), np.array([2]))[0]
+
+
+def test_lines_are_counted_with_the_empty_ones(spark):
+    texts = ["", "\n", "a b\n\nc", "\n\na", None, "a\r\nb", "é\n\n\nü"]
+    got = {r["doc_id"]: r["n_lines"] for r in dedup_lines(frame(spark, texts)).collect()}
+    assert got == {k: 0 if t is None else len(t.split("\n")) for k, t in enumerate(texts)}
