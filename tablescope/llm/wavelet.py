@@ -3,8 +3,9 @@
 Ids are written in ascending document order, an end id after each document. A shard holds a bounded number of ids
 (more only for a single longer document) as bit planes, most significant first: each plane is the next bit of all
 ids in the order in which the planes before have sorted them, with the count of ones before every block of 512 bits. Planes and
-counts answer access, counting and occurrence lookups without unpacking the ids. Shards are rows of
-zstd-compressed Parquet files, so writing is atomic per task on any file system Spark writes to, and repeatable.
+counts answer access, counting and occurrence lookups without unpacking the ids. Shards are rows, each a row group, of
+zstd-compressed Parquet files, so writing is atomic per task on any file system Spark writes to, and repeatable, and memory
+does not follow the shards of a task. A shard tells the number of ids of its part before it; one row per part tells the rest.
 
 Layout of a payload, little-endian: 8 bytes ``WVMATRX1``; uint32 planes, uint64 ids; per plane uint64
 zeros; per plane uint32 counts of ones before each block; per plane the bits, high bit first, padded to blocks.
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.arrays import pieces
+from tablescope.llm.arrays import give_back, pieces
 from tablescope.llm.bpe import encoder_of
 
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20  # payloads of about two megabytes
 SPLITS_A_TASK = 2  # input splits whose words one task encodes once
-_PIECE = 4 << 20
+_PIECE = 2 << 20
+#: Readers and writers hold a row group at once, however well it is compressed.
+_ONE_SHARD_A_GROUP = {"parquet.block.row.count.limit": 1}
 _BLOCK = 512
 _MAGIC = b"WVMATRX1"
 
@@ -144,7 +147,7 @@ class WaveletMatrix:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0) -> None:
-    """Write the ids of every document as wavelet shards: (part, shard, n_ids, doc_ids, counts, payload)."""
+    """Write the ids of every document as wavelet shards: (part, shard, before, n_ids, doc_ids, counts, payload)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_json)
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
@@ -153,34 +156,36 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str =
     ordered = texts.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = encoder_of(sent.value)
         planes = max(1, (max(encoder.tokenizer.get_vocab_size() - 1, end_id)).bit_length())
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         ids_of, counts, held, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal shard, ids_of, counts, held, size
+            nonlocal shard, before, ids_of, counts, held, size
             if counts:
                 total = np.concatenate(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()),
                         pa.array([shard], pa.int32()),
+                        pa.array([before], pa.int64()),
                         pa.array([size], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.concat_arrays(ids_of)),
                         pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total)),
                         pa.array([pack(np.concatenate(held), planes)], pa.binary()),
                     ],
-                    names=["part", "shard", "n_ids", "doc_ids", "counts", "payload"],
+                    names=["part", "shard", "before", "n_ids", "doc_ids", "counts", "payload"],
                 )
-                shard += 1
+                shard, before = shard + 1, before + size
             ids_of, counts, held, size = [], [], [], 0
 
         for batch in batches:
             for first, end, data, offsets in pieces(batch.column(1), _PIECE):
                 ids, bounds = encoder.encode(data, offsets)
                 ids = np.insert(ids, bounds[1:], end_id).astype(np.uint16 if planes <= 16 else np.uint32)
-                ids_of.append(batch.column(0).slice(first, end - first))
+                ids_of.append(pa.concat_arrays([batch.column(0).slice(first, end - first)]))  # a copy: a slice would keep the batch with its texts
                 counts.append(np.diff(bounds) + 1)
                 held.append(ids)
                 size += len(ids)
@@ -188,28 +193,30 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_column: str =
                     yield from flush()
         yield from flush()
 
-    schema = "part int, shard int, n_ids long, doc_ids array<long>, counts array<long>, payload binary"
-    ordered.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    schema = "part int, shard int, before long, n_ids long, doc_ids array<long>, counts array<long>, payload binary"
+    ordered.select("doc_id", "text").mapInArrow(run, schema).write.options(compression="zstd", **_ONE_SHARD_A_GROUP).parquet(path)
 
 
 def _started(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``start``, the ids before each; there is one narrow row per shard to sum over."""
+    """The shards with ``start``, the ids before each; there is one narrow row per part to sum over."""
     shards = spark.read.parquet(path)
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
-    return shards.join(F.broadcast(starts), ["part", "shard"])
+    parts = shards.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first"))
+    return shards.join(F.broadcast(starts), "part").withColumn("start", F.col("first") + F.col("before"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: (doc_id, start, n_tokens, ids_crc32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = WaveletMatrix(batch.column("payload")[k].as_buffer()).ids()
                 counts = batch.column("counts")[k].values.to_numpy()
                 ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4")).cast("B")
                 sums = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[k].values, pa.array(batch.column("start")[k].as_py() + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],

@@ -1,10 +1,12 @@
 """Encoders, token files and their readers: exact round trips and brute force."""
 
+import glob
 import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,6 +59,33 @@ def test_id_files(spark, rows, tokenizer_json, tmp_path, monkeypatch):
     assert wavelet.read_documents(spark, nothing).collect() == []
 
 
+def test_shards_are_held_one_by_one(spark, tokenizer_json, tmp_path, monkeypatch):
+    """Each shard of a task is a row group of its own, also where texts compress to nothing."""
+    monkeypatch.setattr(wavelet, "SHARD_IDS", 500)
+    monkeypatch.setattr(wavelet, "_PIECE", 1000)
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    wavelet.write_ids(frame(spark, [(k, "x y " * 200) for k in range(60)]), path, tokenizer_json)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert max(m.num_rows for m in files) > 2
+    assert {m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)} == {1}
+    assert len({r.n_tokens for r in wavelet.read_documents(spark, path).collect()}) == 1
+
+
+def test_starts_over_parts_and_shards(spark, tokenizer_json, tmp_path, monkeypatch):
+    """Missing and repeated ids, empty texts, many shards a part: starts follow the counts in the order of the files."""
+    monkeypatch.setattr(wavelet, "SHARD_IDS", 40)
+    monkeypatch.setattr(wavelet, "_PIECE", 64)
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    rows = [(k // 3 if k % 10 else None, t) for k, t in enumerate(texts(4, 60))]
+    wavelet.write_ids(frame(spark, rows), path, tokenizer_json)
+    shards = spark.read.parquet(path).orderBy("part", "shard").collect()
+    assert len({r.part for r in shards}) > 1 and max(r.shard for r in shards) > 1
+    ids, counts = [x for r in shards for x in r.doc_ids], [n for r in shards for n in r.counts]
+    want = Counter(zip(ids, (np.cumsum(counts) - counts).tolist(), counts))
+    assert Counter((r.doc_id, r.start, r.n_tokens) for r in wavelet.read_documents(spark, path).collect()) == want
+    assert ids == sorted(ids, key=lambda k: (k is not None, k)) and Counter(ids) == Counter(k for k, _ in rows)
+
+
 def test_flat_files(spark, rows, tokenizer_json, tmp_path, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_IDS", 64)
     path = f"{tmp_path}/{uuid.uuid4().hex}"
