@@ -114,6 +114,72 @@ def test_separators_across_files(spark, tmp_path, monkeypatch):
     assert sorted(tuple(x) for x in token_counts.token_counts(spark, str(tmp_path), end_id=2, width=4).collect()) == want
 
 
+def scanned(ids, end):
+    ends = np.flatnonzero(ids == end)
+    starts = np.concatenate([[0], ends + 1])
+    want = [(k, int(s), int(e - s), True) for k, (s, e) in enumerate(zip(starts, ends))]
+    return want + [(len(ends), int(starts[-1]), int(len(ids) - starts[-1]), False)] * int(starts[-1] < len(ids))
+
+
+@pytest.fixture
+def split_bytes(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    yield lambda size: [spark.conf.set(n, x) for n, x in zip(names, (size, 0))]
+    for n, x in old.items():
+        spark.conf.set(n, x)
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path, split_bytes):
+    """No row and no task holds a file."""
+    ids = np.random.default_rng(2).integers(0, 500, 40_000).astype("<u2")
+    (tmp_path / "ids-1.bin").write_bytes(ids.tobytes())
+    split_bytes(8192)
+    assert token_counts.blocks(spark, str(tmp_path)).rdd.getNumPartitions() >= 10
+    rows = token_counts.blocks(spark, str(tmp_path)).collect()
+    assert len({r.split for r in rows}) >= 10 and max(r.n_bytes for r in rows) < 10_000
+    assert sorted(tuple(x) for x in token_counts.token_counts(spark, str(tmp_path)).collect()) == scanned(ids, 0)
+
+
+@pytest.mark.parametrize(
+    "width, end, values",
+    [
+        (1, 0, [0, 1]),
+        (1, 0xBF, [0xBF, 0xEF, 0xBB, 0]),
+        (2, 0, [0, 0, 1, 256, 257]),
+        (2, 0x0101, [0, 1, 256, 257]),
+        (2, 0xBBEF, [0xBBEF, 0xEFBF, 0xBFBB, 0xEF]),
+        (3, 0xBFBBEF, [0xBFBBEF, 0xEFBFBB, 0]),
+        (4, 0, [0, 0, 1, 1 << 24, 1 << 8]),
+        (4, 2, [2, 2 << 8, 2 << 24, 0, 0x02020202]),
+    ],
+)
+def test_splits_and_blocks_cut_ids_anywhere(spark, tmp_path, monkeypatch, split_bytes, width, end, values):
+    r = np.random.default_rng(width + end)
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", 5)
+    mark = int.from_bytes((b"\xef\xbb\xbf" * 4)[:width], "little")
+    for k, size in enumerate((5, 64)):
+        files = [np.concatenate([[mark] * (3 if n % 2 else 0), r.choice(values, r.integers(0, 40)), [end] * (n % 3)]).astype(np.int64) for n in range(4)]
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        for n, ids in enumerate(files):
+            (folder / f"a b%+ids-{n}.bin").write_bytes(b"".join(int(x).to_bytes(width, "little") for x in ids))
+        split_bytes(size)
+        got = token_counts.token_counts(spark, str(folder), end_id=end, width=width)
+        assert sorted(tuple(x) for x in got.collect()) == scanned(np.concatenate(files), end)
+
+
+def test_files_that_are_no_ids(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert token_counts.token_counts(spark, str(tmp_path / "none")).collect() == []
+    (tmp_path / "none" / "ids-1.bin").write_bytes(b"\1\0\0\0")
+    for unfit in (-1, 1 << 16):
+        assert [tuple(x) for x in token_counts.token_counts(spark, str(tmp_path / "none"), end_id=unfit).collect()] == [(0, 0, 2, False)]
+    (tmp_path / "ids-1.bin").write_bytes(b"\1\0\0\0\1")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        token_counts.token_counts(spark, str(tmp_path)).collect()
+
+
 def test_pieces_round_trip(spark, rows, piece_file):
     docs = frame(spark, rows)
     got = piece_sampling.encode(docs, piece_file, seed=1)
